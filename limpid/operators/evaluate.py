@@ -26,10 +26,10 @@ def totals(df: DataFrame) -> DataFrame:
     nulls = profiling.null_counts(table).agg(
         F.max("rows").alias("rows"), F.count(F.lit(1)).alias("columns"), F.sum("null_count").alias("missing"))
     copies = dedupe.duplicate_count(table).select(F.col("total_duplicates").alias("duplicates"))
-    return _side_by_side(nulls, copies)
+    return side_by_side(nulls, copies)
 
 
-def _side_by_side(*rows: DataFrame) -> DataFrame:
+def side_by_side(*rows: DataFrame) -> DataFrame:
     """Join one-row tables."""
     out = rows[0].withColumn("__k", F.lit(1))
     for other in rows[1:]:
@@ -46,7 +46,7 @@ def _both(raw: DataFrame, clean: DataFrame, measure) -> DataFrame:
     def suffixed(df, end):
         return df.select(*[F.col(c).alias(f"{c}_{end}") for c in df.columns])
 
-    return _side_by_side(suffixed(measure(raw), "raw"), suffixed(measure(clean), "clean"))
+    return side_by_side(suffixed(measure(raw), "raw"), suffixed(measure(clean), "clean"))
 
 
 def _null_totals(df: DataFrame) -> DataFrame:
@@ -112,4 +112,4 @@ def quality(raw: DataFrame, clean: DataFrame) -> DataFrame:
         (F.col("duplicates_raw") - F.col("duplicates_clean")).alias("duplicates_removed"),
         complete("raw"), complete("clean"), "rows_raw", "rows_clean",
         _percent(F.col("rows_clean"), F.col("rows_raw")).alias("retention_pct"))
-    return _side_by_side(values, quality_schema(raw, clean))
+    return side_by_side(values, quality_schema(raw, clean))
