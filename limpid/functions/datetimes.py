@@ -4,32 +4,25 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limpid.functions.text import strip
-
-# Shape of the text -> Spark pattern.  The shape test comes first because a failing parse is slow.
-# Month comes before day unless the first number cannot be a month.
-DATE_SHAPES = [
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}$", "yyyy-M-d H:mm"),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$", "yyyy-M-d H:mm:ss"),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}\.\d{1,6}$", "yyyy-M-d H:mm:ss.[SSSSSS][SSSSS][SSSS][SSS][SS][S]"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}$", "yyyy-M-d'T'H:mm:ss"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^(1[3-9]|2\d|3[01])/\d{1,2}/\d{4}$", "d/M/yyyy"),
-    (r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/yyyy H:mm"),
-    (r"^(0?[1-9]|1[0-2])-\d{1,2}-\d{4}$", "M-d-yyyy"),
-    (r"^(1[3-9]|2\d|3[01])-\d{1,2}-\d{4}$", "d-M-yyyy"),
-    (r"^\d{8}$", "yyyyMMdd"),
-    (r"(?i)^\d{1,2} [a-z]{3} \d{4}$", "d MMM yyyy"),
-    (r"(?i)^\d{1,2} [a-z]{4,} \d{4}$", "d MMMM yyyy"),
-    (r"(?i)^[a-z]{3} \d{1,2},? \d{4}$", "MMM d[,] yyyy"),
-    (r"(?i)^[a-z]{4,} \d{1,2},? \d{4}$", "MMMM d[,] yyyy"),
-]
+from limpid.functions.text import quote, strip
+
+# Shapes of date text.  Each is rewritten to ISO text, so that one native cast, which never throws,
+# reads them all.  Month comes before day unless the first number cannot be a month.
+_CLOCK = r"(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?"
+ISO_SHAPE = rf"^\d{{4}}[-/]\d{{1,2}}[-/]\d{{1,2}}{_CLOCK}$"
+MONTH_FIRST = rf"^(0?[1-9]|1[0-2])[-/](\d{{1,2}})[-/](\d{{4}})({_CLOCK})$"
+DAY_FIRST = rf"^(1[3-9]|2\d|3[01])[-/](\d{{1,2}})[-/](\d{{4}})({_CLOCK})$"
+COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
+_MONTH = (r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?"
+          r"|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)")
+DAY_NAME_YEAR = rf"(?i)^(\d{{1,2}}) {_MONTH},? (\d{{4}})$"
+NAME_DAY_YEAR = rf"(?i)^{_MONTH} (\d{{1,2}}),? (\d{{4}})$"
+# First letters of the month names, three each.
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 _MERIDIEM = r"(?:a\.?m\.?|p\.?m\.?)"
 TIME_ONLY = [
@@ -47,25 +40,41 @@ STRFTIME = {
 }
 
 
-def to_timestamp(v: Column, dtype: T.DataType, formats: list[tuple[str, str]] | None = None) -> Column:
+def _month_number(name: Column) -> Column:
+    return ((F.instr(F.lit(MONTHS), F.lower(F.left(name, F.lit(3)))) + 2) / 3).cast("int").cast("string")
+
+
+def _named(text: Column, shape: str, day: int, month: int) -> Column:
+    def part(i: int) -> Column:
+        return F.regexp_extract(text, shape, i)
+
+    return F.concat_ws("-", part(3), _month_number(part(month)), part(day))
+
+
+def iso_text(text: Column) -> Column:
+    """ISO text of stripped date text, NULL for other shapes."""
+    return (F.when(text.rlike(ISO_SHAPE), F.translate(text, "/", "-"))
+            .when(text.rlike(MONTH_FIRST), F.regexp_replace(text, MONTH_FIRST, "$3-$1-$2$4"))
+            .when(text.rlike(DAY_FIRST), F.regexp_replace(text, DAY_FIRST, "$3-$2-$1$4"))
+            .when(text.rlike(COMPACT), F.regexp_replace(text, COMPACT, "$1-$2-$3"))
+            .when(text.rlike(DAY_NAME_YEAR), _named(text, DAY_NAME_YEAR, day=1, month=2))
+            .when(text.rlike(NAME_DAY_YEAR), _named(text, NAME_DAY_YEAR, day=2, month=1)))
+
+
+def to_timestamp(v: Column, dtype: T.DataType, formats: list[str] | None = None) -> Column:
     """Timestamp or NULL.
 
-    Each value is read by the first listed shape that fits it.  (A reader that fixes the format
-    by the first value would lose the others; this one does not.)
+    Each value is read by the shape it has, or by the first of `formats` (Spark patterns) that
+    fits.  (A reader that fixes the format by the first value would lose the others.)
     """
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return v.cast("timestamp")
     if not isinstance(dtype, T.StringType):
         raise ValueError(f"cannot read {dtype.simpleString()} as a date")
     text = strip(v)
-    # Month names must be capitalised for the parser.
-    named = F.initcap(text)
-    parsed = None
-    for shape, pattern in formats or DATE_SHAPES:
-        source = named if "MMM" in pattern else text
-        value = F.try_to_timestamp(source, F.lit(pattern))
-        parsed = F.when(text.rlike(shape), value) if parsed is None else parsed.when(text.rlike(shape), value)
-    return parsed.cast("timestamp")
+    if formats:
+        return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("timestamp")
+    return iso_text(text).try_cast("timestamp")
 
 
 def strftime_pattern(fmt: str) -> str:
@@ -89,26 +98,30 @@ def is_time_text(v: Column) -> Column:
     return text.rlike(TIME_ONLY[0]) | text.rlike(TIME_ONLY[1])
 
 
-def clock_time(v: Column) -> Column:
+def with_clock_time(df: DataFrame, column: str) -> DataFrame:
     """'2:35 p.m. (est.)' -> '14:35'.
 
     The first time inside the text wins.  Without a valid time a date becomes 'yyyy-MM-dd HH:mm';
-    anything else stays as it is.  Hours are computed, not parsed, so no value throws.
+    anything else stays as it is.  Hours are computed, not parsed, so no value throws.  Each
+    regex result is a column of its own projection, so it is evaluated once per row.
     """
-    text = strip(v)
-    found = F.regexp_extract(text, TIME_INSIDE, 1)
-    hour = F.regexp_extract(found, r"^(\d{1,2})", 1).try_cast("int")
-    minute = F.coalesce(F.regexp_extract(found, r"^\d{1,2}:(\d{2})", 1).try_cast("int"), F.lit(0))
-    second = F.coalesce(F.regexp_extract(found, r"^\d{1,2}:\d{2}:(\d{2})", 1).try_cast("int"), F.lit(0))
-    half = F.lower(F.regexp_extract(found, r"(?i)([ap])\.?m", 1))
+    def number(pattern: str) -> Column:
+        return F.regexp_extract("__found", pattern, 1).try_cast("int")
+
+    parts = (df.withColumn("__text", strip(quote(column)))
+             .withColumn("__found", F.regexp_extract("__text", TIME_INSIDE, 1))
+             .withColumns({"__h": number(r"^(\d{1,2})"), "__m": F.coalesce(number(r"^\d{1,2}:(\d{2})"), F.lit(0)),
+                           "__s": F.coalesce(number(r"^\d{1,2}:\d{2}:(\d{2})"), F.lit(0)),
+                           "__half": F.lower(F.regexp_extract("__found", r"(?i)([ap])\.?m", 1))}))
+    half, hour = F.col("__half"), F.col("__h")
     hour24 = F.when(half == "", hour).when(hour <= 12, hour % 12 + F.when(half == "p", 12).otherwise(0))
-    valid = (found != "") & (hour24 <= 23) & (minute <= 59) & (second <= 59)
-    as_time = F.concat(
-        F.lpad(hour24.cast("string"), 2, "0"), F.lit(":"), F.lpad(minute.cast("string"), 2, "0"))
-    as_date = F.date_format(to_timestamp(v, T.StringType()), "yyyy-MM-dd HH:mm")
-    return (F.when(F.lower(text).isin(NO_TIME), None)
-            .when(valid, as_time)
-            .otherwise(F.coalesce(as_date, v)))
+    valid = (F.col("__found") != "") & (F.col("__h") <= 23) & (F.col("__m") <= 59) & (F.col("__s") <= 59)
+    clock = F.concat(F.lpad(F.col("__h").cast("string"), 2, "0"), F.lit(":"), F.lpad(F.col("__m").cast("string"), 2, "0"))
+    as_date = F.date_format(to_timestamp(quote(column), T.StringType()), "yyyy-MM-dd HH:mm")
+    result = (F.when(F.lower("__text").isin(NO_TIME), None).when(valid, clock)
+              .otherwise(F.coalesce(as_date, quote(column))))
+    return (parts.withColumn("__h", hour24).withColumn(column, result)
+            .drop("__text", "__found", "__h", "__m", "__s", "__half"))
 
 
 def minutes_of_day(v: Column) -> Column:

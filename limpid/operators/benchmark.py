@@ -14,7 +14,6 @@ from limpid.functions.numbers import same_cell
 from limpid.functions.text import quote
 from limpid.operators import scale
 from limpid.operators.columns import data
-from limpid.operators.profile import WIDE
 
 
 def common_columns(clean: DataFrame, truth: DataFrame) -> list[str]:
@@ -79,21 +78,19 @@ class Comparison:
 
     def columns(self) -> DataFrame:
         """column, matches, total, both-null state matches, cells with a value on both sides and
-        their matches: one aggregate over the aligned rows."""
-        parts = []
-        for start in range(0, len(self.names), WIDE):
-            batch = self.names[start:start + WIDE]
-            wide = self.aligned.agg(*[F.struct(*self._measures(n)).alias(f"m{i}") for i, n in enumerate(batch)])
-            rows = F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"m{i}").alias("m")) for i, n in enumerate(batch)])
-            parts.append(wide.select(F.inline(rows)).select("column", "m.*"))
-        return scale.union_all(parts)
-
-    def _measures(self, name: str) -> list[Column]:
-        c, t = self.pair(name)
-        same, both = self.same(name), c.isNotNull() & t.isNotNull()
-        return [F.count_if(same).alias("matches"), F.count(F.lit(1)).alias("total"),
-                F.count_if(c.isNull() == t.isNull()).alias("null_matches"),
-                F.count_if(both).alias("valued"), F.count_if(both & same).alias("value_matches")]
+        their matches: one aggregate over the aligned rows in long form."""
+        flat = []
+        for i, name in enumerate(self.names):
+            c, t = self.pair(name)
+            flat += [F.lit(i), self.same(name), c.isNotNull(), t.isNotNull()]
+        cells = self.aligned.select(F.stack(F.lit(len(self.names)), *flat).alias("i", "same", "has_c", "has_t"))
+        both = F.col("has_c") & F.col("has_t")
+        counts = cells.groupBy("i").agg(
+            F.count_if("same").alias("matches"), F.count(F.lit(1)).alias("total"),
+            F.count_if(F.col("has_c") == F.col("has_t")).alias("null_matches"),
+            F.count_if(both).alias("valued"), F.count_if(both & F.col("same")).alias("value_matches"))
+        names = F.array(*[F.lit(n) for n in self.names])
+        return counts.select(F.get(names, F.col("i")).alias("column"), "matches", "total", "null_matches", "valued", "value_matches")
 
     def row_matches(self) -> DataFrame:
         """rows, matching_rows."""

@@ -161,11 +161,19 @@ def holds_times(df: DataFrame, column: str, order_by: list[str] | None) -> bool:
 
 
 def standardize_time(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn(column, datetimes.clock_time(quote(column)))
+    return datetimes.with_clock_time(df, column)
+
+
+def parse_date(df: DataFrame, column: str, formats: list[str] | None = None) -> DataFrame:
+    """Text to timestamp.  The stripped text is a projection of its own, so it is computed once."""
+    dtype = df.schema[column].dataType
+    if isinstance(dtype, T.StringType):
+        df = df.withColumn(column, text.strip(quote(column)))
+    return df.withColumn(column, datetimes.to_timestamp(quote(column), dtype, formats))
 
 
 def cast_type(df: DataFrame, column: str, dtype: str, order_by: list[str] | None = None,
-              formats: list[tuple[str, str]] | None = None, times: bool | None = None) -> DataFrame:
+              formats: list[str] | None = None, times: bool | None = None) -> DataFrame:
     """int (unreadable: 0), float and datetime (unreadable: NULL), str.
 
     A text column of times of day is standardised to HH:MM instead of becoming a datetime;
@@ -179,16 +187,16 @@ def cast_type(df: DataFrame, column: str, dtype: str, order_by: list[str] | None
     if dtype == "datetime":
         if holds_times(df, column, order_by) if times is None else times:
             return standardize_time(df, column)
-        return df.withColumn(column, datetimes.to_timestamp(value, current, formats))
+        return parse_date(df, column, formats)
     if dtype in ("str", "string", "object", "category"):
         return df.withColumn(column, numbers.plain_text(value, current))
     raise ValueError(f"unsupported type '{dtype}'")
 
 
 def format_datetime(df: DataFrame, column: str, fmt: str = "%Y-%m-%d", order_by: list[str] | None = None,
-                    formats: list[tuple[str, str]] | None = None, times: bool | None = None) -> DataFrame:
+                    formats: list[str] | None = None, times: bool | None = None) -> DataFrame:
     """Text of a date in a strftime format; unreadable: NULL; times of day become HH:MM."""
     if holds_times(df, column, order_by) if times is None else times:
         return standardize_time(df, column)
-    parsed = datetimes.to_timestamp(quote(column), df.schema[column].dataType, formats)
-    return df.withColumn(column, F.date_format(parsed, datetimes.strftime_pattern(fmt)))
+    pattern = datetimes.strftime_pattern(fmt)
+    return parse_date(df, column, formats).withColumn(column, F.date_format(quote(column), pattern))

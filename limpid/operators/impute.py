@@ -41,9 +41,8 @@ def fit(df: DataFrame, wanted: dict[str, str]) -> dict[str, object]:
         row = df.agg(*[F.avg(quote(c)).alias(str(i)) for i, c in enumerate(means)]).first()
         out.update({c: row[i] for i, c in enumerate(means)})
     if medians:
-        pairs = F.array(*[F.struct(F.lit(i).alias("i"), quote(c).cast("double").alias("v")) for i, c in enumerate(medians)])
-        long = df.select(F.inline(pairs))
-        rows = scale.exact_quantiles(long, F.col("i"), F.col("v"), [0.5]).collect()  # one row per column
+        long = scale.long_form(df, [(i, quote(c).cast("double")) for i, c in enumerate(medians)], "v")
+        rows = scale.exact_quantiles(long, F.col("ordinal"), F.col("v"), [0.5]).collect()  # one row per column
         out.update({medians[r["__group"]]: r["q"][0] for r in rows})
     by_type: dict[str, list[str]] = {}
     for c in modes:
@@ -55,11 +54,10 @@ def fit(df: DataFrame, wanted: dict[str, str]) -> dict[str, object]:
 
 
 def _modes(df: DataFrame, columns: list[str]) -> dict[int, object]:
-    cells = df.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("i"), quote(c).alias("v")) for i, c in enumerate(columns)])))
-    counts = cells.where("v is not null").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("i").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v"))
-    return {r["i"]: r["v"] for r in best.collect()}  # one row per column
+    cells = scale.long_form(df, [(i, quote(c)) for i, c in enumerate(columns)], "v")
+    counts = cells.groupBy("ordinal", "v").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("ordinal").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v"))
+    return {r["ordinal"]: r["v"] for r in best.collect()}  # one row per column
 
 
 # --- applying ----------------------------------------------------------------------------------

@@ -107,20 +107,22 @@ def interpolate(df: DataFrame, column: str, order_by: list[str], *, buckets: int
         F.count(F.lit(1)).alias("n"),
         F.min_by("__v", edge).alias("first_v"), F.min(edge).alias("first_pos"),
         F.max_by("__v", edge).alias("last_v"), F.max(edge).alias("last_pos"))
-    ahead = Window.orderBy("__bucket").rowsBetween(1, Window.unboundedFollowing)
+    # "From the end" frames: a frame that ends at unboundedFollowing is rescanned for every row.
+    ahead = Window.orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
     behind = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.withColumn("__offset", F.coalesce(F.sum("n").over(behind), F.lit(0)))
     reach = summary.select(
         "__bucket", "__offset",
         F.last("last_v", True).over(behind).alias("__far_pv"),
         F.last(F.col("last_pos") + F.col("__offset"), True).over(behind).alias("__far_pp"),
-        F.first("first_v", True).over(ahead).alias("__far_nv"),
-        F.first(F.col("first_pos") + F.col("__offset"), True).over(ahead).alias("__far_np"))
+        F.last("first_v", True).over(ahead).alias("__far_nv"),
+        F.last(F.col("first_pos") + F.col("__offset"), True).over(ahead).alias("__far_np"))
     known = F.when(F.col("__v").isNotNull(), F.struct(F.col("__v").alias("v"), F.col("__pos").alias("p")))
     back = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    forth = local.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    forth = (Window.partitionBy("__bucket").orderBy(*[c.desc() for c in order])
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     near = (rows.withColumn("__prev", F.last(known, True).over(back))
-            .withColumn("__next", F.first(known, True).over(forth))
+            .withColumn("__next", F.last(known, True).over(forth))
             .join(F.broadcast(reach), "__bucket"))  # at most MAX_BUCKETS rows
     offset = F.col("__offset")
     prev_v = F.coalesce(F.col("__prev.v"), F.col("__far_pv"))

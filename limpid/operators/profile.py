@@ -1,10 +1,10 @@
 """Table profile: a fixed number of jobs whatever the number of columns.
 
-1. one wide aggregate (nulls, moments, extremes),
-2. one value-frequency table (distinct, placeholders, frequent values, samples),
-3. exact quantiles, 4. outlier counts, 5. duplicate rows, 6. the first rows, 7. dependency checks.
+The rows are read for one value-frequency table (distinct values, placeholders, frequent values,
+samples, moments, quantiles and outliers all come from it), the first rows, the duplicate count and
+the dependency checks; these four run at the same time.
 
-Each piece is a function that returns one row per column; `profile_columns` puts them together.
+Each piece is also a function of its own that returns one row per column.
 """
 
 from __future__ import annotations
@@ -84,28 +84,46 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def numeric_stats(df: DataFrame) -> DataFrame:
-    """ordinal, column, mean, std, min, max, skewness, zeros_count of the numeric columns."""
-    def measure(f):
-        return lambda v, t: f(v.cast("double"))
+    """ordinal, column, mean, std, min, max, skewness, zeros_count of the numeric columns.
 
-    return _per_column(df, numeric_columns(df), {
-        "mean": measure(F.avg), "std": measure(F.stddev_samp), "min": measure(F.min), "max": measure(F.max),
-        "skewness": measure(aggregates.sample_skewness), "zeros_count": lambda v, t: F.count_if(v == 0)})
+    Aggregated over the long form: as one wide aggregate the generated code would grow with the
+    number of columns and stop being compiled.
+    """
+    v = F.col("v")
+    stats = numeric_cells(df).groupBy("ordinal").agg(
+        F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+        aggregates.sample_skewness(v).alias("skewness"), F.count_if(v == 0).alias("zeros_count"))
+    return named(df, stats)
 
 
 # --- 2: value frequencies ----------------------------------------------------------------------
 
-def cells(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Long form: ordinal, value (text), nulls left out."""
-    pairs = [F.struct(F.lit(i).alias("ordinal"), numbers.plain_text(quote(c), df.schema[c].dataType).alias("value"))
-             for i, c in column_index(df, names or df.columns)]
-    return df.select(F.inline(F.array(*pairs))).where("value is not null")
-
-
 def value_freq(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """ordinal, value, cnt.  Equal values meet before the shuffle, so frequent values cost nothing;
-    there is no copy of the table per column as several count(distinct) would plan."""
-    return cells(df, names).groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    """ordinal, value (text), v (double, of numeric columns), cnt.  Nulls are left out.
+
+    Equal values meet before the shuffle, so frequent values cost nothing, and there is no copy of
+    the table per column as several count(distinct) would plan.  Whole numbers, fractions and text
+    are counted in their own type and become text only once per distinct value.
+    """
+    wholes, fractions, others, decimals = [], [], [], []
+    for i, c in column_index(df, names or df.columns):
+        kind = df.schema[c].dataType
+        if isinstance(kind, T.IntegralType):
+            wholes.append((i, quote(c).cast("bigint")))
+        elif isinstance(kind, (T.DoubleType, T.FloatType)):
+            fractions.append((i, quote(c).cast("double")))
+        else:
+            others.append((i, quote(c).cast("string")))
+            decimals += [i] if isinstance(kind, T.DecimalType) else []
+    parts = []
+    for cells, kind in ((wholes, T.LongType()), (fractions, T.DoubleType()), (others, T.StringType())):
+        if cells:
+            counts = scale.long_form(df, cells, "value").groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("cnt"))
+            number = F.col("value").try_cast("double")
+            if isinstance(kind, T.StringType):
+                number = F.when(F.col("ordinal").isin(decimals), number) if decimals else F.lit(None).cast("double")
+            parts.append(counts.select("ordinal", numbers.plain_text(F.col("value"), kind).alias("value"), number.alias("v"), "cnt"))
+    return scale.union_all(parts)
 
 
 def named(df: DataFrame, result: DataFrame) -> DataFrame:
@@ -128,9 +146,8 @@ def placeholder_cells(df: DataFrame) -> DataFrame:
     names = text_columns(df)
     if not names:
         return df.sparkSession.createDataFrame([], "ordinal int, token string, cnt bigint")
-    pairs = [F.struct(F.lit(i).alias("ordinal"), text.strip(quote(c)).alias("token"))
-             for i, c in column_index(df, names)]
-    found = df.select(F.inline(F.array(*pairs))).where(F.col("token").isin(PLACEHOLDERS))
+    tokens = scale.long_form(df, [(i, text.strip(quote(c))) for i, c in column_index(df, names)], "token")
+    found = tokens.where(F.col("token").isin(PLACEHOLDERS))
     return found.groupBy("ordinal", "token").agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -147,7 +164,7 @@ def top_values(freq: DataFrame, k: int = TOP_VALUES) -> DataFrame:
     The rank limit runs in every task before the shuffle, so each sends at most k rows per column.
     """
     order = Window.partitionBy("ordinal").orderBy(F.desc("cnt"), "value")
-    return freq.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return freq.select("ordinal", "value", "cnt", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
 
 
 def sample_text(df: DataFrame) -> Column:
@@ -181,9 +198,7 @@ def missing_profile(df: DataFrame) -> DataFrame:
 
 def numeric_cells(df: DataFrame) -> DataFrame:
     """Long form of the numeric columns: ordinal, v (double), nulls left out."""
-    pairs = [F.struct(F.lit(i).alias("ordinal"), quote(c).cast("double").alias("v"))
-             for i, c in column_index(df, numeric_columns(df))]
-    return df.select(F.inline(F.array(*pairs))).where("v is not null")
+    return scale.long_form(df, [(i, quote(c).cast("double")) for i, c in column_index(df, numeric_columns(df))], "v")
 
 
 def quantiles(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -197,40 +212,30 @@ def quantiles(df: DataFrame, approx: bool = False) -> DataFrame:
     return out.select("ordinal", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
 
 
-def outlier_counts(df: DataFrame, stats: list | None = None) -> DataFrame:
-    """ordinal, column, potential_outliers (|z| > 3), iqr_outliers, with the bounds as literals.
+def outlier_counts(df: DataFrame) -> DataFrame:
+    """ordinal, column, potential_outliers (|z| > 3), iqr_outliers."""
+    moments = numeric_stats(df).select("ordinal", "mean", "std")
+    stats = moments.join(quantiles(df), "ordinal", "left").collect()  # one row per column
+    return named(df, count_outliers(numeric_cells(df).withColumn("cnt", F.lit(1)), stats))
 
-    `stats` are the fitted rows (ordinal, mean, std, q1, q3) if they are known already.
-    """
-    if stats is None:
-        moments = numeric_stats(df).select("ordinal", "mean", "std")
-        stats = moments.join(quantiles(df), "ordinal", "left").collect()  # one row per column
-    bounds = {r["ordinal"]: r for r in stats}
-    position = {c: i for i, c in enumerate(df.columns)}
 
-    def zscore(v, name):
-        r = bounds[position[name]]
-        if not r["std"] or r["std"] <= 0:
-            return F.lit(0).cast("bigint")
-        return F.count_if(F.abs((v.cast("double") - r["mean"]) / r["std"]) > 3)
+def count_outliers(values: DataFrame, stats: list) -> DataFrame:
+    """ordinal, potential_outliers, iqr_outliers from (ordinal, v, cnt) and fitted (mean, std, q1, q3).
 
-    def fences(v, name):
-        r = bounds[position[name]]
-        if r["q1"] is None:
-            return F.lit(0).cast("bigint")
-        reach = 1.5 * (r["q3"] - r["q1"])
-        return F.count_if((v.cast("double") < r["q1"] - reach) | (v.cast("double") > r["q3"] + reach))
+    A spread of zero has no outliers.
+    """
+    bounds = values.sparkSession.createDataFrame(
+        [(r["ordinal"], r["mean"], r["std"] or None, r["q1"], r["q3"]) for r in stats],
+        "o int, mean double, std double, q1 double, q3 double")
+    v, reach = F.col("v"), 1.5 * (F.col("q3") - F.col("q1"))
+    far = F.abs((v - F.col("mean")) / F.col("std")) > 3
+    outside = (v < F.col("q1") - reach) | (v > F.col("q3") + reach)
 
-    parts = []
-    indexed = column_index(df, numeric_columns(df))
-    for start in range(0, len(indexed), WIDE):
-        batch = indexed[start:start + WIDE]
-        wide = df.agg(*[m(quote(c), c).alias(f"{k}{i}") for i, c in batch for k, m in (("z", zscore), ("f", fences))])
-        rows = F.array(*[F.struct(
-            F.lit(i).alias("ordinal"), F.lit(c).alias("column"),
-            F.col(f"z{i}").alias("potential_outliers"), F.col(f"f{i}").alias("iqr_outliers")) for i, c in batch])
-        parts.append(wide.select(F.inline(rows)))
-    return scale.union_all(parts)
+    def counted(test: Column, name: str) -> Column:
+        return F.sum(F.when(test, F.col("cnt")).otherwise(0)).cast("bigint").alias(name)
+
+    return (values.join(F.broadcast(bounds), F.col("ordinal") == F.col("o"))  # one row per column
+            .groupBy("ordinal").agg(counted(far, "potential_outliers"), counted(outside, "iqr_outliers")))
 
 
 # --- 6: first values ---------------------------------------------------------------------------
@@ -247,7 +252,7 @@ def first_values(df: DataFrame, names: list[str], order_by: list[str], k: int) -
     head = df.orderBy(*order).limit(reach)
     pairs = [F.struct(F.lit(i).alias("ordinal"), quote(c).alias("value")) for i, c in indexed]
     key = scale.order_key(order_by).alias("key")
-    long = head.select(key, F.inline(F.array(*pairs))).where("value is not null")
+    long = head.select(key, F.inline(F.array(*pairs))).where("value is not null")  # few rows
     ranked = long.withColumn("rank", F.row_number().over(Window.partitionBy("ordinal").orderBy("key")))
     found = ranked.where(F.col("rank") <= k).select("ordinal", "value").persist(StorageLevel.MEMORY_AND_DISK)
     have = {r["ordinal"]: r["n"] for r in found.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -347,7 +352,14 @@ def target_distribution(df: DataFrame, column: str, k: int = 5) -> DataFrame:
 
 # --- the whole profile -------------------------------------------------------------------------
 
-def profile_columns(df: DataFrame, order_by: list[str], approx_quantiles: bool = False) -> DataFrame:
+def profile(df: DataFrame, order_by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(one row per column with PROFILE_FIELDS, one row of table facts)."""
+    copies, columns = scale.in_parallel(
+        df.sparkSession, lambda: dedupe.duplicate_count(data(nan_to_null(df))).first(), lambda: profile_columns(df, order_by))
+    return columns, health(columns, copies["total_duplicates"], copies["duplicate_ratio"])
+
+
+def profile_columns(df: DataFrame, order_by: list[str]) -> DataFrame:
     """One row per column with PROFILE_FIELDS.
 
     Every collect below returns a bounded number of rows per column (at most 35 tokens, 10
@@ -355,64 +367,103 @@ def profile_columns(df: DataFrame, order_by: list[str], approx_quantiles: bool =
     """
     ordered = nan_to_null(df)
     df = data(ordered)
-    spark = df.sparkSession
     out: list[dict] = [dict.fromkeys(PROFILE_FIELDS) for _ in df.columns]
-    for i, field in enumerate(df.schema):
-        out[i].update(ordinal=i, column=field.name, dtype=kind_name(field.dataType), unique_count=0,
-                      placeholder_count=0, detected_placeholders=[], sample_values=[], top_values=[],
-                      is_categorical=False, splittable=False, redundant_with=[])
+    for i, column in enumerate(df.schema):
+        out[i].update(ordinal=i, column=column.name, dtype=kind_name(column.dataType), unique_count=0, filled=0,
+                      detected_placeholders=[], sample_values=[], top_values=[], splittable=False, redundant_with=[])
+    rows, _, splits, pairs = scale.in_parallel(
+        df.sparkSession, df.count, lambda: _from_frequencies(df, out),
+        lambda: splittable(ordered, order_by).collect(), lambda: redundant_pairs(df).collect())
+    for r in splits:
+        out[r["ordinal"]].update(splittable=True, suggested_delimiter=r["delimiter"], occurrence_ratio=r["occurrence_ratio"])
+    for r in pairs:
+        out[df.columns.index(r["column"])]["redundant_with"].append(r["related_column"])
+    for row in out:
+        row["redundant_with"].sort(key=df.columns.index)
+        _derive(row, rows)
+    return df.sparkSession.createDataFrame([tuple(r[f] for f in PROFILE_FIELDS) for r in out], PROFILE_SCHEMA)
 
-    for r in null_counts(df).collect():
-        out[r["ordinal"]].update(rows=r["rows"], null_count=r["null_count"])
 
-    freq = value_freq(df).persist(StorageLevel.DISK_ONLY)
+def _from_frequencies(df: DataFrame, out: list[dict]) -> None:
+    """Everything the value-frequency table tells about the columns."""
+    freq = value_freq(df).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        for r in distinct_counts(freq).collect():
-            out[r["ordinal"]]["unique_count"] = r["unique_count"]
-        found = {(r["ordinal"], r["token"]): r["cnt"] for r in placeholder_freq(df, freq).collect()}
-        for row in out:
-            row["detected_placeholders"] = [(t, found[row["ordinal"], t]) for t in PLACEHOLDERS if (row["ordinal"], t) in found]
-        plain = freq.where(F.col("ordinal").isin([i for i, r in enumerate(out) if r["dtype"] not in ("int64", "float64")]))
-        for r in top_values(plain).orderBy("ordinal", "rank").collect():
-            out[r["ordinal"]]["top_values"].append((r["value"], r["cnt"]))
-        for r in sample_values(df, freq).orderBy("ordinal", "rank").collect():
-            out[r["ordinal"]]["sample_values"].append(r["value"])
+        known = freq.where("v is not null")
+        v, cnt = F.col("v"), F.col("cnt")
+        for r in freq.groupBy("ordinal").agg(
+                F.count(F.lit(1)).alias("unique_count"), F.sum(cnt).alias("filled"), F.min(v).alias("min"), F.max(v).alias("max"),
+                (F.sum(v * cnt) / F.sum(cnt)).alias("mean"), F.sum(F.when(v == 0, cnt).otherwise(0)).alias("zeros_count")).collect():
+            row = out[r["ordinal"]]
+            names = ("unique_count", "filled") if r["mean"] is None else r.asDict()
+            row.update({k: r[k] for k in names})
+        numeric = [r for r in out if r["dtype"] in ("int64", "float64")]
+        scale.in_parallel(df.sparkSession, lambda: _listed(df, freq, out), lambda: _numeric(known, out, numeric))
     finally:
         freq.unpersist()
 
-    if numeric_columns(df):
-        for r in numeric_stats(df).collect():
-            out[r["ordinal"]].update({k: r[k] for k in ("mean", "std", "min", "max", "skewness", "zeros_count")})
-        for r in quantiles(df, approx_quantiles).collect():
-            out[r["ordinal"]].update(q1=r["q1"], median=r["median"], q3=r["q3"])
-        for r in outlier_counts(df, [r for r in out if r["dtype"] in ("int64", "float64")]).collect():
-            out[r["ordinal"]].update(potential_outliers=r["potential_outliers"], iqr_outliers=r["iqr_outliers"])
 
-    for r in splittable(ordered, order_by).collect():
-        out[r["ordinal"]].update(splittable=True, suggested_delimiter=r["delimiter"], occurrence_ratio=r["occurrence_ratio"])
-    for r in redundant_pairs(df).collect():
-        out[df.columns.index(r["column"])]["redundant_with"].append(r["related_column"])
-
-    for row in out:
-        rows, unique = row["rows"], row["unique_count"]
-        row["placeholder_count"] = sum(n for _, n in row["detected_placeholders"])
-        row["missing_count"] = row["null_count"] + row["placeholder_count"]
-        row["redundant_with"].sort(key=df.columns.index)
-        row["is_categorical"] = row["dtype"] not in ("int64", "float64") and 0 < unique < 50
-        _derive(row, rows, unique)
-    return spark.createDataFrame([tuple(r[f] for f in PROFILE_FIELDS) for r in out], PROFILE_SCHEMA)
+def _listed(df: DataFrame, freq: DataFrame, out: list[dict]) -> None:
+    """Placeholders, frequent values and samples in one job."""
+    other = [r["ordinal"] for r in out if r["dtype"] not in ("int64", "float64")]
+    order = F.array_position(F.array(*[F.lit(t) for t in PLACEHOLDERS]), F.col("token")).cast("int")
+    parts = [
+        placeholder_freq(df, freq).select(F.lit("detected_placeholders").alias("list"), "ordinal", order.alias("rank"), F.col("token").alias("value"), "cnt"),
+        top_values(freq.where(F.col("ordinal").isin(other))).select(F.lit("top_values").alias("list"), "ordinal", "rank", "value", "cnt"),
+        sample_values(df, freq).select(F.lit("sample_values").alias("list"), "ordinal", "rank", "value", F.lit(0).cast("bigint").alias("cnt"))]
+    for r in sorted(scale.union_all(parts).collect(), key=lambda r: (r["list"], r["ordinal"], r["rank"])):
+        out[r["ordinal"]][r["list"]].append(r["value"] if r["list"] == "sample_values" else (r["value"], r["cnt"]))
+
+
+def _numeric(values: DataFrame, out: list[dict], numeric: list[dict]) -> None:
+    """Spread, shape, quantiles and outliers from (ordinal, v, cnt)."""
+    if not numeric:
+        return
+    spark, fitted = values.sparkSession, [r for r in numeric if r["filled"]]
+    means = spark.createDataFrame([(r["ordinal"], r["mean"]) for r in fitted], "o int, m double")
+    off = F.col("v") - F.col("m")
+    centred = values.join(F.broadcast(means), F.col("ordinal") == F.col("o"))  # one row per column
+    counts = values.select(F.col("ordinal").alias("__group"), "v", F.col("cnt").alias("c"))
+    moments, quartiles = scale.in_parallel(
+        spark,
+        lambda: centred.groupBy("ordinal").agg(F.sum(F.col("cnt") * off * off).alias("m2"),
+                                               F.sum(F.col("cnt") * off * off * off).alias("m3")).collect(),
+        lambda: scale.quantiles_of_counts(counts, [0.25, 0.5, 0.75]).collect())
+    for r in moments:
+        row = out[r["ordinal"]]
+        row["std"], row["skewness"] = _shape(row["filled"], r["m2"], r["m3"], row["min"] == row["max"])
+    for r in quartiles:
+        out[r["__group"]].update(zip(("q1", "median", "q3"), r["q"]))
+    for r in numeric:
+        r.update(potential_outliers=0, iqr_outliers=0, zeros_count=r["zeros_count"] or 0)
+    for r in count_outliers(values, fitted).collect():
+        out[r["ordinal"]].update(r.asDict())
+
+
+def _shape(n: int, m2: float, m3: float, constant: bool) -> tuple[float | None, float | None]:
+    """Sample standard deviation and bias-corrected skewness from central sums."""
+    std = math.sqrt(m2 / (n - 1)) if n > 1 else None
+    if n < 3:
+        return std, None
+    if constant or m2 == 0:
+        return std, 0.0
+    return std, math.sqrt(n * (n - 1)) / (n - 2) * (m3 / n) / (m2 / n) ** 1.5
 
 
 def _round4(x: float) -> float:
     return math.floor(x * 10_000 + 0.5) / 10_000
 
 
-def _derive(row: dict, rows: int, unique: int) -> None:
+def _derive(row: dict, rows: int) -> None:
+    """Counts, ratios and flags that follow from the measured facts."""
+    numeric, unique = row["dtype"] in ("int64", "float64"), row["unique_count"]
+    row["rows"], row["null_count"] = rows, rows - row["filled"]
+    row["placeholder_count"] = sum(n for _, n in row["detected_placeholders"])
+    row["missing_count"] = row["null_count"] + row["placeholder_count"]
     missing = row["missing_count"] / rows if rows else 0.0
     spread = 1 - unique / rows if rows else 0.0
     dated = any(w in row["column"].lower() for w in ("date", "time", "year"))
-    row["missing_ratio"] = _round4(missing)
-    row["duplication_ratio"] = _round4(spread)
+    row["missing_ratio"], row["duplication_ratio"] = _round4(missing), _round4(spread)
+    row["is_categorical"] = not numeric and 0 < unique < 50
     row["high_duplication"] = spread > 0.99 and unique > 1
     reasons = [("constant_value", unique <= 1), ("almost_all_missing", missing > 0.95),
                ("likely_unique_id", row["dtype"] == "object" and unique == rows and rows > 100 and not dated)]
@@ -431,13 +482,8 @@ def droppable(profile: DataFrame) -> DataFrame:
     return own.unionByName(pairs).select(seq.alias("seq"), "column", "reasons", "related_column")
 
 
-def profile_table(df: DataFrame, profile: DataFrame) -> DataFrame:
-    """One row: rows, columns, duplicates and overall health."""
-    duplicates = dedupe.duplicate_count(df).first()
-    return health(profile, duplicates["total_duplicates"], duplicates["duplicate_ratio"])
-
-
 def health(profile: DataFrame, total_duplicates: int, duplicate_ratio: float) -> DataFrame:
+    """One row: rows, columns, duplicates and overall health."""
     flags = profile.agg(
         F.max("rows").alias("rows"), F.count(F.lit(1)).alias("columns"), F.sum("rows").alias("total_cells"),
         F.sum("missing_count").alias("total_missing_cells"), F.sum("placeholder_count").alias("total_placeholder_cells"),

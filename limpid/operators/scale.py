@@ -11,12 +11,14 @@ import functools
 import math
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
 from limpid.functions.text import quote
 
@@ -206,36 +208,43 @@ def join_group_values(df: DataFrame, values: DataFrame, key: str, groups: Groups
 
 # --- quantiles ---------------------------------------------------------------------------------
 
-# Largest group whose values one task may sort for an exact quantile.
-QUANTILE_ROWS = 1_000_000
-_ACCURACY = 10_000
+# Most distinct values of a group that one task sorts for an exact quantile.
+QUANTILE_VALUES = 1_000_000
+_SLICES = 256
+
+
+def value_counts(df: DataFrame, group: Column, value: Column) -> DataFrame:
+    """"__group", v (double), c: how often each value occurs; equal values meet before the shuffle."""
+    points = df.select(group.alias("__group"), value.cast("double").alias("v")).where("v is not null")
+    return points.groupBy("__group", "v").agg(F.count(F.lit(1)).alias("c"))
 
 
 def exact_quantiles(df: DataFrame, group: Column, value: Column, probs: list[float],
-                    max_rows: int | None = None) -> DataFrame:
-    """Exact linear-interpolated quantiles per group: columns "__group", "n", "q" (array).
+                    max_values: int | None = None) -> DataFrame:
+    """Exact linear-interpolated quantiles per group: columns "__group", "n", "q" (array)."""
+    return quantiles_of_counts(value_counts(df, group, value), probs, max_values)
+
+
+def quantiles_of_counts(counts: DataFrame, probs: list[float], max_values: int | None = None) -> DataFrame:
+    """Quantiles from a table ("__group", v, c) of value counts.
 
-    percentile() keeps every distinct value of a group in one buffer, so it serves only groups of
-    at most `max_rows` rows.  A larger group is narrowed first: approximate quantiles give a
-    bracket around each wanted rank, one pass counts what lies below and keeps only the values
-    inside, and the bracket is narrowed again until it is small.
+    The value at a rank is found by a running count over the sorted distinct values.  A group with
+    more than `max_values` of them is not sorted in one task: its values are cut into slices whose
+    exact counts tell which slice holds the rank, again and again until the slice is small.
     """
-    max_rows = max_rows or QUANTILE_ROWS
-    points = df.select(group.alias("__group"), value.cast("double").alias("v")).where("v is not null")
-    groups = group_sizes(points, F.col("__group"), max_rows)
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    small = (points.where(~groups.is_hot(F.col("__group"))) if groups.hot else points)
-    result = small.groupBy("__group").agg(F.count("v").alias("n"), F.percentile("v", wanted).alias("q"))
+    max_values = max_values or QUANTILE_VALUES
+    groups = group_sizes(counts, F.col("__group"), max_values)
+    small = counts.where(~groups.is_hot(F.col("__group"))) if groups.hot else counts
+    result = _running_quantiles(small, probs)
     if not groups.hot:
         return result
-    rows = _bracketed(points, groups.hot, probs, max_rows)
-    schema = T.StructType([
-        T.StructField("__group", points.schema["__group"].dataType),
-        T.StructField("n", T.LongType()),
-        T.StructField("q", T.ArrayType(T.DoubleType())),
-    ])
+    hot = counts.where(groups.is_hot(F.col("__group"))).persist(StorageLevel.DISK_ONLY)
+    try:
+        rows = _sliced_quantiles(hot, probs, max_values)
+    finally:
+        hot.unpersist()
     # One row per hot group, at most MAX_HOT.
-    return result.unionByName(df.sparkSession.createDataFrame(rows, schema))
+    return result.unionByName(counts.sparkSession.createDataFrame(rows, result.schema))
 
 
 def exact_quantiles_of(df: DataFrame, column: str, probs: list[float]) -> list[float] | None:
@@ -244,122 +253,124 @@ def exact_quantiles_of(df: DataFrame, column: str, probs: list[float]) -> list[f
     return list(row["q"]) if row else None
 
 
-def _bracketed(points: DataFrame, hot: dict, probs: list[float], max_rows: int) -> list[tuple]:
-    """Quantiles of the hot groups, read off as order statistics k and k+1 of each probability."""
-    spark = points.sparkSession
-    margin = 4.0 / _ACCURACY
-    edges = [min(1.0, max(0.0, p + side)) for p in probs for side in (-margin, margin)]
-    approx = (points.where(F.col("__group").isin(list(hot))).groupBy("__group")
-              .agg(F.percentile_approx("v", [float(e) for e in edges], _ACCURACY).alias("e"),
-                   F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
-    # (group, prob index) -> (low, high); the ends of the range stay open to the true extremes.
-    brackets, extremes = {}, {}
-    for row in approx:
-        extremes[row["__group"]] = (row["lo"], row["hi"])
-        for i in range(len(probs)):
-            brackets[row["__group"], i] = (row["e"][2 * i], row["e"][2 * i + 1])
-    found: dict = {}
-    while brackets:
-        targets = spark.createDataFrame(
-            [(g, i, lo, hi) for (g, i), (lo, hi) in brackets.items()],
-            T.StructType([
-                T.StructField("__target", points.schema["__group"].dataType), T.StructField("i", T.IntegerType()),
-                T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())]))
+def _running_quantiles(counts: DataFrame, probs: list[float]) -> DataFrame:
+    inside = Window.partitionBy("__group")
+    running = inside.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = (counts.withColumn("upto", F.sum("c").over(running))
+              .withColumn("n", F.sum("c").over(inside)))
+    picks = []
+    for p in probs:
+        at = F.floor(p * (F.col("n") - 1))
+        after = F.least(at + 1, F.col("n") - 1)
+        picks += [F.min(F.when(F.col("upto") > at, F.col("v"))).alias(f"low{len(picks)}"),
+                  F.min(F.when(F.col("upto") > after, F.col("v"))).alias(f"high{len(picks)}")]
+    found = ranked.groupBy("__group").agg(F.max("n").alias("n"), *picks)
+    values = []
+    for i, p in enumerate(probs):
+        low, high = F.col(f"low{2 * i}"), F.col(f"high{2 * i}")
+        at = p * (F.col("n") - 1)
+        values.append(low + (high - low) * (at - F.floor(at)))
+    return found.select("__group", "n", F.array(*values).alias("q"))
+
+
+def _sliced_quantiles(counts: DataFrame, probs: list[float], max_values: int) -> list[tuple]:
+    """Quantiles of the hot groups, read off as the values at ranks k and k+1 of each probability."""
+    spark, group_type = counts.sparkSession, counts.schema["__group"].dataType
+    facts = counts.groupBy("__group").agg(
+        F.sum("c").alias("n"), F.count(F.lit(1)).alias("values"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    # (group, prob index) -> (ranks, counted below the slice, slice bounds, distinct values inside)
+    ranks, slices, found = {}, {}, {}
+    for r in facts:
+        for i, p in enumerate(probs):
+            k = math.floor(p * (r["n"] - 1))
+            ranks[r["__group"], i] = (k, min(k + 1, r["n"] - 1))
+            slices[r["__group"], i] = (0, r["lo"], r["hi"], r["values"])
+    schema = T.StructType([
+        T.StructField("g", group_type), T.StructField("i", T.IntegerType()), T.StructField("lo", T.DoubleType()),
+        T.StructField("hi", T.DoubleType()), T.StructField("below", T.LongType())])
+    while slices:
         # Bounded: hot groups times probabilities.
-        inside = (points.join(F.broadcast(targets), F.col("__group") == F.col("__target"))
-                  .where("v <= hi")
-                  .groupBy("__group", "i", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
-                  .agg(F.count(F.lit(1)).alias("c")))
-        inside = inside.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            totals = {(r["__group"], r["i"]): r for r in inside.groupBy("__group", "i").agg(
-                F.sum(F.when(F.col("v").isNull(), F.col("c")).otherwise(0)).alias("below"),
-                F.sum(F.when(F.col("v").isNotNull(), F.col("c")).otherwise(0)).alias("within"),
-                F.count("v").alias("distinct")).collect()}
-            ready, refine = [], {}
-            for (g, i), (lo, hi) in brackets.items():
-                k = int(math.floor(probs[i] * (hot[g] - 1)))
-                last = min(k + 1, hot[g] - 1)
-                t = totals.get((g, i))
-                below, within, distinct = (t["below"], t["within"], t["distinct"]) if t else (0, 0, 0)
-                if below > k:
-                    refine[g, i] = (extremes[g][0], hi)
-                elif below + within <= last:
-                    refine[g, i] = (lo, extremes[g][1])
-                elif distinct > max_rows:
-                    refine[g, i] = None  # narrow inside the bracket
-                else:
-                    ready.append((g, i, k, last))
-            found.update(_order_statistics(inside, ready))
-            wide = [key for key, bound in refine.items() if bound is None]
-            if wide:
-                refine.update(_narrow(inside, wide, probs, hot, totals))
-        finally:
-            inside.unpersist()
-        brackets = refine
+        targets = spark.createDataFrame([(g, i, lo, hi, below) for (g, i), (below, lo, hi, _) in slices.items()], schema)
+        inside = counts.join(F.broadcast(targets), (F.col("__group") == F.col("g")) & F.col("v").between(F.col("lo"), F.col("hi")))
+        done = [key for key, (*_, values) in slices.items() if values <= max_values]
+        found.update(_values_at(inside, {key: ranks[key] for key in done}, group_type))
+        slices = _narrow(inside, {key: ranks[key] for key in slices if key not in found}, slices, group_type)
     out = []
-    for g, n in hot.items():
+    for r in facts:
         q = []
         for i, p in enumerate(probs):
-            pos = p * (n - 1)
-            low, high = found[g, i]
-            q.append(low + (high - low) * (pos - math.floor(pos)))
-        out.append((g, n, q))
+            at = p * (r["n"] - 1)
+            low, high = found[r["__group"], i]
+            q.append(low + (high - low) * (at - math.floor(at)))
+        out.append((r["__group"], r["n"], q))
     return out
 
 
-def _order_statistics(inside: DataFrame, ready: list[tuple]) -> dict:
-    """Values at ranks k and last of each finished bracket (its distinct values are few)."""
-    if not ready:
+def _only(inside: DataFrame, keys: list, group_type: T.DataType, extra: list, kind: T.DataType) -> DataFrame:
+    """Rows of some (group, prob index) pairs, with one extra value each."""
+    schema = T.StructType([T.StructField("g2", group_type), T.StructField("i2", T.IntegerType()),
+                           T.StructField("extra", kind)])
+    table = inside.sparkSession.createDataFrame([(g, i, e) for (g, i), e in zip(keys, extra)], schema)
+    return inside.join(F.broadcast(table), (F.col("g") == F.col("g2")) & (F.col("i") == F.col("i2")))
+
+
+def _values_at(inside: DataFrame, ranks: dict, group_type: T.DataType) -> dict:
+    """Values at the two ranks of each finished slice (its distinct values are few)."""
+    if not ranks:
         return {}
-    schema = T.StructType([
-        T.StructField("g2", inside.schema["__group"].dataType), T.StructField("i2", T.IntegerType()),
-        T.StructField("k", T.LongType()), T.StructField("last", T.LongType())])
-    targets = inside.sparkSession.createDataFrame(ready, schema)
-    running = Window.partitionBy("__group", "i").orderBy(F.col("v").asc_nulls_first())
-    ranked = (inside.join(F.broadcast(targets), (F.col("__group") == F.col("g2")) & (F.col("i") == F.col("i2")))
-              .withColumn("upto", F.sum("c").over(running)).where("v is not null"))
-    rows = ranked.groupBy("__group", "i").agg(
-        F.min(F.when(F.col("upto") > F.col("k"), F.col("v"))).alias("low"),
-        F.min(F.when(F.col("upto") > F.col("last"), F.col("v"))).alias("high")).collect()
-    return {(r["__group"], r["i"]): (r["low"], r["high"]) for r in rows}
-
-
-def _narrow(inside: DataFrame, wide: list[tuple], probs: list[float], hot: dict, totals: dict) -> dict:
-    """Tighter bounds for brackets that still hold too many distinct values.
-
-    A histogram over approximate quantiles of the bracket's distinct values gives exact counts per
-    slice; the new bracket is the slice (or two) that hold ranks k and k+1.
-    """
-    slices = 256
-    cuts = {(r["__group"], r["i"]): r["e"] for r in inside.where("v is not null").groupBy("__group", "i").agg(
-        F.percentile_approx("v", [j / slices for j in range(slices + 1)], _ACCURACY).alias("e")).collect()}
-    schema = T.StructType([
-        T.StructField("g2", inside.schema["__group"].dataType), T.StructField("i2", T.IntegerType()),
-        T.StructField("cuts", T.ArrayType(T.DoubleType()))])
-    table = inside.sparkSession.createDataFrame([(g, i, sorted(set(cuts[g, i]))) for g, i in wide], schema)
-    slice_no = F.size(F.filter("cuts", lambda c: c <= F.col("v")))
-    counts = (inside.where("v is not null")
-              .join(F.broadcast(table), (F.col("__group") == F.col("g2")) & (F.col("i") == F.col("i2")))
-              .groupBy("__group", "i", slice_no.alias("s"))
-              .agg(F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
+    rows = _only(inside, list(ranks), group_type, list(ranks.values()), T.StructType().add("k", "long").add("last", "long"))
+    running = Window.partitionBy("g", "i").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.col("below") + F.sum("c").over(running)
+    picked = rows.withColumn("upto", upto).groupBy("g", "i").agg(
+        F.min(F.when(F.col("upto") > F.col("extra.k"), F.col("v"))).alias("low"),
+        F.min(F.when(F.col("upto") > F.col("extra.last"), F.col("v"))).alias("high")).collect()
+    return {(r["g"], r["i"]): (r["low"], r["high"]) for r in picked}
+
+
+def _narrow(inside: DataFrame, ranks: dict, slices: dict, group_type: T.DataType) -> dict:
+    """The slice (or the two) that hold the ranks, with exact counts of what lies below."""
+    if not ranks:
+        return {}
+    keys = list(ranks)
+    marks = [j / _SLICES for j in range(1, _SLICES)]
+    chosen = _only(inside, keys, group_type, [0] * len(keys), T.IntegerType())
+    cuts = {(r["g"], r["i"]): sorted(set(r["e"])) for r in chosen.groupBy("g", "i").agg(
+        F.percentile_approx("v", marks, 10_000).alias("e")).collect()}
+    tagged = _only(inside, keys, group_type, [cuts[key] for key in keys], T.ArrayType(T.DoubleType()))
+    slice_no = F.size(F.filter("extra", lambda c: c <= F.col("v")))
+    counted = tagged.groupBy("g", "i", slice_no.alias("s")).agg(
+        F.sum("c").alias("c"), F.count(F.lit(1)).alias("values"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
     out = {}
-    for g, i in wide:
-        k = int(math.floor(probs[i] * (hot[g] - 1)))
-        last = min(k + 1, hot[g] - 1)
-        seen, lo, hi = totals[g, i]["below"], None, None
-        for r in sorted((r for r in counts if r["__group"] == g and r["i"] == i), key=lambda r: r["s"]):
-            if lo is None and seen + r["c"] > k:
-                lo = r["lo"]
+    for key in keys:
+        k, last = ranks[key]
+        seen = slices[key][0]
+        for r in sorted((r for r in counted if (r["g"], r["i"]) == key), key=lambda r: r["s"]):
+            if key not in out and seen + r["c"] > k:
+                out[key] = (seen, r["lo"], r["hi"], r["values"])
+            elif key in out:  # k and k+1 lie in neighbouring slices
+                below, lo, _, values = out[key]
+                out[key] = (below, lo, r["hi"], values + r["values"])
             seen += r["c"]
             if seen > last:
-                hi = r["hi"]
                 break
-        out[g, i] = (lo, hi)
     return out
 
 
-# --- misc --------------------------------------------------------------------------------------
+# --- driver ------------------------------------------------------------------------------------
+
+def in_parallel(spark: SparkSession, *jobs):
+    """Run independent jobs at the same time, so that one job's last tasks do not idle the cluster."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
+
+
+# --- shape -------------------------------------------------------------------------------------
+
+def long_form(df: DataFrame, cells: list[tuple[int, Column]], name: str) -> DataFrame:
+    """One row per (row, cell): ordinal and the value; nulls left out.  All cells have one type."""
+    flat = [x for ordinal, value in cells for x in (F.lit(ordinal), value)]
+    return df.select(F.stack(F.lit(len(cells)), *flat).alias("ordinal", name)).where(F.col(name).isNotNull())
+
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts)

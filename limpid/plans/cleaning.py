@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from limpid.operators import benchmark, evaluate, ml
 from limpid.operators import profile as profiling
-from limpid.operators.columns import data
 from limpid.plans import issues as issue_rules
 from limpid.plans import planner, runner
 from limpid.sources import csv, sinks
@@ -27,8 +26,7 @@ class Analysis:
 
 def analyze(df: DataFrame, order_by: list[str], steps: DataFrame | None = None) -> Analysis:
     """Profile and plan; `steps` replaces the rule-based plan by one made elsewhere."""
-    columns = profiling.profile_columns(df, order_by)
-    table = profiling.profile_table(data(df), columns)
+    columns, table = profiling.profile(df, order_by)
     found = issue_rules.all_issues(columns, table)
     plan = planner.validate(steps if steps is not None else planner.plan(columns, table))
     return Analysis(columns, table, found, plan)

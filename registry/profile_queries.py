@@ -23,9 +23,7 @@ def planned(view: str, body: str) -> str:
 
 def profiled(t, view: str):
     """(profile, table facts) of a view."""
-    df = getattr(t, view)
-    columns = profiling.profile_columns(df, [KEYS[view]])
-    return columns, profiling.profile_table(df, columns)
+    return profiling.profile(getattr(t, view), [KEYS[view]])
 
 
 def by_name(df):

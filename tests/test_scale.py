@@ -117,7 +117,7 @@ def test_group_sizes_finds_hot_groups(table, frame):
 @pytest.mark.parametrize("strategy", ["mean", "median", "mode"])
 def test_grouped_fill(table, frame, monkeypatch, broadcast_rows, group_rows, strategy):
     monkeypatch.setattr(scale, "BROADCAST_ROWS", broadcast_rows)
-    monkeypatch.setattr(scale, "QUANTILE_ROWS", 200)
+    monkeypatch.setattr(scale, "QUANTILE_VALUES", 200)
     statistic = {"mean": lambda x: x.mean(), "median": lambda x: x.median(),
                  "mode": lambda x: x.mode()[0] if x.notna().any() else np.nan}[strategy]
     p = frame.sort_values("id")
@@ -148,15 +148,15 @@ def test_no_single_partition_over_rows(table):
 PROBS = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
 
 
-@pytest.mark.parametrize("max_rows", [10, 200, 10_000])
-def test_exact_quantiles(spark, max_rows):
+@pytest.mark.parametrize("max_values", [10, 200, 10_000])
+def test_exact_quantiles(spark, max_values):
     rng = np.random.default_rng(3)
     parts = {"normal": rng.normal(size=4000), "few": rng.integers(0, 5, 3000).astype(float),
              "tail": np.exp(rng.normal(size=2500) * 6), "constant": np.full(900, 4.0), "small": rng.random(5),
              "two": np.array([1.0, 2.0])}
     rows = [(g, float(v)) for g, vs in parts.items() for v in vs] + [("small", None), ("none", None)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(7)
-    got = {r["__group"]: r for r in scale.exact_quantiles(df, F.col("g"), F.col("v"), PROBS, max_rows).collect()}
+    got = {r["__group"]: r for r in scale.exact_quantiles(df, F.col("g"), F.col("v"), PROBS, max_values).collect()}
     assert set(got) == set(parts)
     for g, vs in parts.items():
         assert got[g]["n"] == len(vs)
