@@ -31,8 +31,8 @@ def schema_match(clean: DataFrame, truth: DataFrame) -> DataFrame:
     def text(names: set) -> str:
         return ", ".join(sorted(names))
 
-    return clean.sparkSession.createDataFrame(
-        [(text(common), text(want - have), text(have - want), round(precision, 4), round(recall, 4), round(f1, 4))],
+    return scale.local_table(
+        clean.sparkSession, [(text(common), text(want - have), text(have - want), round(precision, 4), round(recall, 4), round(f1, 4))],
         "common_columns string, missing_from_cleaned string, extra_in_cleaned string,"
         " schema_precision double, schema_recall double, schema_f1 double")
 
@@ -154,7 +154,7 @@ def summary(clean: DataFrame, truth: DataFrame, order: list[str], truth_order: l
     if not match["common_columns"]:
         values = (0.0, 0.0, 0.0, 0.0, match["schema_f1"], *counts, 0, counts[0] == counts[1],
                   "No common columns between cleaned and benchmark datasets.")
-        return spark.createDataFrame([values], _SUMMARY)
+        return scale.local_table(spark, [values], _SUMMARY)
     aligned = align(clean, truth, order, truth_order, key).persist(StorageLevel.DISK_ONLY)
     try:
         compare = Comparison(aligned)
@@ -170,7 +170,7 @@ def summary(clean: DataFrame, truth: DataFrame, order: list[str], truth_order: l
             f"{cells['value']}% value accuracy (non-null) | Schema F1: {match['schema_f1']}")
     values = (cells["cell"], rows["row_exact_match_rate"], cells["null"], cells["value"], match["schema_f1"],
               *counts, rows["rows"], counts[0] == counts[1], text)
-    return spark.createDataFrame([values], _SUMMARY)
+    return scale.local_table(spark, [values], _SUMMARY)
 
 
 _SUMMARY = ("overall_cell_accuracy double, row_exact_match_rate double, null_handling_accuracy double,"

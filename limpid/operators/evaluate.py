@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limpid.operators import dedupe
+from limpid.operators import dedupe, scale
 from limpid.operators import profile as profiling
 from limpid.operators.columns import data
 
@@ -90,8 +90,8 @@ def quality_schema(raw: DataFrame, clean: DataFrame) -> DataFrame:
     before, after = data(raw).columns, data(clean).columns
     dropped = [c for c in before if c not in after]
     new = [c for c in after if c not in before]
-    return raw.sparkSession.createDataFrame(
-        [(len(before), len(after), ", ".join(dropped), len(dropped), ", ".join(new), len(new))],
+    return scale.local_table(
+        raw.sparkSession, [(len(before), len(after), ", ".join(dropped), len(dropped), ", ".join(new), len(new))],
         "columns_raw bigint, columns_clean bigint, columns_dropped string, columns_dropped_count bigint,"
         " new_columns string, new_columns_count bigint")
 

@@ -5,6 +5,7 @@ Statistics are fitted by one aggregate; applying them is a projection (global) o
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,35 +30,45 @@ def effective_strategy(strategy: str | None, dtype: T.DataType) -> str:
 # --- fitting -----------------------------------------------------------------------------------
 
 def fit(df: DataFrame, wanted: dict[str, str]) -> dict[str, object]:
-    """Global mean, median or mode of several columns: at most three jobs for all of them.
+    """Global mean, median or mode of several columns: one read per kind of statistic, side by side.
 
     The mode is the smallest of the most frequent values.
     """
     out: dict[str, object] = dict.fromkeys(wanted)
+    jobs = []
     means = [c for c, s in wanted.items() if s == "mean"]
-    medians = [c for c, s in wanted.items() if s == "median"]
-    modes = [c for c, s in wanted.items() if s == "mode"]
     if means:
-        row = df.agg(*[F.avg(quote(c)).alias(str(i)) for i, c in enumerate(means)]).first()
-        out.update({c: row[i] for i, c in enumerate(means)})
+        jobs.append(lambda: zip(means, df.agg(*[F.avg(quote(c)).alias(str(i)) for i, c in enumerate(means)]).first()))
+    medians = [c for c, s in wanted.items() if s == "median"]
     if medians:
-        long = scale.long_form(df, [(i, quote(c).cast("double")) for i, c in enumerate(medians)], "v")
-        rows = scale.exact_quantiles(long, F.col("ordinal"), F.col("v"), [0.5]).collect()  # one row per column
-        out.update({medians[r["__group"]]: r["q"][0] for r in rows})
+        jobs.append(lambda: _medians(df, medians).items())
     by_type: dict[str, list[str]] = {}
-    for c in modes:
+    for c in (c for c, s in wanted.items() if s == "mode"):
         by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
     for columns in by_type.values():
-        for i, value in _modes(df, columns).items():
-            out[columns[i]] = value
+        jobs.append(lambda columns=columns: _modes(df, columns).items())
+    for fitted in scale.in_parallel(df.sparkSession, *jobs) if jobs else []:
+        out.update(fitted)
     return out
 
 
-def _modes(df: DataFrame, columns: list[str]) -> dict[int, object]:
+def _medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    cells = scale.long_form(df, [(i, quote(c).cast("double")) for i, c in enumerate(columns)], "v")
+    found = scale.fitted_quantiles(cells, F.col("ordinal"), F.col("v"), [0.5])  # one row per column
+    return {columns[i]: q[0] for i, q in found.items()}
+
+
+def _modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
     cells = scale.long_form(df, [(i, quote(c)) for i, c in enumerate(columns)], "v")
     counts = cells.groupBy("ordinal", "v").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("ordinal").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v"))
-    return {r["ordinal"]: r["v"] for r in best.collect()}  # one row per column
+    best = counts.groupBy("ordinal").agg(_most_frequent("v", "n").alias("v"))
+    return {columns[r["ordinal"]]: r["v"] for r in best.collect()}  # one row per column
+
+
+def _most_frequent(value: str, n: str) -> Column:
+    """Aggregate over counted values: the most frequent one, the smallest of equals; nulls do not count."""
+    known = F.col(value).isNotNull()
+    return F.min_by(value, F.when(known, F.struct((-F.col(n)).alias("n"), F.col(value).alias("v"))))
 
 
 # --- applying ----------------------------------------------------------------------------------
@@ -97,28 +108,68 @@ def fill_constant(df: DataFrame, column: str, value=None) -> DataFrame:
     return df.withColumn(column, F.coalesce(quote(column), F.lit(str(value))))
 
 
-def fill_group(df: DataFrame, column: str, group_by: str, strategy: str, *,
+def fill_group(df: DataFrame, column: str, group_by: str, strategy: str, *, rest: str | None = None, value=None,
                group_rows: int | None = None) -> DataFrame:
-    """Fill with the mean, median or mode of the row's group; rows without a group keep their value."""
-    groups = scale.group_sizes(df, quote(group_by), group_rows)
-    values = group_values(df, quote(group_by), quote(column), strategy)
+    """Fill with the mean, median or mode of the row's group; rows without a group keep their value.
+
+    `rest` is the statistic of the column after the grouped pass that fills what is still null,
+    `value` its substitute if there is none.  Both passes are fitted from one read of the rows: a
+    staged table with one row per group, in which the fills of the first pass are counted in.
+    """
+    dtype = df.schema[column].dataType
+    current = quote(column).cast("double") if strategy in ("mean", "median") else quote(column)
+    summary, fallback = _fit_groups(df.select(quote(group_by).alias("__group"), current.alias("v")), strategy, rest)
+    sizes = summary.where("__group is not null").select(F.col("__group").alias("key"), "n")
+    groups = scale.groups_of(sizes, group_rows)
+    values = summary.where("__group is not null and __fill is not null").select("__group", "__fill")
     joined = scale.join_group_values(df, values, group_by, groups, group_rows)
-    current = quote(column)
-    if strategy in ("mean", "median"):
-        current = current.cast("double")
-    return joined.withColumn(column, F.coalesce(current, F.col("__fill"))).drop("__fill")
+    filled = F.coalesce(current, F.col("__fill"))
+    if rest is not None:
+        fallback = value if fallback is None else fallback
+        filled = F.coalesce(filled, F.lit(fallback).try_cast("double" if strategy in ("mean", "median") else dtype))
+    return joined.withColumn(column, filled).drop("__fill")
 
 
-def group_values(df: DataFrame, group: Column, value: Column, strategy: str) -> DataFrame:
-    """One row per group: "__group", "__fill".  Every form aggregates before it shuffles."""
-    known = df.where(group.isNotNull() & value.isNotNull())
+def _fit_groups(cells: DataFrame, strategy: str, rest: str | None) -> tuple[DataFrame, object]:
+    """(staged table "__group", n, nulls, "__fill"; global statistic after the grouped pass).
+
+    `cells` has "__group" and v.  Every form aggregates before it shuffles.
+    """
     if strategy == "mean":
-        return known.groupBy(group.alias("__group")).agg(F.avg(value).alias("__fill"))
-    if strategy == "median":
-        return scale.exact_quantiles(known, group, value, [0.5]).select("__group", F.col("q")[0].alias("__fill"))
-    counts = known.groupBy(group.alias("__group"), value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    best = F.min_by("v", F.struct(-F.col("n"), F.col("v")))
-    return counts.groupBy("__group").agg(best.alias("__fill"))
+        sums = cells.groupBy("__group").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("v").isNull()).alias("nulls"), F.sum("v").alias("total"))
+        own = F.when(F.col("__group").isNotNull(), F.col("total") / (F.col("n") - F.col("nulls")))
+        known = F.col("n") > F.col("nulls")
+        summary = scale.stage(sums.withColumn("__fill", F.when(known, own)), "groups")
+        if rest is None:
+            return summary, None
+        gained = F.when(F.col("__fill").isNotNull(), F.col("nulls")).otherwise(0)
+        total = F.sum(F.coalesce("total", F.lit(0.0)) + gained * F.coalesce("__fill", F.lit(0.0)))
+        count = F.sum(F.col("n") - F.col("nulls") + gained)
+        return summary, summary.agg(F.try_divide(total, count)).first()[0]
+    counts = cells.groupBy("__group", "v").agg(F.count(F.lit(1)).alias("c")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        sizes = counts.groupBy("__group").agg(
+            F.sum("c").alias("n"), F.sum(F.when(F.col("v").isNull(), F.col("c")).otherwise(0)).alias("nulls"),
+            _most_frequent("v", "c").alias("mode"))
+        if strategy == "mode":
+            own = F.when(F.col("__group").isNotNull(), F.col("mode"))
+            summary = sizes.select("__group", "n", "nulls", own.alias("__fill"))
+        else:
+            known = counts.where("__group is not null and v is not null")
+            medians = scale.quantiles_of_counts(known, [0.5]).select(F.col("__group").alias("g"), F.col("q")[0].alias("__fill"))
+            summary = sizes.join(medians, F.col("__group") == F.col("g"), "left").select("__group", "n", "nulls", "__fill")
+        summary = scale.stage(summary, "groups")
+        if rest is None:
+            return summary, None
+        gained = summary.where("__fill is not null and nulls > 0").select(F.col("__fill").alias("v"), F.col("nulls").alias("c"))
+        after = counts.where("v is not null").select("v", "c").unionByName(gained).groupBy("v").agg(F.sum("c").alias("c"))
+        if rest == "mode":
+            return summary, after.agg(_most_frequent("v", "c")).first()[0]
+        quantile = scale.quantiles_of_counts(after.select(F.lit(0).alias("__group"), "v", "c"), [0.5]).first()
+        return summary, quantile["q"][0] if quantile else None
+    finally:
+        counts.unpersist()
 
 
 def fill_na(df: DataFrame, column: str, strategy: str | None, *, value=None, group_by: str | None = None,
@@ -133,15 +184,11 @@ def fill_na(df: DataFrame, column: str, strategy: str | None, *, value=None, gro
     if group_by and group_by in df.columns:
         if strategy in ("ffill", "bfill"):
             out = ordered.carry(df, column, _order(order_by), group_by, forward=strategy == "ffill")
-        elif strategy in ("mean", "median") and numeric:
-            out = fill_group(df, column, group_by, strategy)
-        else:
-            out = fill_group(df, column, group_by, "mode")
-        if strategy in ("mean", "median") and numeric:
-            return fill_statistic(out, [column], strategy)
-        if strategy in ("mode", "ffill", "bfill", "interpolate"):
             return fill_statistic(out, [column], "mode", value)
-        return out
+        if strategy in ("mean", "median") and numeric:
+            return fill_group(df, column, group_by, strategy, rest=strategy)
+        rest = "mode" if strategy in ("mode", "interpolate") else None
+        return fill_group(df, column, group_by, "mode", rest=rest, value=value)
     kind = effective_strategy(strategy, dtype)
     if kind in ("mean", "median"):
         return fill_statistic(df, [column], kind)

@@ -130,16 +130,16 @@ def evaluate(raw: DataFrame, clean: DataFrame, target: str, order_by: list[str],
     spark = raw.sparkSession
     schema = "task_type string, metric string, raw double, clean double, improvement double, reason string"
     if target not in raw.columns or target not in clean.columns:
-        return spark.createDataFrame([("skip", None, None, None, None, f"Target column '{target}' not found")], schema)
+        return scale.local_table(spark, [("skip", None, None, None, None, f"Target column '{target}' not found")], schema)
     facts = task_type(raw, target).first()
     task = facts["task_type"]
     if task == "skip":
         reason = f"Target has {facts['unique_count']} unique values, unsuitable for ML"
-        return spark.createDataFrame([("skip", None, None, None, None, reason)], schema)
+        return scale.local_table(spark, [("skip", None, None, None, None, reason)], schema)
     before = score(raw, target, task, order_by, max_depth)
     after = score(clean, target, task, order_by, max_depth)
     rows = []
     for name in before:
         gain = round(before[name] - after[name], 4) if name == "rmse" else round((after[name] - before[name]) * 100, 2)
         rows.append((task, name, round(before[name], 4), round(after[name], 4), gain, None))
-    return spark.createDataFrame(rows, schema)
+    return scale.local_table(spark, rows, schema)

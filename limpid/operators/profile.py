@@ -145,7 +145,7 @@ def placeholder_cells(df: DataFrame) -> DataFrame:
     """
     names = text_columns(df)
     if not names:
-        return df.sparkSession.createDataFrame([], "ordinal int, token string, cnt bigint")
+        return scale.local_table(df.sparkSession, [], "ordinal int, token string, cnt bigint")
     tokens = scale.long_form(df, [(i, text.strip(quote(c))) for i, c in column_index(df, names)], "token")
     found = tokens.where(F.col("token").isin(PLACEHOLDERS))
     return found.groupBy("ordinal", "token").agg(F.count(F.lit(1)).alias("cnt"))
@@ -224,8 +224,8 @@ def count_outliers(values: DataFrame, stats: list) -> DataFrame:
 
     A spread of zero has no outliers.
     """
-    bounds = values.sparkSession.createDataFrame(
-        [(r["ordinal"], r["mean"], r["std"] or None, r["q1"], r["q3"]) for r in stats],
+    bounds = scale.local_table(
+        values.sparkSession, [(r["ordinal"], r["mean"], r["std"] or None, r["q1"], r["q3"]) for r in stats],
         "o int, mean double, std double, q1 double, q3 double")
     v, reach = F.col("v"), 1.5 * (F.col("q3") - F.col("q1"))
     far = F.abs((v - F.col("mean")) / F.col("std")) > 3
@@ -273,7 +273,7 @@ def splittable(df: DataFrame, order_by: list[str]) -> DataFrame:
     """
     names = text_columns(df)
     if not names:
-        return df.sparkSession.createDataFrame([], "ordinal int, delimiter string, occurrence_ratio double")
+        return scale.local_table(df.sparkSession, [], "ordinal int, delimiter string, occurrence_ratio double")
     sample = first_values(df, names, order_by, SPLIT_SAMPLE)
     tries = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(d).alias("delimiter"),
                                text.count_of(F.col("value"), d).alias("n")) for p, d in enumerate(DELIMITERS)])
@@ -332,7 +332,7 @@ def redundant_pairs(df: DataFrame) -> DataFrame:
     """
     pairs = redundant_candidates(df)
     if not pairs:
-        return df.sparkSession.createDataFrame([], "column string, related_column string")
+        return scale.local_table(df.sparkSession, [], "column string, related_column string")
     position = {c: i for i, c in enumerate(df.columns)}
     checks = F.array(*[F.struct(
         F.lit(position[c]).alias("o"), F.lit(c).alias("column"), F.lit(l).alias("related_column"),
@@ -381,7 +381,7 @@ def profile_columns(df: DataFrame, order_by: list[str]) -> DataFrame:
     for row in out:
         row["redundant_with"].sort(key=df.columns.index)
         _derive(row, rows)
-    return df.sparkSession.createDataFrame([tuple(r[f] for f in PROFILE_FIELDS) for r in out], PROFILE_SCHEMA)
+    return scale.local_table(df.sparkSession, [tuple(r[f] for f in PROFILE_FIELDS) for r in out], PROFILE_SCHEMA)
 
 
 def _from_frequencies(df: DataFrame, out: list[dict]) -> None:
@@ -411,7 +411,8 @@ def _listed(df: DataFrame, freq: DataFrame, out: list[dict]) -> None:
         top_values(freq.where(F.col("ordinal").isin(other))).select(F.lit("top_values").alias("list"), "ordinal", "rank", "value", "cnt"),
         sample_values(df, freq).select(F.lit("sample_values").alias("list"), "ordinal", "rank", "value", F.lit(0).cast("bigint").alias("cnt"))]
     for r in sorted(scale.union_all(parts).collect(), key=lambda r: (r["list"], r["ordinal"], r["rank"])):
-        out[r["ordinal"]][r["list"]].append(r["value"] if r["list"] == "sample_values" else (r["value"], r["cnt"]))
+        out[r["ordinal"]][r["list"]].append(
+            r["value"] if r["list"] == "sample_values" else {"value": r["value"], "count": r["cnt"]})
 
 
 def _numeric(values: DataFrame, out: list[dict], numeric: list[dict]) -> None:
@@ -419,7 +420,7 @@ def _numeric(values: DataFrame, out: list[dict], numeric: list[dict]) -> None:
     if not numeric:
         return
     spark, fitted = values.sparkSession, [r for r in numeric if r["filled"]]
-    means = spark.createDataFrame([(r["ordinal"], r["mean"]) for r in fitted], "o int, m double")
+    means = scale.local_table(spark, [(r["ordinal"], r["mean"]) for r in fitted], "o int, m double")
     off = F.col("v") - F.col("m")
     centred = values.join(F.broadcast(means), F.col("ordinal") == F.col("o"))  # one row per column
     counts = values.select(F.col("ordinal").alias("__group"), "v", F.col("cnt").alias("c"))
@@ -457,7 +458,7 @@ def _derive(row: dict, rows: int) -> None:
     """Counts, ratios and flags that follow from the measured facts."""
     numeric, unique = row["dtype"] in ("int64", "float64"), row["unique_count"]
     row["rows"], row["null_count"] = rows, rows - row["filled"]
-    row["placeholder_count"] = sum(n for _, n in row["detected_placeholders"])
+    row["placeholder_count"] = sum(p["count"] for p in row["detected_placeholders"])
     row["missing_count"] = row["null_count"] + row["placeholder_count"]
     missing = row["missing_count"] / rows if rows else 0.0
     spread = 1 - unique / rows if rows else 0.0

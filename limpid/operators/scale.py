@@ -14,10 +14,12 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.util import inheritable_thread_target
 
 from limpid.functions.text import quote
@@ -169,10 +171,14 @@ class Groups:
 
 def group_sizes(df: DataFrame, key: Column, group_rows: int | None = None) -> Groups:
     """Count groups and find the hot ones; counts are pre-aggregated before the shuffle."""
-    group_rows = group_rows or GROUP_ROWS
     sizes = df.where(key.isNotNull()).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    total = sizes.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("groups"),
-                      F.max("n").alias("largest")).first()
+    return groups_of(sizes, group_rows)
+
+
+def groups_of(sizes: DataFrame, group_rows: int | None = None) -> Groups:
+    """The same from a table (key, n)."""
+    group_rows = group_rows or GROUP_ROWS
+    total = sizes.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("groups"), F.max("n").alias("largest")).first()
     hot = {}
     if total["largest"] and total["largest"] > group_rows:
         largest = sizes.where(F.col("n") > group_rows).orderBy(F.desc("n")).limit(MAX_HOT)
@@ -244,13 +250,21 @@ def quantiles_of_counts(counts: DataFrame, probs: list[float], max_values: int |
     finally:
         hot.unpersist()
     # One row per hot group, at most MAX_HOT.
-    return result.unionByName(counts.sparkSession.createDataFrame(rows, result.schema))
+    return result.unionByName(local_table(counts.sparkSession, rows, result.schema))
+
+
+def fitted_quantiles(df: DataFrame, group: Column, value: Column, probs: list[float]) -> dict:
+    """group -> quantiles on the driver, for few groups.  The rows are read once."""
+    counts = value_counts(df, group, value).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return {r["__group"]: list(r["q"]) for r in quantiles_of_counts(counts, probs).collect()}
+    finally:
+        counts.unpersist()
 
 
 def exact_quantiles_of(df: DataFrame, column: str, probs: list[float]) -> list[float] | None:
     """Exact quantiles of one column, or None when it has no value."""
-    row = exact_quantiles(df, F.lit(0), quote(column), probs).first()
-    return list(row["q"]) if row else None
+    return fitted_quantiles(df, F.lit(0), quote(column), probs).get(0)
 
 
 def _running_quantiles(counts: DataFrame, probs: list[float]) -> DataFrame:
@@ -290,7 +304,7 @@ def _sliced_quantiles(counts: DataFrame, probs: list[float], max_values: int) ->
         T.StructField("hi", T.DoubleType()), T.StructField("below", T.LongType())])
     while slices:
         # Bounded: hot groups times probabilities.
-        targets = spark.createDataFrame([(g, i, lo, hi, below) for (g, i), (below, lo, hi, _) in slices.items()], schema)
+        targets = local_table(spark, [(g, i, lo, hi, below) for (g, i), (below, lo, hi, _) in slices.items()], schema)
         inside = counts.join(F.broadcast(targets), (F.col("__group") == F.col("g")) & F.col("v").between(F.col("lo"), F.col("hi")))
         done = [key for key, (*_, values) in slices.items() if values <= max_values]
         found.update(_values_at(inside, {key: ranks[key] for key in done}, group_type))
@@ -310,7 +324,7 @@ def _only(inside: DataFrame, keys: list, group_type: T.DataType, extra: list, ki
     """Rows of some (group, prob index) pairs, with one extra value each."""
     schema = T.StructType([T.StructField("g2", group_type), T.StructField("i2", T.IntegerType()),
                            T.StructField("extra", kind)])
-    table = inside.sparkSession.createDataFrame([(g, i, e) for (g, i), e in zip(keys, extra)], schema)
+    table = local_table(inside.sparkSession, [(g, i, e) for (g, i), e in zip(keys, extra)], schema)
     return inside.join(F.broadcast(table), (F.col("g") == F.col("g2")) & (F.col("i") == F.col("i2")))
 
 
@@ -318,7 +332,7 @@ def _values_at(inside: DataFrame, ranks: dict, group_type: T.DataType) -> dict:
     """Values at the two ranks of each finished slice (its distinct values are few)."""
     if not ranks:
         return {}
-    rows = _only(inside, list(ranks), group_type, list(ranks.values()), T.StructType().add("k", "long").add("last", "long"))
+    rows = _only(inside, list(ranks), group_type, [{"k": k, "last": last} for k, last in ranks.values()], T.StructType().add("k", "long").add("last", "long"))
     running = Window.partitionBy("g", "i").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.col("below") + F.sum("c").over(running)
     picked = rows.withColumn("upto", upto).groupBy("g", "i").agg(
@@ -364,6 +378,15 @@ def in_parallel(spark: SparkSession, *jobs):
         return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
+    """Small table of driver-side rows (statistics, plans, reports).  As Arrow data it becomes a
+    local relation, which the optimizer folds, instead of a distributed collection."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    fields = to_arrow_schema(schema)
+    arrays = [pa.array([row[i] for row in rows], type=f.type) for i, f in enumerate(fields)]
+    return spark.createDataFrame(pa.table(arrays, schema=fields), schema)
+
+
 # --- shape -------------------------------------------------------------------------------------
 
 def long_form(df: DataFrame, cells: list[tuple[int, Column]], name: str) -> DataFrame:

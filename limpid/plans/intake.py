@@ -68,7 +68,7 @@ def steps_table(spark: SparkSession, workflow) -> DataFrame:
 
     rows = [(number(s.get("step_id")), s.get("phase", "other"), s.get("column"), s.get("operation"),
              json.dumps(s.get("params") or {}), s.get("reason", "")) for s in steps]
-    return spark.createDataFrame(rows, STEPS_SCHEMA)
+    return scale.local_table(spark, rows, STEPS_SCHEMA)
 
 
 def lint(df: DataFrame, steps: DataFrame, order_by: list[str], rows: int = 1000) -> list[str]:

@@ -96,7 +96,7 @@ def run(df: DataFrame, steps: DataFrame, order_by: list[str], stage: bool = True
             _run_step(group[0], state, stage and i + 1 < len(ordered_steps))
         i += len(group)
     state.settle()
-    log = df.sparkSession.createDataFrame([e.row() for e in state.log], LOG_SCHEMA)
+    log = scale.local_table(df.sparkSession, [e.row() for e in state.log], LOG_SCHEMA)
     return state.df, log
 
 
