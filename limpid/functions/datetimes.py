@@ -105,14 +105,20 @@ def with_clock_time(df: DataFrame, column: str) -> DataFrame:
     anything else stays as it is.  Hours are computed, not parsed, so no value throws.  Each
     regex result is a column of its own projection, so it is evaluated once per row.
     """
-    def number(pattern: str) -> Column:
-        return F.regexp_extract("__found", pattern, 1).try_cast("int")
+    def digits(pattern: str) -> Column:
+        return F.regexp_extract("__found", pattern, 1)
+
+    def number(name: str) -> Column:
+        # A try_cast that fails is slow, so empty text is not cast.
+        return F.when(F.col(name) != "", F.col(name).cast("int"))
 
     parts = (df.withColumn("__text", strip(quote(column)))
              .withColumn("__found", F.regexp_extract("__text", TIME_INSIDE, 1))
-             .withColumns({"__h": number(r"^(\d{1,2})"), "__m": F.coalesce(number(r"^\d{1,2}:(\d{2})"), F.lit(0)),
-                           "__s": F.coalesce(number(r"^\d{1,2}:\d{2}:(\d{2})"), F.lit(0)),
-                           "__half": F.lower(F.regexp_extract("__found", r"(?i)([ap])\.?m", 1))}))
+             .withColumns({"__h": digits(r"^(\d{1,2})"), "__m": digits(r"^\d{1,2}:(\d{2})"),
+                           "__s": digits(r"^\d{1,2}:\d{2}:(\d{2})"),
+                           "__half": F.lower(F.regexp_extract("__found", r"(?i)([ap])\.?m", 1))})
+             .withColumns({"__h": number("__h"), "__m": F.coalesce(number("__m"), F.lit(0)),
+                           "__s": F.coalesce(number("__s"), F.lit(0))}))
     half, hour = F.col("__half"), F.col("__h")
     hour24 = F.when(half == "", hour).when(hour <= 12, hour % 12 + F.when(half == "p", 12).otherwise(0))
     valid = (F.col("__found") != "") & (F.col("__h") <= 23) & (F.col("__m") <= 59) & (F.col("__s") <= 59)

@@ -46,6 +46,21 @@ def to_long(v: Column, dtype: T.DataType) -> Column:
     return F.coalesce(number, F.lit(0).cast("bigint"))
 
 
+def read_as(v: Column, dtype: T.DataType) -> Column:
+    """Text read as a given type, NULL if it does not fit.  The shape is tested first: a failing
+    try_cast costs far more than a regex."""
+    if isinstance(dtype, T.StringType):
+        return v
+    text = strip(v)
+    if isinstance(dtype, T.IntegralType):
+        return F.when(text.rlike(INTEGER), text.try_cast(dtype))
+    if is_numeric(dtype):
+        return F.when(text.rlike(NUMBER), text.try_cast(dtype))
+    if isinstance(dtype, T.BooleanType):
+        return F.when(F.lower(text).isin("true", "false"), F.lower(text) == "true")
+    return text.try_cast(dtype)
+
+
 def plain_text(v: Column, dtype: T.DataType) -> Column:
     """Text of a value in which equal numbers look equal: -0.0 is 0.0."""
     if isinstance(dtype, T.FractionalType) and not isinstance(dtype, T.DecimalType):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from limpid.functions.constants import CSV_NULLS, ROW_ID
-from limpid.functions.numbers import INTEGER, NUMBER
+from limpid.functions.numbers import INTEGER, NUMBER, read_as
 from limpid.functions.text import quote, strip
 from limpid.operators import scale
 
@@ -136,8 +136,7 @@ def load_csv(spark: SparkSession, filename: str, data_path: str = "data/raw", en
     if schema is None:
         typed = infer_types(decoded, names)
     else:
-        typed = decoded.withColumns({f.name: strip(quote(f.name)).try_cast(f.dataType) if not isinstance(f.dataType, T.StringType)
-                                     else quote(f.name) for f in schema})
+        typed = decoded.withColumns({f.name: read_as(quote(f.name), f.dataType) for f in schema})
     return scale.stage(typed, "csv") if stage else typed
 
 
