@@ -90,7 +90,7 @@ def infer_types(df: DataFrame, names: list[str] | None = None) -> DataFrame:
 
     def tests(c: str) -> list:
         v = strip(quote(c))
-        whole = v.rlike(INTEGER) & v.try_cast("bigint").isNotNull()
+        whole = F.when(v.rlike(INTEGER), v.try_cast("bigint").isNotNull()).when(v.isNotNull(), False)
         return [F.count(quote(c)), F.bool_and(whole), F.bool_and(v.rlike(NUMBER)),
                 F.bool_and(v.isin("True", "False", "TRUE", "FALSE", "true", "false"))]
 
