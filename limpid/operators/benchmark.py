@@ -50,6 +50,8 @@ def align(clean: DataFrame, truth: DataFrame, clean_order: list[str], truth_orde
     cells_c = F.struct(*[quote(c).alias(c) for c in names]).alias("c")
     cells_t = F.struct(*[quote(c).alias(c) for c in names]).alias("t")
     if key:
+        _require_unique(clean, key)
+        _require_unique(truth, key)
         keys = [quote(k).alias(f"__k{i}") for i, k in enumerate(key)]
         on = [f"__k{i}" for i in range(len(key))]
         joined = left.select(F.col("__pos").alias("pos"), cells_c, *keys).join(truth.select(cells_t, *keys), on)
@@ -60,6 +62,13 @@ def align(clean: DataFrame, truth: DataFrame, clean_order: list[str], truth_orde
     return joined.select("pos", "c", "t")
 
 
+def _require_unique(df: DataFrame, key: list[str]) -> None:
+    """A repeated key would pair every copy with every copy."""
+    repeated = df.groupBy(*scale.columns_of(key)).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if repeated.take(1):
+        raise ValueError(f"key {key} is not unique")
+
+
 class Comparison:
     """Cell tests over aligned rows."""
 

@@ -45,8 +45,7 @@ def alphabetical_codes(df: DataFrame, column: str) -> DataFrame:
     """
     groups = scale.group_sizes(df, quote(column))
     distinct = df.where(quote(column).isNotNull()).select(quote(column).alias("__group")).distinct()
-    ranges = scale.range_buckets(distinct, ["__group"], rows=groups.count)
-    codes = scale.with_position(distinct, ["__group"], "__code", ranges)
+    codes = scale.with_position(distinct, ["__group"], "__code")
     joined = scale.join_group_values(df, codes, column, groups)
     return joined.withColumn(column, F.col("__code").cast("double")).drop("__code")
 

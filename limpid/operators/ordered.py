@@ -46,7 +46,7 @@ def layout(df: DataFrame, order_by: list[str], group_by: str | None, group_rows:
         if buckets is None:
             largest = max(groups.hot.values())
             buckets = min(scale.MAX_BUCKETS, 2 * math.ceil(largest / (group_rows or scale.GROUP_ROWS)))
-        ranges = scale.range_buckets(hot, order_by, sum(groups.hot.values()), buckets)
+        ranges = scale.range_buckets(hot, order_by, buckets)
         bucket = F.when(groups.is_hot(key), ranges.bucket()).otherwise(0)
         pieces = len(groups.hot) * ranges.count
     # Rows without a group are not filled here; spread them instead of giving them to one task.
@@ -123,7 +123,7 @@ def interpolate(df: DataFrame, column: str, order_by: list[str], *, buckets: int
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     near = (rows.withColumn("__prev", F.last(known, True).over(back))
             .withColumn("__next", F.last(known, True).over(forth))
-            .join(F.broadcast(reach), "__bucket"))  # at most MAX_BUCKETS rows
+            .join(F.broadcast(reach), "__bucket", "left"))  # at most MAX_BUCKETS rows
     offset = F.col("__offset")
     prev_v = F.coalesce(F.col("__prev.v"), F.col("__far_pv"))
     prev_p = F.coalesce(F.col("__prev.p") + offset, F.col("__far_pp"))

@@ -257,7 +257,7 @@ def first_values(df: DataFrame, names: list[str], order_by: list[str], k: int) -
     found = ranked.where(F.col("rank") <= k).select("ordinal", "value").persist(StorageLevel.MEMORY_AND_DISK)
     have = {r["ordinal"]: r["n"] for r in found.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n")).collect()}
     sparse = [(i, c) for i, c in indexed if have.get(i, 0) < k]
-    if not sparse or not df.offset(reach).limit(1).take(1):
+    if not sparse or not scale.has_more_rows(df, reach):
         return found
     dense = found.where(~F.col("ordinal").isin([i for i, _ in sparse]))
     scans = [df.where(quote(c).isNotNull()).orderBy(*order).limit(k)

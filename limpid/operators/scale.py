@@ -29,8 +29,9 @@ GROUP_ROWS = 2_000_000
 # Target rows per range bucket, and the most buckets (their bounds are literals in the plan).
 BUCKET_ROWS = 1_000_000
 MAX_BUCKETS = 4096
-# Largest table that is broadcast; always checked by a count.
+# Largest table that is broadcast; rows and text bytes are always counted first.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 # At most this many groups are handled as hot.  Any other group is smaller than 1/4096 of the rows.
 MAX_HOT = 4096
 MAX_SALTS = 512
@@ -51,7 +52,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/limpid/{label}-{uuid.uuid4().hex}"
+    return f"{_stage_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _stage_root(spark: SparkSession) -> str:
+    """Folder of this application alone, so that release() cannot touch another one's data."""
+    return f"{shared_dir(spark)}/limpid-{spark.sparkContext.applicationId}"
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -65,7 +71,7 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Delete everything this application staged.  Call when its results have been written."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/limpid")
+    path = jvm.org.apache.hadoop.fs.Path(_stage_root(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -113,15 +119,19 @@ class Ranges:
         return F.aggregate(steps, F.lit(0), narrow)
 
 
-def range_buckets(df: DataFrame, order_by: list[str], rows: int | None = None,
-                  buckets: int | None = None) -> Ranges:
+def range_buckets(df: DataFrame, order_by: list[str], buckets: int | None = None) -> Ranges:
     """Bounds that cut the row order into buckets of about equal size.
 
+    The order must identify rows.  Equal keys would leave the row order undefined and could pile up
+    in one bucket, so a key with many ties is refused.
+
     They come from a sample chosen by a hash of the key, so a rerun gives the same bounds, and
     they enter later plans as literals, so every pass assigns rows alike without stored state.
     """
-    if rows is None:
-        rows = df.count()
+    facts = df.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(order_key(order_by)).alias("keys")).first()
+    rows = facts["rows"]
+    if facts["keys"] < 0.7 * rows:
+        raise ValueError(f"{order_by} does not identify rows: about {facts['keys']} values in {rows} rows")
     if buckets is None:
         wanted = max(math.ceil(rows / BUCKET_ROWS), 2 * df.sparkSession.sparkContext.defaultParallelism)
         buckets = min(wanted, MAX_BUCKETS, max(1, rows // 64))
@@ -148,7 +158,7 @@ def with_position(df: DataFrame, order_by: list[str], name: str, ranges: Ranges
     offsets = sizes.select("__bucket", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
     local = Window.partitionBy("__bucket").orderBy(*columns_of(order_by))
     return (bucketed.withColumn("__local", F.row_number().over(local))
-            .join(F.broadcast(offsets), "__bucket")  # at most MAX_BUCKETS rows
+            .join(F.broadcast(offsets), "__bucket", "left")  # at most MAX_BUCKETS rows
             .withColumn(name, F.col("__offset") + F.col("__local") - 1)
             .drop("__bucket", "__offset", "__local"))
 
@@ -162,6 +172,7 @@ class Groups:
     rows: int
     count: int
     hot: dict
+    key_bytes: int = 0
 
     def is_hot(self, key: Column) -> Column:
         if not self.hot:
@@ -178,12 +189,13 @@ def group_sizes(df: DataFrame, key: Column, group_rows: int | None = None) -> Gr
 def groups_of(sizes: DataFrame, group_rows: int | None = None) -> Groups:
     """The same from a table (key, n)."""
     group_rows = group_rows or GROUP_ROWS
-    total = sizes.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("groups"), F.max("n").alias("largest")).first()
+    total = sizes.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("groups"), F.max("n").alias("largest"),
+                      F.sum(F.octet_length(F.col("key").cast("string"))).alias("bytes")).first()
     hot = {}
     if total["largest"] and total["largest"] > group_rows:
         largest = sizes.where(F.col("n") > group_rows).orderBy(F.desc("n")).limit(MAX_HOT)
         hot = {r["key"]: r["n"] for r in largest.collect()}
-    return Groups(total["rows"] or 0, total["groups"], hot)
+    return Groups(total["rows"] or 0, total["groups"], hot, total["bytes"] or 0)
 
 
 def join_group_values(df: DataFrame, values: DataFrame, key: str, groups: Groups,
@@ -194,7 +206,7 @@ def join_group_values(df: DataFrame, values: DataFrame, key: str, groups: Groups
     shuffle join in which the rows of each hot group are spread over salts by a hash of the row,
     and the value of that group is repeated once per salt.
     """
-    if groups.count <= BROADCAST_ROWS:
+    if groups.count <= BROADCAST_ROWS and groups.key_bytes + _text_bytes(values) <= BROADCAST_BYTES:
         return df.join(F.broadcast(values), quote(key) == F.col("__group"), "left").drop("__group")
     salts = 1
     if groups.hot:
@@ -212,6 +224,12 @@ def join_group_values(df: DataFrame, values: DataFrame, key: str, groups: Groups
     return left.join(right, matched, "left").drop("__group", "__salt", "__right_salt")
 
 
+def _text_bytes(values: DataFrame) -> int:
+    """Bytes of the text columns besides the key; other columns have a fixed width."""
+    texts = [f.name for f in values.schema if isinstance(f.dataType, T.StringType) and f.name != "__group"]
+    return values.agg(sum((F.sum(F.octet_length(c)) for c in texts), F.lit(0))).first()[0] or 0 if texts else 0
+
+
 # --- quantiles ---------------------------------------------------------------------------------
 
 # Most distinct values of a group that one task sorts for an exact quantile.
@@ -389,6 +407,11 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: str | T.StructTy
 
 # --- shape -------------------------------------------------------------------------------------
 
+def has_more_rows(df: DataFrame, n: int) -> bool:
+    """True if there are more than n rows; reads only as many partitions as it needs."""
+    return len(df.select(F.lit(1)).take(n + 1)) > n
+
+
 def long_form(df: DataFrame, cells: list[tuple[int, Column]], name: str) -> DataFrame:
     """One row per (row, cell): ordinal and the value; nulls left out.  All cells have one type."""
     flat = [x for ordinal, value in cells for x in (F.lit(ordinal), value)]

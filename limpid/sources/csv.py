@@ -82,23 +82,28 @@ def decode_nulls(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     return df.withColumns({c: F.when(quote(c).isin(CSV_NULLS), None).otherwise(quote(c)) for c in names})
 
 
-def infer_types(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Whole numbers, numbers, booleans, else text; dates stay text.  One aggregate for all columns."""
+def infer_types(df: DataFrame, names: list[str] | None = None) -> tuple[DataFrame, bool]:
+    """(typed table, were there undecodable bytes).
+
+    Whole numbers, numbers, booleans, else text; dates stay text.  One aggregate for all columns.
+    A replacement character shows bytes that were not valid in the encoding.
+    """
     names = names or [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     if not names:
-        return df
+        return df, False
 
     def tests(c: str) -> list:
         v = strip(quote(c))
         whole = F.when(v.rlike(INTEGER), v.try_cast("bigint").isNotNull()).when(v.isNotNull(), False)
         return [F.count(quote(c)), F.bool_and(whole), F.bool_and(v.rlike(NUMBER)),
-                F.bool_and(v.isin("True", "False", "TRUE", "FALSE", "true", "false"))]
+                F.bool_and(v.isin("True", "False", "TRUE", "FALSE", "true", "false")),
+                F.bool_or(quote(c).contains("\ufffd"))]
 
     row = df.agg(*[t.alias(f"{i}_{j}") for i, c in enumerate(names) for j, t in enumerate(tests(c))]).first()
-    casts = {}
+    casts, damaged = {}, False
     for i, c in enumerate(names):
-        count, whole, number, boolean = row[4 * i:4 * i + 4]
-        v = strip(quote(c))
+        count, whole, number, boolean, bad = row[5 * i:5 * i + 5]
+        v, damaged = strip(quote(c)), damaged or bool(bad)
         if count == 0:
             casts[c] = F.lit(None).cast("double")
         elif whole:
@@ -107,15 +112,7 @@ def infer_types(df: DataFrame, names: list[str] | None = None) -> DataFrame:
             casts[c] = v.try_cast("double")
         elif boolean:
             casts[c] = F.lower(v) == "true"
-    return df.withColumns(casts) if casts else df
-
-
-def has_bad_utf8(df: DataFrame, names: list[str]) -> bool:
-    """True if a replacement character shows that the bytes were not UTF-8."""
-    bad = F.lit(False)
-    for c in names:
-        bad = bad | F.coalesce(quote(c).contains("�"), F.lit(False))
-    return bool(df.where(bad).limit(1).take(1))
+    return (df.withColumns(casts) if casts else df), damaged
 
 
 def load_csv(spark: SparkSession, filename: str, data_path: str = "data/raw", encoding: str = "UTF-8",
@@ -127,15 +124,15 @@ def load_csv(spark: SparkSession, filename: str, data_path: str = "data/raw", en
     row id frozen), so later passes do not parse text again; `stage=False` keeps it lazy.
     """
     path = resolve(spark, data_path, filename)
-    text = read_text_columns(spark, path, encoding, **options)
-    names = [c for c in text.columns if c != ROW_ID]
-    if encoding.upper() in ("UTF-8", "UTF8") and names and has_bad_utf8(text, names):
-        text = read_text_columns(spark, path, "ISO-8859-1", **options)
+    encodings = [encoding, "ISO-8859-1"] if encoding.upper() in ("UTF-8", "UTF8") else [encoding]
+    for attempt in encodings:
+        text = read_text_columns(spark, path, attempt, **options)
         names = [c for c in text.columns if c != ROW_ID]
-    decoded = decode_nulls(text, names)
-    if schema is None:
-        typed = infer_types(decoded, names)
-    else:
+        decoded = decode_nulls(text, names)
+        typed, damaged = infer_types(decoded, names)
+        if not damaged:
+            break
+    if schema is not None:
         typed = decoded.withColumns({f.name: read_as(quote(f.name), f.dataType) for f in schema})
     return scale.stage(typed, "csv") if stage else typed
 

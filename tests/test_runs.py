@@ -260,3 +260,9 @@ def test_clean_csv_end_to_end(spark, tmp_path):
     assert result.benchmark.first()["rows_compared"] == len(rows) and result.quality.first()["duplicates_raw"] == 123 - len(copies)
     assert {p.name for p in (tmp_path / "out").iterdir()} == {f"{n}_weather" for n in ("profile", "issues", "plan", "execution", "clean", "evaluation")}
     assert "note_part1" in columns.data(csv.load_csv(spark, "clean_weather", str(tmp_path / "out"))).columns
+
+
+def test_alignment_by_key_needs_unique_keys(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
+    with pytest.raises(ValueError, match="not unique"):
+        benchmark.align(df, df, ["v"], key=["k"])

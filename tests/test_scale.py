@@ -1,5 +1,7 @@
 """Ordered, grouped and quantile operators with their scale paths forced, against brute force in pandas."""
 
+import pathlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -198,3 +200,27 @@ def test_stage_uses_the_shared_folder_and_can_be_released(spark, table):
     assert staged.schema.simpleString() == table.schema.simpleString() and staged.count() == 5000
     folder = scale.shared_dir(spark).replace("file:", "")
     assert all(folder in f for f in staged.inputFiles())
+
+
+def test_release_removes_only_this_application(spark, table):
+    root = pathlib.Path(scale.shared_dir(spark).replace("file:", ""))
+    other = root / "limpid-other"
+    other.mkdir(exist_ok=True)
+    scale.stage(table)
+    assert (root / f"limpid-{spark.sparkContext.applicationId}").exists()
+    scale.release(spark)
+    assert not (root / f"limpid-{spark.sparkContext.applicationId}").exists() and other.exists()
+
+
+def test_order_with_many_ties_is_refused(table):
+    with pytest.raises(ValueError, match="does not identify rows"):
+        ordered.carry(table, "v", ["s"])
+
+
+def test_long_text_is_not_broadcast(table, frame, monkeypatch):
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 10)
+    joined = impute.fill_group(table, "s", "g", "mode")
+    assert "__salt" in joined._jdf.queryExecution().executedPlan().toString()
+    modes = frame.groupby("g").s.agg(lambda x: x.mode()[0] if x.notna().any() else None)
+    p = frame.sort_values("id")
+    assert by_id(joined, "s") == listed(p.s.fillna(p.g.map(modes)))
