@@ -105,29 +105,25 @@ def with_clock_time(df: DataFrame, column: str) -> DataFrame:
     anything else stays as it is.  Hours are computed, not parsed, so no value throws.  Each
     regex result is a column of its own projection, so it is evaluated once per row.
     """
-    def digits(pattern: str) -> Column:
-        return F.regexp_extract("__found", pattern, 1)
-
-    def number(name: str) -> Column:
+    def number(i: int) -> Column:
+        digits = F.split_part("__digits", F.lit(":"), F.lit(i))
         # A try_cast that fails is slow, so empty text is not cast.
-        return F.when(F.col(name) != "", F.col(name).cast("int"))
+        return F.when(digits != "", digits.cast("int"))
 
     parts = (df.withColumn("__text", strip(quote(column)))
-             .withColumn("__found", F.regexp_extract("__text", TIME_INSIDE, 1))
-             .withColumns({"__h": digits(r"^(\d{1,2})"), "__m": digits(r"^\d{1,2}:(\d{2})"),
-                           "__s": digits(r"^\d{1,2}:\d{2}:(\d{2})"),
-                           "__half": F.lower(F.regexp_extract("__found", r"(?i)([ap])\.?m", 1))})
-             .withColumns({"__h": number("__h"), "__m": F.coalesce(number("__m"), F.lit(0)),
-                           "__s": F.coalesce(number("__s"), F.lit(0))}))
+             .withColumn("__found", F.lower(F.regexp_extract("__text", TIME_INSIDE, 1)))
+             .withColumn("__digits", F.regexp_replace("__found", "[^0-9:]", ""))
+             .withColumns({"__h": number(1), "__m": F.coalesce(number(2), F.lit(0)), "__s": F.coalesce(number(3), F.lit(0)),
+                           "__half": F.when(F.col("__found").contains("p"), "p").when(F.col("__found").contains("a"), "a")}))
     half, hour = F.col("__half"), F.col("__h")
-    hour24 = F.when(half == "", hour).when(hour <= 12, hour % 12 + F.when(half == "p", 12).otherwise(0))
+    hour24 = F.when(half.isNull(), hour).when(hour <= 12, hour % 12 + F.when(half == "p", 12).otherwise(0))
     valid = (F.col("__found") != "") & (F.col("__h") <= 23) & (F.col("__m") <= 59) & (F.col("__s") <= 59)
     clock = F.concat(F.lpad(F.col("__h").cast("string"), 2, "0"), F.lit(":"), F.lpad(F.col("__m").cast("string"), 2, "0"))
     as_date = F.date_format(to_timestamp(quote(column), T.StringType()), "yyyy-MM-dd HH:mm")
     result = (F.when(F.lower("__text").isin(NO_TIME), None).when(valid, clock)
               .otherwise(F.coalesce(as_date, quote(column))))
     return (parts.withColumn("__h", hour24).withColumn(column, result)
-            .drop("__text", "__found", "__h", "__m", "__s", "__half"))
+            .drop("__text", "__found", "__digits", "__h", "__m", "__s", "__half"))
 
 
 def minutes_of_day(v: Column) -> Column:
