@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limpid.llm import exact_dedup, mixing, simhash, url_filter
+from limpid.llm import bpe, exact_dedup, mixing, rp_forest, simhash, token_files, url_filter
 from limpid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+#: Vocabulary files; both hold the same tokens.
+RANKS, TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+
 #: The URL rules that op3 applies: host, path, verdict.
 URL_RULES = [
     ("com", "/", "allow"),
@@ -28,6 +32,12 @@ def query(f):
     return f
 
 
+@query
+def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rp_forest.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
 @query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).withColumnRenamed("id", "doc_id")
@@ -55,6 +65,13 @@ SELECT s.page_id, s.host, s.path, b.rule, coalesce(b.verdict, 'allow') AS verdic
 FROM split s LEFT JOIN best b ON s.page_id IS NOT DISTINCT FROM b.page_id AND s.host = b.host AND s.path = b.path"""
 
 
+@query
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), RANKS, public_tokenizers.PATTERN).drop("text")
+    decoded = bpe.decode(encoded, RANKS, public_tokenizers.PATTERN)
+    return bpe.with_digests(decoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 @query
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
@@ -69,6 +86,12 @@ w AS (
 SELECT doc_id, keep_id, group_size, kept, sha256(norm) AS text_sha256 FROM w"""
 
 
+@query
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write(table(spark, sf_dir, "documents", "doc_id", "text"), TOKENIZER)
+    return token_files.read_documents(manifest).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, draws = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
