@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limpid.llm import bpe, exact_dedup, mixing, rp_forest, simhash, token_files, toxicity, url_filter
+from limpid.llm import bpe, exact_dedup, line_dedup, mixing, quality_gam, rp_forest, simhash, token_files, toxicity, url_filter
 from limpid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,12 +93,45 @@ w AS (
 SELECT doc_id, keep_id, group_size, kept, sha256(norm) AS text_sha256 FROM w"""
 
 
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "removed_lines", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+ORACLE["op7_line_dedup"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+h AS (SELECT *, list_transform(lines, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS hs FROM d),
+e AS (
+  SELECT *, list_filter(range(1, len(lines) + 1),
+    lambda i: i = len(lines) OR (hs[i] + 31 * (CASE WHEN i = 1 THEN 0 ELSE hs[i - 1] END)) % {line_dedup.CHUNK_LINES} = 0) AS ends
+  FROM h),
+c AS (
+  SELECT doc_id, text, len(lines) AS n_lines, j, ends[j] AS stop, CASE WHEN j = 1 THEN 1 ELSE ends[j - 1] + 1 END AS start, lines
+  FROM (SELECT *, unnest(range(1, len(ends) + 1)) AS j FROM e)),
+t AS (SELECT doc_id, text, n_lines, j, stop - start + 1 AS n, array_to_string(lines[start:stop], chr(10)) AS chunk FROM c),
+m AS (
+  SELECT *, n >= {line_dedup.LEAST_LINES} AND row_number() OVER (PARTITION BY chunk, n >= {line_dedup.LEAST_LINES} ORDER BY doc_id NULLS FIRST, j) > 1 AS gone FROM t)
+SELECT doc_id, n_lines, removed_lines, length(clean) AS n_chars, sha256(clean) AS text_sha256
+FROM (
+  SELECT doc_id, n_lines, CAST(sum(CASE WHEN gone THEN n ELSE 0 END) AS BIGINT) AS removed_lines,
+    coalesce(string_agg(CASE WHEN gone THEN NULL ELSE chunk END, chr(10) ORDER BY j), '') AS clean
+  FROM m GROUP BY doc_id, n_lines)"""
+
+
 @query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write(table(spark, sf_dir, "documents", "doc_id", "text"), TOKENIZER)
     return token_files.read_documents(manifest).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality_gam.fit(documents, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return quality_gam.score(documents, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, draws = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
