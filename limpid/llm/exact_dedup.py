@@ -1,7 +1,8 @@
 """Exact duplicates by a content sort.
 
 Sampled splitters range-partition the normalised bytes, an external sort places equal texts next to each other, and
-the window that follows compares neighbouring rows in full.  Nothing but DataFrame expressions runs.
+the window that follows compares neighbouring rows in full.  Rows are ordered by a prefix, a digest and then the whole
+text, so splitters stay short however long the texts are.  Nothing but DataFrame expressions runs.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from limpid.llm.common import hot_groups, no_space
 
+#: Characters of the normalised text that splitters see before they fall back on the digest.
+PREFIX = 32
 ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -33,17 +36,16 @@ def mark_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     df = df.drop(*ADDED)
     columns = df.columns
     rows = df.withColumns({"__norm": no_space(F.col(text_col)), "__points": F.coalesce(F.length(text_col), F.lit(0))}) \
-        .withColumn("__hash", F.xxhash64("__norm"))
+        .withColumns({"__prefix": F.substring("__norm", 1, PREFIX), "__hash": F.xxhash64("__norm")})
     hot, limit = hot_groups(rows.select(F.col("__hash").alias("key")), df.count())
-    salt = F.lit(0)
+    key = ["__prefix", "__hash"]
     if hot:
         parts = df.sparkSession.createDataFrame([(h, math.ceil(n / limit)) for h, n in hot.items()], "__hash long, __parts int")
         rows = rows.join(F.broadcast(parts), "__hash", "left")
-        salt = F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(F.col(id_col), F.lit("salt")), "__parts")).otherwise(0)
-    else:
-        rows = rows.drop("__hash")
-    sorted_rows = rows.withColumn("__salt", salt).repartitionByRange("__norm", "__salt")
-    group = Window.partitionBy("__norm", "__salt")
+        rows = rows.withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(F.col(id_col), F.lit("salt")), "__parts"), F.lit(0)))
+        key.append("__salt")
+    sorted_rows = rows.repartitionByRange(*key)  # by all that the window sorts by but the text, so it needs no further exchange
+    group = Window.partitionBy(*key, "__norm")
     best_first = group.orderBy(F.desc("__points"), F.asc_nulls_last(id_col))
     marked = sorted_rows.withColumns({
         "keep_id": F.first(id_col).over(best_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
