@@ -252,3 +252,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = grouped.join(least, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `df` whose id is the least of their component, with their own columns.  Of rows with that id one
+    stays, and of a component of null ids one."""
+    own = df.columns
+    rows = stage(df.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    ids = near_duplicates(rows.select(F.col("__row").alias("r"), F.col(text_col).alias("t")), "r", "t") \
+        .select(F.col("id").alias("__row"), F.col("component_id").alias("__component"))
+    # A component's least id decides, then its first row; both come from one aggregate, combined before the shuffle.
+    least = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("__row")))["__row"]
+    keep = rows.select("__row", id_col).join(ids, "__row").groupBy("__component").agg(least.alias("__row")).select("__row")
+    return rows.join(keep, "__row", "left_semi").select(own)

@@ -289,3 +289,11 @@ def score(df: DataFrame, model: Model, text_col: str = "text", threshold: float
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *ADDED.names])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *ADDED.fields]))
+
+
+def drop_flagged(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `df` whose score stays below the threshold, with their own columns."""
+    own = df.columns
+    clash = {c: f"__own_{c}" for c in own if c in ADDED.names}
+    scored = score(df.withColumnsRenamed(clash), model, clash.get(text_col, text_col), threshold)
+    return scored.where("predicted = 0").drop(*ADDED.names).withColumnsRenamed({v: k for k, v in clash.items()}).select(own)
