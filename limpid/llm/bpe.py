@@ -23,98 +23,117 @@ from limpid.llm.common import python_stages
 from limpid.llm.units import Encoder
 
 
-class Merges:
+#: Above all ranks.
+NONE = 1 << 31
+
+
+def read_ranks(content: bytes) -> dict[bytes, int]:
     """A rank file: a token for each line, in base 64, with its rank, which is also its id."""
+    return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines()) if token}
+
+
+class Merges:
+    """The merges of a rank file."""
 
     def __init__(self, content: bytes, pattern: str):
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines()) if token}
-        self.tokens = dict(map(reversed, self.ranks.items()))
-        self.bytes = [self.ranks[bytes([b])] for b in range(256)]
+        self.ranks = read_ranks(content)
+        self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)])
         self.split = regex.compile(pattern).findall
-        self.pairs: dict[tuple[int, int], int] = {}
-
-    def merged(self, a: int, b: int) -> int:
-        """Id of the two tokens together, -1 if there is none."""
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) > 1 << 20:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
-        return found
+        pairs = sorted((self.ranks[t[:i]] << 32 | self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks)
+        self.pair_keys, self.pair_values = np.array(pairs, dtype=np.int64).reshape(-1, 2).T.copy() if pairs else np.array([[-1], [NONE]])
 
     def one_by_one(self, word: bytes) -> list[int]:
         """The plain rule: merge the leftmost pair of least rank until no pair has one."""
-        ids = [self.bytes[b] for b in word]
-        while len(ids) > 1:
-            rank, at = min(((r, i) for i in range(len(ids) - 1) if (r := self.merged(ids[i], ids[i + 1])) >= 0), default=(-1, 0))
-            if rank < 0:
+        parts = [bytes([b]) for b in word]
+        while len(parts) > 1:
+            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], NONE), i) for i in range(len(parts) - 1))
+            if rank == NONE:
                 break
-            ids[at : at + 2] = [rank]
-        return ids
-
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word.  A word that is a token is that token; all others are merged together, in rank order."""
-        merged, todo = self.merged, [w for w in words if w not in self.ranks]
-        ids = [self.bytes[b] for w in todo for b in w]
-        starts = np.cumsum([0, *map(len, todo)]).tolist()
-        after, before, owner = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1)), [0] * len(ids)
-        for k, (a, b) in enumerate(zip(starts, starts[1:])):
-            before[a], after[b - 1] = -1, -1
-            owner[a:b] = [k] * (b - a)
-        places: dict[int, list[int]] = {}
-        for p, q in enumerate(after):
-            if q >= 0 and (rank := merged(ids[p], ids[q])) >= 0:
-                places.setdefault(rank, []).append(p)
-        queue, plain = list(places), set()
-        heapq.heapify(queue)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return [self.ranks[p] for p in parts]
+
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, NONE if the two together are no token."""
+        key = (left.astype(np.int64) << 32) | right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_values[at], NONE)
+
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, as little-endian 32-bit integers.  A word that is a token is that token; all others are
+        merged together, in rank order."""
+        todo = [w for w in words if w not in self.ranks]
+        starts = np.cumsum([0, *map(len, todo)])
+        ids = self.bytes[np.frombuffer(b"".join(todo), np.uint8)]
+        place = np.arange(len(ids))
+        after, before = place + 1, place - 1
+        after[starts[1:] - 1], before[starts[:-1]] = -1, -1  # words are not empty
+        ranks = np.full(len(ids), NONE)
+        index: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def file(at: np.ndarray) -> np.ndarray:
+            """Look the pairs at these places up and file them; the ranks found."""
+            at = at[after[at] >= 0]
+            ranks[at] = found = self.pair_ranks(ids[at], ids[after[at]])
+            at, found = at[found < NONE], found[found < NONE]
+            order = np.argsort(found, kind="stable")
+            at, found = at[order], found[order]
+            cuts = np.flatnonzero(found[1:] != found[:-1]) + 1
+            for rank, some in zip(found[np.concatenate([[0], cuts])].tolist() if len(found) else [], np.split(at, cuts)):
+                if rank not in index:
+                    index[rank] = []
+                    heapq.heappush(queue, rank)
+                index[rank].append(some)
+            return at[found < now]
+
+        now, late = -1, []
+        file(place)
         while queue:
-            rank = heapq.heappop(queue)
-            for p in sorted(places.pop(rank)):
-                q = after[p]
-                if ids[p] < 0 or q < 0 or merged(ids[p], ids[q]) != rank:
-                    continue  # a merge of one of the two came first
-                after[p] = r = after[q]
-                ids[p], ids[q] = rank, -1
-                if r >= 0:
-                    before[r] = p
-                for left, right, at in ((before[p], p, before[p]), (p, r, p)):
-                    if left >= 0 and right >= 0 and (new := merged(ids[left], ids[right])) >= 0:
-                        if new < rank:
-                            plain.add(owner[p])  # a lower rank comes up late: this word's order is not the corpus order
-                        if new not in places:
-                            places[new] = []
-                            heapq.heappush(queue, new)
-                        places[new].append(at)
-        found = []
-        for k, a in enumerate(starts[:-1]):
-            if k in plain:
-                found.append(self.one_by_one(todo[k]))
+            now = heapq.heappop(queue)
+            filed = index.pop(now)
+            at = filed[0] if len(filed) == 1 else np.unique(np.concatenate(filed))
+            at = at[ranks[at] == now]  # others were touched since they were filed
+            if not len(at):
                 continue
-            own = []
-            while a >= 0:
-                own.append(ids[a])
-                a = after[a]
-            found.append(own)
+            # In a run of overlapping pairs, as in aaaa, every second one is merged, from the left.
+            overlap = after[at[:-1]] == at[1:]
+            if overlap.any():
+                first = np.flatnonzero(np.concatenate([[True], ~overlap]))
+                in_run = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+                at = at[in_run % 2 == 0]
+            gone = after[at]
+            follow = after[gone]
+            ids[at], after[at], ranks[at], ranks[gone], ids[gone] = now, follow, NONE, NONE, -1
+            before[follow[follow >= 0]] = at[follow >= 0]
+            left = before[at]
+            touched = np.concatenate([left[left >= 0], at])
+            late.append(file(np.unique(touched) if overlap.any() else touched))
+        merged = ids >= 0
+        flat, ends = ids[merged].astype("<u4").tobytes(), (4 * np.concatenate([[0], np.cumsum(merged)])[starts]).tolist()
+        found = [flat[a:b] for a, b in zip(ends, ends[1:])]
+        # Where a lower rank came up late, a word's own order is not the order of the corpus.
+        for k in np.unique(np.searchsorted(starts, np.concatenate([*late, place[:0]]), side="right") - 1).tolist():
+            found[k] = np.array(self.one_by_one(todo[k]), "<u4").tobytes()
         rest = iter(found)
-        return [[self.ranks[w]] if w in self.ranks else next(rest) for w in words]
+        return [np.array([self.ranks[w]], "<u4").tobytes() if w in self.ranks else next(rest) for w in words]
 
     def encode_parts(self, parts: list[str]) -> list[bytes]:
-        words = [[w.encode() for w in self.split(p)] for p in parts]
+        words = [self.split(p) for p in parts]
         distinct = list({w for own in words for w in own})
-        known = {w: np.array(i, "<u4").tobytes() for w, i in zip(distinct, self.replay(distinct), strict=True)}
-        return [b"".join([known[w] for w in own]) for own in words]
+        known = dict(zip(distinct, self.replay([w.encode() for w in distinct]), strict=True))
+        return [known[own[0]] if len(own) == 1 else b"".join([known[w] for w in own]) for own in words]
 
 
-_WORKER: dict[bytes, tuple[Merges, Encoder]] = {}
+#: What a worker has loaded: the vocabulary's digest, and the encoder or the tokens by id.
+_WORKER: dict[bytes, Encoder | dict[int, bytes]] = {}
 
 
-def _loaded(content: bytes, pattern: str) -> tuple[Merges, Encoder]:
-    """One vocabulary, with what it remembers, for all tasks of a worker."""
-    key = hashlib.sha1(content + pattern.encode()).digest()
+def _loaded(purpose: bytes, content: bytes, pattern: str):
+    """One vocabulary, with what its encoder remembers, for all tasks of a worker."""
+    key = hashlib.sha1(purpose + content + pattern.encode()).digest()
     if key not in _WORKER:
-        merges = Merges(content, pattern)
         _WORKER.clear()
-        _WORKER[key] = merges, Encoder(merges.encode_parts)
+        _WORKER[key] = Encoder(Merges(content, pattern).encode_parts, "<u4") if purpose == b"encode" else {r: t for t, r in read_ranks(content).items()}
     return _WORKER[key]
 
 
@@ -133,11 +152,10 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text",
     shared = spark.sparkContext.broadcast((_read(vocabulary), pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _loaded(*shared.value)[1]
+        encoder = _loaded(b"encode", *shared.value)
         for batch in batches:
-            found = encoder.encode([t or "" for t in batch.column(text_col).to_pylist()])
-            offsets = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))
+            found, starts = encoder.encode(batch.column(text_col).cast(pa.string()))
+            ids = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(found.view("<i4")))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, ids_col])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
@@ -152,7 +170,7 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids_col: str = "ids", b
     shared = spark.sparkContext.broadcast((_read(vocabulary), pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _loaded(*shared.value)[0].tokens.__getitem__
+        token = _loaded(b"decode", *shared.value).__getitem__
         for batch in batches:
             column = batch.column(ids_col)
             ids, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()

@@ -1,8 +1,8 @@
 """Splitting a text where a byte-level tokenizer always splits, so that each distinct part is encoded only once.
 
 The pre-tokenizer's pattern never lets a token run from a character that is not white space into a space or a line
-feed, and what it matches from such a place on does not depend on what came before.  Encoding the parts on their own
-and joining the ids therefore gives the ids of the whole text.
+feed, nor from a letter into a full stop or comma, and what it matches from such a place on does not depend on what
+came before.  Encoding the parts on their own and joining the ids therefore gives the ids of the whole text.
 """
 
 from __future__ import annotations
@@ -10,44 +10,67 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-#: White space before a space or line feed: then neither of them need be a place to split.  Python's class holds all
-#: that Unicode calls white space and more, which only makes a part longer.
-UNUSUAL = re.compile(r"\s[ \n]")
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: White space before a space or line feed: then neither of them need be a place to split.  The class holds all that
+#: any of the libraries calls white space, which only makes a part longer.  \0 marks the start of a text below.
+_WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+UNUSUAL = rf"[{_WHITE}][ \n]|\x00"
 PLACES = re.compile(r"(?<=\S)(?=[ \n])")
-#: Characters (and a share for the entry itself) that a worker remembers.
-MEMORY = 96 << 20
+#: Bytes that a worker may spend on parts it remembers, about, and what an entry takes besides its characters.
+MEMORY, ENTRY = 96 << 20, 140
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit integers.  `encode_parts` maps a list of distinct parts to their ids."""
+    """Ids of texts.  `encode_parts` maps a list of distinct parts to the bytes of their ids, each of type `kind`."""
 
-    def __init__(self, encode_parts: Callable[[list[str]], list[bytes]]):
-        self.encode_parts = encode_parts
-        self.whole: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}  # by the part without its leading space; keys with a line feed stand for themselves
+    def __init__(self, encode_parts: Callable[[list[str]], list[bytes]], kind: np.dtype, memory: int = MEMORY):
+        self.encode_parts, self.kind, self.memory = encode_parts, np.dtype(kind), memory
+        # Parts by name: \0 and a whole part, or a part without its leading space, or one that starts with a line feed.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plans, whole, spaced = [], set(), set()
-        for text in texts:
-            if UNUSUAL.search(text):
-                plan = PLACES.split(text), ()
-                whole.update(plan[0])
-            else:
-                first, *rest = text.replace("\n", " \n").split(" ")
-                plan = (first,), rest
-                whole.add(first)
-                spaced.update(rest)
-            plans.append(plan)
-        self._learn(whole, spaced)
-        return [b"".join([*map(self.whole.__getitem__, a), *map(self.spaced.__getitem__, b)]) for a, b in plans]
-
-    def _learn(self, whole: set[str], spaced: set[str]) -> None:
-        if self.held > MEMORY:
-            self.whole, self.spaced, self.held = {}, {}, 0
-        new_whole = [p for p in whole if p not in self.whole]
-        new_spaced = [p for p in spaced if p not in self.spaced]
-        ids = self.encode_parts(new_whole + [p if p[:1] == "\n" else " " + p for p in new_spaced])
-        self.whole.update(zip(new_whole, ids[: len(new_whole)], strict=True))
-        self.spaced.update(zip(new_spaced, ids[len(new_whole) :], strict=True))
-        self.held += sum(len(p) + 200 for p in new_whole) + sum(len(p) + 200 for p in new_spaced)
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's ids start, and the end)."""
+        texts = pc.fill_null(texts, "")
+        unusual = pc.match_substring_regex(texts, UNUSUAL).to_numpy(zero_copy_only=False)
+        if not unusual.any():
+            return self._encode(pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\0"), texts, ""), "\n", " \n"), " "))
+        ids, starts = self.encode(texts.filter(pa.array(~unusual)))
+        parts = [["\0" + p for p in PLACES.split(t)] for t in texts.filter(pa.array(unusual)).to_pylist()]
+        odd_ids, odd_starts = self._encode(pa.array(parts, pa.list_(pa.string())))
+        usual, odd = iter(np.split(ids, starts[1:-1])), iter(np.split(odd_ids, odd_starts[1:-1]))
+        merged = [next(odd if u else usual) for u in unusual.tolist()]
+        return np.concatenate(merged), np.cumsum([0, *map(len, merged)])
+
+    def _encode(self, parts: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        coded = parts.flatten().dictionary_encode()
+        names, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        found = self._learn(names)
+        size = np.array([len(x) for x in found], dtype=np.int64) // self.kind.itemsize
+        start = np.cumsum(size) - size
+        lengths = size[index]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        gather = np.repeat(start[index] - ends[:-1], lengths) + np.arange(ends[-1])
+        return np.frombuffer(b"".join(found), self.kind)[gather], ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+
+    def _learn(self, names: list[str]) -> list[bytes]:
+        """Ids of distinct names, from memory or encoded."""
+        if self.held > self.memory / 2:
+            # What is used from now on stays; the rest goes the next time.
+            self.older, self.known, self.held = self.known, {}, 0
+        known, older, start = self.known, self.older, len(self.known)
+        new = [n for n in names if n not in known]
+        known.update((n, older[n]) for n in new if n in older)
+        unknown = [n for n in new if n not in known]
+        # A full stop or comma after a letter, of an alphabet that all versions of Unicode agree on, is a part itself.
+        marked = [n for n in unknown if n[-1:] in ".," and n[-2:-1].isalpha() and n[-2] < "ɐ"]
+        todo = list(({"\0.", "\0,"} | set(unknown).difference(marked) | {n[:-1] for n in marked}).difference(known))
+        known.update(zip(todo, self.encode_parts([n[1:] if n[:1] == "\0" else n if n[:1] == "\n" else " " + n for n in todo]), strict=True))
+        for n in marked:
+            known[n] = known[n[:-1]] + known["\0" + n[-1]]
+        self.held += sum(map(len, new)) + ENTRY * (len(known) - start)
+        return [known[n] for n in names]
