@@ -1,8 +1,8 @@
 """Token ids in Arrow stream files of equal-length sequences.
 
 A shard is a run of documents in ascending id order.  Its ids, each document's followed by an end id, are one stream
-cut into sequences: batches of two fixed-size-list columns, ids (uint32) and mask (uint8, 0 on the padding of the last
-sequence).  A memory-mapped file gives any sequence without copying.  A second file beside it holds the documents of
+cut into sequences: batches of two fixed-size-list columns, ids (uint16 if the vocabulary allows, else uint32) and mask
+(a bit, false on the padding of the last sequence).  A memory-mapped file gives any sequence without copying.  A second file beside it holds the documents of
 the shard with their places in the stream.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,9 @@ SEQUENCE = 2048
 BATCH_SEQUENCES = 256
 MANIFEST = "shard int, sequences string, documents string, n_tokens long, n_documents long"
 
+#: Bytes of remembered parts; a worker of this operator does nothing else.
+MEMORY = 224 << 20
+
 _WORKER: dict[bytes, Encoder] = {}
 
 
@@ -42,11 +46,13 @@ def _encoder(content: bytes) -> Encoder:
         tokenizer = Tokenizer.from_str(content.decode())
         tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
 
+        kind = np.dtype("<u2" if max(tokenizer.get_vocab().values()) < 1 << 16 else "<u4")
+
         def encode_parts(parts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+            return [array(kind.char, e.ids).tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
         _WORKER.clear()
-        _WORKER[key] = Encoder(encode_parts)
+        _WORKER[key] = Encoder(encode_parts, kind, MEMORY)
     return _WORKER[key]
 
 
@@ -54,25 +60,25 @@ def _file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def sequence_schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def sequence_schema(length: int, kind: np.dtype) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class ShardWriter:
     """Writes a stream of ids as sequences, holding one batch at most (and one document)."""
 
-    def __init__(self, path: str, length: int, batch_sequences: int):
+    def __init__(self, path: str, length: int, batch_sequences: int, kind: np.dtype):
         system, inner = _file_system(path)
         self.sink = system.open_output_stream(inner)
-        self.schema = sequence_schema(length)
+        self.schema, self.kind = sequence_schema(length, kind), kind
         self.file = pa.ipc.new_stream(self.sink, self.schema)
-        self.length, self.batch_bytes = length, 4 * length * batch_sequences
+        self.length, self.batch_bytes = length, kind.itemsize * length * batch_sequences
         self.parts, self.held, self.n_tokens = [], 0, 0
 
     def add(self, ids: bytes) -> None:
         self.parts.append(ids)
         self.held += len(ids)
-        self.n_tokens += len(ids) // 4
+        self.n_tokens += len(ids) // self.kind.itemsize
         if self.held >= self.batch_bytes:
             data = b"".join(self.parts)
             cut = len(data) - len(data) % self.batch_bytes
@@ -81,10 +87,10 @@ class ShardWriter:
             self.parts, self.held = [data[cut:]], len(data) - cut
 
     def _batch(self, data: bytes) -> None:
-        ids = np.frombuffer(data, "<u4")
+        ids = np.frombuffer(data, self.kind)
         padding = -len(ids) % self.length
-        mask = np.concatenate([np.ones(len(ids), np.uint8), np.zeros(padding, np.uint8)])
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(values), self.length) for values in (np.concatenate([ids, np.zeros(padding, np.uint32)]), mask)]
+        mask = np.arange(len(ids) + padding) < len(ids)
+        columns = [pa.FixedSizeListArray.from_arrays(pa.array(values), self.length) for values in (np.concatenate([ids, np.zeros(padding, self.kind)]), mask)]
         self.file.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
     def close(self) -> None:
@@ -106,14 +112,11 @@ class TokenFile:
     def __len__(self) -> int:
         return sum(b.num_rows for b in self.batches)
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of a sequence, as views of the file."""
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of a sequence, both views of the file."""
         batch, row = self.batches[k // self.per_batch], k % self.per_batch
-        views = []
-        for column in batch.columns:
-            length = column.type.list_size
-            views.append(column.flatten().to_numpy()[row * length : (row + 1) * length])
-        return views[0], views[1]
+        ids, mask = (column.flatten().slice(row * column.type.list_size, column.type.list_size) for column in batch.columns)
+        return ids.to_numpy(), mask
 
 
 def write(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, *,
@@ -133,7 +136,8 @@ def write(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     ordered = rows.repartitionByRange(F.asc_nulls_first("id"), "tie").sortWithinPartitions(F.asc_nulls_first("id"), "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(shared.value), np.array([end_id], "<u4").tobytes()
+        encoder = _encoder(shared.value)
+        kind = encoder.kind
         writer = index = None
         shard, documents = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -143,15 +147,15 @@ def write(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
                 name = f"{folder}/{shard:06d}-{uuid.uuid4().hex}"
                 system, inner = _file_system(folder)
                 system.create_dir(inner, recursive=True)
-                writer = ShardWriter(f"{name}.sequences.arrows", length, batch_sequences)
+                writer = ShardWriter(f"{name}.sequences.arrows", length, batch_sequences, kind)
                 index_sink = system.open_output_stream(_file_system(f"{name}.documents.arrows")[1])
                 schema = pa.schema([("id", batch.schema.field("id").type), ("start", pa.int64()), ("n_tokens", pa.int64())])
                 index = pa.ipc.new_stream(index_sink, schema)
-            starts, sizes = [], []
-            for ids in encoder.encode(batch.column("text").to_pylist()):
-                starts.append(writer.n_tokens)
-                writer.add(ids + end)
-                sizes.append(len(ids) // 4 + 1)
+            ids, ends = encoder.encode(batch.column("text"))
+            # One more place for the end id of every document.
+            base, own = writer.n_tokens, np.diff(ends) + 1
+            starts, sizes = base + np.cumsum(own) - own, own
+            writer.add(np.insert(ids, ends[1:], end_id).tobytes())
             index.write_batch(pa.RecordBatch.from_arrays([batch.column("id"), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=schema))
             documents += batch.num_rows
         if writer is not None:
@@ -187,7 +191,7 @@ def _read_shard(sequences: str, documents: str, base: int) -> Iterator[pa.Record
         return pa.ipc.open_stream(pa.memory_map(inner) if isinstance(system, fs.LocalFileSystem) else system.open_input_file(inner))
 
     stream = iter(opened(sequences))
-    held, at = np.zeros(0, np.uint32), 0
+    held, at = np.zeros(0, "<u4"), 0
     for batch in opened(documents):
         sums = []
         for n in batch.column("n_tokens").to_pylist():
@@ -195,9 +199,10 @@ def _read_shard(sequences: str, documents: str, base: int) -> Iterator[pa.Record
             while n:
                 if at == len(held):
                     part = next(stream)
-                    held, at = part.column("ids").flatten().to_numpy()[part.column("mask").flatten().to_numpy() == 1], 0
+                    # Only the last sequence ends in padding.
+                    held, at = part.column("ids").flatten().to_numpy().astype("<u4")[: part.column("mask").flatten().true_count], 0
                 took = held[at : at + n]
-                crc, at, n = zlib.crc32(np.ascontiguousarray(took, "<u4"), crc), at + len(took), n - len(took)
+                crc, at, n = zlib.crc32(took, crc), at + len(took), n - len(took)
             sums.append(crc)
         starts = pa.array(batch.column("start").to_numpy() + base)
         yield pa.RecordBatch.from_arrays([batch.column("id"), starts, batch.column("n_tokens"), pa.array(sums, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
