@@ -16,7 +16,7 @@ from limpid.operators import scale
 #: ASCII white space, the class [\x20\x09-\x0D], as Java and RE2 patterns write it.
 SPACE = r"\x20\x09-\x0D"
 #: Arrow batches towards Python are cut at this many bytes, so that long texts do not pile up in a worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: A group below this many rows is never worth splitting.
 SMALLEST_HOT = 1000
 
@@ -54,7 +54,7 @@ def python_stages(spark: SparkSession) -> None:
     """Prepare Python stages: the workers know this package, and one Arrow batch is bounded in rows and bytes."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
