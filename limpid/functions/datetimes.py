@@ -10,17 +10,22 @@ from pyspark.sql import types as T
 
 from limpid.functions.text import quote, strip
 
-# Shapes of date text.  Each is rewritten to ISO text, so that one native cast, which never throws,
-# reads them all.  Month comes before day unless the first number cannot be a month.
-_CLOCK = r"(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?"
-ISO_SHAPE = rf"^\d{{4}}[-/]\d{{1,2}}[-/]\d{{1,2}}{_CLOCK}$"
-MONTH_FIRST = rf"^(0?[1-9]|1[0-2])[-/](\d{{1,2}})[-/](\d{{4}})({_CLOCK})$"
-DAY_FIRST = rf"^(1[3-9]|2\d|3[01])[-/](\d{{1,2}})[-/](\d{{4}})({_CLOCK})$"
+# Date text is rewritten to ISO text, so that one native cast, which never throws, reads it.  Text is
+# a date, with a weekday name before it or a clock after it.  Month comes before day unless the first
+# number cannot be a month; two-digit years up to 68 are of this century.
+# The spellings of dates and clocks.
+ISO_SHAPE = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?$"
+WEEKDAY = r"(?i)^(?:mon|tues?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?\.?,?\s+"
+CLOCK = r"(?i)(?:[Tt]|,?\s+)(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,9})?))?(?:\s*([ap])\.?m\.?)?\s*(z|utc|gmt|[-+]\d{2}:?\d{2})?$"
+YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$"
+MONTH_FIRST = r"^(0?[1-9]|1[0-2])[-/.](\d{1,2})[-/.](\d{4}|\d{2})$"
+DAY_FIRST = r"^(1[3-9]|2\d|3[01])[-/.](\d{1,2})[-/.](\d{4}|\d{2})$"
 COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
-_MONTH = (r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?"
-          r"|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)")
-DAY_NAME_YEAR = rf"(?i)^(\d{{1,2}}) {_MONTH},? (\d{{4}})$"
-NAME_DAY_YEAR = rf"(?i)^{_MONTH} (\d{{1,2}}),? (\d{{4}})$"
+_MONTH = (r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?"
+          r"|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?")
+DAY_NAME_YEAR = rf"(?i)^(\d{{1,2}})(?:st|nd|rd|th)?[- ]{_MONTH},?[- ](\d{{4}}|\d{{2}})$"
+NAME_DAY_YEAR = rf"(?i)^{_MONTH}[- ](\d{{1,2}})(?:st|nd|rd|th)?(?:, ?|[- ])(\d{{4}})$"
+NAME_YEAR = rf"(?i)^{_MONTH},?[- ](\d{{4}})$"
 # First letters of the month names, three each.
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
@@ -44,21 +49,44 @@ def _month_number(name: Column) -> Column:
     return ((F.instr(F.lit(MONTHS), F.lower(F.left(name, F.lit(3)))) + 2) / 3).cast("int").cast("string")
 
 
-def _named(text: Column, shape: str, day: int, month: int) -> Column:
-    def part(i: int) -> Column:
-        return F.regexp_extract(text, shape, i)
+def _year(digits: Column) -> Column:
+    century = F.when(digits <= "68", "20").otherwise("19")
+    return F.when(F.length(digits) == 2, F.concat(century, digits)).otherwise(digits)
 
-    return F.concat_ws("-", part(3), _month_number(part(month)), part(day))
+
+def iso_date(text: Column) -> Column:
+    """ISO text of a date without clock, NULL for other shapes."""
+    def read(shape: str, year: int, month: int, day: int | None, named: bool = False):
+        def part(i: int) -> Column:
+            return F.regexp_extract(text, shape, i)
+
+        found = _month_number(part(month)) if named else part(month)
+        return text.rlike(shape), F.concat_ws("-", _year(part(year)), found, part(day) if day else F.lit("1"))
+
+    shapes = [read(YEAR_FIRST, 1, 2, 3), read(MONTH_FIRST, 3, 1, 2), read(DAY_FIRST, 3, 2, 1), read(COMPACT, 1, 2, 3),
+              read(DAY_NAME_YEAR, 3, 2, 1, named=True), read(NAME_DAY_YEAR, 3, 1, 2, named=True), read(NAME_YEAR, 2, 1, None, named=True)]
+    out = F.when(*shapes[0])
+    for fits, date in shapes[1:]:
+        out = out.when(fits, date)
+    return out
 
 
 def iso_text(text: Column) -> Column:
-    """ISO text of stripped date text, NULL for other shapes."""
+    """ISO text of stripped date text, with its clock and zone; NULL for other shapes."""
+    bare = F.regexp_replace(text, WEEKDAY, "")
+
+    def clock(i: int) -> Column:
+        return F.regexp_extract(bare, CLOCK, i)
+
+    hour, half = clock(1).cast("int"), F.lower(clock(4))
+    hour24 = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
+    second = F.when(clock(3) == "", "00").otherwise(F.left(clock(3), F.lit(9)))  # microseconds
+    zone = F.when(F.lower(clock(5)).isin("z", "utc", "gmt"), "Z").otherwise(F.regexp_replace(clock(5), r"^(...)(\d\d)$", "$1:$2"))
+    # A clock that cannot be is NULL, and so is the whole text.
+    at = F.concat(F.lpad(hour24.cast("string"), 2, "0"), F.lit(":"), clock(2), F.lit(":"), second, zone)
+    date = iso_date(F.regexp_replace(bare, CLOCK, ""))
     return (F.when(text.rlike(ISO_SHAPE), F.translate(text, "/", "-"))
-            .when(text.rlike(MONTH_FIRST), F.regexp_replace(text, MONTH_FIRST, "$3-$1-$2$4"))
-            .when(text.rlike(DAY_FIRST), F.regexp_replace(text, DAY_FIRST, "$3-$2-$1$4"))
-            .when(text.rlike(COMPACT), F.regexp_replace(text, COMPACT, "$1-$2-$3"))
-            .when(text.rlike(DAY_NAME_YEAR), _named(text, DAY_NAME_YEAR, day=1, month=2))
-            .when(text.rlike(NAME_DAY_YEAR), _named(text, NAME_DAY_YEAR, day=2, month=1)))
+            .when(bare.rlike(CLOCK), F.concat(date, F.lit(" "), at)).otherwise(date))
 
 
 def to_timestamp(v: Column, dtype: T.DataType, formats: list[str] | None = None) -> Column:
@@ -119,7 +147,7 @@ def with_clock_time(df: DataFrame, column: str) -> DataFrame:
     hour24 = F.when(half.isNull(), hour).when(hour <= 12, hour % 12 + F.when(half == "p", 12).otherwise(0))
     valid = (F.col("__found") != "") & (F.col("__h") <= 23) & (F.col("__m") <= 59) & (F.col("__s") <= 59)
     clock = F.concat(F.lpad(F.col("__h").cast("string"), 2, "0"), F.lit(":"), F.lpad(F.col("__m").cast("string"), 2, "0"))
-    as_date = F.date_format(to_timestamp(quote(column), T.StringType()), "yyyy-MM-dd HH:mm")
+    as_date = F.date_format(iso_text(F.col("__text")).try_cast("timestamp"), "yyyy-MM-dd HH:mm")
     result = (F.when(F.lower("__text").isin(NO_TIME), None).when(valid, clock)
               .otherwise(F.coalesce(as_date, quote(column))))
     return (parts.withColumn("__h", hour24).withColumn(column, result)

@@ -6,7 +6,8 @@ range buckets, so matching is one equi-join and no step sees a whole table in on
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,12 +42,12 @@ def align(clean: DataFrame, truth: DataFrame, clean_order: list[str], truth_orde
           key: list[str] | None = None) -> DataFrame:
     """pos, one struct column "c" of cleaned and "t" of truth values over the common columns.
 
-    By position: row i against row i, up to the shorter table.  By key: equal keys (unique in
-    both); pos is then the position of the cleaned row.
+    By position: row i against row i, up to the shorter table.  By key (unique in both, NULL keys
+    meet nothing): every row of either table; one without a partner has a NULL struct on the other
+    side and counts as a mismatch in every cell.  pos is then a hash of the key, which keeps no order.
     """
     names = common_columns(clean, truth)
     truth_order = truth_order or clean_order
-    left = scale.with_position(clean, clean_order, "__pos")
     cells_c = F.struct(*[quote(c).alias(c) for c in names]).alias("c")
     cells_t = F.struct(*[quote(c).alias(c) for c in names]).alias("t")
     if key:
@@ -54,8 +55,9 @@ def align(clean: DataFrame, truth: DataFrame, clean_order: list[str], truth_orde
         _require_unique(truth, key)
         keys = [quote(k).alias(f"__k{i}") for i, k in enumerate(key)]
         on = [f"__k{i}" for i in range(len(key))]
-        joined = left.select(F.col("__pos").alias("pos"), cells_c, *keys).join(truth.select(cells_t, *keys), on)
+        joined = clean.select(cells_c, *keys).join(truth.select(cells_t, *keys), on, "full").withColumn("pos", F.xxhash64(*on))
     else:
+        left = scale.with_position(clean, clean_order, "__pos")
         right = scale.with_position(truth, truth_order, "__pos")
         joined = (left.select(F.col("__pos").alias("pos"), cells_c)
                   .join(right.select(F.col("__pos").alias("pos"), cells_t), "pos"))
@@ -64,7 +66,8 @@ def align(clean: DataFrame, truth: DataFrame, clean_order: list[str], truth_orde
 
 def _require_unique(df: DataFrame, key: list[str]) -> None:
     """A repeated key would pair every copy with every copy."""
-    repeated = df.groupBy(*scale.columns_of(key)).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    complete = df.where(functools.reduce(Column.__and__, [quote(k).isNotNull() for k in key]))
+    repeated = complete.groupBy(*scale.columns_of(key)).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if repeated.take(1):
         raise ValueError(f"key {key} is not unique")
 
@@ -83,7 +86,13 @@ class Comparison:
 
     def same(self, name: str) -> Column:
         c, t = self.pair(name)
-        return same_cell(c, self.types_c[name], t, self.types_t[name])
+        return F.col("c").isNotNull() & F.col("t").isNotNull() & same_cell(c, self.types_c[name], t, self.types_t[name])
+
+    def sides(self) -> DataFrame:
+        """rows, matched, only_clean, only_truth."""
+        has_c, has_t = F.col("c").isNotNull(), F.col("t").isNotNull()
+        return self.aligned.agg(F.count(F.lit(1)).alias("rows"), F.count_if(has_c & has_t).alias("matched"),
+                                F.count_if(~has_t).alias("only_clean"), F.count_if(~has_c).alias("only_truth"))
 
     def columns(self) -> DataFrame:
         """column, matches, total, both-null state matches, cells with a value on both sides and
@@ -91,12 +100,13 @@ class Comparison:
         flat = []
         for i, name in enumerate(self.names):
             c, t = self.pair(name)
-            flat += [F.lit(i), self.same(name), c.isNotNull(), t.isNotNull()]
-        cells = self.aligned.select(F.stack(F.lit(len(self.names)), *flat).alias("i", "same", "has_c", "has_t"))
+            state = F.col("c").isNotNull() & F.col("t").isNotNull() & (c.isNotNull() == t.isNotNull())
+            flat += [F.lit(i), self.same(name), c.isNotNull(), t.isNotNull(), state]
+        cells = self.aligned.select(F.stack(F.lit(len(self.names)), *flat).alias("i", "same", "has_c", "has_t", "state"))
         both = F.col("has_c") & F.col("has_t")
         counts = cells.groupBy("i").agg(
             F.count_if("same").alias("matches"), F.count(F.lit(1)).alias("total"),
-            F.count_if(F.col("has_c") == F.col("has_t")).alias("null_matches"),
+            F.count_if("state").alias("null_matches"),
             F.count_if(both).alias("valued"), F.count_if(both & F.col("same")).alias("value_matches"))
         names = F.array(*[F.lit(n) for n in self.names])
         return counts.select(F.get(names, F.col("i")).alias("column"), "matches", "total", "null_matches", "valued", "value_matches")
@@ -162,21 +172,17 @@ def summary(clean: DataFrame, truth: DataFrame, order: list[str], truth_order: l
     counts = (clean.count(), truth.count())
     if not match["common_columns"]:
         values = (0.0, 0.0, 0.0, 0.0, match["schema_f1"], *counts, 0, counts[0] == counts[1],
-                  "No common columns between cleaned and benchmark datasets.")
+                  "The tables share no column.")
         return scale.local_table(spark, [values], _SUMMARY)
-    aligned = align(clean, truth, order, truth_order, key).persist(StorageLevel.DISK_ONLY)
-    try:
-        compare = Comparison(aligned)
-        per_column = compare.columns().agg(*[F.sum(c).alias(c) for c in (
-            "matches", "total", "null_matches", "valued", "value_matches")])
-        cells = per_column.select(
-            _percent("matches", "total").alias("cell"), _percent("null_matches", "total").alias("null"),
-            _percent("value_matches", "valued", 100.0).alias("value")).first()
-        rows = row_accuracy(compare.row_matches()).first()
-    finally:
-        aligned.unpersist()
-    text = (f"Benchmark Accuracy: {cells['cell']}% cell-level match | {rows['row_exact_match_rate']}% exact row match | "
-            f"{cells['value']}% value accuracy (non-null) | Schema F1: {match['schema_f1']}")
+    compare = Comparison(scale.stage(align(clean, truth, order, truth_order, key), "aligned"))
+    per_column = compare.columns().agg(*[F.sum(c).alias(c) for c in (
+        "matches", "total", "null_matches", "valued", "value_matches")])
+    cells = per_column.select(
+        _percent("matches", "total").alias("cell"), _percent("null_matches", "total").alias("null"),
+        _percent("value_matches", "valued", 100.0).alias("value")).first()
+    rows = row_accuracy(compare.row_matches()).first()
+    text = (f"Agreement: {cells['cell']}% of cells, {rows['row_exact_match_rate']}% of whole rows, "
+            f"{cells['value']}% of cells with values on both sides; column names: F1 {match['schema_f1']}")
     values = (cells["cell"], rows["row_exact_match_rate"], cells["null"], cells["value"], match["schema_f1"],
               *counts, rows["rows"], counts[0] == counts[1], text)
     return scale.local_table(spark, [values], _SUMMARY)

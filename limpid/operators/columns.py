@@ -97,8 +97,11 @@ def replace_match(df: DataFrame, column: str, old):
     value = quote(column)
     if isinstance(dtype, T.StringType):
         return F.coalesce(text.strip(value) == str(old), F.lit(False))
-    typed = F.lit(str(old)).try_cast(dtype)
-    return F.coalesce(value == typed, F.lit(False))
+    if not isinstance(dtype, T.NumericType):
+        return F.coalesce(value == F.lit(str(old)).try_cast(dtype), F.lit(False))
+    # A plan in JSON may write -999 as -999.0.  As decimals both are equal, and long numbers stay exact.
+    kind = "double" if isinstance(dtype, (T.FloatType, T.DoubleType)) else "decimal(38,18)"
+    return F.coalesce(value.try_cast(kind) == F.lit(str(old)).try_cast(kind), F.lit(False))
 
 
 def replace(df: DataFrame, column: str, old, new) -> DataFrame:
@@ -111,6 +114,8 @@ def replace(df: DataFrame, column: str, old, new) -> DataFrame:
         target = F.lit(None).cast(dtype)
     elif isinstance(dtype, T.StringType):
         target = F.lit(str(new))
+    elif isinstance(dtype, T.IntegralType):
+        target = F.lit(str(new)).try_cast("decimal(38,18)").try_cast(dtype)
     else:
         target = F.lit(str(new)).try_cast(dtype)
     return df.withColumn(column, F.when(replace_match(df, column, old), target).otherwise(quote(column)))

@@ -129,11 +129,11 @@ def evaluate(raw: DataFrame, clean: DataFrame, target: str, order_by: list[str],
     spark = raw.sparkSession
     schema = "task_type string, metric string, raw double, clean double, improvement double, reason string"
     if target not in raw.columns or target not in clean.columns:
-        return scale.local_table(spark, [("skip", None, None, None, None, f"Target column '{target}' not found")], schema)
+        return scale.local_table(spark, [("skip", None, None, None, None, f"no column {target}")], schema)
     facts = task_type(raw, target).first()
     task = facts["task_type"]
     if task == "skip":
-        reason = f"Target has {facts['unique_count']} unique values, unsuitable for ML"
+        reason = f"{facts['unique_count']} different values are too many for classes"
         return scale.local_table(spark, [("skip", None, None, None, None, reason)], schema)
     before = score(raw, target, task, order_by, max_depth)
     after = score(clean, target, task, order_by, max_depth)

@@ -2,7 +2,10 @@
 
 A window over the whole table would run in one task.  Here rows are cut into range buckets; each
 bucket is filled locally and takes what reaches over its edge from a summary with one row per
-bucket.  Small groups need no buckets; hot groups are bucketed like a whole table.
+bucket.  Small groups need no buckets; hot groups are cut by (group, order).  Ties of the order are
+broken by a hash of the row, so every table has one order and any key may repeat or be NULL.
+The summary is joined by shuffle unless its real size, which adaptive execution sees, allows a
+broadcast; the rows are already partitioned by bucket.
 """
 
 from __future__ import annotations
@@ -22,38 +25,36 @@ class Layout:
     """Rows with their window partition: "__group" (NULL key kept apart) and "__bucket"."""
 
     rows: DataFrame
-    order: list[Column]
+    order: list[str]
     cut: DataFrame | None  # the rows of groups that are cut into several buckets
-    pieces: int  # most pieces the cut groups can have together
 
     def window(self, ascending: bool = True):
-        order = self.order if ascending else [c.desc() for c in self.order]
-        return Window.partitionBy("__group", "__bucket").orderBy(*order)
+        order = scale.columns_of(self.order)
+        return Window.partitionBy("__group", "__bucket").orderBy(*(order if ascending else [c.desc() for c in order]))
 
 
 def layout(df: DataFrame, order_by: list[str], group_by: str | None, group_rows: int | None = None,
            buckets: int | None = None) -> Layout:
-    order = scale.columns_of(order_by)
+    order, df = [*order_by, scale.TIE], scale.with_tie(df)
     if group_by is None:
-        ranges = scale.range_buckets(df, order_by, buckets=buckets)
+        ranges = scale.range_buckets(df, order, buckets=buckets)
         rows = df.withColumn("__group", F.lit(0)).withColumn("__bucket", ranges.bucket())
-        return Layout(rows, order, rows if ranges.count > 1 else None, ranges.count)
+        return Layout(rows, order, rows if ranges.count > 1 else None)
     key = quote(group_by)
     groups = scale.group_sizes(df, key, group_rows)
-    bucket, pieces = F.lit(0), 0
+    bucket = F.lit(0)
     if groups.hot:
         hot = df.where(groups.is_hot(key))
         if buckets is None:
-            largest = max(groups.hot.values())
-            buckets = min(scale.MAX_BUCKETS, 2 * math.ceil(largest / (group_rows or scale.GROUP_ROWS)))
-        ranges = scale.range_buckets(hot, order_by, buckets)
+            buckets = 2 * math.ceil(sum(groups.hot.values()) / (group_rows or scale.GROUP_ROWS))
+        # Bounds over (group, order): a group has as many pieces as its share of the hot rows.
+        ranges = scale.range_buckets(hot, [group_by, *[c for c in order if c != group_by]], buckets)
         bucket = F.when(groups.is_hot(key), ranges.bucket()).otherwise(0)
-        pieces = len(groups.hot) * ranges.count
     # Rows without a group are not filled here; spread them instead of giving them to one task.
-    spread = F.pmod(F.xxhash64(*order), F.lit(scale.MAX_SALTS)).cast("int")
+    spread = F.pmod(F.col(scale.TIE), F.lit(scale.NULL_PARTS)).cast("int")
     bucket = F.when(key.isNull(), spread).otherwise(bucket)
     rows = df.withColumn("__group", key).withColumn("__bucket", bucket)
-    return Layout(rows, order, rows.where(groups.is_hot(key)) if groups.hot else None, pieces)
+    return Layout(rows, order, rows.where(groups.is_hot(key)) if groups.hot else None)
 
 
 def carry(df: DataFrame, column: str, order_by: list[str], group_by: str | None = None, *,
@@ -68,10 +69,7 @@ def carry(df: DataFrame, column: str, order_by: list[str], group_by: str | None
     filled = parts.rows.withColumn("__near", F.last(value, ignorenulls=True).over(to_here))
     far = F.lit(None)
     if parts.cut is not None:
-        edges = _edges(parts, value, order_by, forward)
-        if parts.pieces <= scale.BROADCAST_ROWS:
-            edges = F.broadcast(edges)
-        filled = filled.join(edges, ["__group", "__bucket"], "left")
+        filled = filled.join(_edges(parts, value, forward), ["__group", "__bucket"], "left")
         far = F.col("__far")
     own = F.coalesce(value, F.col("__near"), far)
     if group_by is not None:
@@ -79,9 +77,9 @@ def carry(df: DataFrame, column: str, order_by: list[str], group_by: str | None
     return filled.withColumn(column, own).select(*scale.columns_of(df.columns))
 
 
-def _edges(parts: Layout, value: Column, order_by: list[str], forward: bool) -> DataFrame:
+def _edges(parts: Layout, value: Column, forward: bool) -> DataFrame:
     """Per piece of a cut group, the value that reaches it from the pieces before (after) it."""
-    key = F.when(value.isNotNull(), scale.order_key(order_by))
+    key = F.when(value.isNotNull(), scale.order_key(parts.order))
     edge = F.max_by(value, key) if forward else F.min_by(value, key)
     summary = parts.cut.groupBy("__group", "__bucket").agg(edge.alias("__edge"))
     order = F.col("__bucket") if forward else F.desc("__bucket")
@@ -96,10 +94,11 @@ def interpolate(df: DataFrame, column: str, order_by: list[str], *, buckets: int
     Leading nulls stay; trailing nulls take the last value.
     """
     value = quote(column).cast("double")
-    ranges = scale.range_buckets(df, order_by, buckets=buckets)
-    order = scale.columns_of(order_by)
+    tied, keys = scale.with_tie(df), [*order_by, scale.TIE]
+    ranges = scale.range_buckets(tied, keys, buckets=buckets)
+    order = scale.columns_of(keys)
     local = Window.partitionBy("__bucket").orderBy(*order)
-    rows = (df.withColumn("__bucket", ranges.bucket()).withColumn("__v", value)
+    rows = (tied.withColumn("__bucket", ranges.bucket()).withColumn("__v", value)
             .withColumn("__pos", F.row_number().over(local)))
     # The summary pass shuffles only the order key and the value.
     edge = F.when(F.col("__v").isNotNull(), F.col("__pos"))
@@ -123,7 +122,7 @@ def interpolate(df: DataFrame, column: str, order_by: list[str], *, buckets: int
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     near = (rows.withColumn("__prev", F.last(known, True).over(back))
             .withColumn("__next", F.last(known, True).over(forth))
-            .join(F.broadcast(reach), "__bucket", "left"))  # at most MAX_BUCKETS rows
+            .join(reach, "__bucket", "left"))
     offset = F.col("__offset")
     prev_v = F.coalesce(F.col("__prev.v"), F.col("__far_pv"))
     prev_p = F.coalesce(F.col("__prev.p") + offset, F.col("__far_pp"))

@@ -26,15 +26,17 @@ from limpid.functions.text import quote
 
 # A group above this many rows is not left to one task.
 GROUP_ROWS = 2_000_000
-# Target rows per range bucket, and the most buckets (their bounds are literals in the plan).
+# Target rows per range bucket; the number of buckets follows from the rows.
 BUCKET_ROWS = 1_000_000
-MAX_BUCKETS = 4096
+# Characters of a text key that a bucket's bound keeps.  Any prefix is a valid bound.
+BOUND_TEXT = 64
 # Largest table that is broadcast; rows and text bytes are always counted first.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
-# At most this many groups are handled as hot.  Any other group is smaller than 1/4096 of the rows.
+# At most this many groups are hot, so any other group is smaller than this share of the rows.
 MAX_HOT = 4096
-MAX_SALTS = 512
+# Parts that the rows without a group are spread over.
+NULL_PARTS = 512
 
 
 # --- staging -----------------------------------------------------------------------------------
@@ -81,6 +83,16 @@ def columns_of(names: list[str]) -> list[Column]:
     return [quote(name) for name in names]
 
 
+TIE = "__tie"
+
+
+def with_tie(df: DataFrame) -> DataFrame:
+    """Add a hash of the row that breaks ties of the order.  Rows that tie in it as well are equal in
+    all columns and may change places."""
+    hashable = [f.name for f in df.schema if f.name != TIE and "map<" not in f.dataType.simpleString()]
+    return df.withColumn(TIE, F.xxhash64(*columns_of(hashable)))
+
+
 def order_key(order_by: list[str]) -> Column:
     """One orderable value for the row order."""
     return quote(order_by[0]) if len(order_by) == 1 else F.struct(*columns_of(order_by))
@@ -92,6 +104,10 @@ def _literal(value) -> Column:
     return F.lit(value)
 
 
+def _short(df: DataFrame, name: str) -> Column:
+    return (F.left(quote(name), F.lit(BOUND_TEXT)) if isinstance(df.schema[name].dataType, T.StringType) else quote(name)).alias(name)
+
+
 @dataclass(frozen=True)
 class Ranges:
     """Sorted lower bounds of buckets 1..n; bucket 0 lies below the first bound."""
@@ -120,27 +136,23 @@ class Ranges:
 
 
 def range_buckets(df: DataFrame, order_by: list[str], buckets: int | None = None) -> Ranges:
-    """Bounds that cut the row order into buckets of about equal size.
-
-    The order must identify rows.  Equal keys would leave the row order undefined and could pile up
-    in one bucket, so a key with many ties is refused.
+    """Bounds that cut the rows, in the order of some columns, into buckets of about equal size.
 
-    They come from a sample chosen by a hash of the key, so a rerun gives the same bounds, and
-    they enter later plans as literals, so every pass assigns rows alike without stored state.
+    Equal keys fall into one bucket; add the tie column (with_tie) to the order to spread them, NULL
+    keys included.  The bounds come from a sample chosen by a hash of the key, so a rerun gives the
+    same bounds, and they enter later plans as one literal, so every pass assigns rows alike without
+    stored state.  There are about 32 sample rows and one bound per bucket.
     """
-    facts = df.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(order_key(order_by)).alias("keys")).first()
-    rows = facts["rows"]
-    if facts["keys"] < 0.7 * rows:
-        raise ValueError(f"{order_by} does not identify rows: about {facts['keys']} values in {rows} rows")
+    rows = df.count()
     if buckets is None:
         wanted = max(math.ceil(rows / BUCKET_ROWS), 2 * df.sparkSession.sparkContext.defaultParallelism)
-        buckets = min(wanted, MAX_BUCKETS, max(1, rows // 64))
+        buckets = min(wanted, max(1, rows // 64))
     if buckets <= 1:
         return Ranges(tuple(order_by), ())
     every = max(1, rows // (buckets * 32))
-    sample = (df.select(order_key(order_by).alias("key"))
-              .where(F.col("key").isNotNull() & (F.pmod(F.xxhash64("key"), F.lit(every)) == 0)))
-    # The sample has about 32 rows per bucket (at most 131072), so one task can tile it.
+    key = order_key(order_by)
+    chosen = df.where(F.pmod(F.xxhash64(*columns_of(order_by)), F.lit(every)) == 0)
+    sample = chosen.select(*[_short(df, c) for c in order_by]).select(key.alias("key")).where("key is not null")
     tiles = (sample.select("key", F.ntile(buckets).over(Window.orderBy("key")).alias("tile"))
              .groupBy("tile").agg(F.min("key").alias("key")).where("tile > 1").orderBy("key"))
     return Ranges(tuple(order_by), tuple(dict.fromkeys(r["key"] for r in tiles.collect())))
@@ -149,25 +161,31 @@ def range_buckets(df: DataFrame, order_by: list[str], buckets: int | None = None
 def with_position(df: DataFrame, order_by: list[str], name: str, ranges: Ranges | None = None) -> DataFrame:
     """Add the dense 0-based row position: bucket offset plus row number inside the bucket.
 
-    The only one-task step works on one row per bucket.
+    Ties of the order are broken by a hash of the row.  The only one-task step works on one row per
+    bucket.
     """
-    ranges = ranges or range_buckets(df, order_by)
-    bucketed = df.withColumn("__bucket", ranges.bucket())
+    order = [*order_by, TIE]
+    tied = with_tie(df)
+    ranges = ranges or range_buckets(tied, order)
+    bucketed = tied.withColumn("__bucket", ranges.bucket())
     sizes = bucketed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__size"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__bucket", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
-    local = Window.partitionBy("__bucket").orderBy(*columns_of(order_by))
+    local = Window.partitionBy("__bucket").orderBy(*columns_of(order))
     return (bucketed.withColumn("__local", F.row_number().over(local))
-            .join(F.broadcast(offsets), "__bucket", "left")  # at most MAX_BUCKETS rows
+            .join(offsets, "__bucket", "left")
             .withColumn(name, F.col("__offset") + F.col("__local") - 1)
-            .drop("__bucket", "__offset", "__local"))
+            .drop("__bucket", "__offset", "__local", TIE))
 
 
 # --- groups ------------------------------------------------------------------------------------
 
 @dataclass(frozen=True)
 class Groups:
-    """Size facts of a grouping: how many groups, and the rows of the hot ones."""
+    """Size facts of a grouping: how many groups, and the rows of the hot ones by hash of their key.
+
+    A group that shares its hash with a hot one is treated like it, which costs nothing but time.
+    """
 
     rows: int
     count: int
@@ -177,7 +195,11 @@ class Groups:
     def is_hot(self, key: Column) -> Column:
         if not self.hot:
             return F.lit(False)
-        return F.coalesce(key.isin(list(self.hot)), F.lit(False))
+        return key.isNotNull() & F.xxhash64(key).isin(list(self.hot))
+
+    def salts(self, spark: SparkSession, group_rows: int) -> DataFrame:
+        """(__hash, __salts): parts of each hot group; at most MAX_HOT rows of two numbers."""
+        return local_table(spark, [(h, math.ceil(n / group_rows) + 1) for h, n in self.hot.items()], "__hash bigint, __salts bigint")
 
 
 def group_sizes(df: DataFrame, key: Column, group_rows: int | None = None) -> Groups:
@@ -193,8 +215,9 @@ def groups_of(sizes: DataFrame, group_rows: int | None = None) -> Groups:
                       F.sum(F.octet_length(F.col("key").cast("string"))).alias("bytes")).first()
     hot = {}
     if total["largest"] and total["largest"] > group_rows:
-        largest = sizes.where(F.col("n") > group_rows).orderBy(F.desc("n")).limit(MAX_HOT)
-        hot = {r["key"]: r["n"] for r in largest.collect()}
+        largest = sizes.where(F.col("n") > group_rows).select(F.xxhash64("key").alias("hash"), "n").orderBy(F.desc("n"), "hash").limit(MAX_HOT)
+        for r in largest.collect():
+            hot[r["hash"]] = max(r["n"], hot.get(r["hash"], 0))
     return Groups(total["rows"] or 0, total["groups"], hot, total["bytes"] or 0)
 
 
@@ -208,18 +231,15 @@ def join_group_values(df: DataFrame, values: DataFrame, key: str, groups: Groups
     """
     if groups.count <= BROADCAST_ROWS and groups.key_bytes + _text_bytes(values) <= BROADCAST_BYTES:
         return df.join(F.broadcast(values), quote(key) == F.col("__group"), "left").drop("__group")
-    salts = 1
-    if groups.hot:
-        salts = min(MAX_SALTS, math.ceil(max(groups.hot.values()) / (group_rows or GROUP_ROWS)) + 1)
-    zero = F.lit(0).cast("bigint")
+    spark, zero = df.sparkSession, F.lit(0).cast("bigint")
+    parts = F.broadcast(groups.salts(spark, group_rows or GROUP_ROWS))
     row_hash = F.xxhash64(*columns_of(df.columns))
     # Rows without a group match nothing; negative salts spread them too.
-    salt = (F.when(quote(key).isNull(), -1 - F.pmod(row_hash, F.lit(MAX_SALTS)))
-            .when(groups.is_hot(quote(key)), F.pmod(row_hash, F.lit(salts))).otherwise(zero))
-    left = df.withColumn("__salt", salt)
-    every_salt = F.sequence(zero, F.lit(salts - 1).cast("bigint"))
-    repeats = F.when(groups.is_hot(F.col("__group")), every_salt).otherwise(F.array(zero))
-    right = values.withColumn("__right_salt", F.explode(repeats))
+    salt = (F.when(quote(key).isNull(), -1 - F.pmod(row_hash, F.lit(NULL_PARTS)))
+            .when(F.col("__salts").isNotNull(), F.pmod(row_hash, F.col("__salts"))).otherwise(zero))
+    left = df.join(parts, F.xxhash64(quote(key)) == F.col("__hash"), "left").withColumn("__salt", salt).drop("__hash", "__salts")
+    every_salt = F.sequence(zero, F.coalesce(F.col("__salts"), F.lit(1).cast("bigint")) - 1)
+    right = values.join(parts, F.xxhash64("__group") == F.col("__hash"), "left").withColumn("__right_salt", F.explode(every_salt)).drop("__hash", "__salts")
     matched = (quote(key) == F.col("__group")) & (F.col("__salt") == F.col("__right_salt"))
     return left.join(right, matched, "left").drop("__group", "__salt", "__right_salt")
 

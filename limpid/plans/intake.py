@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limpid.functions.text import repair_pattern, strip
+from limpid.functions.text import extract, quote, strip
 from limpid.operators import scale
 from limpid.operators.columns import extract_pattern
 from limpid.plans.issues import COLUMNS
@@ -71,23 +71,24 @@ def steps_table(spark: SparkSession, workflow) -> DataFrame:
     return scale.local_table(spark, rows, STEPS_SCHEMA)
 
 
-def lint(df: DataFrame, steps: DataFrame, order_by: list[str], rows: int = 1000) -> list[str]:
-    """Warnings about extract_pattern steps that match none of the first rows.
+def lint(df: DataFrame, steps: DataFrame) -> list[str]:
+    """Warnings about extract_pattern steps that match no row.
 
-    Plans written from a garbled example pattern parse well and then blank the column.
+    Plans written from a garbled example pattern parse well and then blank the column.  All patterns
+    are counted over all rows in one aggregate.
     """
-    warnings = []
-    head = df.orderBy(*scale.columns_of(order_by)).limit(rows)
+    warnings, counts = [], {}
     for step in steps.where("operation = 'extract_pattern'").collect():
         pattern = json.loads(step["params"] or "{}").get("pattern")
         if not pattern or step["column"] not in df.columns:
             continue
         try:
-            repair_pattern(pattern)
-            hits = extract_pattern(head, step["column"], pattern).agg(F.count("`" + step["column"] + "`")).first()[0]
+            extract_pattern(df, step["column"], pattern)
         except Exception as error:  # a pattern either engine rejects
             warnings.append(f"step {step['step_id']}: invalid pattern: {error}")
             continue
-        if hits == 0:
-            warnings.append(f"step {step['step_id']}: pattern matches none of the first {rows} rows")
+        counts[step["step_id"]] = F.count(extract(quote(step["column"]).cast("string"), pattern))
+    if counts:
+        hits = df.agg(*[n.alias(f"step{i}") for i, n in enumerate(counts.values())]).first()
+        warnings += [f"step {number}: its pattern matches no row" for number, n in zip(counts, hits) if not n]
     return warnings

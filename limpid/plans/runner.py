@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +53,7 @@ class Run:
 
     df: DataFrame
     order_by: list[str]
+    eager: bool = False
     rows: int | None = None
     flags: list[tuple[Entry, str]] = field(default_factory=list)
     log: list[Entry] = field(default_factory=list)
@@ -80,24 +82,37 @@ def parse_params(step) -> dict:
     return json.loads(step["params"] or "{}")
 
 
-def run(df: DataFrame, steps: DataFrame, order_by: list[str], stage: bool = True) -> tuple[DataFrame, DataFrame]:
+def run(df: DataFrame, steps: DataFrame, order_by: list[str], stage: bool = True, keep_order: bool = False) -> tuple[DataFrame, DataFrame]:
     """Clean `df`; returns (cleaned table, log table).
 
-    A failing step is logged as failed and leaves the table as it was.
+    The row order is frozen in the row id before the first step, so a step may drop, rename or split
+    the columns it comes from; `keep_order` leaves the row id in the result.  A failing step is logged
+    as failed and leaves the table as it was.  Steps are lazy; if one fails only when rows are read,
+    the plan runs again with every step computed at once, which shows the step to blame.
     """
     ordered_steps = execution_order(steps).orderBy("run_order").collect()  # a few rows per column
-    state = Run(columns.normalize_nulls(df), order_by)
+    frozen = df if order_by == [ROW_ID] else df.withColumn(ROW_ID, F.struct(*scale.columns_of(order_by)))
+    try:
+        state = _run_all(frozen, ordered_steps, stage, eager=False)
+        state.settle()
+    except PySparkException:
+        state = _run_all(frozen, ordered_steps, stage, eager=True)
+        state.settle()
+    log = scale.local_table(df.sparkSession, [e.row() for e in state.log], LOG_SCHEMA)
+    return state.df if keep_order or ROW_ID in df.columns else state.df.drop(ROW_ID), log
+
+
+def _run_all(df: DataFrame, steps: list, stage: bool, eager: bool) -> Run:
+    state = Run(columns.normalize_nulls(df), [ROW_ID], eager=eager)
     i = 0
-    while i < len(ordered_steps):
-        group = _fill_group(ordered_steps, i, state)
+    while i < len(steps):
+        group = [steps[i]] if eager else _fill_group(steps, i, state)
         if len(group) > 1:
             _run_fills(group, state)
         else:
-            _run_step(group[0], state, stage and i + 1 < len(ordered_steps))
+            _run_step(group[0], state, stage and i + 1 < len(steps))
         i += len(group)
-    state.settle()
-    log = scale.local_table(df.sparkSession, [e.row() for e in state.log], LOG_SCHEMA)
-    return state.df, log
+    return state
 
 
 def _entry(step) -> Entry:
@@ -150,33 +165,42 @@ def _run_fills(group: list, state: Run) -> None:
 
 def _fill_text(strategy: str, value) -> str:
     if strategy in ("mean", "median"):
-        return f"Filled {{n}} nulls with {strategy}={value:.2f}" if value is not None else f"Filled {{n}} nulls with {strategy}=nan"
-    return f"Filled {{n}} nulls with {strategy}='{value}'"
+        return f"{{n}} gaps <- {strategy} {value:.2f}" if value is not None else f"{{n}} gaps: the {strategy} is unknown"
+    return f"{{n}} gaps <- {strategy} '{value}'"
 
 
 # --- single steps ------------------------------------------------------------------------------
 
 def _run_step(step, state: Run, stage: bool) -> None:
     entry = _entry(step)
-    before = state.df, list(state.flags)
+    before = state.df, list(state.flags), state.rows
     try:
         handler = HANDLERS.get(entry.operation)
         if entry.operation == "no_action":
-            entry.result = "No action needed"
+            entry.result = "nothing to do"
         elif handler is None:
-            entry.result = f"Unknown operation '{entry.operation}'"
+            entry.result = f"no such operation: {entry.operation}"
         else:
             handler(state, entry, parse_params(step), stage)
+            if state.eager:
+                state.df = scale.stage(state.df, "step")
+                state.settle()
     except Exception as error:
-        state.df, state.flags = before
+        if isinstance(error, PySparkException) and not isinstance(error, AnalysisException) and not state.eager and _pending(state):
+            raise  # an earlier step may be to blame
+        state.df, state.flags, state.rows = before
         entry.status, entry.result = "failed", str(error).split("\n")[0]
     state.log.append(entry)
 
 
+def _pending(state: Run) -> bool:
+    return any(e.status == "executed" for e in state.log)
+
+
 def _known(state: Run, entry: Entry) -> bool:
-    if entry.column in state.df.columns:
+    if entry.column in state.df.columns and entry.column != ROW_ID:
         return True
-    entry.result = f"Column '{entry.column}' not found"
+    entry.result = f"no column {entry.column}"
     return False
 
 
@@ -190,7 +214,7 @@ def _replace(state: Run, entry: Entry, params: dict, stage: bool) -> None:
     old, new = params.get("old"), params.get("new")
     state.mark(entry, columns.replace_match(state.df, entry.column, old))
     state.df = columns.replace(state.df, entry.column, old, new)
-    _done(entry, f"Replaced '{old}' -> '{'nan' if new in ('NaN', 'nan') else new}' in {{n}} cells")
+    _done(entry, f"{{n}} cells: '{old}' -> {'NULL' if new in ('NaN', 'nan') else repr(new)}")
 
 
 def _fill(state: Run, entry: Entry, params: dict, stage: bool) -> None:
@@ -202,7 +226,7 @@ def _fill(state: Run, entry: Entry, params: dict, stage: bool) -> None:
         # Usually a fill came first and nothing is left: then there is nothing to order.
         if state.df.where(quote(name).isNull()).limit(1).count() == 0:
             entry.affected = 0
-            _done(entry, "Interpolated {n} nulls (linear)")
+            _done(entry, "{n} gaps interpolated")
             return
     state.mark(entry, quote(name).isNull())
     if group in state.df.columns or strategy in ("ffill", "bfill", "interpolate"):
@@ -211,10 +235,10 @@ def _fill(state: Run, entry: Entry, params: dict, stage: bool) -> None:
         if stage:
             state.df = scale.stage(state.df, "fill")
         if group in state.df.columns:
-            _done(entry, f"[Grouped by {group}] Filled {{n}} nulls with {strategy}")
+            _done(entry, f"{{n}} gaps <- {strategy} within {group}")
         else:
-            text = {"ffill": "Forward-filled {n} nulls", "bfill": "Back-filled {n} nulls",
-                    "interpolate": "Interpolated {n} nulls (linear)" if is_numeric(dtype) else "Non-numeric: filled {n} nulls with mode"}
+            text = {"ffill": "{n} gaps <- value before", "bfill": "{n} gaps <- value after",
+                    "interpolate": "{n} gaps interpolated" if is_numeric(dtype) else "{n} gaps <- mode, as the column is no number"}
             _done(entry, text[strategy])
         return
     kind = impute.effective_strategy(strategy, dtype)
@@ -226,7 +250,7 @@ def _fill(state: Run, entry: Entry, params: dict, stage: bool) -> None:
     else:
         value = params.get("value")
         state.df = impute.fill_constant(state.df, name, value)
-        _done(entry, f"Filled {{n}} nulls with constant='{impute.FILL_TEXT if value is None else value}'")
+        _done(entry, f"{{n}} gaps <- constant '{impute.FILL_TEXT if value is None else value}'")
 
 
 def _rows(change, text: str, shuffles: bool = False):
@@ -234,7 +258,7 @@ def _rows(change, text: str, shuffles: bool = False):
     def handler(state: Run, entry: Entry, params: dict, stage: bool) -> None:
         if entry.operation == "remove_outliers":
             if entry.column not in state.df.columns or not is_numeric(state.df.schema[entry.column].dataType):
-                entry.result = f"Column '{entry.column}' not found or not numeric"
+                entry.result = f"no number column {entry.column}"
                 return
         if state.flags or state.rows is None:
             state.settle()
@@ -250,12 +274,12 @@ def _rows(change, text: str, shuffles: bool = False):
 
 
 def _drop(state: Run, entry: Entry, params: dict, stage: bool) -> None:
-    if entry.column not in state.df.columns:
-        entry.result = f"Column '{entry.column}' not found - already dropped or doesn't exist"
+    if entry.column not in state.df.columns or entry.column == ROW_ID:
+        entry.result = f"no column {entry.column}, or no longer"
         return
     width = len([c for c in state.visible() if c != ROW_ID])
     state.df = columns.drop_column(state.df, entry.column)
-    _done(entry, f"Dropped column '{entry.column}' ({width} -> {width - 1} columns)")
+    _done(entry, f"{entry.column} removed; {width - 1} of {width} columns stay")
 
 
 def _split(state: Run, entry: Entry, params: dict, stage: bool) -> None:
@@ -266,46 +290,46 @@ def _split(state: Run, entry: Entry, params: dict, stage: bool) -> None:
         state.settle()
     width = columns.split_width(state.df, entry.column, delimiter)
     state.df = columns.split_column(state.df, entry.column, delimiter, wanted, n_parts=width)
-    _done(entry, f"Split '{entry.column}' into {width} columns: {columns.split_names(entry.column, width, wanted)}")
+    _done(entry, f"{entry.column} -> {', '.join(columns.split_names(entry.column, width, wanted))}")
 
 
 def _rename(state: Run, entry: Entry, params: dict, stage: bool) -> None:
     new_name = params.get("new_name")
-    if entry.column not in state.df.columns or not new_name:
-        entry.result = f"Column '{entry.column}' not found or no new_name provided"
+    if entry.column not in state.df.columns or not new_name or ROW_ID in (entry.column, new_name):
+        entry.result = f"no column {entry.column}, or no new name"
         return
     state.df = columns.rename(state.df, entry.column, new_name)
-    _done(entry, f"Renamed '{entry.column}' -> '{new_name}'")
+    _done(entry, f"{entry.column} is now {new_name}")
 
 
 def _strip(state: Run, entry: Entry, params: dict, stage: bool) -> None:
     if entry.column in (None, "ALL_OBJECT"):
         count = len(columns.text_columns(state.df))
         state.df = columns.strip_whitespace(state.df)
-        _done(entry, f"Stripped whitespace from {count} string columns")
+        _done(entry, f"{count} text columns stripped")
     elif _known(state, entry):
         state.df = columns.strip_whitespace(state.df, entry.column)
-        _done(entry, f"Stripped whitespace from column '{entry.column}'")
+        _done(entry, f"{entry.column} stripped")
 
 
 def _extract(state: Run, entry: Entry, params: dict, stage: bool) -> None:
     pattern = params.get("pattern")
     if entry.column not in state.df.columns or not pattern:
-        entry.result = f"Column '{entry.column}' not found or pattern missing"
+        entry.result = f"no column {entry.column}, or no pattern"
         return
     try:
         state.df = columns.extract_pattern(state.df, entry.column, pattern)
     except Exception as error:
-        entry.status, entry.result = "failed", f"Invalid regex pattern: {str(error).splitlines()[0]}"
+        entry.status, entry.result = "failed", f"bad pattern: {str(error).splitlines()[0]}"
         return
-    _done(entry, f"Extracted regex pattern '{pattern}' in '{entry.column}'")
+    _done(entry, f"{entry.column} reduced to what {pattern} matches")
 
 
 def _clean(state: Run, entry: Entry, params: dict, stage: bool) -> None:
     if _known(state, entry):
         chars, case = params.get("remove_chars", ""), params.get("case")
         state.df = columns.clean_text(state.df, entry.column, chars, case)
-        _done(entry, f"Cleaned text in '{entry.column}' (removed: '{chars}', case: {case})")
+        _done(entry, f"{entry.column} without any of '{chars}', case {case}")
 
 
 def _cast(state: Run, entry: Entry, params: dict, stage: bool) -> None:
@@ -314,10 +338,10 @@ def _cast(state: Run, entry: Entry, params: dict, stage: bool) -> None:
         times = dtype == "datetime" and columns.holds_times(state.df, entry.column, state.order_by)
         if times:
             state.df = columns.standardize_time(state.df, entry.column)
-            _done(entry, f"Standardized time-only column '{entry.column}' to HH:MM (no date prepended)")
+            _done(entry, f"{entry.column} holds times of day: HH:MM")
         else:
             state.df = columns.cast_type(state.df, entry.column, dtype, times=False)
-            _done(entry, f"Cast '{entry.column}' to {dtype}")
+            _done(entry, f"{entry.column} is now {dtype}")
 
 
 def _format(state: Run, entry: Entry, params: dict, stage: bool) -> None:
@@ -325,24 +349,24 @@ def _format(state: Run, entry: Entry, params: dict, stage: bool) -> None:
         fmt = params.get("format", "%Y-%m-%d")
         if columns.holds_times(state.df, entry.column, state.order_by):
             state.df = columns.standardize_time(state.df, entry.column)
-            _done(entry, f"Standardized time-only column '{entry.column}' to HH:MM format")
+            _done(entry, f"{entry.column} holds times of day: HH:MM")
         else:
             state.df = columns.format_datetime(state.df, entry.column, fmt, times=False)
-            _done(entry, f"Formatted datetime in '{entry.column}' to '{fmt}'")
+            _done(entry, f"{entry.column} written as {fmt}")
 
 
 HANDLERS = {
     "replace": _replace,
     "fill_na": _fill,
-    "drop_na": _rows(lambda s, e, p: filters.drop_missing(s.df, e.column), "Dropped {n} rows with null values"),
+    "drop_na": _rows(lambda s, e, p: filters.drop_missing(s.df, e.column), "{n} rows with gaps removed"),
     "drop_duplicates": _rows(lambda s, e, p: dedupe.drop_duplicates(s.df, p.get("subset"), s.order_by),
-                             "Dropped {n} duplicate rows", shuffles=True),
+                             "{n} repeated rows removed", shuffles=True),
     "drop_column": _drop,
     "split_column": _split,
     "cast_type": _cast,
     "rename": _rename,
     "remove_outliers": _rows(lambda s, e, p: filters.remove_outliers(
-        s.df, e.column, p.get("method", "z-score"), p.get("threshold", 3)), "Removed {n} outliers via {method}"),
+        s.df, e.column, p.get("method", "z-score"), p.get("threshold", 3)), "{n} outlying rows removed ({method})"),
     "strip_whitespace": _strip,
     "clean_text": _clean,
     "format_datetime": _format,
@@ -360,3 +384,11 @@ def execution_summary(log: DataFrame) -> DataFrame:
 
 def step_counts(log: DataFrame) -> DataFrame:
     return log.select("run_order", "step_id", "operation", "column", "status", "affected")
+
+
+def step_report(log: DataFrame) -> DataFrame:
+    """run_order, phase, line: one readable line per step, in the order of the run."""
+    mark = F.when(F.col("status") == "executed", "+").when(F.col("status") == "failed", "!").otherwise("-")
+    where = F.coalesce(F.concat(F.lit(" "), "column"), F.lit(""))
+    line = F.concat(mark, F.lit(" "), F.coalesce("operation", F.lit("?")), where, F.lit(": "), F.coalesce("result", F.lit("")))
+    return log.select("run_order", "phase", line.alias("line")).orderBy("run_order")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,6 +56,36 @@ def benchmark_path(spark: SparkSession, folder: str, filename: str) -> str | Non
         return f"{folder.rstrip('/')}/{name}" if name else None
 
 
+# Columns that exist only while a file is read.
+_BAD = "__record"
+
+
+class BadRecords(ValueError):
+    """Records with more fields than the header."""
+
+
+def _files(spark: SparkSession, path: str, encoding: str, quote_char: str) -> list[tuple[str, bool]]:
+    """(file, does a quoted field hold a line break?) of every file, from one pass over the lines.
+
+    A line with an odd number of quotes starts or ends such a field.  One row per file is collected.
+    All files must have the same header line.
+    """
+    lines = spark.read.option("encoding", encoding).text(path)
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit(quote_char), F.lit("")))
+    facts = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                         F.monotonically_increasing_id().alias("n"), (quotes % 2 == 1).alias("odd")) \
+        .groupBy("file").agg(F.min_by("value", F.struct("block", "n")).alias("head"), F.bool_or("odd").alias("broken")).orderBy("file").collect()
+    heads = {strip_mark(r["head"]) for r in facts}
+    if len(heads) > 1:
+        raise ValueError(f"the files of {path} have different headers: {sorted(heads)[:3]}")
+    return [(r["file"], r["broken"]) for r in facts]
+
+
+def strip_mark(line: str) -> str:
+    """Without a byte order mark and the carriage return of the line end."""
+    return line.removeprefix("\ufeff").rstrip("\r")
+
+
 def _header(spark: SparkSession, path: str, encoding: str, options: dict) -> list[str]:
     """Raw header fields.  Read as data, because the header option renames repeated fields."""
     options = {**options, "header": False, "inferSchema": False}
@@ -62,18 +93,37 @@ def _header(spark: SparkSession, path: str, encoding: str, options: dict) -> lis
     return [v or "" for v in first] if first else []
 
 
-def read_text_columns(spark: SparkSession, path: str, encoding: str = "UTF-8", **options) -> DataFrame:
+def read_text_columns(spark: SparkSession, path: str, encoding: str = "UTF-8", bad_records: str = "fail", **options) -> DataFrame:
     """All columns as text under cleaned names, plus the row id.
 
     The row id is (file, offset of the split in the file, running number), which sorts in file order.
+    A quoted field may hold line breaks.  A file with such fields is read by one task, as it cannot be
+    split between records; all other files are split.  Records with too few fields end in NULLs;
+    records with too many fail the read, unless `bad_records` is "keep": then their first fields stay.
     """
-    names = clean_header(_header(spark, path, encoding, options))
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = (spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-           .option("encoding", encoding).option("nullValue", "").option("emptyValue", "").option("escape", '"').options(**options).csv(path))
+    files = _files(spark, path, encoding, options.get("quote", '"'))
+    broken = [f for f, b in files if b]
+    whole = [f for f, b in files if not b]
+    first = {**options, "multiLine": True} if broken and files[0][1] else options
+    names = clean_header(_header(spark, files[0][0], encoding, first)) if files else []
+    fields = [T.StructField(n, T.StringType()) for n in names]
+    schema = T.StructType([*fields, T.StructField(_BAD, T.StringType())])
+    reader = (spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("columnPruning", False)
+              .option("columnNameOfCorruptRecord", _BAD).option("encoding", encoding).option("nullValue", "").option("emptyValue", "")
+              .option("escape", '"').options(**options))
     rid = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                    F.monotonically_increasing_id().alias("row"))
-    return raw.withColumn(ROW_ID, rid)
+    parts = [reader.option("multiLine", multi).csv(some).withColumn(ROW_ID, rid) for some, multi in ((whole, False), (broken, True)) if some]
+    if not parts:
+        return spark.createDataFrame([], T.StructType(fields)).withColumn(ROW_ID, F.lit(None))
+    raw = scale.union_all(parts)
+    outside = F.regexp_replace(_BAD, '"[^"]*"', "")
+    excess = F.regexp_count(outside, F.lit(re.escape(options.get("sep", ",")))) >= len(names)
+    if bad_records == "keep":
+        return raw.drop(_BAD)
+    failing = F.raise_error(F.concat(F.lit(f"more fields than the {len(names)} of the header: "), F.left(F.col(_BAD), F.lit(200))))
+    checked = F.when(F.col(_BAD).isNotNull() & excess, failing.cast("string")).otherwise(quote(names[0]))
+    return raw.withColumn(names[0], checked).drop(_BAD)
 
 
 def decode_nulls(df: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -116,20 +166,26 @@ def infer_types(df: DataFrame, names: list[str] | None = None) -> tuple[DataFram
 
 
 def load_csv(spark: SparkSession, filename: str, data_path: str = "data/raw", encoding: str = "UTF-8",
-             schema: T.StructType | None = None, stage: bool = True, **options) -> DataFrame:
+             schema: T.StructType | None = None, stage: bool = True, bad_records: str = "fail", **options) -> DataFrame:
     """Read a CSV file with header.
 
     Types are inferred from all rows unless a schema is given.  If the bytes are not valid in the
-    first encoding the file is read as latin1.  The table is staged once (columnar, typed, with the
+    first encoding the file is read as latin1.  Records with too many fields are an error (BadRecords)
+    unless `bad_records` is "keep".  The table is staged once (columnar, typed, with the
     row id frozen), so later passes do not parse text again; `stage=False` keeps it lazy.
     """
     path = resolve(spark, data_path, filename)
     encodings = [encoding, "ISO-8859-1"] if encoding.upper() in ("UTF-8", "UTF8") else [encoding]
     for attempt in encodings:
-        text = read_text_columns(spark, path, attempt, **options)
+        text = read_text_columns(spark, path, attempt, bad_records, **options)
         names = [c for c in text.columns if c != ROW_ID]
         decoded = decode_nulls(text, names)
-        typed, damaged = infer_types(decoded, names)
+        try:
+            typed, damaged = infer_types(decoded, names)
+        except SparkRuntimeException as error:
+            if error.getCondition() != "USER_RAISED_EXCEPTION":
+                raise
+            raise BadRecords(error.getMessageParameters()["errorMessage"]) from error
         if not damaged:
             break
     if schema is not None:

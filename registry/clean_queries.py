@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from limpid.functions import datetimes, numbers
+from limpid.functions.constants import ROW_ID
 from limpid.functions.text import quote
 from limpid.operators import columns, dedupe, filters, impute, ordered, scale
 from limpid.plans import intake
@@ -25,6 +26,24 @@ def through_csv(df):
 
 # --- sources -----------------------------------------------------------------------------------
 
+@query("csv_multiline", """
+SELECT doc_id, text, concat('say "', coalesce(source, ''), '",', chr(10), chr(10), coalesce(lang, '')) AS quoted
+FROM documents WHERE text IS NOT NULL""")
+def csv_multiline(t):
+    quoted = F.concat(F.lit('say "'), F.coalesce("source", F.lit("")), F.lit('",\n\n'), F.coalesce("lang", F.lit("")))
+    df = t.documents.where("text is not null").select("doc_id", "text", quoted.alias("quoted"))
+    return columns.data(csv.load_csv(t.spark, through_csv(df)))
+
+
+@query("csv_roundtrip_order", """
+SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, o_orderkey, o_orderstatus FROM dirty_orders""", ("dirty_orders",))
+def csv_roundtrip_order(t):
+    """Rows shuffled and written with a row id come back in its order."""
+    rows = t.dirty_orders.select("o_orderkey", "o_orderstatus", F.struct("o_orderkey").alias(ROW_ID)).repartition(7, "o_orderstatus")
+    back = csv.load_csv(t.spark, through_csv(rows))
+    return columns.data(scale.with_position(back, [ROW_ID], "pos")).select("pos", "o_orderkey", "o_orderstatus")
+
+
 @query("csv_scan", "SELECT * REPLACE (CAST(p_type_num AS BIGINT) AS p_type_num) FROM dirty_part", ("dirty_part",))
 def csv_scan(t):
     return columns.data(csv.load_csv(t.spark, through_csv(t.dirty_part)))

@@ -183,12 +183,12 @@ def snapshot_rows(t):
 
 
 @query("snapshot_columns", over("dirty_orders", f"""
-SELECT column_name, '  [' || column_name || '] type=' || dtype || ', unique=' || unique_count || ', missing=' || missing_count ||
-  CASE WHEN {NUMERIC} THEN ', mean=' || {fixed('mean')} || ', median=' || {fixed('med')} || ', std=' || {fixed('std')} ||
-    ', skewness=' || {SKEW_TEXT} || ', outliers=' || {OUTLIER_TEXT}
-  ELSE coalesce(', top_values={{' || (SELECT string_agg('''' || value || ''': ' || cnt, ', ' ORDER BY cnt DESC, value) FROM
-      (SELECT value, cnt FROM freq f WHERE f.ordinal = p.ordinal ORDER BY cnt DESC, value LIMIT 3)) || '}}', '') ||
-    coalesce(', PLACEHOLDERS_FOUND=[' || (SELECT string_agg('''' || token || '''(' || cnt || ')', ', ' ORDER BY n) FROM tokens k WHERE k.ordinal = p.ordinal) || ']', '')
+SELECT column_name, '  ' || column_name || ': ' || dtype || ', ' || unique_count || ' distinct, ' || missing_count || ' gaps' ||
+  CASE WHEN {NUMERIC} THEN '; mean ' || {fixed('mean')} || ', median ' || {fixed('med')} || ', deviation ' || {fixed('std')} ||
+    ', skew ' || {SKEW_TEXT} || ', outliers ' || {OUTLIER_TEXT}
+  ELSE coalesce('; often ' || (SELECT string_agg('''' || value || ''' ' || cnt, ', ' ORDER BY cnt DESC, value) FROM
+      (SELECT value, cnt FROM freq f WHERE f.ordinal = p.ordinal ORDER BY cnt DESC, value LIMIT 3)), '') ||
+    coalesce('; hidden gaps ' || (SELECT string_agg('''' || token || ''' ' || cnt, ', ' ORDER BY n) FROM tokens k WHERE k.ordinal = p.ordinal), '')
   END AS line FROM profile p"""), ("dirty_orders",))
 def snapshot_columns(t):
     columns, _ = profiled(t, "dirty_orders")
@@ -205,30 +205,30 @@ def snapshot_text(t):
 
 _NULL_ISSUES = f"""
 SELECT column_name, 'null_treatment' AS issue_type, 'treat_nulls' AS category,
-  'Column has ' || null_count || ' null values (' || {fixed('missing_ratio * 100', 1)} || '% of data)' AS description,
+  null_count || ' NULL cells; gaps of all kinds: ' || {fixed('missing_ratio * 100', 1)} || '%' AS description,
   CASE WHEN missing_ratio > 0.5 THEN 'high' ELSE 'medium' END AS severity,
-  CASE WHEN missing_ratio > 0.5 THEN 'drop_column (>50% missing)'
-    WHEN {NUMERIC} AND {SKEWED} THEN 'fill_na with median (skewness=' || {SKEW_TEXT} || ', outliers=' || {OUTLIER_TEXT} || ')'
-    WHEN {NUMERIC} THEN 'fill_na with mean (symmetric distribution, skewness=' || {SKEW_TEXT} || ')'
-    ELSE 'fill_na with mode (categorical column)' END AS recommended_action
+  CASE WHEN missing_ratio > 0.5 THEN 'drop_column: more than half are gaps'
+    WHEN {NUMERIC} AND {SKEWED} THEN 'fill_na, median: skew ' || {SKEW_TEXT} || ', outliers ' || {OUTLIER_TEXT}
+    WHEN {NUMERIC} THEN 'fill_na, mean: skew ' || {SKEW_TEXT}
+    ELSE 'fill_na, mode: not a number' END AS recommended_action
 FROM profile WHERE null_count > 0"""
 _TOKEN_ISSUES = """
 SELECT column_name, 'placeholder' AS issue_type, 'treat_nulls' AS category,
-  'Placeholder ''' || token || ''' found ' || cnt || ' times, masking true missing data' AS description, 'high' AS severity,
-  'replace ''' || token || ''' with NaN, then fill_na with mode' AS recommended_action FROM tokens"""
+  '''' || token || ''' hides gaps in ' || cnt || ' cells' AS description, 'high' AS severity,
+  'replace ''' || token || ''' by NaN; fill_na, mode' AS recommended_action FROM tokens"""
 _DROP_ISSUES = """
-SELECT column_name, 'drop_column' AS issue_type, 'drop_columns' AS category, 'Column suggested for dropping: ' || reason AS description,
+SELECT column_name, 'drop_column' AS issue_type, 'drop_columns' AS category, 'profile says: ' || reason AS description,
   'medium' AS severity, 'drop_column' AS recommended_action FROM (
     SELECT column_name, reason FROM reasons
     UNION ALL SELECT column_name, 'redundant_encoding_of_' || related FROM profile
       WHERE related IS NOT NULL AND column_name NOT IN (SELECT column_name FROM reasons))"""
 _SPLIT_ISSUES = """
 SELECT column_name, 'split_column' AS issue_type, 'split_columns' AS category,
-  'Column contains delimiter ''' || delimiter || ''' and may encode multiple values' AS description, 'low' AS severity,
-  'split_column on ''' || delimiter || '''' AS recommended_action FROM profile WHERE delimiter IS NOT NULL"""
+  'values joined by ''' || delimiter || '''' AS description, 'low' AS severity,
+  'split_column at ''' || delimiter || '''' AS recommended_action FROM profile WHERE delimiter IS NOT NULL"""
 _COPY_ISSUES = """
 SELECT 'ALL' AS column_name, 'duplicate' AS issue_type, 'treat_duplicates' AS category,
-  'Dataset has ' || dups || ' exact duplicate rows' AS description, 'high' AS severity, 'drop_duplicates' AS recommended_action
+  dups || ' rows repeat another row' AS description, 'high' AS severity, 'drop_duplicates' AS recommended_action
 FROM copies WHERE dups > 0"""
 
 

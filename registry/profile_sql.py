@@ -102,30 +102,30 @@ def plan_cte() -> str:
     return f"""raw_steps AS (
   SELECT 1 AS part, ordinal AS a, n AS b, 'treat_nulls' AS phase, column_name, 'replace' AS operation,
     '{{"old":"' || token || '","new":"NaN"}}' AS params,
-    'Replace placeholder ''' || token || ''' (' || cnt || ' occurrences) with NaN' AS reason FROM tokens
+    '''' || token || ''' stands for a gap in ' || cnt || ' cells' AS reason FROM tokens
   UNION ALL SELECT 2, ordinal, 0, 'treat_nulls', column_name, CASE WHEN missing_ratio > 0.5 THEN 'drop_na' ELSE 'fill_na' END,
     CASE WHEN missing_ratio > 0.5 THEN '{{}}' WHEN {NUMERIC} AND ({SKEWED} OR zeros / n_rows > 0.5) THEN '{{"strategy":"median"}}'
       WHEN {NUMERIC} THEN '{{"strategy":"mean"}}' ELSE '{{"strategy":"mode"}}' END,
-    CASE WHEN missing_ratio > 0.5 THEN 'Column has ' || CAST(round(missing_ratio * 100, 0) AS BIGINT) || '% missing - too sparse to impute, dropping rows'
-      WHEN {NUMERIC} AND {SKEWED} THEN 'Numeric column with ' || missing_count || ' missing values - skewness=' || {SKEW_TEXT} || ', outliers=' || {OUTLIER_TEXT} || ': using median (robust to skew/outliers)'
-      WHEN {NUMERIC} AND zeros / n_rows > 0.5 THEN 'Numeric column with ' || missing_count || ' missing values - ' || CAST(round(zeros / n_rows * 100, 0) AS BIGINT) || '% zeros: using median (reflects true center)'
-      WHEN {NUMERIC} THEN 'Numeric column with ' || missing_count || ' missing values - skewness=' || {SKEW_TEXT} || ', no outliers: using mean (distribution is symmetric)'
-      ELSE 'Categorical column with ' || missing_count || ' missing values - filling with mode (most frequent value)' END
+    CASE WHEN missing_ratio > 0.5 THEN CAST(round(missing_ratio * 100, 0) AS BIGINT) || '% of the cells are gaps: their rows go'
+      WHEN {NUMERIC} AND {SKEWED} THEN missing_count || ' gaps; skew ' || {SKEW_TEXT} || ', outliers ' || {OUTLIER_TEXT} || ': the median withstands both'
+      WHEN {NUMERIC} AND zeros / n_rows > 0.5 THEN missing_count || ' gaps; ' || CAST(round(zeros / n_rows * 100, 0) AS BIGINT) || '% of the rows hold zero: the median'
+      WHEN {NUMERIC} THEN missing_count || ' gaps; skew ' || {SKEW_TEXT} || ', no outliers: the mean'
+      ELSE missing_count || ' gaps; not a number: the commonest value' END
     FROM profile WHERE missing_count > 0
-  UNION ALL SELECT 3, 0, 0, 'treat_nulls', NULL, 'no_action', '{{}}', 'No null treatment needed' FROM copies WHERE NOT EXISTS (FROM profile WHERE missing_count > 0)
+  UNION ALL SELECT 3, 0, 0, 'treat_nulls', NULL, 'no_action', '{{}}', 'no gaps' FROM copies WHERE NOT EXISTS (FROM profile WHERE missing_count > 0)
   UNION ALL SELECT 4, 0, 0, 'treat_duplicates', NULL, CASE WHEN dups > 0 THEN 'drop_duplicates' ELSE 'no_action' END, '{{}}',
-    CASE WHEN dups > 0 THEN 'Removing ' || dups || ' exact duplicate rows' ELSE 'No duplicate rows found' END FROM copies
+    CASE WHEN dups > 0 THEN dups || ' rows repeat another row' ELSE 'all rows differ' END FROM copies
   UNION ALL SELECT 5, ordinal, 0, 'populate_missing', column_name, 'fill_na', '{{"strategy":"interpolate"}}',
-    'Interpolate remaining missing values in numeric column ''' || column_name || '''' FROM profile WHERE {NUMERIC} AND null_count > 0
-  UNION ALL SELECT 5, 0, 0, 'populate_missing', NULL, 'no_action', '{{}}', 'No additional missing row population needed after null treatment'
+    'gaps that are left in ' || column_name || ' lie between neighbours' FROM profile WHERE {NUMERIC} AND null_count > 0
+  UNION ALL SELECT 5, 0, 0, 'populate_missing', NULL, 'no_action', '{{}}', 'no number column has gaps'
     FROM copies WHERE NOT EXISTS (FROM profile WHERE {NUMERIC} AND null_count > 0)
-  UNION ALL SELECT 6, seq, 0, 'drop_columns', column_name, 'drop_column', '{{}}', 'Dropping column: ' || reasons FROM droppable
-  UNION ALL SELECT 6, 0, 0, 'drop_columns', NULL, 'no_action', '{{}}', 'No columns identified for dropping' FROM copies WHERE NOT EXISTS (FROM droppable)
+  UNION ALL SELECT 6, seq, 0, 'drop_columns', column_name, 'drop_column', '{{}}', 'profile says: ' || reasons FROM droppable
+  UNION ALL SELECT 6, 0, 0, 'drop_columns', NULL, 'no_action', '{{}}', 'every column is of use' FROM copies WHERE NOT EXISTS (FROM droppable)
   UNION ALL SELECT 7, ordinal, 0, 'split_columns', column_name, 'split_column',
     '{{"delimiter":"' || delimiter || '","new_columns":["' || column_name || '_part1","' || column_name || '_part2"]}}',
-    'Split column on delimiter ''' || delimiter || '''' FROM profile WHERE delimiter IS NOT NULL
-  UNION ALL SELECT 7, 0, 0, 'split_columns', NULL, 'no_action', '{{}}', 'No columns identified for splitting' FROM copies WHERE NOT EXISTS (FROM splits)
-  UNION ALL SELECT 9, 0, 0, 'treat_nulls', 'ALL_OBJECT', 'strip_whitespace', '{{}}', 'Strip leading/trailing whitespace from all string columns' FROM copies),
+    'values joined by ''' || delimiter || '''' FROM profile WHERE delimiter IS NOT NULL
+  UNION ALL SELECT 7, 0, 0, 'split_columns', NULL, 'no_action', '{{}}', 'no column joins values' FROM copies WHERE NOT EXISTS (FROM splits)
+  UNION ALL SELECT 9, 0, 0, 'treat_nulls', 'ALL_OBJECT', 'strip_whitespace', '{{}}', 'blanks around text carry no meaning' FROM copies),
 plan AS (SELECT CAST(row_number() OVER (ORDER BY part, a, b) AS INTEGER) AS step_id, phase, column_name, operation, params, reason FROM raw_steps),
 phases(i, phase) AS (VALUES (0, 'treat_nulls'), (1, 'treat_duplicates'), (2, 'populate_missing'), (3, 'drop_columns'), (4, 'split_columns'), (5, 'standardize')),
 valid_plan AS (

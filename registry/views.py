@@ -64,6 +64,22 @@ SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS STRING) AS iso,
        WHEN 2 THEN concat(CAST(o_orderkey % 28 + 1 AS STRING), ' September ', CAST(1960 + o_orderkey % 40 AS STRING))
        WHEN 3 THEN 'no date' ELSE NULL END AS txt
 FROM orders""",
+    # One instant in many spellings; the number of the spelling is the order key modulo 16.
+    "date_spellings": """
+SELECT o_orderkey, d AS day, concat(CAST(o_orderkey % 12 + 1 AS STRING), ':', lpad(CAST(o_orderkey % 60 AS STRING), 2, '0')) AS clock,
+  CASE o_orderkey % 16
+    WHEN 0 THEN concat(y, '-', m, '-', dd, 'T10:30:00Z') WHEN 1 THEN concat(y, '-', m, '-', dd, ' 6:03 p.m.')
+    WHEN 2 THEN concat(m, '/', dd, '/', y, ' 6:03 PM') WHEN 3 THEN concat(m, '.', dd, '.', y)
+    WHEN 4 THEN concat(CAST(CAST(dd AS INT) AS STRING), '-', mon, '-', y) WHEN 5 THEN concat(mon, ' ', CAST(CAST(dd AS INT) AS STRING), ', ', y, ' 10:30')
+    WHEN 6 THEN concat(m, '/', dd, '/', substring(y, 3, 2)) WHEN 7 THEN concat('Thu, ', dd, ' ', mon, ' ', y)
+    WHEN 8 THEN concat(mon, ' ', y) WHEN 9 THEN concat(y, '-', m, '-', dd, 'T10:30:00+02:00')
+    WHEN 10 THEN concat(CAST(CAST(dd AS INT) AS STRING), 'th ', upper(mon), ' ', y) WHEN 11 THEN concat(y, m, dd, ' 12:05 am')
+    WHEN 12 THEN concat(m, '/', dd, '/', y, ' 13:03 PM') WHEN 13 THEN concat(y, '.', m, '.', dd, ' 23:59:58.5')
+    WHEN 14 THEN concat('Monday ', mon, ' ', dd, ' ', y) ELSE concat('about ', y) END AS txt
+FROM (
+  SELECT o_orderkey, d, substring(d, 1, 4) AS y, substring(d, 6, 2) AS m, substring(d, 9, 2) AS dd,
+    substring('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(substring(d, 6, 2) AS INT) * 3 - 2, 3) AS mon
+  FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS STRING) AS d FROM orders) AS o) AS p""",
     # Times of day in several spellings.
     "time_text": """
 SELECT o_orderkey,

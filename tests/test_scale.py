@@ -112,7 +112,8 @@ def test_group_sizes_finds_hot_groups(table, frame):
     facts = scale.group_sizes(table, F.col("g"), 100)
     counts = frame.g.value_counts()
     assert (facts.rows, facts.count) == (frame.g.notna().sum(), frame.g.nunique())
-    assert facts.hot == counts[counts > 100].to_dict()
+    hashes = {r["h"]: r["g"] for r in table.selectExpr("g", "xxhash64(g) as h").distinct().collect()}
+    assert {hashes[h]: n for h, n in facts.hot.items()} == counts[counts > 100].to_dict()
 
 
 @pytest.mark.parametrize("broadcast_rows, group_rows", [(0, 100), (0, 10_000), (1000, 100)])
@@ -212,9 +213,36 @@ def test_release_removes_only_this_application(spark, table):
     assert not (root / f"limpid-{spark.sparkContext.applicationId}").exists() and other.exists()
 
 
-def test_order_with_many_ties_is_refused(table):
-    with pytest.raises(ValueError, match="does not identify rows"):
-        ordered.carry(table, "v", ["s"])
+@pytest.mark.parametrize("group_rows", [10, 1000, None])
+def test_groups_that_share_order_values(spark, group_rows):
+    """A panel: every group has the same days."""
+    rows = [(f"g{g}", day, float(day) if (day + g) % 4 == 0 else None) for g in range(5) for day in range(100)]
+    df = spark.createDataFrame(rows, "g string, day int, v double").repartition(7)
+    got = {(r["g"], r["day"]): r["v"] for r in ordered.carry(df, "v", ["day"], "g", group_rows=group_rows).collect()}
+    want = {}
+    for g in range(5):
+        last = None
+        for day in range(100):
+            last = float(day) if (day + g) % 4 == 0 else last
+            want[f"g{g}", day] = last
+    assert got == want
+
+
+@pytest.mark.parametrize("buckets", [1, 9])
+def test_ties_and_null_keys_have_one_order(spark, buckets):
+    rows = [(None if i % 3 == 0 else i % 5, i, float(i) if i % 4 else None) for i in range(600)]
+    tables = [spark.createDataFrame(rows, "k int, i int, v double").repartition(n) for n in (1, 6)]
+    a, b = (sorted((r["i"], r["v"]) for r in ordered.carry(t, "v", ["k"], buckets=buckets).collect() if r["v"] is not None) for t in tables)
+    assert a == b and len(a) >= 599
+    ranges = scale.range_buckets(scale.with_tie(tables[0]), ["k", scale.TIE], buckets=20)
+    sizes = scale.with_tie(tables[0]).groupBy(ranges.bucket().alias("b")).count().collect()
+    assert max(r["count"] for r in sizes) < 120
+
+
+def test_bounds_of_long_text_are_short(spark):
+    df = spark.range(500).selectExpr("concat(md5(cast(id as string)), repeat('x', 5000)) as t")
+    ranges = scale.range_buckets(df, ["t"], buckets=8)
+    assert ranges.count > 4 and all(len(b) <= scale.BOUND_TEXT for b in ranges.bounds)
 
 
 def test_long_text_is_not_broadcast(table, frame, monkeypatch):

@@ -148,3 +148,16 @@ def test_count_of(column, values):
 def test_minutes_of_day(spark):
     df = spark.sql("SELECT timestamp'2020-01-01 13:05:59' AS t")
     assert df.select(datetimes.minutes_of_day(F.col("t"))).first()[0] == 785
+
+
+@pytest.mark.parametrize("text, want", [
+    ("2011-12-01T10:30:00Z", "2011-12-01 10:30:00"), ("2011-12-01 6:03 p.m.", "2011-12-01 18:03:00"), ("12/01/2011 6:03 PM", "2011-12-01 18:03:00"),
+    ("01.12.2011", "2011-01-12 00:00:00"), ("13.12.2011", "2011-12-13 00:00:00"), ("1-Dec-2011", "2011-12-01 00:00:00"), ("1-Dec-11", "2011-12-01 00:00:00"),
+    ("Dec 1, 2011 10:30", "2011-12-01 10:30:00"), ("12/01/11", "2011-12-01 00:00:00"), ("12/01/69", "1969-12-01 00:00:00"), ("Thu, 01 Dec 2011", "2011-12-01 00:00:00"),
+    ("Dec 2011", "2011-12-01 00:00:00"), ("2011-12-01T10:30:00+02:00", "2011-12-01 08:30:00"), ("2011-12-01 10:30:00.25 +0530", "2011-12-01 05:00:00"),
+    ("sept. 3rd, 2011", "2011-09-03 00:00:00"), ("20111201 12:05 am", "2011-12-01 00:05:00"), ("2011-02-30", None), ("12/01/2011 13:00 PM", None),
+    ("2011-12-01 25:00", None), ("10:30", None), ("Dec", None), ("around 2011", None), ("", None), (None, None), ("12.5", None), ("1234567", None)])
+def test_date_spellings(column, values, text, want):
+    df = column([text])
+    read = F.date_format(datetimes.to_timestamp(F.col("v"), df.schema["v"].dataType), "yyyy-MM-dd HH:mm:ss")
+    assert values(df.withColumn("v", read)) == [want]
