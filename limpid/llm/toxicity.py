@@ -8,10 +8,12 @@ weight that falls with distance, and the vote is calibrated on the examples them
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,8 +30,7 @@ EXAMPLES = 5000
 TERMS, MIN_EXAMPLES, LEAST_G, LEAST_RATIO = 4000, 5, 10.0, 5.0
 GRAMS = (4, 5)
 NEIGHBOURS, BLOCK = 15, 64
-#: Words whose terms a worker remembers.
-MEMORY = 400_000
+_BETWEEN = re.compile(r"\W+")
 THRESHOLD = 0.7
 ADDED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()),
                       T.StructField("evidence", T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("label", T.IntegerType())])))])
@@ -42,35 +43,29 @@ def held_out(id_col: Column) -> Column:
 
 # --- terms -------------------------------------------------------------------------------------
 
-def terms_of(word: str) -> list[str]:
-    """The word without punctuation around it, and its character grams; < and > mark its ends."""
-    start, end = 0, len(word)
-    while start < end and not word[start].isalnum():
-        start += 1
-    while end > start and not word[end - 1].isalnum():
-        end -= 1
-    bare = f"<{word[start:end]}>"
-    if len(bare) < 4:
-        return []
-    return [bare, *{bare[i : i + n] for n in GRAMS for i in range(len(bare) - n + 1)} - {bare}]
+def marked(text: str | None) -> str:
+    """The words in lower case, without what stands between them; < and > mark the ends of each."""
+    return f"<{_BETWEEN.sub('><', (text or '').lower())}>"
+
+
+def terms_of(text: str | None) -> set[str]:
+    """The words of a text and the character grams inside them, with the marks of their ends."""
+    words = {f"<{w}>" for w in marked(text)[1:-1].split("><") if w}
+    return words | {w[i : i + n] for w in words for n in GRAMS for i in range(len(w) - n + 1)}
 
 
 class Terms:
-    """Counts of known terms in texts; remembers what it has seen of words, within a bound."""
+    """Counts of known terms in texts: one pass of an automaton over the text finds them all."""
 
     def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary, self.words = vocabulary, {}
+        self.automaton = ahocorasick.Automaton()
+        for term, number in vocabulary.items():
+            self.automaton.add_word(term, number)
+        if vocabulary:
+            self.automaton.make_automaton()
 
     def count(self, text: str | None) -> Counter:
-        words, known = (text or "").lower().split(), self.words
-        if len(known) > MEMORY:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = tuple(self.vocabulary[t] for t in terms_of(w) if t in self.vocabulary)
-        out: Counter = Counter()
-        for ids in filter(None, map(known.__getitem__, words)):
-            out.update(ids)
-        return out
+        return Counter(number for _, number in self.automaton.iter(marked(text))) if len(self.automaton) else Counter()
 
 
 def vector(counts: Counter, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,8 +181,7 @@ def _vocabulary(examples: DataFrame) -> list[str]:
         seen: list[Counter] = [Counter(), Counter()]
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"]):
-                words = set((text or "").lower().split())
-                seen[label].update({t for w in words for t in terms_of(w)})
+                seen[label].update(terms_of(text))
             if len(seen[0]) + len(seen[1]) > 500_000:
                 yield from rows(seen)
         yield from rows(seen)
