@@ -71,10 +71,13 @@ def iso_date(text: Column) -> Column:
     return out
 
 
-def iso_text(text: Column) -> Column:
-    """ISO text of stripped date text, with its clock and zone; NULL for other shapes."""
-    bare = F.regexp_replace(text, WEEKDAY, "")
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once.  It stays out of the generated code, which would not
+    compile with all spellings in it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
+
+def _clocked(bare: Column, date: Column) -> Column:
     def clock(i: int) -> Column:
         return F.regexp_extract(bare, CLOCK, i)
 
@@ -83,10 +86,18 @@ def iso_text(text: Column) -> Column:
     second = F.when(clock(3) == "", "00").otherwise(F.left(clock(3), F.lit(9)))  # microseconds
     zone = F.when(F.lower(clock(5)).isin("z", "utc", "gmt"), "Z").otherwise(F.regexp_replace(clock(5), r"^(...)(\d\d)$", "$1:$2"))
     # A clock that cannot be is NULL, and so is the whole text.
-    at = F.concat(F.lpad(hour24.cast("string"), 2, "0"), F.lit(":"), clock(2), F.lit(":"), second, zone)
-    date = iso_date(F.regexp_replace(bare, CLOCK, ""))
-    return (F.when(text.rlike(ISO_SHAPE), F.translate(text, "/", "-"))
-            .when(bare.rlike(CLOCK), F.concat(date, F.lit(" "), at)).otherwise(date))
+    return F.concat(date, F.lit(" "), F.lpad(hour24.cast("string"), 2, "0"), F.lit(":"), clock(2), F.lit(":"), second, zone)
+
+
+def iso_text(text: Column) -> Column:
+    """ISO text of stripped date text, with its clock and zone; NULL for other shapes."""
+    def read(bare: Column) -> Column:
+        date = _let(F.regexp_replace(bare, CLOCK, ""), iso_date)
+        return F.when(bare.rlike(CLOCK), _clocked(bare, date)).otherwise(date)
+
+    # Only text that ends like a date, a clock or a zone is looked at closely.
+    likely = text.rlike(r"(?i)(?:\d|[ap]\.?m\.?|z|utc|gmt)$")
+    return F.when(text.rlike(ISO_SHAPE), F.translate(text, "/", "-")).when(likely, _let(F.regexp_replace(text, WEEKDAY, ""), read))
 
 
 def to_timestamp(v: Column, dtype: T.DataType, formats: list[str] | None = None) -> Column:

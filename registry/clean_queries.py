@@ -219,6 +219,26 @@ def format_datetime(t):
     return columns.format_datetime(df, "txt", "%a %d %b %Y", ["o_orderkey"])
 
 
+# The instant that each spelling stands for, from the day itself.
+_SPELLED = """CASE o_orderkey % 16 WHEN 8 THEN date_trunc('month', CAST(day AS TIMESTAMP)) WHEN 12 THEN NULL WHEN 15 THEN NULL
+  ELSE CAST(day AS TIMESTAMP) END + CASE o_orderkey % 16 WHEN 0 THEN INTERVAL '10:30:00' WHEN 1 THEN INTERVAL '18:03:00'
+  WHEN 2 THEN INTERVAL '18:03:00' WHEN 5 THEN INTERVAL '10:30:00' WHEN 9 THEN INTERVAL '08:30:00' WHEN 11 THEN INTERVAL '00:05:00'
+  WHEN 13 THEN INTERVAL '23:59:58.5' ELSE INTERVAL '00:00:00' END"""
+
+
+@query("cast_datetime_spellings", f"""
+SELECT o_orderkey, strftime({_SPELLED}, '%Y-%m-%d %H:%M:%S') AS txt FROM date_spellings""", ("date_spellings",))
+def cast_datetime_spellings(t):
+    df = columns.cast_type(t.date_spellings, "txt", "datetime", ["o_orderkey"])
+    return df.select("o_orderkey", F.date_format("txt", "yyyy-MM-dd HH:mm:ss").alias("txt"))
+
+
+@query("format_datetime_spellings", f"""
+SELECT o_orderkey, strftime({_SPELLED}, '%d/%m/%y %H:%M') AS txt FROM date_spellings""", ("date_spellings",))
+def format_datetime_spellings(t):
+    return columns.format_datetime(t.date_spellings, "txt", "%d/%m/%y %H:%M", ["o_orderkey"]).select("o_orderkey", "txt")
+
+
 _TIME_ONLY_SQL = "(regexp_matches(trim({0}), '(?i)^[0-9]{{1,2}}:[0-9]{{2}}(:[0-9]{{2}})?\\s*(a\\.?m\\.?|p\\.?m\\.?)?$')" \
                  " OR regexp_matches(trim({0}), '(?i)^[0-9]{{1,2}}\\s*(a\\.?m\\.?|p\\.?m\\.?)$'))"
 

@@ -93,11 +93,19 @@ def step_counts(t):
     return runner.step_counts(demo(t)[2]).where("affected IS NOT NULL").select("step_id", "operation", "affected")
 
 
-@query("rule_based_run")
+# The rules find placeholders, gaps, copies and two columns to split; `plan_all` checks the plan itself.
+@query("rule_based_run", """
+WITH n1 AS (SELECT * REPLACE (CASE WHEN trim(o_orderpriority) IN ('?', 'N/A', 'unknown') THEN NULL ELSE o_orderpriority END AS o_orderpriority) FROM dup_orders),
+n2 AS (SELECT * REPLACE (
+  coalesce(o_orderstatus, (SELECT o_orderstatus FROM n1 WHERE o_orderstatus IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS o_orderstatus,
+  coalesce(o_totalprice, (SELECT avg(o_totalprice) FROM n1)) AS o_totalprice,
+  coalesce(o_orderpriority, (SELECT o_orderpriority FROM n1 WHERE o_orderpriority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS o_orderpriority) FROM n1)
+SELECT DISTINCT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 4) AS o_totalprice, trim(o_orderpriority) AS o_orderpriority, o_datestr, o_messydate,
+  trim(o_pricestr) AS o_pricestr_part1, trim(split_part(o_timestr, ':', 1)) AS o_timestr_part1, trim(split_part(o_timestr, ':', 2)) AS o_timestr_part2 FROM n2""", ("dup_orders",))
 def rule_based_run(t):
     raw = t.dup_orders
     analysis = cleaning.analyze(raw, ["o_orderkey"])
-    return runner.run(raw, analysis.steps, ["o_orderkey"])[0]
+    return runner.run(raw, analysis.steps, ["o_orderkey"])[0].withColumn("o_totalprice", F.round("o_totalprice", 4))
 
 
 # --- before and after --------------------------------------------------------------------------
@@ -325,20 +333,68 @@ def ml_features(t):
     return ml.features(t.dirty_events, "event_type", "classification", ["event_id"]).drop("__id")
 
 
-@query("ml_classification")
-def ml_classification(t):
+def model_check(t, target: str):
+    """What of an evaluation is exact: task, metrics and their ranges, the improvement as the rounded difference,
+    and the rows of both sides' training and test parts."""
     raw, clean = model_sides(t)
-    return ml.evaluate(raw, clean, "event_type", ["event_id"])
+    found = ml.evaluate(raw, clean, target, ["event_id"])
+    task = found.first()["task_type"]
+    sizes = {}
+    for side, df in (("raw", raw), ("clean", clean)):
+        parts = ml.split(ml.features(df, target, task, ["event_id"]))
+        sizes.update({f"{side}_train": parts[0].count(), f"{side}_test": parts[1].count()})
+    high = F.when(F.col("metric") == "rmse", float("inf")).otherwise(1.0)
+    scale_of = F.when(F.col("metric") == "rmse", 1.0).otherwise(100.0)
+    low = F.when(F.col("metric") == "r2", float("-inf")).otherwise(0.0)
+    ranged = F.col("raw").between(low, high) & F.col("clean").between(low, high)
+    return found.select("task_type", "metric", ranged.alias("in_range"),
+                        (F.abs(F.abs(F.col("improvement")) - F.abs(F.col("clean") - F.col("raw")) * scale_of) < 0.02).alias("is_difference"),
+                        *[F.lit(n).cast("bigint").alias(name) for name, n in sizes.items()])
+
+
+def _model_sql(task: str, metrics: tuple[str, str], target: str) -> str:
+    # Every row of the clean side has a target, and the raw side those that the view left in place.
+    part = f"CAST('0x' || substr(md5(concat_ws(',', CAST(event_id AS VARCHAR), '{ml.SEED}')), 1, 15) AS BIGINT) % 10 < 8"
+    sides = ", ".join(f"(SELECT count(*) FROM dirty_events WHERE {keep} AND ({'' if name.endswith('train') else 'NOT '}{part})) AS {name}"
+                      for name, keep in (("raw_train", f"{target} IS NOT NULL"), ("raw_test", f"{target} IS NOT NULL"), ("clean_train", "true"), ("clean_test", "true")))
+    return "\nUNION ALL ".join(f"SELECT '{task}' AS task_type, '{m}' AS metric, true AS in_range, true AS is_difference, {sides}" for m in metrics)
+
+
+@query("ml_classification", _model_sql("classification", ("accuracy", "f1"), "event_type"), ("dirty_events",))
+def ml_classification(t):
+    return model_check(t, "event_type")
 
 
-@query("ml_regression")
+@query("ml_regression", _model_sql("regression", ("r2", "rmse"), "value"), ("dirty_events",))
 def ml_regression(t):
-    raw, clean = model_sides(t)
-    return ml.evaluate(raw, clean, "value", ["event_id"])
+    return model_check(t, "value")
 
 
-@query("run_report")
+@query("run_report", after_run("""
+, a AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, * FROM cleaned),
+b AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, * FROM bench_orders),
+n AS (SELECT count(*) AS n FROM a JOIN b USING (pos))
+SELECT 'quality_metrics' AS section, (SELECT count(*) FROM dup_orders) || ' ' || (SELECT count(*) FROM cleaned) AS fact
+UNION ALL SELECT 'execution_summary', (SELECT count(*) FILTER (s IN ('treat_nulls', 'treat_duplicates', 'populate_missing', 'drop_columns', 'split_columns', 'standardize')) + 1
+  FROM (SELECT DISTINCT phase AS s FROM (VALUES ('treat_nulls'), ('treat_duplicates'), ('populate_missing'), ('drop_columns'), ('split_columns'), ('standardize')) AS v(phase))) || ''
+UNION ALL SELECT 'benchmark_accuracy', (SELECT count(*) FROM cleaned) || ' ' || (SELECT count(*) FROM bench_orders) || ' ' || n FROM n
+UNION ALL SELECT 'benchmark_columns', 'o_orderkey ' || n || ' ' || (SELECT count(*) FROM a JOIN b USING (pos) WHERE a.o_orderkey = b.o_orderkey) FROM n
+UNION ALL SELECT 'benchmark_mismatches', 'o_orderkey ' || coalesce((SELECT min(pos) FROM a JOIN b USING (pos) WHERE a.o_orderkey <> b.o_orderkey) || '', 'none')
+UNION ALL SELECT 'benchmark_schema', 'o_orderkey, o_orderpriority, o_orderstatus, o_totalprice'""").replace("BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a))\n\n,", "BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)),"),
+       ("dup_orders", "bench_orders"))
 def run_report(t):
+    """Every section of the report with a fact read back from its JSON."""
     raw, truth = t.dup_orders, t.bench_orders
     steps = planner.validate(intake.steps_table(t.spark, PLAN))
-    return cleaning.report(cleaning.clean(raw, ["o_orderkey"], steps=steps, truth=truth))
+    report = cleaning.report(cleaning.clean(raw, ["o_orderkey"], steps=steps, truth=truth))
+    rows = F.from_json("report", "array<struct<rows_raw:string,rows_clean:string,cleaned_rows:string,benchmark_rows:string,rows_compared:string,column:string,"
+                                 "total:string,matches:string,pos:bigint,common_columns:string>>")
+    keys = F.filter("r", lambda x: x["column"] == "o_orderkey")
+    one = F.get("r", F.lit(0))
+    fact = (F.when(F.col("section") == "quality_metrics", F.concat_ws(" ", one["rows_raw"], one["rows_clean"]))
+            .when(F.col("section") == "execution_summary", F.size("r").cast("string"))
+            .when(F.col("section") == "benchmark_accuracy", F.concat_ws(" ", one["cleaned_rows"], one["benchmark_rows"], one["rows_compared"]))
+            .when(F.col("section") == "benchmark_columns", F.concat_ws(" ", F.lit("o_orderkey"), F.get(keys, F.lit(0))["total"], F.get(keys, F.lit(0))["matches"]))
+            .when(F.col("section") == "benchmark_mismatches", F.concat(F.lit("o_orderkey "), F.coalesce(F.array_min(F.transform(keys, lambda x: x["pos"])).cast("string"), F.lit("none"))))
+            .when(F.col("section") == "benchmark_schema", one["common_columns"]).otherwise(F.col("report")))
+    return report.withColumn("r", rows).select("section", fact.alias("fact"))

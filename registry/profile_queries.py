@@ -162,9 +162,16 @@ def overall_health(t):
     return by_name(profiled(t, "dirty_part")[1])
 
 
-@query("profile_json")
+@query("profile_json", over("dirty_orders", """
+SELECT column_name, n_rows, null_count, missing_count, missing_ratio, unique_count, round(q1, 4) AS q1, round(q3, 4) AS q3, delimiter IS NOT NULL AS splittable,
+  (SELECT CAST(sum(missing_count) AS BIGINT) FROM profile) AS total_missing_cells, dups AS duplicate_rows FROM profile, copies"""), ("dirty_orders",))
 def profile_json(t):
-    return profiling.profile_json(*profiled(t, "dirty_orders"))
+    """The JSON document read back, one row per column."""
+    kind = ("struct<column_analysis:array<struct<column:string,rows:bigint,null_count:bigint,missing_count:bigint,missing_ratio:double,unique_count:bigint,"
+            "q1:double,q3:double,splittable:boolean>>,overall_health:struct<total_missing_cells:bigint,duplicate_rows:bigint>>")
+    document = profiling.profile_json(*profiled(t, "dirty_orders")).select(F.from_json("profile", kind).alias("p"))
+    rows = document.select(F.inline("p.column_analysis"), "p.overall_health.*")
+    return by_name(rows.withColumns({"q1": F.round("q1", 4), "q3": F.round("q3", 4)}))
 
 
 @query("target_distribution", """
@@ -182,20 +189,36 @@ def snapshot_rows(t):
     return snapshot.snapshot_rows(t.documents, ["doc_id"])
 
 
-@query("snapshot_columns", over("dirty_orders", f"""
-SELECT column_name, '  ' || column_name || ': ' || dtype || ', ' || unique_count || ' distinct, ' || missing_count || ' gaps' ||
+_COLUMN_LINE = f"""'  ' || column_name || ': ' || dtype || ', ' || unique_count || ' distinct, ' || missing_count || ' gaps' ||
   CASE WHEN {NUMERIC} THEN '; mean ' || {fixed('mean')} || ', median ' || {fixed('med')} || ', deviation ' || {fixed('std')} ||
     ', skew ' || {SKEW_TEXT} || ', outliers ' || {OUTLIER_TEXT}
   ELSE coalesce('; often ' || (SELECT string_agg('''' || value || ''' ' || cnt, ', ' ORDER BY cnt DESC, value) FROM
       (SELECT value, cnt FROM freq f WHERE f.ordinal = p.ordinal ORDER BY cnt DESC, value LIMIT 3)), '') ||
     coalesce('; hidden gaps ' || (SELECT string_agg('''' || token || ''' ' || cnt, ', ' ORDER BY n) FROM tokens k WHERE k.ordinal = p.ordinal), '')
-  END AS line FROM profile p"""), ("dirty_orders",))
+  END"""
+
+
+@query("snapshot_columns", over("dirty_orders", f"SELECT column_name, {_COLUMN_LINE} AS line FROM profile p"), ("dirty_orders",))
 def snapshot_columns(t):
     columns, _ = profiled(t, "dirty_orders")
     return columns.select(F.col("column").alias("column_name"), snapshot.column_line(columns).alias("line"))
 
 
-@query("snapshot_text")
+_PART = ["p_partkey", "p_brandtype", "p_csv", "p_type_num", "p_type", "p_retailprice", "p_const", "p_sparse", "p_sku"]
+_CELLS = ", ".join(f"coalesce(left(CAST({c} AS VARCHAR), 30), 'nan')" for c in _PART)
+
+
+@query("snapshot_text", over("dirty_part", f"""
+SELECT concat_ws(chr(10) || chr(10),
+  'Table' || chr(10) || '  ' || (SELECT max(n_rows) FROM profile) || ' rows, ' || (SELECT count(*) FROM profile) || ' columns' || chr(10) || '  target: p_type' || chr(10) ||
+    '  its values: ' || (SELECT string_agg('''' || p_type || ''' ' || c, ', ' ORDER BY c DESC, p_type) FROM (SELECT p_type, count(*) AS c FROM dirty_part GROUP BY 1 ORDER BY c DESC, p_type LIMIT 5)),
+  'First rows' || chr(10) || '{" | ".join(_PART)}' || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY p_partkey) FROM (
+    SELECT p_partkey, concat_ws(' | ', {_CELLS}) AS line FROM dirty_part ORDER BY p_partkey LIMIT 5)),
+  'Columns' || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY ordinal) FROM (SELECT ordinal, {_COLUMN_LINE} AS line FROM profile p)),
+  'Columns that can go' || chr(10) || (SELECT string_agg('  ' || column_name || ': ' || reasons || coalesce(', says the same as ' || related, ''), chr(10) ORDER BY seq) FROM droppable),
+  (SELECT 'Rows that repeat another: ' || dups FROM copies WHERE dups > 0),
+  'Columns that join values' || chr(10) || (SELECT string_agg('  ' || column_name || ': by ''' || delimiter || ''' in ' || CAST(round(split_ratio * 100) AS INTEGER) || '% of the cells', chr(10) ORDER BY ordinal)
+    FROM profile WHERE delimiter IS NOT NULL)) || chr(10) AS snapshot"""), ("dirty_part",))
 def snapshot_text(t):
     columns, table = profiled(t, "dirty_part")
     return snapshot.snapshot_text(snapshot.snapshot_lines(t.dirty_part, columns, table, ["p_partkey"], "p_type"))
@@ -264,9 +287,23 @@ def issue_summary(t):
     return issues.issue_summary(issues.all_issues(*profiled(t, "dup_orders")))
 
 
-@query("compact_stats")
+@query("compact_stats", over("dirty_orders", f"""
+SELECT column_name, dtype, unique_count, missing_count, placeholder_count, round(mean, 2) AS mean, round(med, 2) AS median, round(std, 2) AS std,
+  round(skew, 2) AS skewness, z_out AS potential_outliers, zeros AS zeros_count,
+  coalesce((SELECT string_agg(token || '=' || cnt, ',' ORDER BY n) FROM tokens k WHERE k.ordinal = p.ordinal), '') AS placeholders,
+  CASE WHEN {NUMERIC} THEN '' ELSE coalesce((SELECT string_agg(value || '=' || cnt, ',' ORDER BY cnt DESC, value) FROM
+    (SELECT value, cnt FROM freq f WHERE f.ordinal = p.ordinal ORDER BY cnt DESC, value LIMIT 10)), '') END AS top FROM profile p"""), ("dirty_orders",))
 def compact_stats(t):
-    return by_name(issues.compact_stats(profiled(t, "dirty_orders")[0]))
+    """The JSON of every column, read back."""
+    pairs = "array<struct<value:string,count:bigint>>"
+    s = F.from_json("stats", "dtype string, unique_count bigint, missing_count bigint, placeholder_count bigint, mean double, median double, std double,"
+                             f" skewness double, potential_outliers bigint, zeros_count bigint, detected_placeholders {pairs}, top_values {pairs}")
+    rows = by_name(issues.compact_stats(profiled(t, "dirty_orders")[0])).select("column_name", s.alias("s")).select("column_name", "s.*")
+
+    def listed(name: str):
+        return F.array_join(F.transform(name, lambda x: F.concat_ws("=", x["value"], x["count"].cast("string"))), ",")
+
+    return rows.withColumns({"placeholders": listed("detected_placeholders"), "top": listed("top_values")}).drop("detected_placeholders", "top_values")
 
 
 # --- planning ----------------------------------------------------------------------------------

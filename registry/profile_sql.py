@@ -131,4 +131,4 @@ phases(i, phase) AS (VALUES (0, 'treat_nulls'), (1, 'treat_duplicates'), (2, 'po
 valid_plan AS (
   SELECT * FROM plan
   UNION ALL SELECT CAST((SELECT max(step_id) FROM plan) + row_number() OVER (ORDER BY i) AS INTEGER), phase, NULL, 'no_action', '{{}}',
-    'No issues detected for ' || phase || ' phase' FROM phases WHERE phase NOT IN (SELECT phase FROM plan))"""
+    'nothing to do in ' || phase FROM phases WHERE phase NOT IN (SELECT phase FROM plan))"""
