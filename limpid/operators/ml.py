@@ -6,7 +6,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,6 +50,34 @@ def alphabetical_codes(df: DataFrame, column: str) -> DataFrame:
     return joined.withColumn(column, F.col("__code").cast("double")).drop("__code")
 
 
+def text_codes(df: DataFrame, names: list[str]) -> dict[str, tuple[DataFrame, scale.Groups]]:
+    """(codes by value, value counts) of every text column: what alphabetical_codes joins.
+
+    The values of all columns are counted, ordered and numbered together, so the number of jobs does
+    not depend on the number of columns.
+    """
+    if not names:
+        return {}
+    cells = scale.long_form(df, [(i, quote(n)) for i, n in enumerate(names)], "value")
+    counts = scale.stage(cells.groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("n")), "value-counts")
+    placed = scale.with_position(counts, ["ordinal", "value"], "pos")
+    first = placed.groupBy("ordinal").agg(F.min("pos").alias("first"))  # one row per column
+    codes = scale.stage(placed.join(F.broadcast(first), "ordinal").select("ordinal", F.col("value").alias("__group"), (F.col("pos") - F.col("first")).alias("__code")), "codes")
+    facts = {r["ordinal"]: r for r in counts.groupBy("ordinal").agg(
+        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("groups"), F.sum(F.octet_length("value")).alias("bytes")).collect()}
+    rank = F.row_number().over(Window.partitionBy("ordinal").orderBy(F.desc("n"), "value"))
+    hot: dict[int, dict] = {i: {} for i in range(len(names))}
+    for r in counts.where(F.col("n") > scale.GROUP_ROWS).withColumn("rank", rank).where(F.col("rank") <= scale.MAX_HOT) \
+            .select("ordinal", F.xxhash64("value").alias("hash"), "n").collect():
+        hot[r["ordinal"]][r["hash"]] = r["n"]
+    out = {}
+    for i, n in enumerate(names):
+        f = facts.get(i)
+        groups = scale.Groups(f["rows"], f["groups"], hot[i], f["bytes"] or 0) if f else scale.Groups(0, 0, {}, 0)
+        out[n] = codes.where(F.col("ordinal") == i).drop("ordinal"), groups
+    return out
+
+
 def date_like(df: DataFrame, names: list[str], order_by: list[str]) -> list[str]:
     """Text columns whose first 20 values all read as dates or times."""
     if not names:
@@ -74,12 +102,10 @@ def features(df: DataFrame, target: str, task: str, order_by: list[str]) -> Data
     digest = F.md5(F.concat_ws(",", *keys, F.lit(str(SEED))).cast("binary"))
     row = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint").alias("__id")
     out = df.select(row, *scale.columns_of(names), _label(dtype, target, task).alias("label"))
-    for name in names:
-        kind = out.schema[name].dataType
-        if isinstance(kind, T.StringType):
-            out = alphabetical_codes(out, name)
-        else:
-            out = out.withColumn(name, quote(name).cast("double"))
+    texts = [n for n in names if isinstance(out.schema[n].dataType, T.StringType)]
+    for name, (codes, groups) in text_codes(out, texts).items():
+        out = scale.join_group_values(out, codes, name, groups).withColumn(name, F.col("__code").cast("double")).drop("__code")
+    out = out.withColumns({n: quote(n).cast("double") for n in names if n not in texts})
     fitted = impute.fit(out, {n: "mode" for n in names})
     empty = [n for n in names if fitted[n] is None]
     out = impute.fill_values(out.drop(*empty), {n: v for n, v in fitted.items() if v is not None})

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,9 +97,36 @@ def numeric_stats(df: DataFrame) -> DataFrame:
 
 # --- 2: value frequencies ----------------------------------------------------------------------
 
-def value_freq(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+# Text above LONG_TEXT characters is counted under a short key: its first KEY_TEXT characters and a 128-bit digest.
+LONG_TEXT, KEY_TEXT, KEY_MARK = 160, 96, "\u2026#"
+
+
+def short_key(value: Column) -> Column:
+    """Stands for the value in counts; texts meet under one key only if start and digest agree."""
+    key = F.concat(F.left(value, F.lit(KEY_TEXT)), F.lit(KEY_MARK), F.md5(value.cast("binary")))
+    return F.when(F.length(value) > LONG_TEXT, key).otherwise(value)
+
+
+def is_short_key(value: str | None) -> bool:
+    return value is not None and len(value) == KEY_TEXT + len(KEY_MARK) + 32 and value[KEY_TEXT:].startswith(KEY_MARK)
+
+
+def full_texts(df: DataFrame, keys: set[tuple[int, str]]) -> dict[tuple[int, str], str]:
+    """(ordinal, key) -> text, for the few keys that a report shows."""
+    if not keys:
+        return {}
+    wanted = scale.local_table(df.sparkSession, sorted(keys), "o int, k string")
+    cells = scale.long_form(df, [(i, quote(df.columns[i]).cast("string")) for i in sorted({i for i, _ in keys})], "value")
+    found = cells.join(F.broadcast(wanted), (F.col("ordinal") == F.col("o")) & (short_key(F.col("value")) == F.col("k"))) \
+        .groupBy("o", "k").agg(F.min("value").alias("value"))
+    return {(r["o"], r["k"]): r["value"] for r in found.collect()}
+
+
+def value_freq(df: DataFrame, names: list[str] | None = None, short: bool = False) -> DataFrame:
     """ordinal, value (text), v (double, of numeric columns), cnt.  Nulls are left out.
 
+    With `short`, long text is counted under its short_key, so the shuffle does not carry the texts.
+
     Equal values meet before the shuffle, so frequent values cost nothing, and there is no copy of
     the table per column as several count(distinct) would plan.  Whole numbers, fractions and text
     are counted in their own type and become text only once per distinct value.
@@ -113,7 +139,8 @@ def value_freq(df: DataFrame, names: list[str] | None = None) -> DataFrame:
         elif isinstance(kind, (T.DoubleType, T.FloatType)):
             fractions.append((i, quote(c).cast("double")))
         else:
-            others.append((i, quote(c).cast("string")))
+            value = quote(c).cast("string")
+            others.append((i, short_key(value) if short else value))
             decimals += [i] if isinstance(kind, T.DecimalType) else []
     parts = []
     for cells, kind in ((wholes, T.LongType()), (fractions, T.DoubleType()), (others, T.StringType())):
@@ -243,8 +270,8 @@ def count_outliers(values: DataFrame, stats: list) -> DataFrame:
 def first_values(df: DataFrame, names: list[str], order_by: list[str], k: int) -> DataFrame:
     """ordinal, value: the first k non-null values of each column in row order.
 
-    One bounded top-k scan usually holds them all.  Columns too sparse for it get a top-k scan of
-    their own, which reads only that column and the order key.
+    One bounded top-k scan usually holds them all.  All columns too sparse for it share one further
+    scan, in which every task keeps k values per column before the shuffle.
     """
     order = scale.columns_of(order_by)
     indexed = column_index(df, names)
@@ -254,15 +281,16 @@ def first_values(df: DataFrame, names: list[str], order_by: list[str], k: int) -
     key = scale.order_key(order_by).alias("key")
     long = head.select(key, F.inline(F.array(*pairs))).where("value is not null")  # few rows
     ranked = long.withColumn("rank", F.row_number().over(Window.partitionBy("ordinal").orderBy("key")))
-    found = ranked.where(F.col("rank") <= k).select("ordinal", "value").persist(StorageLevel.MEMORY_AND_DISK)
+    found = scale.stage(ranked.where(F.col("rank") <= k).select("ordinal", "value"), "first-values")
     have = {r["ordinal"]: r["n"] for r in found.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n")).collect()}
     sparse = [(i, c) for i, c in indexed if have.get(i, 0) < k]
     if not sparse or not scale.has_more_rows(df, reach):
         return found
     dense = found.where(~F.col("ordinal").isin([i for i, _ in sparse]))
-    scans = [df.where(quote(c).isNotNull()).orderBy(*order).limit(k)
-             .select(F.lit(i).alias("ordinal"), quote(c).alias("value")) for i, c in sparse]
-    return scale.union_all([dense, *scans])
+    cells = F.filter(F.array(*[F.struct(F.lit(i).alias("ordinal"), quote(c).alias("value")) for i, c in sparse]), lambda x: x["value"].isNotNull())
+    first = Window.partitionBy("ordinal").orderBy("key")
+    late = df.select(key, F.inline(cells)).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+    return dense.unionByName(late.select("ordinal", "value"))
 
 
 def splittable(df: DataFrame, order_by: list[str]) -> DataFrame:
@@ -386,20 +414,17 @@ def profile_columns(df: DataFrame, order_by: list[str]) -> DataFrame:
 
 def _from_frequencies(df: DataFrame, out: list[dict]) -> None:
     """Everything the value-frequency table tells about the columns."""
-    freq = value_freq(df).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        known = freq.where("v is not null")
-        v, cnt = F.col("v"), F.col("cnt")
-        for r in freq.groupBy("ordinal").agg(
-                F.count(F.lit(1)).alias("unique_count"), F.sum(cnt).alias("filled"), F.min(v).alias("min"), F.max(v).alias("max"),
-                (F.sum(v * cnt) / F.sum(cnt)).alias("mean"), F.sum(F.when(v == 0, cnt).otherwise(0)).alias("zeros_count")).collect():
-            row = out[r["ordinal"]]
-            names = ("unique_count", "filled") if r["mean"] is None else r.asDict()
-            row.update({k: r[k] for k in names})
-        numeric = [r for r in out if r["dtype"] in ("int64", "float64")]
-        scale.in_parallel(df.sparkSession, lambda: _listed(df, freq, out), lambda: _numeric(known, out, numeric))
-    finally:
-        freq.unpersist()
+    freq = scale.stage(value_freq(df, short=True), "frequencies")
+    known = freq.where("v is not null")
+    v, cnt = F.col("v"), F.col("cnt")
+    for r in freq.groupBy("ordinal").agg(
+            F.count(F.lit(1)).alias("unique_count"), F.sum(cnt).alias("filled"), F.min(v).alias("min"), F.max(v).alias("max"),
+            (F.sum(v * cnt) / F.sum(cnt)).alias("mean"), F.sum(F.when(v == 0, cnt).otherwise(0)).alias("zeros_count")).collect():
+        row = out[r["ordinal"]]
+        names = ("unique_count", "filled") if r["mean"] is None else r.asDict()
+        row.update({k: r[k] for k in names})
+    numeric = [r for r in out if r["dtype"] in ("int64", "float64")]
+    scale.in_parallel(df.sparkSession, lambda: _listed(df, freq, out), lambda: _numeric(known, out, numeric))
 
 
 def _listed(df: DataFrame, freq: DataFrame, out: list[dict]) -> None:
@@ -410,9 +435,11 @@ def _listed(df: DataFrame, freq: DataFrame, out: list[dict]) -> None:
         placeholder_freq(df, freq).select(F.lit("detected_placeholders").alias("list"), "ordinal", order.alias("rank"), F.col("token").alias("value"), "cnt"),
         top_values(freq.where(F.col("ordinal").isin(other))).select(F.lit("top_values").alias("list"), "ordinal", "rank", "value", "cnt"),
         sample_values(df, freq).select(F.lit("sample_values").alias("list"), "ordinal", "rank", "value", F.lit(0).cast("bigint").alias("cnt"))]
-    for r in sorted(scale.union_all(parts).collect(), key=lambda r: (r["list"], r["ordinal"], r["rank"])):
-        out[r["ordinal"]][r["list"]].append(
-            r["value"] if r["list"] == "sample_values" else {"value": r["value"], "count": r["cnt"]})
+    rows = sorted(scale.union_all(parts).collect(), key=lambda r: (r["list"], r["ordinal"], r["rank"]))
+    texts = full_texts(df, {(r["ordinal"], r["value"]) for r in rows if is_short_key(r["value"])})
+    for r in rows:
+        value = texts.get((r["ordinal"], r["value"]), r["value"])
+        out[r["ordinal"]][r["list"]].append(value if r["list"] == "sample_values" else {"value": value, "count": r["cnt"]})
 
 
 def _numeric(values: DataFrame, out: list[dict], numeric: list[dict]) -> None:

@@ -10,6 +10,7 @@ Steps stay lazy.  Data is read only where a step needs a statistic or changes th
 
 from __future__ import annotations
 
+import functools
 import json
 from dataclasses import dataclass, field
 
@@ -56,6 +57,7 @@ class Run:
     eager: bool = False
     rows: int | None = None
     flags: list[tuple[Entry, str]] = field(default_factory=list)
+    complete: set[str] = field(default_factory=set)  # columns that a step has left without gaps
     log: list[Entry] = field(default_factory=list)
 
     def visible(self) -> list[str]:
@@ -158,6 +160,8 @@ def _run_fills(group: list, state: Run) -> None:
         value = fitted[name] if fitted[name] is not None else parse_params(step).get("value")
         state.mark(entry, quote(name).isNull())
         values[name] = value
+        if value is not None:
+            state.complete.add(name)
         entry.status, entry.result = "executed", _fill_text(wanted[name], value)
         state.log.append(entry)
     state.df = impute.fill_values(state.df, values)
@@ -181,6 +185,9 @@ def _run_step(step, state: Run, stage: bool) -> None:
         elif handler is None:
             entry.result = f"no such operation: {entry.operation}"
         else:
+            if entry.operation in MAY_LEAVE_GAPS:
+                names = parse_params(step)
+                state.complete -= {entry.column, names.get("new_name"), *names.get("new_columns", [])}
             handler(state, entry, parse_params(step), stage)
             if state.eager:
                 state.df = scale.stage(state.df, "step")
@@ -224,7 +231,7 @@ def _fill(state: Run, entry: Entry, params: dict, stage: bool) -> None:
     name, dtype = entry.column, state.df.schema[entry.column].dataType
     if strategy == "interpolate" and is_numeric(dtype) and not group:
         # Usually a fill came first and nothing is left: then there is nothing to order.
-        if state.df.where(quote(name).isNull()).limit(1).count() == 0:
+        if name in state.complete or state.df.where(quote(name).isNull()).limit(1).count() == 0:
             entry.affected = 0
             _done(entry, "{n} gaps interpolated")
             return
@@ -246,6 +253,8 @@ def _fill(state: Run, entry: Entry, params: dict, stage: bool) -> None:
         value = impute.fit(state.df, {name: kind})[name]
         value = params.get("value") if value is None else value
         state.df = impute.fill_values(state.df, {name: value})
+        if value is not None:
+            state.complete.add(name)
         _done(entry, _fill_text(kind, value))
     else:
         value = params.get("value")
@@ -273,6 +282,17 @@ def _rows(change, text: str, shuffles: bool = False):
     return handler
 
 
+def _drop_na(state: Run, entry: Entry, params: dict, stage: bool) -> None:
+    """Rows and gaps are counted by the aggregate that settles the steps before."""
+    names = [entry.column] if entry.column in state.df.columns else state.visible()
+    state.mark(entry, functools.reduce(Column.__or__, [quote(n).isNull() for n in names]))
+    state.settle()
+    state.df = filters.drop_missing(state.df, entry.column)
+    state.rows -= entry.affected
+    state.complete.update(names)
+    _done(entry, "{n} rows with gaps removed")
+
+
 def _drop(state: Run, entry: Entry, params: dict, stage: bool) -> None:
     if entry.column not in state.df.columns or entry.column == ROW_ID:
         entry.result = f"no column {entry.column}, or no longer"
@@ -355,10 +375,13 @@ def _format(state: Run, entry: Entry, params: dict, stage: bool) -> None:
             _done(entry, f"{entry.column} written as {fmt}")
 
 
+# Steps after which a column may have gaps again, or be another column.
+MAY_LEAVE_GAPS = {"replace", "cast_type", "format_datetime", "extract_pattern", "clean_text", "split_column", "rename", "drop_column"}
+
 HANDLERS = {
     "replace": _replace,
     "fill_na": _fill,
-    "drop_na": _rows(lambda s, e, p: filters.drop_missing(s.df, e.column), "{n} rows with gaps removed"),
+    "drop_na": _drop_na,
     "drop_duplicates": _rows(lambda s, e, p: dedupe.drop_duplicates(s.df, p.get("subset"), s.order_by),
                              "{n} repeated rows removed", shuffles=True),
     "drop_column": _drop,

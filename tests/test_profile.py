@@ -165,3 +165,21 @@ def test_clean_table_gets_fillers(spark):
         "drop_columns", "populate_missing", "split_columns", "treat_duplicates", "treat_nulls"]
 
 
+
+
+def test_long_text_is_counted_by_digest(spark):
+    long = "x" * 5000
+    df = spark.createDataFrame([(i, long + "abc"[i % 3], "s") for i in range(30)] + [(30, None, None)], "id int, t string, s string")
+    keys = [r["value"] for r in profile.value_freq(df, ["t"], short=True).collect()]
+    assert len(keys) == 3 and all(profile.is_short_key(k) and len(k) < 200 for k in keys)
+    row = profile.profile(df, ["id"])[0].where("column = 't'").first()
+    assert row["unique_count"] == 3 and sorted(v["value"][-1] for v in row["top_values"]) == ["a", "b", "c"]
+    assert all(v["value"].startswith(long) and v["count"] == 10 for v in row["top_values"]) and len(row["sample_values"][0]) == 5001
+
+
+def test_sparse_columns_share_one_scan(spark):
+    names = [f"c{i}" for i in range(60)]
+    df = spark.range(3000).select("id", *[F.when(F.col("id") == 2000 + i, F.lit(n)).alias(n) for i, n in enumerate(names)])
+    found = profile.first_values(df, names, ["id"], 20)
+    assert sorted(r["value"] for r in found.collect()) == sorted(names)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Range (") <= 2
