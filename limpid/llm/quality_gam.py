@@ -106,28 +106,38 @@ def _tree(g: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _pair_tree(g: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
-    """Steps and gain of a tree of depth two over a grid: one cut, then a cut of either side along either axis."""
-    def cut(rows: slice, columns: slice):
-        part = g[rows, columns], h[rows, columns], n[rows, columns]
-        return max((*_best_cut(*(x.sum(axis=1 - axis) for x in part)), axis) for axis in (0, 1))
+    """Steps and gain of a tree of depth two over a grid: one cut, then a cut of either side along either axis.
 
-    def sides(rows: slice, columns: slice, at: int, axis: int):
-        at += (rows, columns)[axis].start
-        return [(slice(rows.start, at), columns), (slice(at, rows.stop), columns)] if axis == 0 else [(rows, slice(columns.start, at)), (rows, slice(at, columns.stop))]
+    The first cut is the one whose whole tree gains most: where only both features together tell the labels apart, no
+    single cut gains anything."""
+    def leaf(box):
+        return g[box].sum(), h[box].sum()
+
+    def split(box):
+        """(gain, leaves) of the best cut of a part of the grid, or of none."""
+        best = max((*_best_cut(*(x[box].sum(axis=1 - axis) for x in (g, h, n))), axis) for axis in (0, 1))
+        return (best[0], halves(box, best[1], best[2])) if best[0] > 0 else (0.0, [box])
+
+    def halves(box, at: int, axis: int):
+        span = box[axis]
+        sides = slice(span.start, span.start + at), slice(span.start + at, span.stop)
+        return [(side, box[1]) if axis == 0 else (box[0], side) for side in sides]
 
     whole = slice(0, g.shape[0]), slice(0, g.shape[1])
-    gain, at, axis = cut(*whole)
-    leaves = [whole]
-    if gain > 0:
-        leaves = []
-        for side in sides(*whole, at, axis):
-            more, at2, axis2 = cut(*side)
-            leaves += sides(*side, at2, axis2) if more > 0 else [side]
-            gain += max(more, 0)
+    best, leaves = 0.0, [whole]
+    for axis in (0, 1):
+        for at in range(1, g.shape[axis]):
+            sides = halves(whole, at, axis)
+            if min(n[side].sum() for side in sides) < LEAST_ROWS:
+                continue
+            parts = [split(side) for side in sides]
+            gain = sum(_gain(*leaf(side)) for side in sides) - _gain(*leaf(whole)) + sum(more for more, _ in parts)
+            if gain > best:
+                best, leaves = gain, [x for _, found in parts for x in found]
     out = np.zeros(g.shape)
-    for rows, columns in leaves:
-        out[rows, columns] = g[rows, columns].sum() / (h[rows, columns].sum() + SMOOTHING)
-    return out, gain
+    for box in leaves:
+        out[box] = g[box].sum() / (h[box].sum() + SMOOTHING)
+    return out, best
 
 
 def train(x: np.ndarray, y: np.ndarray) -> Model:
