@@ -72,12 +72,20 @@ def run_workflow(t):
     return demo(t)[1].withColumn("o_totalprice", F.round("o_totalprice", 4))
 
 
-@query("execution_summary", """
-SELECT * FROM (VALUES ('treat_nulls', 6, 0, 0), ('treat_duplicates', 1, 0, 0), ('populate_missing', 1, 0, 0), ('drop_columns', 1, 1, 0),
-  ('split_columns', 1, 0, 0), ('standardize', 7, 1, 1), ('other', 0, 1, 0)) AS s(phase, executed, skipped, failed)""")
+@query("execution_summary", after_run("""
+SELECT phase, executed, skipped, failed, CAST(affected AS BIGINT) AS affected FROM (VALUES
+  ('treat_nulls', 6, 0, 0, (SELECT count(*) FILTER (trim(o_orderpriority) IN ('?', 'unknown')) FROM n1)
+    + (SELECT count(*) FILTER (o_totalprice IS NULL) + count(*) FILTER (o_orderstatus IS NULL) FROM n2)
+    + (SELECT count(*) FILTER (o_orderpriority IS NULL) FROM n3)),
+  ('treat_duplicates', 1, 0, 0, (SELECT count(*) FROM n6) - (SELECT count(*) FROM n7)), ('populate_missing', 1, 0, 0, 0),
+  ('drop_columns', 1, 1, 0, 0), ('split_columns', 1, 0, 0, 0), ('standardize', 7, 1, 1, (SELECT count(*) FROM n16) - (SELECT count(*) FROM cleaned)),
+  ('other', 0, 1, 0, 0)) AS s(phase, executed, skipped, failed, affected)"""), ("dup_orders",))
 def execution_summary(t):
-    summary = runner.execution_summary(demo(t)[2])
-    return summary.select("phase", *[F.col(c).cast("int").alias(c) for c in ("executed", "skipped", "failed")])
+    """Steps of each phase, and the rows and cells that they changed."""
+    log = demo(t)[2]
+    summary = runner.execution_summary(log)
+    changed = log.groupBy("phase").agg(F.coalesce(F.sum("affected"), F.lit(0).cast("bigint")).alias("affected"))
+    return summary.select("phase", *[F.col(c).cast("int").alias(c) for c in ("executed", "skipped", "failed")]).join(changed, "phase")
 
 
 @query("step_counts", after_run("""
@@ -155,15 +163,17 @@ def quality_completeness(t):
     return evaluate.quality_completeness(raw, clean)
 
 
-@query("quality_schema", f"""
+@query("quality_schema", after_run(f"""
 SELECT {len(RAW_COLUMNS)}::BIGINT AS columns_raw, {len(CLEAN_COLUMNS)}::BIGINT AS columns_clean,
   '{", ".join(c for c in RAW_COLUMNS if c not in CLEAN_COLUMNS)}' AS columns_dropped,
   {len([c for c in RAW_COLUMNS if c not in CLEAN_COLUMNS])}::BIGINT AS columns_dropped_count,
   '{", ".join(c for c in CLEAN_COLUMNS if c not in RAW_COLUMNS)}' AS new_columns,
-  {len([c for c in CLEAN_COLUMNS if c not in RAW_COLUMNS])}::BIGINT AS new_columns_count""")
+  {len([c for c in CLEAN_COLUMNS if c not in RAW_COLUMNS])}::BIGINT AS new_columns_count,
+  (SELECT count(*) FROM dup_orders) * {len(RAW_COLUMNS)} AS cells_raw, (SELECT count(*) FROM cleaned) * {len(CLEAN_COLUMNS)} AS cells_clean"""), ("dup_orders",))
 def quality_schema(t):
     raw, clean, _ = demo(t)
-    return evaluate.quality_schema(raw, clean)
+    cells = (df.agg((F.count(F.lit(1)) * len(df.columns)).alias(name)) for df, name in ((raw, "cells_raw"), (clean, "cells_clean")))
+    return evaluate.side_by_side(evaluate.quality_schema(raw, clean), *cells)
 
 
 @query("quality_rows", after_run("""
