@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
@@ -46,7 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
     only for a local session without that setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="limpid-")
         spark.sparkContext.setCheckpointDir(folder)
@@ -282,11 +283,8 @@ def quantiles_of_counts(counts: DataFrame, probs: list[float], max_values: int |
     result = _running_quantiles(small, probs)
     if not groups.hot:
         return result
-    hot = counts.where(groups.is_hot(F.col("__group"))).persist(StorageLevel.DISK_ONLY)
-    try:
-        rows = _sliced_quantiles(hot, probs, max_values)
-    finally:
-        hot.unpersist()
+    hot = stage(counts.where(groups.is_hot(F.col("__group"))), "hot-counts")
+    rows = _sliced_quantiles(hot, probs, max_values)
     # One row per hot group, at most MAX_HOT.
     return result.unionByName(local_table(counts.sparkSession, rows, result.schema))
 

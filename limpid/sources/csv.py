@@ -135,32 +135,32 @@ def decode_nulls(df: DataFrame, names: list[str] | None = None) -> DataFrame:
 def infer_types(df: DataFrame, names: list[str] | None = None) -> tuple[DataFrame, bool]:
     """(typed table, were there undecodable bytes).
 
-    Whole numbers, numbers, booleans, else text; dates stay text.  One aggregate for all columns.
+    Whole numbers, numbers, booleans, else text; dates stay text.  One scan for all columns.
     A replacement character shows bytes that were not valid in the encoding.
     """
     names = names or [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     if not names:
         return df, False
 
-    def tests(c: str) -> list:
-        v = strip(quote(c))
-        whole = F.when(v.rlike(INTEGER), v.try_cast("bigint").isNotNull()).when(v.isNotNull(), False)
-        return [F.count(quote(c)), F.bool_and(whole), F.bool_and(v.rlike(NUMBER)),
-                F.bool_and(v.isin("True", "False", "TRUE", "FALSE", "true", "false")),
-                F.bool_or(quote(c).contains("\ufffd"))]
-
-    row = df.agg(*[t.alias(f"{i}_{j}") for i, c in enumerate(names) for j, t in enumerate(tests(c))]).first()
+    v = strip(F.col("v"))
+    # Long form: as one wide aggregate the generated code would grow with the columns and stop being compiled.
+    long = scale.long_form(df, [(i, quote(c)) for i, c in enumerate(names)], "v")
+    whole = F.when(v.rlike(INTEGER), v.try_cast("bigint").isNotNull()).otherwise(False)
+    facts = {r["ordinal"]: r for r in long.groupBy("ordinal").agg(
+        F.bool_and(whole).alias("whole"), F.bool_and(v.rlike(NUMBER)).alias("number"),
+        F.bool_and(v.isin("True", "False", "TRUE", "FALSE", "true", "false")).alias("boolean"),
+        F.bool_or(F.col("v").contains("\ufffd")).alias("damaged")).collect()}
     casts, damaged = {}, False
     for i, c in enumerate(names):
-        count, whole, number, boolean, bad = row[5 * i:5 * i + 5]
-        v, damaged = strip(quote(c)), damaged or bool(bad)
-        if count == 0:
+        v, found = strip(quote(c)), facts.get(i)
+        damaged = damaged or bool(found and found["damaged"])
+        if found is None:
             casts[c] = F.lit(None).cast("double")
-        elif whole:
+        elif found["whole"]:
             casts[c] = v.try_cast("bigint")
-        elif number:
+        elif found["number"]:
             casts[c] = v.try_cast("double")
-        elif boolean:
+        elif found["boolean"]:
             casts[c] = F.lower(v) == "true"
     return (df.withColumns(casts) if casts else df), damaged
 
