@@ -115,8 +115,8 @@ def _file_cells(distinct: DataFrame, blocks: dict[int, int]) -> DataFrame:
 
 
 def _hot_cells(distinct: DataFrame, n: int) -> dict[int, int]:
-    """{cell: blocks} for grid points with more than BLOCK members, of which there are at most 2 x 8 x 33 x shuffle
-    partitions x 33: a point is that full only next to a half vector that many fingerprints share."""
+    """{cell: blocks} for the grid points to split.  A full point lies next to a half vector that many fingerprints
+    share; there are at most 16 x shuffle partitions such vectors, with 33 points each, and only these are counted."""
     spark = distinct.sparkSession
     limit = max(BLOCK // 33, math.ceil(n / (8 * partitions(spark))))
     if n <= BLOCK:
@@ -229,9 +229,10 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_links(distinct: DataFrame) -> DataFrame:
     """(a, b): enough links between fingerprints at most RADIUS bits apart to connect all that are linked.
 
-    `distinct` has each fingerprint (column fp, signed long) once.  A grid point with more than BLOCK members is
-    split into pairs of blocks that are compared apart, so no task holds more than 2 x BLOCK members of a point and
-    no pair is missed."""
+    `distinct` has each fingerprint (column fp, signed long) once.  A grid point with more than BLOCK members, next to
+    a half vector that more than 1 / (8 x shuffle partitions) of the fingerprints share, is split into pairs of blocks
+    that are compared apart, so no pair is missed.  Any other point holds at most BLOCK members or 33 / (8 x shuffle
+    partitions) of all fingerprints."""
     n = distinct.count()
     filed = _file_cells(distinct, _hot_cells(distinct, n))
     count = partitions(distinct.sparkSession)
