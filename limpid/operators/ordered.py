@@ -122,7 +122,7 @@ def interpolate(df: DataFrame, column: str, order_by: list[str], *, buckets: int
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     near = (rows.withColumn("__prev", F.last(known, True).over(back))
             .withColumn("__next", F.last(known, True).over(forth))
-            .join(reach, "__bucket", "left"))
+            .join(scale.few(reach, ranges), "__bucket", "left"))
     offset = F.col("__offset")
     prev_v = F.coalesce(F.col("__prev.v"), F.col("__far_pv"))
     prev_p = F.coalesce(F.col("__prev.p") + offset, F.col("__far_pp"))

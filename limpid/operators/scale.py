@@ -29,6 +29,8 @@ from limpid.functions.text import quote
 GROUP_ROWS = 2_000_000
 # Target rows per range bucket; the number of buckets follows from the rows.
 BUCKET_ROWS = 1_000_000
+# Up to this many rows a bucket may hold all rows that tie in the order: comparing keys without the tie column is faster.
+SMALL_ROWS = 4_000_000
 # Characters of a text key that a bucket's bound keeps.  Any prefix is a valid bound.
 BOUND_TEXT = 64
 # Largest table that is broadcast; rows and text bytes are always counted first.
@@ -145,6 +147,8 @@ def range_buckets(df: DataFrame, order_by: list[str], buckets: int | None = None
     stored state.  There are about 32 sample rows and one bound per bucket.
     """
     rows = df.count()
+    if rows <= SMALL_ROWS and order_by[-1] == TIE and len(order_by) > 1:
+        order_by = order_by[:-1]  # the order of the rows is the same; only a bucket may hold all ties of a key
     if buckets is None:
         wanted = max(math.ceil(rows / BUCKET_ROWS), 2 * df.sparkSession.sparkContext.defaultParallelism)
         buckets = min(wanted, max(1, rows // 64))
@@ -159,6 +163,11 @@ def range_buckets(df: DataFrame, order_by: list[str], buckets: int | None = None
     return Ranges(tuple(order_by), tuple(dict.fromkeys(r["key"] for r in tiles.collect())))
 
 
+def few(summary: DataFrame, ranges: Ranges) -> DataFrame:
+    """A table of a few numbers per bucket, broadcast if there are not too many buckets."""
+    return F.broadcast(summary) if ranges.count <= BROADCAST_ROWS else summary
+
+
 def with_position(df: DataFrame, order_by: list[str], name: str, ranges: Ranges | None = None) -> DataFrame:
     """Add the dense 0-based row position: bucket offset plus row number inside the bucket.
 
@@ -174,7 +183,7 @@ def with_position(df: DataFrame, order_by: list[str], name: str, ranges: Ranges
     offsets = sizes.select("__bucket", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
     local = Window.partitionBy("__bucket").orderBy(*columns_of(order))
     return (bucketed.withColumn("__local", F.row_number().over(local))
-            .join(offsets, "__bucket", "left")
+            .join(few(offsets, ranges), "__bucket", "left")
             .withColumn(name, F.col("__offset") + F.col("__local") - 1)
             .drop("__bucket", "__offset", "__local", TIE))
 
