@@ -1,4 +1,4 @@
-"""Removal of repeated passages by content-defined line chunks.
+"""Removal of repeated passages, by content-defined line chunks (remove_repeats) or all of them (remove_passages).
 
 A rolling hash over the hashes of neighbouring lines chooses where a chunk ends, so the boundaries inside a passage
 are the same wherever it stands.  Chunks of several lines that occur again anywhere are removed after their bytes have
@@ -10,10 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from limpid.llm.common import words_pattern
+
 #: A chunk ends after a line where the rolling hash is divisible by this, so it has as many lines on average.
 CHUNK_LINES = 3
 #: Shorter chunks are never removed.
 LEAST_LINES = 2
+#: Runs of lines with more words than this are passages.
+PASSAGE_WORDS = 50
 ADDED = ("n_lines", "removed_lines", "removed")
 
 
@@ -76,3 +80,73 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = parts.withColumns({"n_lines": F.size("__lines").cast("long"), "removed": spans, "__clean": cleaned}) \
         .withColumn("removed_lines", F.aggregate("removed", F.lit(0).cast("long"), lambda s, r: s + r["n_lines"]))
     return out.select(*[F.col("__clean").alias(c) if c == text_col else F.col(c) for c in own], *ADDED)
+
+
+def remove_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least_words: int = PASSAGE_WORDS) -> DataFrame:
+    """`df` without its repeated passages: runs of neighbouring lines with more than `least_words` words together that
+    occur before, in id order (null first), then by text hash, then in text order.  The columns are those of
+    remove_repeats.
+
+    A line goes if it lies in such a run, so no passage of whole lines is missed, of one line or of many.  An occurrence
+    that overlaps the first one in the same document is not a repeat.  Words are runs of anything but ASCII white space.
+    Lines without words are passed over when runs are compared, and go when a removed run holds lines on both sides.
+
+    From every line the shortest run over `least_words` words that starts there, and the one that ends there, are
+    compared by SHA-256 of their lines' SHA-256; together these runs cover every longer one.  A run has at most
+    `least_words` + 1 lines, so the work grows with the lines.  Digests are shuffled, and the texts once, to meet their
+    removed runs; occurrences of a frequent run meet its first one in a join without an aggregation above it."""
+    df = df.drop(*ADDED)
+    own = [c for c in df.columns]
+    docs = df.withColumn("__text", F.xxhash64(text_col))
+    spans = _runs(docs.select(F.col(id_col).alias("__id"), "__text", F.col(text_col).alias("__source")), "__source", least_words)
+    repeated = spans.groupBy("__digest").agg(F.min(F.struct("__id", "__text", "__from", "__to")).alias("__first"), F.count(F.lit(1)).alias("__n")) \
+        .where("__n > 1").select("__digest", "__first")
+    itself = F.col("__id").eqNullSafe(F.col("__first.__id")) & (F.col("__text") == F.col("__first.__text"))
+    again = spans.join(repeated, "__digest").where(~(itself & (F.col("__from") <= F.col("__first.__to"))))
+    gone = again.groupBy("__id", F.col("__text").alias("__hash")).agg(F.collect_set(F.struct("__from", "__to")).alias("__gone"))
+    parts = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]) & (docs["__text"] == gone["__hash"]), "left") \
+        .select(*[docs[c] for c in own], "__gone").withColumn("__lines", _lines(text_col))
+    covered = F.flatten(F.transform("__gone", lambda s: F.sequence(s["__from"], s["__to"])))
+    parts = parts.withColumn("__kept", F.when(F.col("__gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), covered)))
+    # What lies between two kept lines has been removed.
+    edges = F.concat(F.array(F.lit(-1)), F.col("__kept"), F.array(F.size("__lines")))
+    gaps = F.filter(F.transform(F.arrays_zip(F.slice(edges, 1, F.size(edges) - 1).alias("a"), F.slice(edges, 2, F.size(edges) - 1).alias("b")),
+                                lambda e: F.struct((e["a"] + 1).alias("first_line"), (e["b"] - e["a"] - 1).alias("n_lines"))), lambda s: s["n_lines"] > 0)
+    spared = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    cleaned = F.when(F.col("__gone").isNull(), spared).otherwise(F.array_join(F.transform("__kept", lambda i: F.get("__lines", i)), "\n"))
+    out = parts.withColumns({"n_lines": F.size("__lines").cast("long"), "__clean": cleaned,
+                             "removed": F.coalesce(gaps, F.array().cast("array<struct<first_line:int,n_lines:int>>"))}) \
+        .withColumn("removed_lines", F.aggregate("removed", F.lit(0).cast("long"), lambda s, r: s + r["n_lines"]))
+    return out.select(*[F.col("__clean").alias(c) if c == text_col else F.col(c) for c in own], *ADDED)
+
+
+def _lines(text_col: str) -> Column:
+    return F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1)
+
+
+def _runs(df: DataFrame, text_col: str, least_words: int) -> DataFrame:
+    """(__id, __text, __from, __to, __digest) of the shortest runs over `least_words` words that start or end at a
+    line; __from and __to are lines of the text, counted from 0."""
+    numbered = F.transform(_lines(text_col), lambda line, i: F.struct(i.alias("at"), F.regexp_count(line, F.lit(words_pattern())).alias("words"), line.alias("line")))
+    worded = df.select("__id", "__text", F.filter(numbered, lambda x: x["words"] > 0).alias("__worded")) \
+        .where(F.aggregate("__worded", F.lit(0).cast("long"), lambda n, x: n + x["words"]) > least_words) \
+        .withColumn("__worded", F.transform("__worded", lambda x: F.struct(x["at"], x["words"], F.sha2(x["line"], 256).alias("digest"))))
+    most = least_words + 1
+
+    def reach(lines: Column) -> Column:
+        """Lines that it takes from the front of `lines` to pass `least_words` words; null if they do not."""
+        return F.aggregate(lines, F.struct(F.lit(0).alias("words"), F.lit(0).alias("n")), lambda s, x: F.when(s["words"] > least_words, s).otherwise(
+            F.struct((s["words"] + x["words"]).alias("words"), (s["n"] + 1).alias("n"))), lambda s: F.when(s["words"] > least_words, s["n"]))
+
+    places = F.sequence(F.lit(0), F.size("__worded") - 1)
+    ahead = F.transform(places, lambda i: F.struct(i.alias("i"), reach(F.slice("__worded", i + 1, F.lit(most))).alias("n")))
+
+    def behind(i: Column) -> Column:
+        start = F.greatest(i - least_words, F.lit(0))
+        n = reach(F.reverse(F.slice("__worded", start + 1, i - start + 1)))
+        return F.struct((i - n + 1).alias("i"), n.alias("n"))
+
+    runs = F.array_distinct(F.filter(F.concat(ahead, F.transform(places, behind)), lambda r: r["n"].isNotNull()))
+    digest = F.unhex(F.sha2(F.array_join(F.transform(F.slice("__worded", F.col("r.i") + 1, F.col("r.n")), lambda x: x["digest"]), ""), 256))
+    return worded.withColumn("r", F.explode(runs)).select(
+        "__id", "__text", F.get("__worded", F.col("r.i"))["at"].alias("__from"), F.get("__worded", F.col("r.i") + F.col("r.n") - 1)["at"].alias("__to"), digest.alias("__digest"))

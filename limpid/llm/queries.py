@@ -119,6 +119,12 @@ FROM (
   FROM m GROUP BY doc_id, n_lines)"""
 
 
+@query
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.remove_passages(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "removed_lines", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write(table(spark, sf_dir, "documents", "doc_id", "text"), TOKENIZER)

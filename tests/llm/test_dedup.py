@@ -259,6 +259,54 @@ def test_lines_match_brute_force(spark):
     assert line_dedup.remove_repeats(extra).first()["removed"] == []
 
 
+def passages_brute(rows, least=50):
+    """(text, lines removed) per row of distinct ids: every line in a run over `least` words that occurs before."""
+    lines = {doc: [(i, x) for i, x in enumerate((text or "").split("\n")) if x.encode().translate(None, WHITE)] for doc, text in rows}
+    first, spans = {}, []
+    for doc in sorted(lines):
+        own = lines[doc]
+        for a in range(len(own)):
+            words = 0
+            for b in range(a, min(len(own), a + least + 12)):
+                words += len(own[b][1].split())
+                if words > least:
+                    run = tuple(x for _, x in own[a : b + 1])
+                    spans.append((doc, own[a][0], own[b][0], first.setdefault(run, (doc, own[b][0]))))
+    gone = {doc: set() for doc in lines}
+    for doc, a, b, (first_doc, first_end) in spans:
+        if doc != first_doc or a > first_end:
+            gone[doc].update(range(a, b + 1))
+    return {doc: ("\n".join(x for i, x in enumerate((text or "").split("\n")) if i not in gone[doc]), len(gone[doc])) for doc, text in rows}
+
+
+def test_passages_of_one_to_ten_lines(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    planted = [[words(60 // n + 1) for _ in range(n)] for n in range(1, 11)]
+    rows = [(k, "\n".join([words(9), *p, words(9)])) for k, p in enumerate(planted)]
+    rows += [(20 + k, "\n".join([words(9), words(3), *p, words(9)])) for k, p in enumerate(planted)]
+    out = {r["doc_id"]: r for r in line_dedup.remove_passages(frame(spark, rows)).collect()}
+    for k, p in enumerate(planted):
+        assert out[k]["removed_lines"] == 0 and out[k]["text"] == rows[k][1]
+        assert [tuple(x) for x in out[20 + k]["removed"]] == [(2, len(p))] and out[20 + k]["removed_lines"] == len(p)
+
+
+def test_passages_match_brute_force(spark):
+    rng = random.Random(6)
+    pool = [" ".join(f"p{rng.randrange(40)}" for _ in range(rng.choice([0, 1, 4, 12, 25, 51, 70]))) for _ in range(25)]
+    rows = [(0, None), (1, ""), (2, "\n\n"), (3, "\n".join(["again " * 20] * 9)), (4, "\n".join(["again " * 20] * 5)), (5, "\n" * 3000)]
+    for i in range(6, 90):
+        at = rng.randrange(20)
+        rows.append((i, "\n".join([f"own {i}", *pool[at : at + rng.randrange(7)], *rng.sample(pool, 2), f"end {i}"])))
+    got = {r["doc_id"]: (r["text"], r["removed_lines"]) for r in line_dedup.remove_passages(frame(spark, rows)).collect()}
+    assert got == passages_brute(rows) and any(n for _, n in got.values())
+    twice = line_dedup.remove_passages(frame(spark, [(None, "x " * 60), (1, "x " * 60), (1, "x " * 60)])).collect()
+    assert sorted((r["doc_id"] is None, r["removed_lines"]) for r in twice) == [(False, 1), (False, 1), (True, 0)]
+    assert line_dedup.remove_passages(frame(spark, [])).collect() == []
+    plan = queries.op7_passages(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct"))
+
+
 def test_native_operators_run_no_python(spark):
     for name in ("op6_exact_dedup", "op7_line_dedup"):
         plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
