@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from limpid.llm import components, exact_dedup, line_dedup, queries, rp_forest, simhash
+from limpid.llm import components, exact_dedup, jaccard, line_dedup, queries, rp_forest, simhash
 from limpid.llm.common import table
 
 SF = "/root/testdata/sf0.01"
@@ -164,6 +164,50 @@ def test_near_copies_stage(spark):
     assert simhash.drop_near_copies(df.limit(0)).collect() == []
 
 
+def jaccard_brute(rows, least=0.8):
+    """Row numbers that stay, and the pairs linked."""
+    sets = []
+    for _, text in rows:
+        words = (text or "").lower().split()
+        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least]
+    group = least_reachable(list(range(len(rows))), links)
+    best = {}
+    for i, (doc, _) in enumerate(rows):
+        best[group[i]] = min(best.get(group[i], (True, 0, i)), (doc is None, doc or 0, i))
+    return {b[2] for b in best.values()}, links
+
+
+def test_stage_drops_near_copies_at_index_08(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    rows = [(5000, None), (5001, " "), (5002, "a b"), (None, "A  b"), (5003, "a b c d e f")]
+    for k in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([12, 100, 300]))]
+        for c in range(4):
+            own = words.copy()
+            for _ in range(rng.randrange(1 + len(own) // 40)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            rows.append((4 * k + c, " ".join(own)))
+    base = [f"h{i}" for i in range(200)]
+    rows += [(900 + i, " ".join(base[: 190 - i] + [f"t{i}"] + base[191 - i :])) for i in range(150)]  # one large group
+    df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, place int")
+    kept, links = jaccard_brute(rows)
+    assert {r["place"] for r in corpus_pipeline.drop_near_copies(spark, df, SF).collect()} == kept
+    prints = [simhash.fingerprint(t) for _, t in rows]
+    assert any((prints[i] ^ prints[j]).bit_count() > 4 for i, j in links) and len(kept) < len(rows) - 150
+
+
+def test_members_far_from_the_least_of_their_bucket(spark, monkeypatch):
+    """All in one bucket: 1 and 2 are near copies, and so are 3 and 4, but 0 is near to none."""
+    monkeypatch.setattr(jaccard, "band_keys", lambda hashes: [7])
+    a, b = ([f"{x}{i}" for i in range(100)] for x in "ab")
+    texts = ["z " * 50, " ".join(a), " ".join([*a[:-1], "y"]), " ".join(b), " ".join([*b[:-1], "y"])]
+    df = frame(spark, list(enumerate(texts)), "row long, text string")
+    assert {tuple(r) for r in jaccard.near_groups(df).collect()} == {(1, 1), (2, 1), (3, 3), (4, 3)}
+
+
 # --- vectors -----------------------------------------------------------------------------------
 
 def vector_brute(rows, least=0.9):
