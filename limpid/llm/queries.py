@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limpid.llm import bpe, exact_dedup, line_dedup, mixing, quality_gam, rp_forest, simhash, token_files, toxicity, url_filter
-from limpid.llm.common import table
+from limpid.llm import bpe, exact_dedup, line_dedup, merkle, mixing, quality_gam, rp_forest, simhash, token_files, toxicity, url_filter
+from limpid.llm.common import stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -142,3 +142,74 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, draws = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return mixing.taken_words(documents, draws).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+#: The columns that a leaf of op11 commits to.
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", *LEAF)
+    leaf = merkle.digest_of([F.col(c) for c in LEAF])
+    lower = merkle.digest_of([F.translate("text", CAPITALS, SMALL) if c == "text" else F.col(c) for c in LEAF])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, lower).otherwise(leaf)
+    hashed = stage(documents.select(F.col("doc_id").alias("id"), F.col("source").alias("grp"), leaf.alias("leaf"), tampered.alias("tampered")), "merkle-hashed")
+    m = merkle.manifest_of_leaves(hashed)
+    folded = merkle.fold(F.col("tampered"), F.col("path"))
+    return merkle.proofs(m).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", F.lit(m.root).alias("root"), merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == m.root)
+
+
+#: CRC-32 of a decimal number in DuckDB: a step for each byte, eight for its bits.
+_CRC32 = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT)),
+    lambda crc, b: list_reduce(list_concat([xor(crc, b)], CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+      lambda v, z: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295::BIGINT), 4294967295::BIGINT)"""
+
+
+def _leaf_sql(text: str) -> str:
+    values = [f"CAST({text if c == 'text' else c} AS VARCHAR)" for c in LEAF]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
+ORACLE["op11_merkle"] = f"""
+WITH RECURSIVE h AS (
+  SELECT doc_id, source, {_leaf_sql("text")} AS leaf,
+    CASE WHEN {_CRC32} % 5 = 0 THEN {_leaf_sql(f"translate(text, '{CAPITALS}', '{SMALL}')")} ELSE {_leaf_sql("text")} END AS changed
+  FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM h),
+nodes AS (
+  SELECT 0 AS level, source, idx, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT level + 1, source, idx // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM nodes WHERE n > 1
+  GROUP BY level, source, idx // 16, n),
+sub AS (SELECT source, level, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+top AS (
+  SELECT 0 AS level, idx, n, digest FROM sub
+  UNION ALL
+  SELECT level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY level, idx // 16, n),
+beside AS (
+  SELECT a.source, a.level, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+    coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM nodes a JOIN nodes b ON a.source IS NOT DISTINCT FROM b.source AND a.level = b.level AND a.idx // 16 = b.idx // 16 WHERE a.n > 1
+  GROUP BY a.source, a.level, a.idx),
+beside_top AS (
+  SELECT a.level, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+    coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM top a JOIN top b ON a.level = b.level AND a.idx // 16 = b.idx // 16 WHERE a.n > 1 GROUP BY a.level, a.idx),
+climb AS (
+  SELECT 0 AS level, row_number() OVER () AS k, doc_id, source, leaf, idx, changed AS own, '' AS proof FROM leaves
+  UNION ALL
+  SELECT c.level + 1, k, doc_id, c.source, leaf, c.idx // 16, sha256(l || own || r), proof || l || r
+  FROM climb c JOIN beside b ON c.source IS NOT DISTINCT FROM b.source AND c.level = b.level AND c.idx = b.idx),
+peak AS (
+  SELECT 0 AS level, k, doc_id, c.source, leaf, s.digest AS subroot, s.idx, own, proof
+  FROM climb c JOIN sub s ON c.source IS NOT DISTINCT FROM s.source AND c.level = s.level
+  UNION ALL
+  SELECT p.level + 1, k, doc_id, source, leaf, subroot, p.idx // 16, sha256(l || own || r), proof || l || r
+  FROM peak p JOIN beside_top b ON p.level = b.level AND p.idx = b.idx)
+SELECT doc_id, leaf, subroot, t.digest AS root, sha256(proof) AS proof_sha256, own AS folded_root, own = t.digest AS verified
+FROM peak p JOIN top t ON p.level = t.level AND t.n = 1"""
