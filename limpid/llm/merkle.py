@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limpid.functions.text import quote
-from limpid.llm.common import stage
+from limpid.llm.common import ranked, stage
 
 FANOUT = 16
 
@@ -24,26 +24,6 @@ def digest_of(columns: list[Column]) -> Column:
     return F.sha2(F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]), 256)
 
 
-def ranked(df: DataFrame, group: str, order_by: list[str]) -> DataFrame:
-    """`df` with idx (0-based place of a row in its group, nulls first, as in `order_by`) and n (rows of the group).
-
-    The rows are sorted by a range exchange and written with the number of their partition; the offset of a group in a
-    partition is a running sum over the counts of earlier partitions.  No group is sorted or counted in one task.
-    Columns named __part and __row are replaced."""
-    keys = [quote(c) for c in [group, *order_by]]
-    # Without this write the sampling of the range exchange would compute the rows a second time.
-    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    rows = stage(ordered.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()), "ranked")
-    held = rows.groupBy("__part", quote(group).alias("__group")).agg(F.count(F.lit(1)).alias("__held"), F.min("__row").alias("__first"))
-    group_parts = Window.partitionBy("__group")
-    earlier = group_parts.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = held.select("__part", "__group", "__first", F.coalesce(F.sum("__held").over(earlier), F.lit(0)).alias("__before"), F.sum("__held").over(group_parts).alias("n"))
-    # One row per partition and group that meet: partitions + groups at most.
-    offsets = offsets.withColumnRenamed("__part", "__in")
-    placed = rows.join(offsets, (F.col("__part") == F.col("__in")) & quote(group).eqNullSafe(F.col("__group")))
-    return placed.withColumn("idx", F.col("__before") + F.col("__row") - F.col("__first")).select(*df.columns, "idx", "n")
-
-
 @dataclass
 class Tree:
     """Runs of every level (grp, run, n, digests, parent), and what remains of every group (grp, level, digest)."""
