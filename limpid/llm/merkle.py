@@ -122,9 +122,9 @@ def manifest_of_leaves(hashed: DataFrame, fanout: int = FANOUT) -> Manifest:
     """The same from the digests: a table (id, grp, leaf, ...) that is cheap to read twice.  Other columns stay."""
     leaves = stage(ranked(hashed, "grp", ["id", "leaf"]), "merkle-leaves")
     groups = build(leaves.select("grp", "idx", "n", F.col("leaf").alias("digest")), fanout)
-    over = ranked(groups.roots.select("grp", "digest", F.lit(0).alias("all")), "all", ["grp"])
-    subroots = stage(over, "merkle-subroots")
-    top = build(subroots.select(F.lit(0).alias("grp"), "idx", "n", "digest"), fanout)
+    # One group of all subroots; a stored column keeps the joins on it equijoins.
+    subroots = stage(ranked(groups.roots.select("grp", "digest", F.lit(0).alias("all")), "all", ["grp"]), "merkle-subroots")
+    top = build(subroots.select(F.col("all").alias("grp"), "idx", "n", "digest"), fanout)
     root = top.roots.first()
     return Manifest(leaves, groups, subroots, top, root["digest"] if root else _nothing(hashed.sparkSession))
 
@@ -136,9 +136,8 @@ def _nothing(spark: SparkSession) -> str:
 def proofs(m: Manifest) -> DataFrame:
     """`leaves` with subroot and path: what stands left and right of the own digest at every level up to the root, as
     array<struct<left, right>> of joined hex digests.  Folding it over a leaf (fold) gives the root."""
-    empty = F.array().cast("array<struct<left:string,right:string>>")
-    ends = m.leaves.sparkSession.range(1).select(F.lit(0).alias("grp"), empty.alias("path"))
-    tops = _lowest(m.subroots.select("grp", "digest", "idx", "n"), m.top, ends, F.lit(0)).select("grp", F.col("digest").alias("subroot"), "path")
+    ends = m.top.roots.select("grp", F.array().cast("array<struct<left:string,right:string>>").alias("path"))
+    tops = _lowest(m.subroots, m.top, ends, F.col("all")).select("grp", F.col("digest").alias("subroot"), "path")
     return _lowest(m.leaves, m.groups, tops, F.col("grp"))
 
 
