@@ -6,6 +6,7 @@ import io
 import math
 import os
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -58,6 +59,18 @@ def python_stages(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+_HELD: dict[bytes, object] = {}
+
+
+def held(key: bytes, make: Callable[[], object]):
+    """What a Python worker keeps between tasks under a key.  A worker keeps one thing: another key drops it, so
+    operators that follow each other in the same workers do not add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: what follows survives lost executors and never repeats this work."""
     return scale.stage(df, label)

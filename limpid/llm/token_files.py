@@ -9,6 +9,7 @@ the shard with their places in the stream.
 from __future__ import annotations
 
 import hashlib
+import os
 import uuid
 import zlib
 from array import array
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from limpid.llm.common import python_stages, stage
+from limpid.llm.common import held, python_stages, stage
 from limpid.llm.units import Encoder
 from limpid.operators import scale
 
@@ -34,26 +35,27 @@ MANIFEST = "shard int, sequences string, documents string, n_tokens long, n_docu
 #: Bytes of remembered parts; a worker of this operator does nothing else.
 MEMORY = 224 << 20
 
-_WORKER: dict[bytes, Encoder] = {}
-
-
 def _encoder(content: bytes) -> Encoder:
     """One tokenizer, with the parts it remembers, for all tasks of a worker."""
-    key = hashlib.sha1(content).digest()
-    if key not in _WORKER:
-        from tokenizers import Tokenizer
+    return held(hashlib.sha1(b"tokens" + content).digest(), lambda: _load(content))
+
 
-        tokenizer = Tokenizer.from_str(content.decode())
-        tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
+def _load(content: bytes) -> Encoder:
+    # A task has one core; the library's own threads would only take it from other tasks.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        kind = np.dtype("<u2" if max(tokenizer.get_vocab().values()) < 1 << 16 else "<u4")
+    tokenizer = Tokenizer.from_str(content.decode())
+    kind = np.dtype("<u2" if max(tokenizer.get_vocab().values()) < 1 << 16 else "<u4")
 
-        def encode_parts(parts: list[str]) -> list[bytes]:
-            return [array(kind.char, e.ids).tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    def encode_parts(parts: list[str]) -> list[bytes]:
+        return [array(kind.char, e.ids).tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-        _WORKER.clear()
-        _WORKER[key] = Encoder(encode_parts, kind, MEMORY)
-    return _WORKER[key]
+    # As the library does, a text is cut at the strings of added tokens before anything else.
+    tokens = tokenizer.get_added_tokens_decoder()
+    if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in tokens.values()):
+        raise ValueError("added tokens that look at what stands beside them are not supported")
+    return Encoder(encode_parts, kind, MEMORY, {token.content: i for i, token in tokens.items()})
 
 
 def _file_system(path: str) -> tuple[fs.FileSystem, str]:
