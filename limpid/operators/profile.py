@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -498,21 +498,35 @@ def _derive(row: dict, rows: int) -> None:
     row["drop_reasons"] = [name for name, holds in reasons if holds]
 
 
+def table_keys(df: DataFrame) -> list[str]:
+    """The column that tells tables apart, if a profile covers several."""
+    return [c for c in df.columns if c == "file"]
+
+
+def each_table(df: DataFrame, *order) -> WindowSpec:
+    """Rows of one table in an order."""
+    keys = table_keys(df)
+    return (Window.partitionBy(*keys) if keys else Window).orderBy(*order)
+
+
 def droppable(profile: DataFrame) -> DataFrame:
     """seq, column, reasons, related_column: columns with drop reasons in table order, then redundant pairs."""
+    keys = table_keys(profile)
     own = profile.where(F.size("drop_reasons") > 0).select(
-        F.lit(0).alias("part"), "ordinal", F.lit(0).alias("n"), "column",
+        *keys, F.lit(0).alias("part"), "ordinal", F.lit(0).alias("n"), "column",
         F.array_join("drop_reasons", ", ").alias("reasons"), F.lit(None).cast("string").alias("related_column"))
-    pairs = profile.select("ordinal", "column", F.posexplode("redundant_with").alias("n", "related_column")).select(
-        F.lit(1).alias("part"), "ordinal", "n", "column",
+    pairs = profile.select(*keys, "ordinal", "column", F.posexplode("redundant_with").alias("n", "related_column")).select(
+        *keys, F.lit(1).alias("part"), "ordinal", "n", "column",
         F.concat(F.lit("redundant_encoding_of_"), "related_column").alias("reasons"), "related_column")
-    seq = F.row_number().over(Window.orderBy("part", "ordinal", "n"))
-    return own.unionByName(pairs).select(seq.alias("seq"), "column", "reasons", "related_column")
+    both = own.unionByName(pairs)
+    seq = F.row_number().over(each_table(both, "part", "ordinal", "n"))
+    return both.select(*keys, seq.alias("seq"), "column", "reasons", "related_column")
 
 
-def health(profile: DataFrame, total_duplicates: int, duplicate_ratio: float) -> DataFrame:
-    """One row: rows, columns, duplicates and overall health."""
-    flags = profile.agg(
+def table_facts(profile: DataFrame) -> DataFrame:
+    """One row per table: rows, columns, cells, gaps and flags."""
+    keys = table_keys(profile)
+    flags = profile.groupBy(*keys).agg(
         F.max("rows").alias("rows"), F.count(F.lit(1)).alias("columns"), F.sum("rows").alias("total_cells"),
         F.sum("missing_count").alias("total_missing_cells"), F.sum("placeholder_count").alias("total_placeholder_cells"),
         F.sum(F.when(F.size("drop_reasons") > 0, 1).otherwise(0) + F.size("redundant_with")).cast("bigint")
@@ -520,8 +534,14 @@ def health(profile: DataFrame, total_duplicates: int, duplicate_ratio: float) ->
         F.count_if("splittable").alias("splittable_columns_count"))
     complete = 1 - F.try_divide(F.col("total_missing_cells").cast("double"), F.col("total_cells").cast("double"))
     return flags.select(
-        "rows", "columns", "total_cells", "total_missing_cells", "total_placeholder_cells",
-        F.coalesce(F.round(complete, 4), F.lit(0.0)).alias("completeness_score"),
+        *keys, "rows", "columns", "total_cells", "total_missing_cells", "total_placeholder_cells",
+        F.coalesce(F.round(complete, 4), F.lit(0.0)).alias("completeness_score"), "droppable_columns_count", "splittable_columns_count")
+
+
+def health(profile: DataFrame, total_duplicates: int, duplicate_ratio: float) -> DataFrame:
+    """One row: rows, columns, duplicates and overall health."""
+    return table_facts(profile).select(
+        "rows", "columns", "total_cells", "total_missing_cells", "total_placeholder_cells", "completeness_score",
         F.lit(total_duplicates).cast("bigint").alias("duplicate_rows"),
         F.lit(duplicate_ratio).alias("duplicate_ratio"),
         "droppable_columns_count", "splittable_columns_count")
