@@ -14,12 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limpid.llm.common import python_stages
+from limpid.llm.common import held, python_stages
 from limpid.llm.units import Encoder
 
 
@@ -124,17 +125,42 @@ class Merges:
         return [known[own[0]] if len(own) == 1 else b"".join([known[w] for w in own]) for own in words]
 
 
-#: What a worker has loaded: the vocabulary's digest, and the encoder or the tokens by id.
-_WORKER: dict[bytes, Encoder | dict[int, bytes]] = {}
+class Tokens:
+    """Bytes of token ids: all tokens one after the other, and where each lies."""
 
+    def __init__(self, ranks: dict[bytes, int]):
+        self.sizes = np.full(max(ranks.values(), default=-1) + 1, -1)
+        tokens = [b""] * len(self.sizes)
+        for token, rank in ranks.items():
+            tokens[rank], self.sizes[rank] = token, len(token)
+        self.starts = np.cumsum([0, *map(len, tokens)])
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
-def _loaded(purpose: bytes, content: bytes, pattern: str):
+    def decode(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all texts, where each text's bytes start, and the end); an id that no token has is an error."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.sizes) or (self.sizes[ids] < 0).any()):
+            raise ValueError("there is an id without a token")
+        sizes = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return self.bytes[np.repeat(self.starts[ids] - ends[:-1], sizes) + np.arange(ends[-1])], ends[starts]
+
+
+class Codec:
+    """Encoder and decoder of one vocabulary."""
+
+    def __init__(self, content: bytes, pattern: str):
+        merges = Merges(content, pattern)
+        self.encoder, self.tokens = Encoder(merges.encode_parts, "<u4"), Tokens(merges.ranks)
+
+
+def _codec(content: bytes, pattern: str) -> Codec:
     """One vocabulary, with what its encoder remembers, for all tasks of a worker."""
-    key = hashlib.sha1(purpose + content + pattern.encode()).digest()
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = Encoder(Merges(content, pattern).encode_parts, "<u4") if purpose == b"encode" else {r: t for t, r in read_ranks(content).items()}
-    return _WORKER[key]
+    return held(hashlib.sha1(b"bpe" + content + pattern.encode()).digest(), lambda: Codec(content, pattern))
+
+
+def _binary(data: np.ndarray, starts: np.ndarray, valid: pa.Array | None = None) -> pa.Array:
+    found = pa.BinaryArray.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype("<i4")), pa.py_buffer(data)])
+    return found if valid is None else pc.if_else(valid, found, None)
 
 
 def _read(path: str) -> bytes:
@@ -152,7 +178,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text",
     shared = spark.sparkContext.broadcast((_read(vocabulary), pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _loaded(b"encode", *shared.value)
+        encoder = _codec(*shared.value).encoder
         for batch in batches:
             found, starts = encoder.encode(batch.column(text_col).cast(pa.string()))
             ids = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(found.view("<i4")))
@@ -170,17 +196,36 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids_col: str = "ids", b
     shared = spark.sparkContext.broadcast((_read(vocabulary), pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _loaded(b"decode", *shared.value).__getitem__
+        tokens = _codec(*shared.value).tokens
         for batch in batches:
             column = batch.column(ids_col)
-            ids, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            found = [b"".join(map(token, ids[a:b].tolist())) for a, b in zip(offsets[:-1], offsets[1:])]
-            decoded = pa.array([x if ok else None for x, ok in zip(found, column.is_valid().to_pylist())], pa.binary())
+            offsets = column.offsets.to_numpy()
+            ids = column.flatten() if column.null_count else column.values.slice(offsets[0], offsets[-1] - offsets[0])
+            starts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())])
+            decoded = _binary(*tokens.decode(ids.to_numpy(zero_copy_only=False), starts), column.is_valid())
             yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, bytes_col])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(bytes_col, T.BinaryType())]))
 
 
+def round_trip(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+    """encode, then decode of those ids, in one Python stage: a task has one worker with one vocabulary."""
+    spark = df.sparkSession
+    python_stages(spark)
+    df = df.drop(ids_col, bytes_col)
+    shared = spark.sparkContext.broadcast((_read(vocabulary), pattern))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(*shared.value)
+        for batch in batches:
+            found, starts = codec.encoder.encode(batch.column(text_col).cast(pa.string()))
+            ids = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(found.view("<i4")))
+            decoded = _binary(*codec.tokens.decode(found, starts))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, decoded], names=[*batch.schema.names, ids_col, bytes_col])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(bytes_col, T.BinaryType())]))
+
+
 def with_digests(df: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """`df` with n_tokens, ids_sha256 (of the decimal ids, joined by a space) and decoded_sha256."""
     return df.withColumns({

@@ -68,8 +68,7 @@ FROM split s LEFT JOIN best b ON s.page_id IS NOT DISTINCT FROM b.page_id AND s.
 
 @query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), RANKS, public_tokenizers.PATTERN).drop("text")
-    decoded = bpe.decode(encoded, RANKS, public_tokenizers.PATTERN)
+    decoded = bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), RANKS, public_tokenizers.PATTERN)
     return bpe.with_digests(decoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

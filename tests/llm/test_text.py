@@ -23,7 +23,6 @@ MERGES = bpe.Merges(CONTENT, PATTERN)
 OWN = Encoder(MERGES.encode_parts, "<u4")
 REFERENCE = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, CONTENT.splitlines())}, special_tokens={})
 TOKENIZER = Tokenizer.from_file(queries.TOKENIZER)
-TOKENIZER.encode_special_tokens = True
 with open(queries.TOKENIZER, "rb") as f:
     LIBRARY = token_files._encoder(f.read())
 
@@ -45,12 +44,24 @@ def test_ids_equal_the_libraries(text):
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.lists(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n\t'sdtlr a1!.,.,\x00\x1c\x85\xa0")), max_size=40), max_size=4))
+@given(st.lists(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n\t'sdtlr a1!.,.,$_\x00\x1c\x85\xa0")), max_size=40), max_size=4))
 def test_ids_of_any_text(texts):
     assert ids(OWN, texts) == [REFERENCE.encode_ordinary(t) for t in texts]
     assert ids(LIBRARY, texts) == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "\n", "a", " b.", "$$$", "\x00"])).map("".join), min_size=1, max_size=5))
+def test_added_tokens_as_the_library_has_them(texts):
+    assert ids(LIBRARY, texts) == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_added_tokens():
+    end = "<|endoftext|>"
+    assert ids(LIBRARY, [f"a {end} b", end, f"{end}{end} x{end}"]) == [[64, 220, 50256, 275], [50256], [50256, 50256, 2124, 50256]]
+    assert ids(OWN, [end])[0] == REFERENCE.encode_ordinary(end)
+
+
 def test_replay_equals_the_plain_rule():
     words = [b"abcabcabc", b"aaaaaaa", b"lowerlowest", b"\xff\xfe", b"the", b"zzzzthezzz", b"0" * 37]
     assert [np.frombuffer(x, "<u4").tolist() for x in MERGES.replay(words)] == [[MERGES.ranks[w]] if w in MERGES.ranks else MERGES.one_by_one(w) for w in words]
@@ -75,6 +86,11 @@ def test_encode_and_decode_frames(spark):
         assert r["ids"] == want and bytes(r["decoded"]) == (r["text"] or "").encode() and r["n_tokens"] == len(want)
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
     assert bpe.encode(df.limit(0), queries.RANKS, PATTERN).collect() == []
+    both = bpe.round_trip(df, queries.RANKS, PATTERN)
+    assert both.columns == ["doc_id", "text", "n", "ids", "decoded"]
+    assert sorted(map(tuple, bpe.with_digests(both).collect())) == sorted(map(tuple, rows))
+    with pytest.raises(Exception, match="without a token"):
+        bpe.decode(spark.createDataFrame([(1, [50_256])], "id int, ids array<int>"), queries.RANKS, PATTERN).collect()
     missing = spark.createDataFrame([(1, None), (2, [])], "id int, ids array<int>")
     assert [r["decoded"] for r in bpe.decode(missing, queries.RANKS, PATTERN).orderBy("id").collect()] == [None, bytearray()]
 
