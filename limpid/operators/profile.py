@@ -234,8 +234,8 @@ def quantiles(df: DataFrame, approx: bool = False) -> DataFrame:
     if approx:
         out = long.groupBy("ordinal").agg(F.percentile_approx("v", [0.25, 0.5, 0.75], 10_000).alias("q"))
     else:
-        out = scale.exact_quantiles(long, F.col("ordinal"), F.col("v"), [0.25, 0.5, 0.75])
-        out = out.withColumnRenamed("__group", "ordinal")
+        found = scale.fitted_quantiles(long, F.col("ordinal"), F.col("v"), [0.25, 0.5, 0.75])  # one row per column
+        out = scale.local_table(df.sparkSession, sorted(found.items()), "ordinal int, q array<double>")
     return out.select("ordinal", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
 
 

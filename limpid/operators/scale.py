@@ -16,7 +16,6 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -298,13 +297,66 @@ def quantiles_of_counts(counts: DataFrame, probs: list[float], max_values: int |
     return result.unionByName(local_table(counts.sparkSession, rows, result.schema))
 
 
-def fitted_quantiles(df: DataFrame, group: Column, value: Column, probs: list[float]) -> dict:
-    """group -> quantiles on the driver, for few groups.  The rows are read once."""
-    counts = value_counts(df, group, value).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return {r["__group"]: list(r["q"]) for r in quantiles_of_counts(counts, probs).collect()}
-    finally:
-        counts.unpersist()
+def fitted_quantiles(df: DataFrame, group: Column, value: Column, probs: list[float], max_values: int | None = None) -> dict:
+    """group -> exact quantiles on the driver, for few groups; the values are not shuffled.
+
+    A mergeable sketch of every group gives values that bracket each rank.  A second scan counts what lies below a bracket
+    and how often each value inside it occurs; only these values, about 0.1 % of all, leave their tasks.  The counts show
+    whether the bracket holds the rank; a group where it does not is done by exact_quantiles.
+    """
+    spark = df.sparkSession
+    points = df.select(group.alias("__group"), value.cast("double").alias("v")).where("v is not null")
+    facts = points.groupBy("__group").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", [j / _GRID for j in range(_GRID + 1)], _SKETCH).alias("marks")).collect()
+    places = [(r["__group"], r["n"], p, *_ranks(r["n"], p), r["marks"]) for r in facts for p in probs]
+    if not places:
+        return {}
+    kind = points.schema["__group"].dataType
+    counts = stage(_bracket_counts(points, [(g, *_bracket(n, k, last, marks)) for g, n, _, k, last, marks in places], kind), "bracket-counts")
+    sums = {r["__group"]: r for r in counts.groupBy("__group").agg(
+        F.sum(F.when(F.col("v").isNull(), F.col("c")).otherwise(0)).alias("below"), F.sum(F.when(F.col("v").isNotNull(), F.col("c")).otherwise(0)).alias("inside"),
+        F.count("v").alias("values"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    ranks, slices, missed = {}, {}, set()
+    for i, (g, _, _, k, last, _) in enumerate(places):
+        s = sums.get(i)
+        if s is None or not s["below"] <= k or not last < s["below"] + s["inside"]:
+            missed.add(g)
+        else:
+            ranks[i, 0], slices[i, 0] = (k, last), (s["below"], s["lo"], s["hi"], s["values"])
+    found = _find(counts.where("v is not null"), ranks, slices, max_values or QUANTILE_VALUES)
+    out = {}
+    for i, (g, n, p, k, _, _) in enumerate(places):
+        if g not in missed:
+            low, high = found[i, 0]
+            out.setdefault(g, []).append(low + (high - low) * (p * (n - 1) - k))
+    if missed:
+        again = points.where(F.col("__group").isin(list(missed)))
+        out.update({r["__group"]: list(r["q"]) for r in exact_quantiles(again, F.col("__group"), F.col("v"), probs, max_values).collect()})
+    return out
+
+
+# Values that a sketch gives of a group, and its accuracy: a rank is wrong by 1 / _SKETCH of the rows at most.
+_GRID, _SKETCH = 4096, 10_000
+
+
+def _ranks(n: int, p: float) -> tuple[int, int]:
+    """The two ranks, from 0, that a quantile of n values lies between."""
+    k = math.floor(p * (n - 1))
+    return k, min(k + 1, n - 1)
+
+
+def _bracket(n: int, k: int, last: int, marks: list[float]) -> tuple[float, float]:
+    """Values that the ranks k to last lie between: marks two steps further out than the ranks."""
+    low, high = math.floor(k / n * _GRID) - 2, math.ceil((last + 1) / n * _GRID) + 2
+    return (-math.inf if low <= 0 else marks[low]), (math.inf if high >= _GRID else marks[high])
+
+
+def _bracket_counts(points: DataFrame, brackets: list[tuple], kind: T.DataType) -> DataFrame:
+    """"__group" (number of the bracket), v, c: how often each value inside a bracket (group, lo, hi) occurs; v is null
+    for all values below it."""
+    schema = T.StructType().add("g", kind).add("i", "integer").add("lo", "double").add("hi", "double")
+    table = local_table(points.sparkSession, [(g, i, lo, hi) for i, (g, lo, hi) in enumerate(brackets)], schema)  # groups x probabilities
+    met = points.join(F.broadcast(table), (F.col("__group") == F.col("g")) & (F.col("v") <= F.col("hi")))
+    return met.groupBy(F.col("i").alias("__group"), F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("c"))
 
 
 def exact_quantiles_of(df: DataFrame, column: str, probs: list[float]) -> list[float] | None:
@@ -334,16 +386,29 @@ def _running_quantiles(counts: DataFrame, probs: list[float]) -> DataFrame:
 
 def _sliced_quantiles(counts: DataFrame, probs: list[float], max_values: int) -> list[tuple]:
     """Quantiles of the hot groups, read off as the values at ranks k and k+1 of each probability."""
-    spark, group_type = counts.sparkSession, counts.schema["__group"].dataType
     facts = counts.groupBy("__group").agg(
         F.sum("c").alias("n"), F.count(F.lit(1)).alias("values"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
     # (group, prob index) -> (ranks, counted below the slice, slice bounds, distinct values inside)
-    ranks, slices, found = {}, {}, {}
+    ranks, slices = {}, {}
     for r in facts:
         for i, p in enumerate(probs):
-            k = math.floor(p * (r["n"] - 1))
-            ranks[r["__group"], i] = (k, min(k + 1, r["n"] - 1))
+            ranks[r["__group"], i] = _ranks(r["n"], p)
             slices[r["__group"], i] = (0, r["lo"], r["hi"], r["values"])
+    found = _find(counts, ranks, slices, max_values)
+    out = []
+    for r in facts:
+        q = []
+        for i, p in enumerate(probs):
+            at = p * (r["n"] - 1)
+            low, high = found[r["__group"], i]
+            q.append(low + (high - low) * (at - math.floor(at)))
+        out.append((r["__group"], r["n"], q))
+    return out
+
+
+def _find(counts: DataFrame, ranks: dict, slices: dict, max_values: int) -> dict:
+    """(group, prob index) -> values at its two ranks, from slices (counted below, lo, hi, distinct values) that hold them."""
+    spark, group_type, found, slices = counts.sparkSession, counts.schema["__group"].dataType, {}, dict(slices)
     schema = T.StructType([
         T.StructField("g", group_type), T.StructField("i", T.IntegerType()), T.StructField("lo", T.DoubleType()),
         T.StructField("hi", T.DoubleType()), T.StructField("below", T.LongType())])
@@ -354,15 +419,7 @@ def _sliced_quantiles(counts: DataFrame, probs: list[float], max_values: int) ->
         done = [key for key, (*_, values) in slices.items() if values <= max_values]
         found.update(_values_at(inside, {key: ranks[key] for key in done}, group_type))
         slices = _narrow(inside, {key: ranks[key] for key in slices if key not in found}, slices, group_type)
-    out = []
-    for r in facts:
-        q = []
-        for i, p in enumerate(probs):
-            at = p * (r["n"] - 1)
-            low, high = found[r["__group"], i]
-            q.append(low + (high - low) * (at - math.floor(at)))
-        out.append((r["__group"], r["n"], q))
-    return out
+    return found
 
 
 def _only(inside: DataFrame, keys: list, group_type: T.DataType, extra: list, kind: T.DataType) -> DataFrame:

@@ -253,3 +253,38 @@ def test_long_text_is_not_broadcast(table, frame, monkeypatch):
     modes = frame.groupby("g").s.agg(lambda x: x.mode()[0] if x.notna().any() else None)
     p = frame.sort_values("id")
     assert by_id(joined, "s") == listed(p.s.fillna(p.g.map(modes)))
+
+
+# --- bracketed quantiles ---------------------------------------------------------------------------
+
+def expected_quantiles(values, probs):
+    import numpy as np
+    return [float(np.quantile(np.sort(np.array(values)), p)) for p in probs]
+
+
+@pytest.mark.parametrize("max_values", [None, 5])
+def test_bracketed_quantiles_are_exact(spark, max_values):
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
+    shapes = {0: "id * 7919 % 100003 / 8", 1: "cast(id % 5 as double)", 2: "-pow(id, 3)", 3: "case when id < 3 then id end", 4: "3.5"}
+    df = spark.range(0, 60_000, 1, 7).select("id", F.inline(F.array(*[F.struct(F.lit(g).alias("g"), F.expr(v).cast("double").alias("v")) for g, v in shapes.items()])))
+    got = scale.fitted_quantiles(df, F.col("g"), F.col("v"), probs, max_values)
+    for g in shapes:
+        values = [r["v"] for r in df.where(F.col("g") == g).where("v is not null").select("v").collect()]
+        assert got[g] == pytest.approx(expected_quantiles(values, probs), rel=1e-12)
+
+
+def test_few_values_leave_their_tasks(spark, monkeypatch):
+    seen = []
+    stage = scale.stage
+    monkeypatch.setattr(scale, "stage", lambda df, label="stage": seen.append((label, stage(df, label))) or seen[-1][1])
+    n = 400_000
+    df = spark.range(n).select((F.col("id") * 7919 % 1_000_003).cast("double").alias("v"))
+    scale.exact_quantiles_of(df, "v", [0.25, 0.5, 0.75])
+    counts = dict(seen)["bracket-counts"]
+    assert counts.where("v is not null").count() < n / 100
+
+
+def test_a_bracket_that_misses_falls_back(spark, monkeypatch):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("v"))
+    monkeypatch.setattr(scale, "_bracket", lambda n, k, last, marks: (2000.0, 3000.0))
+    assert scale.exact_quantiles_of(df, "v", [0.5]) == [499.5]
