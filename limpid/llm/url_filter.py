@@ -31,11 +31,13 @@ RESULT = T.StructType([T.StructField(n, T.StringType()) for n in ("host", "path"
 
 @dataclass(frozen=True)
 class RuleIndex:
-    """Names of the files that Spark distributes, and the rule path lengths (in code points) that occur."""
+    """Names of the files that Spark distributes, the rule path lengths (in code points) that occur, and the labels of
+    the longest rule host."""
 
     keys: str
     strings: str
     path_lengths: tuple[int, ...]
+    labels: int
 
 
 def parts(url: str | None) -> tuple[str, str]:
@@ -61,29 +63,31 @@ def build_files(rules: Iterable[tuple[str, str, str]]) -> tuple[bytes, bytes, tu
 def build_index(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> RuleIndex:
     """Write both files to the shared folder and hand them to all executors, those that join later too.  The rule
     list must fit the disk of one machine, 24 bytes and its text for each rule."""
+    rules = list(rules)
     keys, strings, lengths = build_files(rules)
     names = []
     for content, end in ((keys, "npy"), (strings, "bin")):
         names.append(f"url-rules-{uuid.uuid4().hex}.{end}")
         spark.sparkContext.addFile(shared_file(spark, names[-1], content))
-    return RuleIndex(*names, lengths)
+    return RuleIndex(*names, lengths, max((h.count(".") + 1 for h, _, _ in rules), default=0))
 
 
 class Prober:
     """The memory-mapped index inside one Python worker."""
 
-    def __init__(self, keys_path: str, strings_path: str, path_lengths: tuple[int, ...]):
+    def __init__(self, keys_path: str, strings_path: str, path_lengths: tuple[int, ...], labels: int = 1 << 20):
         table = np.load(keys_path, mmap_mode="r")
         self.keys, self.start, self.end, self.block = table[0].view(np.uint64), table[1], table[2], table[3]
         self.strings = np.memmap(strings_path, dtype=np.uint8, mode="r")
-        self.lengths = path_lengths
+        self.lengths, self.most_labels = path_lengths, labels
 
     def probes(self, host: str, path: str) -> Iterator[str]:
-        """What a rule that fits may look like, longest rule first; of equally long ones the longer host first."""
+        """What a rule that fits may look like, longest rule first; of equally long ones the longer host first.  A host
+        has as many endings here as the longest rule host has labels, however many it has itself."""
         if not host:
             return
-        labels = host.split(".")
-        hosts = [".".join(labels[i:]) for i in range(len(labels))]
+        labels = host.rsplit(".", self.most_labels)
+        hosts = [".".join(labels[i:]) for i in range(max(0, len(labels) - self.most_labels), len(labels))]
         pairs = [(h, path[:n]) for h in hosts for n in self.lengths if n <= len(path)]
         yield from (f"{h}\0{p}" for h, p in sorted(pairs, key=lambda x: (-len(x[0]) - len(x[1]), -len(x[0]))))
 
@@ -118,7 +122,7 @@ def judge_urls(df: DataFrame, index: RuleIndex, url_col: str = "url", default: s
     python_stages(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prober = Prober(SparkFiles.get(index.keys), SparkFiles.get(index.strings), index.path_lengths)
+        prober = Prober(SparkFiles.get(index.keys), SparkFiles.get(index.strings), index.path_lengths, index.labels)
         for batch in batches:
             rows = prober.judge(batch.column(url_col).to_pylist(), default)
             added = pd.DataFrame(rows, columns=RESULT.names)

@@ -159,6 +159,13 @@ URLS = [None, "", "no url", "http://", "http:///p", "HTTP://Www.Example.COM/en/x
         "http://é.com/ü/x", "http://e.com:80/en/", "http://..com/", "http://" + "a." * 500 + "com/" + "p" * 3000]
 
 
+def test_long_hosts(spark):
+    urls = ["http://" + "a." * 500_000 + "example.com/en/x", "http://" + "b" * 1_000_000 + "/en/", "http://" + "." * 100_000 + "net/es/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = url_filter.judge_urls(df, url_filter.build_index(spark, queries.URL_RULES)).orderBy("page_id").collect()
+    assert [(r["rule"], r["verdict"]) for r in rows] == [("example.com/en/", "block"), (None, "allow"), ("net/es/", "block")]
+
+
 def test_urls_match_brute_force(spark):
     rules = [*queries.URL_RULES, ("é.com", "/ü/", "block"), ("q.org", "", "block"), ("q.org", "", "allow")]
     urls = [*URLS, "http://q.org", "http://r.q.org/x"]
