@@ -208,6 +208,22 @@ def test_members_far_from_the_least_of_their_bucket(spark, monkeypatch):
     assert {tuple(r) for r in jaccard.near_groups(df).collect()} == {(1, 1), (2, 1), (3, 3), (4, 3)}
 
 
+@pytest.mark.parametrize("block", [1 << 20, 300])
+def test_strays_meet_members_of_all_blocks(spark, block):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 60, dtype=np.int64)
+    sets = {i: np.unique(np.where(rng.random(60) < (0.02, 0.1, 0.4)[i % 3], rng.integers(0, 2**63, 60, dtype=np.int64), base)) for i in range(90)}
+    index = {(i, j): len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) for i in sets for j in sets}
+    own = {i: 0 if index[i, 0] >= 0.8 else i for i in sets}
+    placed = frame(spark, [(k, i, len(sets[i]), own[i], 0) for i in sets if i for k in (7, 8)], "key long, row long, n int, own long, of_center long")
+    stored = frame(spark, [(i, s.tolist()) for i, s in sets.items()], "row long, hashes array<long>")
+    found = {tuple(r) for r in jaccard._cross_links(placed, stored, 0.8, block).collect()}
+    assert all(index[a, b] >= 0.8 and own[a] != own[b] for a, b in found) and len(found) < 2 * 90 * (1 if block > 300 else 40)
+    stars = [(i, 0) for i in sets if own[i] == 0]
+    every = [(i, j) for i in sets for j in sets if j < i and index[i, j] >= 0.8]
+    assert least_reachable(list(sets), [*stars, *found]) == least_reachable(list(sets), every)
+
+
 # --- vectors -----------------------------------------------------------------------------------
 
 def vector_brute(rows, least=0.9):
