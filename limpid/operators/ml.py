@@ -98,7 +98,9 @@ def features(df: DataFrame, target: str, task: str, order_by: list[str]) -> Data
     dated = set(timestamp_columns(df)) | set(date_like(df, [c for c in text_columns(df) if c != target], order_by))
     names = [c for c in df.columns if c not in dated and c not in (target, ROW_ID)]
     dtype = df.schema[target].dataType
-    keys = [quote(c).cast("string") for c in order_by]
+    clash = {n: f"{n}_feature" for n in names if n.lower() in ("label", "__id")}  # the result has columns of these names
+    df, names = df.withColumnsRenamed(clash), [clash.get(n, n) for n in names]
+    keys = [quote(clash.get(c, c)).cast("string") for c in order_by]
     digest = F.md5(F.concat_ws(",", *keys, F.lit(str(SEED))).cast("binary"))
     row = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint").alias("__id")
     out = df.select(row, *scale.columns_of(names), _label(dtype, target, task).alias("label"))

@@ -164,6 +164,32 @@ def distinct_counts(freq: DataFrame) -> DataFrame:
     return freq.groupBy("ordinal").agg(F.count(F.lit(1)).alias("unique_count"))
 
 
+#: Log2 of the registers of a distinct-count sketch, and three standard errors of its estimate.
+SKETCH_BITS = 12
+SKETCH_ERROR = 3 * 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def distinct_sketches(df: DataFrame, names: list[str] | None = None, by: list[Column] | None = None, bits: int = SKETCH_BITS) -> DataFrame:
+    """*by, ordinal, sketch: a HyperLogLog sketch of every column, of 2^bits bytes at most, made in one scan.
+
+    Values never leave their tasks.  Sketches can be stored and merged across parts, files and runs (merge_sketches).
+    """
+    keys = [c.alias(f"__by{i}") for i, c in enumerate(by or [])]
+    cells = F.array(*[F.struct(F.lit(i).alias("ordinal"), numbers.plain_text(quote(c), df.schema[c].dataType).alias("value")) for i, c in column_index(df, names or df.columns)])
+    long = df.select(*keys, F.inline(cells)).where("value is not null")
+    return long.groupBy(*[f"__by{i}" for i in range(len(keys))], "ordinal").agg(F.hll_sketch_agg("value", bits).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """*keys, sketch: one sketch for all that share the keys."""
+    return sketches.groupBy(*keys).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def approx_distinct(sketches: DataFrame) -> DataFrame:
+    """The sketches' keys with unique_count, which is wrong by SKETCH_ERROR (at the default size) at most, three standard errors."""
+    return sketches.withColumn("unique_count", F.hll_sketch_estimate("sketch")).drop("sketch")
+
+
 def placeholder_cells(df: DataFrame) -> DataFrame:
     """ordinal, token, cnt of placeholder text in text columns, straight from the rows.
 

@@ -124,6 +124,14 @@ def value_counts(rows: DataFrame, types: DataFrame, files: int) -> DataFrame:
     return counts.withColumn("v", F.when(is_number(), F.col("value").try_cast("double")))
 
 
+def distinct_sketches(rows: DataFrame, schemas: DataFrame, bits: int = profiling.SKETCH_BITS) -> DataFrame:
+    """file, column, sketch: approximate distinct values of every column of every file (profiling.merge_sketches merges them).
+    Values count as their text in the file."""
+    cells = rows.select(FILE, "schema", F.posexplode("fields").alias("ordinal", "value")).where("value is not null")
+    sketches = cells.groupBy(FILE, "schema", "ordinal").agg(F.hll_sketch_agg("value", bits).alias("sketch"))
+    return sketches.join(schemas, ["schema", "ordinal"]).select(FILE, "column", "sketch")
+
+
 def _moments(freq: DataFrame) -> DataFrame:
     """Counts and numbers of every column, with outliers."""
     cnt, v = F.col("cnt"), F.col("v")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from limpid.operators import benchmark, columns, evaluate, filters, ml
+from limpid.operators import benchmark, columns, evaluate, filters, ml, scale
 from limpid.plans import cleaning, intake, planner, runner
 from registry.base import query
 
@@ -380,6 +380,14 @@ def ml_regression(t):
     return model_check(t, "value")
 
 
+@query("ml_scores")
+def ml_scores(t):
+    """The scores themselves, of both tasks; a fixture in the tests holds the models to known ones."""
+    raw, clean = model_sides(t)
+    found = [ml.evaluate(raw, clean, target, ["event_id"]) for target in ("event_type", "value")]
+    return scale.union_all(found).select("task_type", "metric", "raw", "clean", "improvement")
+
+
 @query("run_report", after_run("""
 , a AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, * FROM cleaned),
 b AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, * FROM bench_orders),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from limpid.operators import dedupe
+from limpid.operators import dedupe, scale
 from limpid.operators import profile as profiling
 from limpid.operators import snapshot
 from limpid.plans import issues, planner
@@ -60,6 +60,20 @@ def distinct_counts(t):
     return by_name(profiling.named(t.dirty_orders, profiling.distinct_counts(profiling.value_freq(t.dirty_orders))))
 
 
+@query("approx_distinct", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS exact, true AS within_error FROM lineitem" for c in
+    ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")))
+def approx_distinct(t):
+    """Sketches of seven parts of the rows, merged, against exact counts."""
+    df = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
+    parts = scale.stage(profiling.distinct_sketches(df, by=[F.col("l_orderkey") % 7]), "sketches")
+    about = profiling.approx_distinct(profiling.merge_sketches(parts, ["ordinal"])).withColumnRenamed("unique_count", "about")
+    exact = profiling.distinct_counts(profiling.value_freq(df))
+    both = profiling.named(df, exact.join(about, "ordinal"))
+    return both.select(F.col("column").alias("column_name"), F.col("unique_count").alias("exact"),
+                       (F.abs(F.col("about") - F.col("unique_count")) <= F.greatest(F.lit(1.0), F.col("unique_count") * profiling.SKETCH_ERROR)).alias("within_error"))
+
+
 @query("sample_values", over("dirty_orders", """
 SELECT column_name, CAST(rank AS INTEGER) AS rank, value FROM (
   SELECT column_name, value, row_number() OVER (PARTITION BY column_name ORDER BY md5(value || '|42'), value) AS rank

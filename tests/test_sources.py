@@ -10,7 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from limpid.operators import columns, scale
+from limpid.operators import columns, ml, scale
+from limpid.operators import profile as profiling
 from limpid.plans import catalog, cleaning
 from limpid.sources import csv, records
 
@@ -162,6 +163,12 @@ def test_files_without_rows_and_ragged_records(spark, folder):
     assert alone.columns.count() == alone.tables.count() == 0
 
 
+def test_sketches_of_files_merge(spark, folder):
+    sketches = catalog.distinct_sketches(*catalog.read_rows(spark, str(folder)))
+    by_name = {r["column"]: r["unique_count"] for r in profiling.approx_distinct(profiling.merge_sketches(sketches, ["column"])).collect()}
+    assert (by_name["k"], by_name["key"], by_name["x"]) == (7, pytest.approx(121, abs=2), 3)
+
+
 def test_jobs_do_not_depend_on_the_files(spark, tmp_path):
     def jobs(files: int) -> int:
         path = tmp_path / f"n{files}"
@@ -184,3 +191,20 @@ def test_no_files(spark, tmp_path):
     rows, schemas = catalog.read_rows(spark, str(tmp_path / "none"))
     assert rows.count() == schemas.count() == 0
     assert columns.data(scale.local_table(spark, [], "a int")).count() == 0
+
+
+def test_scores_of_known_models(spark):
+    """A target that follows from the features is learned; one that does not is not."""
+    df = spark.range(1500).select("id", (F.col("id") * 37 % 101).alias("a"), F.concat(F.lit("g"), F.col("id") % 7).alias("g"))
+    rule = df.withColumn("kind", F.when((F.col("a") > 50) & F.col("g").isin("g1", "g2", "g3"), "yes").otherwise("no")).withColumn("y", F.col("a") * 3.0)
+    noise = rule.withColumns({"kind": F.when(F.xxhash64("id") % 2 == 0, "yes").otherwise("no"), "y": (F.xxhash64("id", F.lit(1)) % 1000).cast("double")})
+    found = {r["metric"]: r for target in ("kind", "y") for r in ml.evaluate(noise, rule, target, ["id"]).collect()}
+    assert found["accuracy"]["clean"] > 0.97 and found["f1"]["clean"] > 0.97 and found["r2"]["clean"] > 0.97 and found["rmse"]["clean"] < 15
+    assert 0.35 < found["accuracy"]["raw"] < 0.65 and found["r2"]["raw"] < 0.2 and found["rmse"]["raw"] > 200
+    assert found["accuracy"]["improvement"] == pytest.approx(100 * (found["accuracy"]["clean"] - found["accuracy"]["raw"]), abs=0.02)
+
+
+def test_a_feature_named_label(spark):
+    df = spark.range(40).select("id", (F.col("id") % 2).alias("label"), F.concat(F.lit("t"), F.col("id") % 2).alias("t"))
+    table = ml.features(df, "t", "classification", ["id"])
+    assert set(table.columns) == {"__id", "id", "label_feature", "label"} and table.where("label_feature = label").count() == 40
