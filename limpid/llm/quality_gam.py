@@ -28,7 +28,7 @@ THRESHOLD = 0.5
 ADDED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
 FEATURES = (
-    "log_bytes", "log_words", "log_lines", "word_length", "line_words", "upper", "digits", "sentence_marks", "symbols", "bars", "other_bytes",
+    "log_points", "log_words", "log_lines", "word_length", "line_words", "upper", "digits", "sentence_marks", "symbols", "bars", "other_bytes",
     "distinct_words", "distinct_pairs", "distinct_lines", "most_frequent_word", "words_end_in_symbol", "upper_words", "short_words", "full_stops",
 )
 _SENTENCE = np.frombuffer(b".,;:!?'\"()-", np.uint8)
@@ -184,7 +184,7 @@ def train(x: np.ndarray, y: np.ndarray) -> Model:
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """A model of `label_col` from at most EXAMPLES labelled documents outside the held-out third, chosen by hash.  A
-    document labelled twice counts as 0 if it is 0 once.  The driver holds the examples' features only."""
+    document labelled twice counts as 0 if it is 0 once.  Ids are whole numbers.  The driver holds the examples' features only."""
     spark = documents.sparkSession
     python_stages(spark)
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))) \

@@ -222,7 +222,7 @@ def _counts(df: DataFrame, shared) -> DataFrame:
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model of `label_col`, from labels outside the held-out third.
+    """A model of `label_col`, from labels outside the held-out third.  Ids are whole numbers.
 
     Terms and examples come from at most EXAMPLES documents of either label, chosen by hash.  Document frequencies
     are counted over all documents.  The driver holds the examples' vectors: at most 2 x EXAMPLES x TERMS weights."""
