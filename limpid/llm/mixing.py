@@ -78,14 +78,14 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, block_words: int | None = 256,
-        shard_words: int = 50_000_000, cycle: tuple[float, ...] = (1, 2, 3), repeats: int = MOST_REPEATS, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+        shard_words: int = 50_000_000, least_shards: int = 1, cycle: tuple[float, ...] = (1, 2, 3), repeats: int = MOST_REPEATS, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(documents, draws).
 
     documents: one row per input row: __row (long, unique), id, source, size (words; null text: 0), source_size,
     target.  draws: one row per drawn block and repeat: __row, id, source, block (from 0), words, repeat (from 0),
     shard, place (order within the shard).
 
-    A block has at most `block_words` words of one text (None: the whole text).  A source is taken whole as often as
+    There are `least_shards` shards, or as many as hold `shard_words` words each.  A block has at most `block_words` words of one text (None: the whole text).  A source is taken whole as often as
     its target allows, then once more in a permuted order until the block that comes nearest to the target, so its
     words are within one block of the target and no document is taken more than `repeats` times.  Texts without words
     have no block.  Equal rows are separate documents.  The same input gives the same draws, however it is
@@ -120,7 +120,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
               taken.groupBy("number").agg(F.count(F.lit(1)).alias("whole"), F.sum(F.col("last").cast("long")).alias("extra")).collect()}
     quotas = np.array([fractions[n][0] * counts.get(i, (0, 0))[0] + counts.get(i, (0, 0))[1] for i, n in enumerate(names)], dtype=np.int64)
     words = sum(r["target"] for r in by_source.values()) if by_source else 0
-    shards = max(1, math.ceil(words / shard_words))
+    shards = max(least_shards, math.ceil(words / shard_words))
     ends = np.cumsum(split_quotas(quotas, shards, seed), axis=0) if len(names) else np.zeros((shards, 0), np.int64)
     whole = {i: counts.get(i, (0, 0))[0] for i in range(len(names))}
 
@@ -167,9 +167,11 @@ def _ranked(cut: DataFrame) -> DataFrame:
 
 
 def taken_words(documents: DataFrame, draws: DataFrame) -> DataFrame:
-    """`documents` with taken (long): words of the document that the mix holds, repeats counted."""
-    words = draws.groupBy("__row").agg(F.sum("words").alias("taken"))
-    return documents.join(words, "__row", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
+    """`documents` with taken (long): words of the document that the mix holds, repeats counted; and shards (array of
+    int): the output shards that hold them, ascending."""
+    words = draws.groupBy("__row").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_set("shard")).alias("shards"))
+    none = F.array().cast("array<int>")
+    return documents.join(words, "__row", "left").withColumns({"taken": F.coalesce("taken", F.lit(0).cast("long")), "shards": F.coalesce("shards", none)})
 
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:

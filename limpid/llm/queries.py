@@ -138,10 +138,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score(documents, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+#: Output shards that op10 mixes into, at least.
+MIX_SHARDS = 16
+
+
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents, draws = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
-    return mixing.taken_words(documents, draws).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    documents, draws = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"), least_shards=MIX_SHARDS)
+    return mixing.taken_words(documents, draws).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.array_join("shards", " ").alias("shards"))
 
 
 #: The columns that a leaf of op11 commits to.

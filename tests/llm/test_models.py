@@ -80,6 +80,21 @@ def test_mix_on_documents_and_edges(spark):
     assert mixing.mixed_documents(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_shards_of_the_query_follow_the_tree(spark):
+    documents, draws = mixing.mix(table(spark, SF, "documents", "doc_id", "text", "source"), least_shards=queries.MIX_SHARDS)
+    placed = draws.select("shard", "source", "id").collect()
+    sources = sorted({r["source"] for r in placed}, key=lambda s: (s is None, s or ""))
+    counts = np.zeros((queries.MIX_SHARDS, len(sources)), np.int64)
+    for r in placed:
+        counts[r["shard"], sources.index(r["source"])] += 1
+    assert (counts == mixing.split_quotas(counts.sum(axis=0), queries.MIX_SHARDS, 0)).all() and np.ptp(counts.sum(axis=1)) <= 1
+    held = {}
+    for r in placed:
+        held.setdefault(r["id"], set()).add(r["shard"])
+    rows = queries.op10_mixing(spark, SF).collect()
+    assert {r["doc_id"]: r["shards"] for r in rows} == {r["doc_id"]: " ".join(map(str, sorted(held.get(r["doc_id"], ())))) for r in rows}
+
+
 def test_mixed_documents_repeat_whole_rows(spark):
     df = spark.createDataFrame([(i, f"t {i}", s, 5) for i, s in enumerate("aaaaaaaaab")] + [(3, "t 3", "a", 5)], DOCS + ", place int")
     out = mixing.mixed_documents(df)
