@@ -138,15 +138,25 @@ def _runs(df: DataFrame, text_col: str, least_words: int) -> DataFrame:
         return F.aggregate(lines, F.struct(F.lit(0).alias("words"), F.lit(0).alias("n")), lambda s, x: F.when(s["words"] > least_words, s).otherwise(
             F.struct((s["words"] + x["words"]).alias("words"), (s["n"] + 1).alias("n"))), lambda s: F.when(s["words"] > least_words, s["n"]))
 
-    places = F.sequence(F.lit(0), F.size("__worded") - 1)
-    ahead = F.transform(places, lambda i: F.struct(i.alias("i"), reach(F.slice("__worded", i + 1, F.lit(most))).alias("n")))
+    def run(first: Column, n: Column) -> Column:
+        """First line and number of lines in one long: longs are told apart by a hash set, structs pair by pair."""
+        return F.shiftleft(first.cast("long"), 32) + n
+
+    def ahead(i: Column) -> Column:
+        return run(i, reach(F.slice("__worded", i + 1, F.lit(most))))
 
     def behind(i: Column) -> Column:
         start = F.greatest(i - least_words, F.lit(0))
         n = reach(F.reverse(F.slice("__worded", start + 1, i - start + 1)))
-        return F.struct((i - n + 1).alias("i"), n.alias("n"))
+        return run(i - n + 1, n)
 
-    runs = F.array_distinct(F.filter(F.concat(ahead, F.transform(places, behind)), lambda r: r["n"].isNotNull()))
-    digest = F.unhex(F.sha2(F.array_join(F.transform(F.slice("__worded", F.col("r.i") + 1, F.col("r.n")), lambda x: x["digest"]), ""), 256))
-    return worded.withColumn("r", F.explode(runs)).select(
-        "__id", "__text", F.get("__worded", F.col("r.i"))["at"].alias("__from"), F.get("__worded", F.col("r.i") + F.col("r.n") - 1)["at"].alias("__to"), digest.alias("__digest"))
+    def span(code: Column) -> Column:
+        first, n = F.shiftright(code, 32).cast("int"), code.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+        digest = F.unhex(F.sha2(F.array_join(F.transform(F.slice("__worded", first + 1, n), lambda x: x["digest"]), ""), 256))
+        return F.struct(F.get("__worded", first)["at"].alias("from"), F.get("__worded", first + n - 1)["at"].alias("to"), digest.alias("digest"))
+
+    places = F.sequence(F.lit(0), F.size("__worded") - 1)
+    runs = F.array_distinct(F.filter(F.concat(F.transform(places, ahead), F.transform(places, behind)), lambda r: r.isNotNull()))
+    # Digests come before the explosion, whose rows would each carry all lines of their text otherwise.
+    return worded.select("__id", "__text", F.explode(F.transform(runs, span)).alias("r")) \
+        .select("__id", "__text", F.col("r.from").alias("__from"), F.col("r.to").alias("__to"), F.col("r.digest").alias("__digest"))
