@@ -1,8 +1,9 @@
-"""Removal of repeated passages, by content-defined line chunks (remove_repeats) or all of them (remove_passages).
+"""Removal of repeated passages by content-defined line chunks.
 
-A rolling hash over the hashes of neighbouring lines chooses where a chunk ends, so the boundaries inside a passage
-are the same wherever it stands.  Chunks of several lines that occur again anywhere are removed after their bytes have
-been compared; the first occurrence stays.  Nothing but DataFrame expressions runs.
+Hashes of neighbouring lines choose where chunks begin: of every shortest run of lines over 50 words the line with the
+least hash is a boundary, so each copy of a passage has the same boundaries wherever it stands and every passage has
+one.  Boundary lines that occur again, byte by byte, are grown to the runs that chose them, and runs that occur before
+are removed; the first occurrence stays.  Nothing but DataFrame expressions runs.
 """
 
 from __future__ import annotations
@@ -10,95 +11,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limpid.llm.common import words_pattern
+from limpid.llm.common import stage, words_pattern
 
-#: A chunk ends after a line where the rolling hash is divisible by this, so it has as many lines on average.
-CHUNK_LINES = 3
-#: Shorter chunks are never removed.
-LEAST_LINES = 2
 #: Runs of lines with more words than this are passages.
 PASSAGE_WORDS = 50
 ADDED = ("n_lines", "removed_lines", "removed")
 
 
-def _line_hash(line: Column) -> Column:
-    return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
-
-
-def _chunked(df: DataFrame, text_col: str, chunk_lines: int) -> DataFrame:
-    """`df` with __lines and __ends (number of the last line of every chunk, ascending)."""
-    lines = df.withColumn("__lines", F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1))
-    hashes = lines.withColumn("__hashes", F.transform("__lines", _line_hash))
-
-    def ends(i: Column) -> Column:
-        rolling = F.get("__hashes", i) + 31 * F.coalesce(F.get("__hashes", i - 1), F.lit(0))
-        return (i == F.size("__hashes") - 1) | (rolling % chunk_lines == 0)
-
-    return hashes.withColumn("__ends", F.filter(F.sequence(F.lit(0), F.size("__lines") - 1), ends)).drop("__hashes")
-
-
-def _first_line(j: Column) -> Column:
-    return F.coalesce(F.get("__ends", j - 1) + 1, F.lit(0))
-
-
-def _chunk_text(j: Column) -> Column:
-    first = _first_line(j)
-    return F.array_join(F.slice("__lines", first + 1, F.get("__ends", j) - first + 1), "\n")
-
-
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, chunk_lines: int = CHUNK_LINES, least_lines: int = LEAST_LINES) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least_words: int = PASSAGE_WORDS) -> DataFrame:
     """`df` with its text cleaned, and n_lines, removed_lines (long) and removed (array of first_line and n_lines,
     lines counted from 0 in the original text, ascending).
 
-    Lines end at a line feed; a null text has one empty line and becomes empty.  A chunk is removed if the same bytes
-    occur as a chunk before it, in id order (null first) and then in text order.  Rows that agree in id and text are
-    one document: what the first keeps, all keep.  Input columns named like the added ones are replaced.
-
-    Texts are shuffled twice: chunks, collapsed in each task before the shuffle, to compare their bytes; and documents,
-    to meet their removed chunks.  Occurrences of a frequent chunk meet its first one in a join by digest without an
-    aggregation above it, which adaptive execution splits."""
-    df = df.drop(*ADDED)
-    own = [c for c in df.columns]
-    docs = df.withColumn("__text", F.xxhash64(text_col))
-    chunks = _chunked(docs.select(F.col(id_col).alias("__id"), "__text", F.col(text_col).alias("__source")), "__source", chunk_lines) \
-        .select("__id", "__text", F.explode(F.filter(
-            F.transform(F.sequence(F.lit(0), F.size("__ends") - 1), lambda j: F.struct(
-                j.alias("j"), (F.get("__ends", j) - _first_line(j) + 1).alias("lines"), _chunk_text(j).alias("chunk"))),
-            lambda c: c["lines"] >= least_lines)).alias("c")) \
-        .select(F.struct("__id", "__text", "c.j").alias("__at"), F.col("c.chunk").alias("__chunk"))
-    repeated = chunks.groupBy("__chunk").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n")) \
-        .where("__n > 1").select(F.sha2("__chunk", 256).alias("__digest"), "__first")
-    again = chunks.select(F.sha2("__chunk", 256).alias("__digest"), "__at").join(repeated, "__digest").where(~F.col("__at").eqNullSafe(F.col("__first")))
-    gone = again.groupBy("__at.__id", "__at.__text").agg(F.sort_array(F.collect_set("__at.j")).alias("__gone"))
-    joined = docs.join(gone.withColumnRenamed("__text", "__hash"), docs[id_col].eqNullSafe(gone["__id"]) & (docs["__text"] == F.col("__hash")), "left") \
-        .select(*[docs[c] for c in own], "__gone")
-    parts = _chunked(joined, text_col, chunk_lines)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__ends") - 1), "__gone")
-    spans = F.coalesce(F.transform("__gone", lambda j: F.struct(_first_line(j).alias("first_line"), (F.get("__ends", j) - _first_line(j) + 1).alias("n_lines"))),
-                       F.array().cast("array<struct<first_line:int,n_lines:int>>"))
-    cleaned = F.when(F.col("__gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.transform(kept, _chunk_text), "\n"))
-    out = parts.withColumns({"n_lines": F.size("__lines").cast("long"), "removed": spans, "__clean": cleaned}) \
-        .withColumn("removed_lines", F.aggregate("removed", F.lit(0).cast("long"), lambda s, r: s + r["n_lines"]))
-    return out.select(*[F.col("__clean").alias(c) if c == text_col else F.col(c) for c in own], *ADDED)
-
-
-def remove_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least_words: int = PASSAGE_WORDS) -> DataFrame:
-    """`df` without its repeated passages: runs of neighbouring lines with more than `least_words` words together that
-    occur before, in id order (null first), then by text hash, then in text order.  The columns are those of
-    remove_repeats.
-
-    A line goes if it lies in such a run, so no passage of whole lines is missed, of one line or of many.  An occurrence
-    that overlaps the first one in the same document is not a repeat.  Words are runs of anything but ASCII white space.
-    Lines without words are passed over when runs are compared, and go when a removed run holds lines on both sides.
-
-    From every line the shortest run over `least_words` words that starts there, and the one that ends there, are
-    compared by SHA-256 of their lines' SHA-256; together these runs cover every longer one.  A run has at most
-    `least_words` + 1 lines, so the work grows with the lines.  Digests are shuffled, and the texts once, to meet their
-    removed runs; occurrences of a frequent run meet its first one in a join without an aggregation above it."""
+    Removed are the passages that repeat: runs of neighbouring lines with more than `least_words` words together that
+    occur before, in id order (null first), then by text hash, then in text order.  A line goes if it lies in such a
+    run, so no passage of whole lines is missed, of one line or of many.  An occurrence that overlaps the first one in
+    the same document is not a repeat.  Words are runs of anything but ASCII white space.  Lines end at a line feed;
+    those without words are passed over when runs are compared, and go when a removed run holds lines on both sides.
+    A null text has one empty line and becomes empty.  Rows that agree in id and text are one document: what the first
+    keeps, all keep.  Input columns named like the added ones are replaced.
+
+    From every line the shortest run over `least_words` words that starts there, and the one that ends there, are taken;
+    together they cover every longer one.  A run has at most `least_words` + 1 lines, so the work grows with the lines.
+    Boundary lines are shuffled whole, after copies have collapsed in each task; of the runs only digests, and after
+    the first join only those whose boundary repeats; texts once, to meet their removed runs.  A frequent boundary or
+    run meets its first one in a join by hash, which adaptive execution splits."""
     df = df.drop(*ADDED)
     own = [c for c in df.columns]
     docs = df.withColumn("__text", F.xxhash64(text_col))
-    spans = _runs(docs.select(F.col(id_col).alias("__id"), "__text", F.col(text_col).alias("__source")), "__source", least_words)
+    runs = _runs(docs.select(F.col(id_col).alias("__id"), "__text", F.col(text_col).alias("__source")), "__source", least_words)
+    boundaries = runs.select(F.explode(_boundaries()).alias("b")).groupBy("b.line", "b.hash").agg(F.count(F.lit(1)).alias("__n")) \
+        .where("__n > 1").select("hash").distinct()
+    spans = stage(_grown(runs).join(boundaries, F.col("__boundary") == F.col("hash"), "left_semi").drop("__boundary"), "passages-runs")
     repeated = spans.groupBy("__digest").agg(F.min(F.struct("__id", "__text", "__from", "__to")).alias("__first"), F.count(F.lit(1)).alias("__n")) \
         .where("__n > 1").select("__digest", "__first")
     itself = F.col("__id").eqNullSafe(F.col("__first.__id")) & (F.col("__text") == F.col("__first.__text"))
@@ -125,13 +68,13 @@ def _lines(text_col: str) -> Column:
 
 
 def _runs(df: DataFrame, text_col: str, least_words: int) -> DataFrame:
-    """(__id, __text, __from, __to, __digest) of the shortest runs over `least_words` words that start or end at a
-    line; __from and __to are lines of the text, counted from 0."""
-    numbered = F.transform(_lines(text_col), lambda line, i: F.struct(i.alias("at"), F.regexp_count(line, F.lit(words_pattern())).alias("words"), line.alias("line")))
+    """(__id, __text, __worded, __runs, __hashes) of the texts with more than `least_words` words: their lines with
+    words, the shortest runs over `least_words` words that start or end at a line, and the hashes of the lines.  A run is
+    one long, its first line and its number of lines: longs are told apart by a hash set, structs pair by pair."""
+    numbered = F.transform(_lines(text_col), lambda line, i: F.struct(
+        i.alias("at"), F.regexp_count(line, F.lit(words_pattern())).alias("words"), line.alias("line")))
     worded = df.select("__id", "__text", F.filter(numbered, lambda x: x["words"] > 0).alias("__worded")) \
-        .where(F.aggregate("__worded", F.lit(0).cast("long"), lambda n, x: n + x["words"]) > least_words) \
-        .withColumn("__worded", F.transform("__worded", lambda x: F.struct(x["at"], x["words"], F.sha2(x["line"], 256).alias("digest"))))
-    most = least_words + 1
+        .where(F.aggregate("__worded", F.lit(0).cast("long"), lambda n, x: n + x["words"]) > least_words)
 
     def reach(lines: Column) -> Column:
         """Lines that it takes from the front of `lines` to pass `least_words` words; null if they do not."""
@@ -139,24 +82,44 @@ def _runs(df: DataFrame, text_col: str, least_words: int) -> DataFrame:
             F.struct((s["words"] + x["words"]).alias("words"), (s["n"] + 1).alias("n"))), lambda s: F.when(s["words"] > least_words, s["n"]))
 
     def run(first: Column, n: Column) -> Column:
-        """First line and number of lines in one long: longs are told apart by a hash set, structs pair by pair."""
         return F.shiftleft(first.cast("long"), 32) + n
 
     def ahead(i: Column) -> Column:
-        return run(i, reach(F.slice("__worded", i + 1, F.lit(most))))
+        return run(i, reach(F.slice("__worded", i + 1, F.lit(least_words + 1))))
 
     def behind(i: Column) -> Column:
         start = F.greatest(i - least_words, F.lit(0))
         n = reach(F.reverse(F.slice("__worded", start + 1, i - start + 1)))
         return run(i - n + 1, n)
 
-    def span(code: Column) -> Column:
-        first, n = F.shiftright(code, 32).cast("int"), code.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-        digest = F.unhex(F.sha2(F.array_join(F.transform(F.slice("__worded", first + 1, n), lambda x: x["digest"]), ""), 256))
-        return F.struct(F.get("__worded", first)["at"].alias("from"), F.get("__worded", first + n - 1)["at"].alias("to"), digest.alias("digest"))
-
     places = F.sequence(F.lit(0), F.size("__worded") - 1)
-    runs = F.array_distinct(F.filter(F.concat(F.transform(places, ahead), F.transform(places, behind)), lambda r: r.isNotNull()))
+    found = F.filter(F.concat(F.transform(places, ahead), F.transform(places, behind)), lambda r: r.isNotNull())
+    return worded.select("__id", "__text", "__worded", F.array_distinct(found).alias("__runs"),
+                         F.transform("__worded", lambda x: F.xxhash64(x["line"])).alias("__hashes"))
+
+
+def _lines_of(run: Column, lines: str) -> Column:
+    return F.slice(lines, F.shiftright(run, 32).cast("int") + 1, run.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+
+
+def _boundaries() -> Column:
+    """The boundary lines of a text, each once: of every run the one with the least hash, the first of equal ones."""
+    def place(run: Column) -> Column:
+        own = _lines_of(run, "__hashes")
+        return F.shiftright(run, 32).cast("int") + F.array_position(own, F.array_min(own)).cast("int") - 1
+
+    return F.transform(F.array_distinct(F.transform("__runs", place)), lambda i: F.struct(F.get("__hashes", i).alias("hash"), F.get("__worded", i)["line"].alias("line")))
+
+
+def _grown(runs: DataFrame) -> DataFrame:
+    """(__id, __text, __from, __to, __digest, __boundary), one row per run; __from and __to are lines of the text,
+    counted from 0, __boundary is the hash of its boundary line."""
+    hashed = runs.withColumn("__digests", F.transform("__worded", lambda x: F.sha2(x["line"], 256)))
+
+    def grown(run: Column) -> Column:
+        first, n = F.shiftright(run, 32).cast("int"), run.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+        return F.struct(F.get("__worded", first)["at"].alias("__from"), F.get("__worded", first + n - 1)["at"].alias("__to"),
+                        F.unhex(F.sha2(F.array_join(_lines_of(run, "__digests"), ""), 256)).alias("__digest"), F.array_min(_lines_of(run, "__hashes")).alias("__boundary"))
+
     # Digests come before the explosion, whose rows would each carry all lines of their text otherwise.
-    return worded.select("__id", "__text", F.explode(F.transform(runs, span)).alias("r")) \
-        .select("__id", "__text", F.col("r.from").alias("__from"), F.col("r.to").alias("__to"), F.col("r.digest").alias("__digest"))
+    return hashed.select("__id", "__text", F.explode(F.transform("__runs", grown)).alias("r")).select("__id", "__text", "r.*")

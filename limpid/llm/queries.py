@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limpid.llm import bpe, chat, exact_dedup, filter_audit, line_dedup, merkle, mixing, quality_gam, rp_forest, simhash, token_files, toxicity, url_filter
-from limpid.llm.common import stage, table
+from limpid.llm.common import words_pattern, stage, table
 from limpid.operators import scale
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,30 +99,32 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "removed_lines", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
-ORACLE["op7_line_dedup"] = f"""
+ORACLE["op7_line_dedup"] = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-h AS (SELECT *, list_transform(lines, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS hs FROM d),
-e AS (
-  SELECT *, list_filter(range(1, len(lines) + 1),
-    lambda i: i = len(lines) OR (hs[i] + 31 * (CASE WHEN i = 1 THEN 0 ELSE hs[i - 1] END)) % {line_dedup.CHUNK_LINES} = 0) AS ends
-  FROM h),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS pos FROM d),
+w AS (SELECT * FROM (SELECT *, len(regexp_extract_all(line, '{words_pattern()}')) AS words FROM l) WHERE words > 0),
 c AS (
-  SELECT doc_id, text, len(lines) AS n_lines, j, ends[j] AS stop, CASE WHEN j = 1 THEN 1 ELSE ends[j - 1] + 1 END AS start, lines
-  FROM (SELECT *, unnest(range(1, len(ends) + 1)) AS j FROM e)),
-t AS (SELECT doc_id, text, n_lines, j, stop - start + 1 AS n, array_to_string(lines[start:stop], chr(10)) AS chunk FROM c),
-m AS (
-  SELECT *, n >= {line_dedup.LEAST_LINES} AND row_number() OVER (PARTITION BY chunk, n >= {line_dedup.LEAST_LINES} ORDER BY doc_id NULLS FIRST, j) > 1 AS gone FROM t)
-SELECT doc_id, n_lines, removed_lines, length(clean) AS n_chars, sha256(clean) AS text_sha256
-FROM (
-  SELECT doc_id, n_lines, CAST(sum(CASE WHEN gone THEN n ELSE 0 END) AS BIGINT) AS removed_lines,
-    coalesce(string_agg(CASE WHEN gone THEN NULL ELSE chunk END, chr(10) ORDER BY j), '') AS clean
-  FROM m GROUP BY doc_id, n_lines)"""
-
-
-@query
-def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.remove_passages(table(spark, sf_dir, "documents", "doc_id", "text"))
-    return cleaned.select("doc_id", "n_lines", "removed_lines", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+  SELECT doc_id, pos, sha256(line) AS digest, row_number() OVER o AS k, sum(words) OVER o AS upto, sum(words) OVER o - words AS before
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+r AS (
+  SELECT a.doc_id, a.k AS first, b.k AS last, a.pos AS start, b.pos AS stop
+  FROM c AS a ASOF JOIN c AS b ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND a.before + {line_dedup.PASSAGE_WORDS} < b.upto
+  UNION
+  SELECT a.doc_id, b.k, a.k, b.pos, a.pos
+  FROM c AS a ASOF JOIN c AS b ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND a.upto - {line_dedup.PASSAGE_WORDS} > b.before),
+t AS (SELECT doc_id, list(digest ORDER BY k) AS digests FROM c GROUP BY doc_id),
+f AS (
+  SELECT r.doc_id, start, stop, row_number() OVER p AS nth, first_value(r.doc_id) OVER p AS first_doc, first_value(stop) OVER p AS first_stop
+  FROM r JOIN t ON r.doc_id IS NOT DISTINCT FROM t.doc_id
+  WINDOW p AS (PARTITION BY sha256(array_to_string(digests[first:last], ' ')) ORDER BY r.doc_id NULLS FIRST, start, stop)),
+g AS (
+  SELECT DISTINCT doc_id, unnest(range(start, stop + 1)) AS pos
+  FROM f WHERE nth > 1 AND NOT (doc_id IS NOT DISTINCT FROM first_doc AND start <= first_stop)),
+k AS (
+  SELECT l.doc_id, count(g.pos) AS gone, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS clean
+  FROM l LEFT JOIN g ON l.doc_id IS NOT DISTINCT FROM g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+SELECT d.doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(gone AS BIGINT) AS removed_lines, length(clean) AS n_chars, sha256(clean) AS text_sha256
+FROM d JOIN k ON d.doc_id IS NOT DISTINCT FROM k.doc_id"""
 
 
 @query

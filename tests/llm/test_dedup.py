@@ -283,42 +283,6 @@ def test_vectors_on_embeddings(spark):
 
 # --- lines -------------------------------------------------------------------------------------
 
-def lines_brute(rows, chunk_lines=3, least=2):
-    docs = {}
-    for doc, text in rows:
-        lines = (text or "").split("\n")
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        ends = [i for i in range(len(lines)) if i == len(lines) - 1 or (h[i] + 31 * (h[i - 1] if i else 0)) % chunk_lines == 0]
-        docs[doc, text] = [lines[a + 1 : b + 1] for a, b in zip([-1, *ends], ends)]
-    seen, out = set(), {}
-    for key in sorted(docs, key=lambda k: (k[0] is not None, k[0] or 0)):
-        kept = []
-        for chunk in docs[key]:
-            if len(chunk) >= least and tuple(chunk) in seen:
-                continue
-            seen.add(tuple(chunk))
-            kept.append("\n".join(chunk))
-        out[key] = "\n".join(kept)
-    return sorted((doc if doc is not None else -1, out[doc, text]) for doc, text in rows)
-
-
-def test_lines_match_brute_force(spark):
-    rng = random.Random(2)
-    shared = [[f"line {rng.randrange(10**6)} of a passage" for _ in range(9)] for _ in range(4)]
-    rows = [(0, None), (1, ""), (2, "\n\n\n"), (3, "\n\n\n"), (4, "one line"), (4, "one line"), (None, "\n".join(shared[0]))]
-    for i in range(5, 60):
-        own = [f"own {i} {k}" for k in range(rng.randrange(5))]
-        rows.append((i, "\n".join(own + rng.choice(shared) + [f"end {i}"])))
-    rows.append((99, "\n".join(f"{k}" for k in range(20_000))))
-    out = line_dedup.remove_repeats(frame(spark, rows))
-    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in out.collect()) == lines_brute(rows)
-    first = out.where("doc_id = 10").first()
-    assert first["removed_lines"] == sum(s["n_lines"] for s in first["removed"]) > 0
-    assert line_dedup.remove_repeats(frame(spark, [])).collect() == []
-    extra = frame(spark, [(1, "a", 5)], "doc_id long, text string, removed int")
-    assert line_dedup.remove_repeats(extra).first()["removed"] == []
-
-
 def passages_brute(rows, least=50):
     """(text, lines removed) per row of distinct ids: every line in a run over `least` words that occurs before."""
     lines = {doc: [(i, x) for i, x in enumerate((text or "").split("\n")) if x.encode().translate(None, WHITE)] for doc, text in rows}
@@ -345,12 +309,34 @@ def test_passages_of_one_to_ten_lines(spark):
     planted = [[words(60 // n + 1) for _ in range(n)] for n in range(1, 11)]
     rows = [(k, "\n".join([words(9), *p, words(9)])) for k, p in enumerate(planted)]
     rows += [(20 + k, "\n".join([words(9), words(3), *p, words(9)])) for k, p in enumerate(planted)]
-    out = {r["doc_id"]: r for r in line_dedup.remove_passages(frame(spark, rows)).collect()}
+    out = {r["doc_id"]: r for r in line_dedup.remove_repeats(frame(spark, rows)).collect()}
     for k, p in enumerate(planted):
         assert out[k]["removed_lines"] == 0 and out[k]["text"] == rows[k][1]
         assert [tuple(x) for x in out[20 + k]["removed"]] == [(2, len(p))] and out[20 + k]["removed_lines"] == len(p)
 
 
+def test_lines_match_brute_force(spark):
+    rng = random.Random(2)
+    shared = [[f"line {rng.randrange(10**6)} of a passage" for _ in range(rng.choice([9, 14]))] for _ in range(4)]
+    rows = [(-1, "\n".join(shared[0])), (0, None), (1, ""), (2, "\n\n\n"), (3, "\n\n\n"), (4, "one line")]
+    for i in range(5, 60):
+        own = [f"own {i} {k}" for k in range(rng.randrange(5))]
+        rows.append((i, "\n".join(own + rng.choice(shared) + [f"end {i}"])))
+    rows.append((99, "\n".join(f"{k}" for k in range(20_000))))
+    rows.append((100, "\n".join(f"{k}" for k in range(5_000, 6_000))))
+    out = {r["doc_id"]: r for r in line_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert {k: (r["text"], r["removed_lines"]) for k, r in out.items()} == passages_brute(rows)
+    assert all(r["removed_lines"] == sum(x["n_lines"] for x in r["removed"]) for r in out.values())
+    assert [tuple(x) for x in out[100]["removed"]] == [(0, 1000)]
+
+
+def test_a_run_of_few_words_stays(spark):
+    rows = [(i, "\n".join([f"own {i}", *[f"menu entry {k}" for k in range(16)], f"end {i}"])) for i in range(4)]
+    out = line_dedup.remove_repeats(frame(spark, rows))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == dict(rows)
+    assert sorted(r["removed_lines"] for r in line_dedup.remove_repeats(frame(spark, rows), least_words=47).collect()) == [0, 16, 16, 16]
+
+
 def test_passages_match_brute_force(spark):
     rng = random.Random(6)
     pool = [" ".join(f"p{rng.randrange(40)}" for _ in range(rng.choice([0, 1, 4, 12, 25, 51, 70]))) for _ in range(25)]
@@ -358,12 +344,14 @@ def test_passages_match_brute_force(spark):
     for i in range(6, 90):
         at = rng.randrange(20)
         rows.append((i, "\n".join([f"own {i}", *pool[at : at + rng.randrange(7)], *rng.sample(pool, 2), f"end {i}"])))
-    got = {r["doc_id"]: (r["text"], r["removed_lines"]) for r in line_dedup.remove_passages(frame(spark, rows)).collect()}
+    got = {r["doc_id"]: (r["text"], r["removed_lines"]) for r in line_dedup.remove_repeats(frame(spark, rows)).collect()}
     assert got == passages_brute(rows) and any(n for _, n in got.values())
-    twice = line_dedup.remove_passages(frame(spark, [(None, "x " * 60), (1, "x " * 60), (1, "x " * 60)])).collect()
+    twice = line_dedup.remove_repeats(frame(spark, [(None, "x " * 60), (1, "x " * 60), (1, "x " * 60)])).collect()
     assert sorted((r["doc_id"] is None, r["removed_lines"]) for r in twice) == [(False, 1), (False, 1), (True, 0)]
-    assert line_dedup.remove_passages(frame(spark, [])).collect() == []
-    plan = queries.op7_passages(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert line_dedup.remove_repeats(frame(spark, [])).collect() == []
+    extra = frame(spark, [(1, "a", 5)], "doc_id long, text string, removed int")
+    assert line_dedup.remove_repeats(extra).first()["removed"] == []
+    plan = queries.op7_line_dedup(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct"))
 
 
