@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from limpid.functions.text import quote
 from limpid.llm.common import python_stages, stage, words_pattern
 
 #: No source gives more than this many times its size.
@@ -52,6 +53,24 @@ def targets(sizes: DataFrame, cycle: tuple[float, ...] = (1, 2, 3), repeats: int
     return fixed.select("source", "source_size", F.least("cap", shared["level"] * F.col("weight")).alias("target"))
 
 
+def draw_part(counts: np.ndarray, size: int, rng: np.random.Generator, largest: int = 10**9) -> np.ndarray:
+    """Multivariate-hypergeometric draw of `size` out of `counts`, exact for totals of any size.
+
+    The generator draws totals below 10^9 itself.  Above, every block joins by a coin, which makes a binomial count per
+    source and a uniform subset for each total; the few blocks too many or too few, about the square root of the
+    total, are then moved one by one, chosen uniformly without replacement."""
+    if int(counts.sum()) < largest:
+        return rng.multivariate_hypergeometric(counts, size, method="marginals")
+    part = rng.binomial(counts, size / int(counts.sum()))
+    excess = int(part.sum()) - size
+    ends = np.cumsum(part if excess > 0 else counts - part)
+    moved = np.empty(0, np.int64)
+    while len(moved) < abs(excess):
+        moved = np.unique(np.concatenate([moved, rng.integers(0, ends[-1], abs(excess) - len(moved))]))
+    by_source = np.bincount(np.searchsorted(ends, moved, side="right"), minlength=len(counts))
+    return part - by_source if excess > 0 else part + by_source
+
+
 def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     """(shards, sources) numbers of blocks.  Columns add up to `quotas`; shard sizes differ by one at most.
 
@@ -66,22 +85,16 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
         middle, total = (low + high) // 2, int(own.sum())
         left_size = total * (middle - low) // (high - low)
         rng = np.random.default_rng([seed, low, high])
-        # The generator's method for large counts needs totals below 10^9; larger nodes split by their expectation.
-        if total < 10**9:
-            left = rng.multivariate_hypergeometric(own, left_size, method="marginals")
-        else:
-            left = np.floor(own * (left_size / total)).astype(np.int64)
-            short = left_size - int(left.sum())
-            left[np.argsort(left - own * left_size / total, kind="stable")[:short]] += 1
+        left = draw_part(own, left_size, rng)
         todo += [(low, middle, left), (middle, high, own - left)]
     return out
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, block_words: int | None = 256,
-        shard_words: int = 50_000_000, least_shards: int = 1, cycle: tuple[float, ...] = (1, 2, 3), repeats: int = MOST_REPEATS, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+        shard_words: int = 50_000_000, least_shards: int = 1, row_col: str | None = None, cycle: tuple[float, ...] = (1, 2, 3), repeats: int = MOST_REPEATS, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(documents, draws).
 
-    documents: one row per input row: __row (long, unique), id, source, size (words; null text: 0), source_size,
+    documents: one row per input row: __row (long, unique; the column `row_col` if it is given), id, source, size (words; null text: 0), source_size,
     target.  draws: one row per drawn block and repeat: __row, id, source, block (from 0), words, repeat (from 0),
     shard, place (order within the shard).
 
@@ -96,7 +109,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     is many buckets.  The driver sees one row per source and the tree's shards x sources counts.
     """
     spark = df.sparkSession
-    row = F.col("__row") if "__row" in df.columns else F.monotonically_increasing_id()
+    row = quote(row_col) if row_col else F.monotonically_increasing_id()
     docs = stage(df.select(row.alias("__row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
                            word_count(F.col(text_col)).alias("size"), F.xxhash64(id_col, text_col, F.lit(seed)).alias("__key")), "mix-documents")
     sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -176,9 +189,11 @@ def taken_words(documents: DataFrame, draws: DataFrame) -> DataFrame:
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix as rows of `df`: every whole document as often as it was drawn (a block is a text), shuffled by shard."""
-    own = df.columns
-    rows = stage(df.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
-    draws = mix(rows, id_col, text_col, source_col, block_words=None, **options)[1]
-    times = draws.groupBy("__row").agg(F.collect_list(F.struct("shard", "place")).alias("__copies"))
-    return rows.join(times, "__row").withColumn("__copy", F.explode("__copies")) \
+    own, row = df.columns, "__number"
+    while row in own:
+        row += "_"
+    rows = stage(df.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    draws = mix(rows, id_col, text_col, source_col, block_words=None, row_col=row, **options)[1]
+    times = draws.groupBy(F.col("__row").alias(row)).agg(F.collect_list(F.struct("shard", "place")).alias("__copies"))
+    return rows.join(times, row).withColumn("__copy", F.explode("__copies")) \
         .repartition("__copy.shard", F.pmod(F.col("__copy.place"), F.lit(64))).sortWithinPartitions("__copy.shard", "__copy.place").select(*own)

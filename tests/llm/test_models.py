@@ -102,6 +102,14 @@ def test_mixed_documents_repeat_whole_rows(spark):
     assert out.columns == df.columns and rows[9] == 3 and sum(rows.values()) == 11
 
 
+def test_columns_named_like_row_numbers_pass_through(spark):
+    df = spark.createDataFrame([(i, f"w{i} x y", "a" if i % 2 else None, 7, i % 3) for i in range(12)], DOCS + ", __row int, __number int")
+    documents, draws = mixing.mix(df)
+    assert documents.select("__row").distinct().count() == 12
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns and {(r["__row"], r["__number"] == r["doc_id"] % 3) for r in out.collect()} == {(7, True)}
+
+
 def test_splitting_tree_draws_hypergeometric_counts():
     quotas = np.array([1000, 10, 0, 300])
     out = np.array([mixing.split_quotas(quotas, 4, seed) for seed in range(400)])
@@ -114,6 +122,18 @@ def test_splitting_tree_draws_hypergeometric_counts():
     assert (large.sum(axis=0) == [3 * 10**10, 10**10 + 7]).all()
 
 
+def test_draws_of_large_totals_are_hypergeometric():
+    counts = np.array([1000, 10, 0, 300])
+    out = np.array([mixing.draw_part(counts, 500, np.random.default_rng(seed), largest=0) for seed in range(3000)])
+    assert (out.sum(axis=1) == 500).all() and (out >= 0).all() and (out <= counts).all()
+    plain = np.array([np.random.default_rng(seed).multivariate_hypergeometric(counts, 500) for seed in range(3000)])
+    assert out.mean(axis=0) == pytest.approx(plain.mean(axis=0), rel=0.03)
+    assert np.cov(out.T)[0, 3] == pytest.approx(-500 * (1000 / 1310) * (300 / 1310) * (1310 - 500) / 1309, rel=0.12)
+    assert out[:, 1].var() == pytest.approx(500 * (10 / 1310) * (1300 / 1310) * (1310 - 500) / 1309, rel=0.12)
+    assert (mixing.draw_part(counts, 0, np.random.default_rng(1), largest=0) == 0).all()
+    assert (mixing.draw_part(counts, 1310, np.random.default_rng(1), largest=0) == counts).all()
+
+
 # --- toxicity ----------------------------------------------------------------------------------
 
 def test_nearest_examples_are_exact():
