@@ -6,7 +6,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,32 +50,65 @@ def alphabetical_codes(df: DataFrame, column: str) -> DataFrame:
     return joined.withColumn(column, F.col("__code").cast("double")).drop("__code")
 
 
-def text_codes(df: DataFrame, names: list[str]) -> dict[str, tuple[DataFrame, scale.Groups]]:
-    """(codes by value, value counts) of every text column: what alphabetical_codes joins.
+def text_codes(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict]:
+    """(ordinal, value, n, code) of every value of every text column, n its rows, and per column (values, bytes of the
+    values, largest n).
 
     The values of all columns are counted, ordered and numbered together, so the number of jobs does
     not depend on the number of columns.
     """
-    if not names:
-        return {}
     cells = scale.long_form(df, [(i, quote(n)) for i, n in enumerate(names)], "value")
     counts = scale.stage(cells.groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("n")), "value-counts")
     placed = scale.with_position(counts, ["ordinal", "value"], "pos")
     first = placed.groupBy("ordinal").agg(F.min("pos").alias("first"))  # one row per column
-    codes = scale.stage(placed.join(F.broadcast(first), "ordinal").select("ordinal", F.col("value").alias("__group"), (F.col("pos") - F.col("first")).alias("__code")), "codes")
-    facts = {r["ordinal"]: r for r in counts.groupBy("ordinal").agg(
-        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("groups"), F.sum(F.octet_length("value")).alias("bytes")).collect()}
-    rank = F.row_number().over(Window.partitionBy("ordinal").orderBy(F.desc("n"), "value"))
-    hot: dict[int, dict] = {i: {} for i in range(len(names))}
-    for r in counts.where(F.col("n") > scale.GROUP_ROWS).withColumn("rank", rank).where(F.col("rank") <= scale.MAX_HOT) \
-            .select("ordinal", F.xxhash64("value").alias("hash"), "n").collect():
-        hot[r["ordinal"]][r["hash"]] = r["n"]
-    out = {}
-    for i, n in enumerate(names):
-        f = facts.get(i)
-        groups = scale.Groups(f["rows"], f["groups"], hot[i], f["bytes"] or 0) if f else scale.Groups(0, 0, {}, 0)
-        out[n] = codes.where(F.col("ordinal") == i).drop("ordinal"), groups
-    return out
+    codes = scale.stage(placed.join(F.broadcast(first), "ordinal").select("ordinal", "value", "n", (F.col("pos") - F.col("first")).cast("double").alias("code")), "codes")
+    facts = counts.groupBy("ordinal").agg(F.count(F.lit(1)).alias("groups"), F.sum(F.octet_length("value")).alias("bytes"), F.max("n").alias("largest"))
+    return codes, {r["ordinal"]: (r["groups"], r["bytes"], r["largest"]) for r in facts.collect()}
+
+
+def with_codes(df: DataFrame, names: list[str]) -> DataFrame:
+    """Every text column of `names` as the position of its value among the column's sorted values (0-based); null stays.
+
+    Columns with few values, few in all, are looked up in broadcast tables.  All others share one long-form join:
+    (row, column, value) meets the codes by (column, value) and is regrouped by row, so the exchanges do not depend on
+    the number of columns.  Values of more than GROUP_ROWS rows are looked up before that join and never shuffled.
+    A column __row of the input is replaced and goes.
+    """
+    if not names:
+        return df
+    codes, facts = text_codes(df, names)
+    small, values, size = set(), 0, 0
+    for i in sorted(range(len(names)), key=lambda i: facts.get(i, (0, 0, 0))[:2]):
+        values, size = values + facts.get(i, (0, 0, 0))[0], size + facts.get(i, (0, 0, 0))[1]
+        if values <= scale.BROADCAST_ROWS and size <= scale.BROADCAST_BYTES:
+            small.add(i)
+    large = [i for i in range(len(names)) if i not in small]
+    if large:
+        df = scale.stage(df.withColumn("__row", F.monotonically_increasing_id()), "rows-to-code")
+        own = df.columns
+        flat = [x for i in large for x in (F.lit(i), quote(names[i]))]
+        cells = df.select("__row", F.stack(F.lit(len(large)), *flat).alias("ordinal", "value")).where(F.col("value").isNotNull())
+        by_row = _coded(cells, codes, any(facts[i][2] > scale.GROUP_ROWS for i in large)) \
+            .groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("ordinal", "code"))).alias("__codes"))
+        found = {names[i]: F.try_element_at("__codes", F.lit(i)).alias(names[i]) for i in large}
+        df = df.join(by_row, "__row", "left").select(*[found.get(c, quote(c)) for c in own if c != "__row"])
+    for i in sorted(small):
+        own = codes.where(F.col("ordinal") == i).select(F.col("value").alias("__group"), F.col("code").alias("__code"))
+        df = df.join(F.broadcast(own), quote(names[i]) == F.col("__group"), "left").withColumn(names[i], F.col("__code")).drop("__group", "__code")
+    return df
+
+
+def _coded(cells: DataFrame, codes: DataFrame, any_hot: bool) -> DataFrame:
+    """(__row, ordinal, code) of (__row, ordinal, value)."""
+    known = codes.select("ordinal", "value", "code")
+    if not any_hot:
+        return cells.join(known, ["ordinal", "value"]).select("__row", "ordinal", "code")
+    # The table of frequent values stays below BROADCAST_ROWS x 256 bytes; a value beyond it takes the join.
+    hot = codes.where((F.col("n") > scale.GROUP_ROWS) & (F.octet_length("value") <= 256)).orderBy(F.desc("n"), "ordinal", "value") \
+        .limit(scale.BROADCAST_ROWS).select("ordinal", "value", F.col("code").alias("hot_code"))
+    met = cells.join(F.broadcast(hot), ["ordinal", "value"], "left")
+    rest = met.where(F.col("hot_code").isNull()).join(known, ["ordinal", "value"]).select("__row", "ordinal", "code")
+    return met.where(F.col("hot_code").isNotNull()).select("__row", "ordinal", F.col("hot_code").alias("code")).unionAll(rest)
 
 
 def date_like(df: DataFrame, names: list[str], order_by: list[str]) -> list[str]:
@@ -105,9 +138,7 @@ def features(df: DataFrame, target: str, task: str, order_by: list[str]) -> Data
     row = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint").alias("__id")
     out = df.select(row, *scale.columns_of(names), _label(dtype, target, task).alias("label"))
     texts = [n for n in names if isinstance(out.schema[n].dataType, T.StringType)]
-    for name, (codes, groups) in text_codes(out, texts).items():
-        out = scale.join_group_values(out, codes, name, groups).withColumn(name, F.col("__code").cast("double")).drop("__code")
-    out = out.withColumns({n: quote(n).cast("double") for n in names if n not in texts})
+    out = with_codes(out, texts).withColumns({n: quote(n).cast("double") for n in names if n not in texts})
     fitted = impute.fit(out, {n: "mode" for n in names})
     empty = [n for n in names if fitted[n] is None]
     out = impute.fill_values(out.drop(*empty), {n: v for n, v in fitted.items() if v is not None})

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from limpid.operators import benchmark, columns, evaluate, filters, impute, ml
+from limpid.operators import benchmark, columns, evaluate, filters, impute, ml, scale
 from limpid.plans import cleaning, intake, runner
 from limpid.sources import csv, sinks
 
@@ -234,6 +234,32 @@ def test_codes_are_alphabetical(spark, monkeypatch):
     assert got == [want[w] if i % 10 else None for i, w in enumerate(words)]
 
 
+@pytest.mark.parametrize("group_rows", [50, 2_000_000])
+def test_all_text_columns_are_coded_in_one_join(spark, monkeypatch, group_rows):
+    rows = [(i, *[None if (i + k) % 11 == 0 else "hot" if i % 3 == 0 else f"v{(i * (k + 7)) % 61:02d}" for k in range(6)], None) for i in range(400)]
+    names = [f"c{k}" for k in range(6)] + ["none"]
+    df = spark.createDataFrame(rows, "pos int, " + ", ".join(f"{n} string" for n in names))
+    places = [{v: i for i, v in enumerate(sorted({r[k + 1] for r in rows} - {None}))} for k in range(7)]
+    want = [(r[0], *[None if v is None else float(places[k][v]) for k, v in enumerate(r[1:])]) for r in rows]
+    monkeypatch.setattr(scale, "GROUP_ROWS", group_rows)
+
+    def exchanges(columns):
+        out = ml.with_codes(df, columns)
+        assert out.columns == df.columns
+        return out, out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    assert [tuple(r) for r in exchanges(names)[0].orderBy("pos").collect()] == want and exchanges(names)[1] == 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for broadcast_rows in (1, 130):
+            monkeypatch.setattr(scale, "BROADCAST_ROWS", broadcast_rows)
+            out, many = exchanges(names)
+            assert [tuple(r) for r in out.orderBy("pos").collect()] == want
+            assert many == exchanges(names[3:])[1] > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_model_learns_what_cleaning_adds(spark):
     clean = spark.range(600).select(F.col("id"), (F.col("id") % 7).alias("x"), F.when(F.col("id") % 7 < 3, "lo").otherwise("hi").alias("t"),
                                     F.lit("2020-01-01").alias("day"), F.lit(None).cast("double").alias("empty"))
