@@ -288,3 +288,21 @@ def test_a_bracket_that_misses_falls_back(spark, monkeypatch):
     df = spark.range(1000).select(F.col("id").cast("double").alias("v"))
     monkeypatch.setattr(scale, "_bracket", lambda n, k, last, marks: (2000.0, 3000.0))
     assert scale.exact_quantiles_of(df, "v", [0.5]) == [499.5]
+
+
+def test_ranks_in_one_slice_share_their_cuts(spark, monkeypatch):
+    """Three quartiles of a large group start in one slice: its values are cut and counted once, and the cut of a value is
+    found by halving, not by comparison with all cuts."""
+    sizes, real = [], scale._only
+    monkeypatch.setattr(scale, "_only", lambda inside, keys, *rest: sizes.append(len(keys)) or real(inside, keys, *rest))
+    rng = np.random.default_rng(3)
+    values = np.unique(np.concatenate([rng.normal(0, 1, 1500), rng.normal(1e9, 1, 500), [-np.inf, 0.0]]))
+    weights = rng.integers(1, 9, len(values))
+    rows = [(7, float(v), int(c)) for v, c in zip(values, weights)]
+    found = scale.quantiles_of_counts(spark.createDataFrame(rows, "__group int, v double, c long"), [0.25, 0.5, 0.75], max_values=100).collect()
+    assert sizes[:2] == [1, 1]
+    assert np.allclose(found[0]["q"], np.quantile(np.repeat(values, weights), [0.25, 0.5, 0.75]))
+    cuts = sorted({float(x) for x in rng.integers(0, 99, 300)})[:255]
+    for size in (0, 1, 2, len(cuts)):
+        got = spark.range(100).select("id", scale._slice_of(F.col("id").cast("double"), F.array(*[F.lit(c) for c in cuts[:size]]).cast("array<double>")).alias("s"))
+        assert [r["s"] for r in got.orderBy("id").collect()] == [sum(c <= i for c in cuts[:size]) for i in range(100)]
