@@ -26,8 +26,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group linked by a Jaccard index of 0.8 or more over 5-word shingles: the one with the
-    least id.  Candidates come from MinHash bands, not from op2's SimHash fingerprints, which miss most of these pairs at any
-    radius that their grid can serve (figures in the README)."""
+    least id.  Candidates come from SimHash fingerprints, linked as in op2 (here of 5-word shingles), and also from MinHash
+    bands, as fingerprints alone miss most of these pairs at any radius that their grid can serve (figures in the README)."""
     return jaccard.drop_near_copies(docs)
 
 
@@ -45,7 +45,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact_dedup", drop_exact_copies),
-    ("minhash_near_dedup", drop_near_copies),
+    ("simhash_minhash_near_dedup", drop_near_copies),
     ("mixing", mix_sources),
     ("bpe", encode),
 ]

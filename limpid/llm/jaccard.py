@@ -1,8 +1,9 @@
 """Near copies by the exact Jaccard index of word shingles.
 
-Fingerprints within a radius that a grid of segment counts can serve miss most pairs at an index of 0.8 (README).
-Candidates are therefore documents that agree in one of BANDS bands of MinHash values (a pair at 0.8 is missed with a
-chance of (1 - 0.8^4)^16 = 0.0002), and every candidate is linked only if the shingle sets themselves reach the index.
+Candidates are documents whose SimHash fingerprints are connected over simhash.RADIUS bits (grid of segment counts), and
+documents that agree in one of BANDS bands of MinHash values: within a radius that the grid can serve, fingerprints alone
+miss most pairs at an index of 0.8 (README), bands miss one with a chance of (1 - 0.8^4)^16 = 0.0002.  Every candidate is
+linked only if the shingle sets themselves reach the index.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from limpid.llm import simhash
 from limpid.llm.common import python_stages, stage
 from limpid.llm.components import components
 
@@ -51,14 +53,24 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def _keys(texts: DataFrame, shingle: int) -> DataFrame:
-    """(row, n, keys) of (row, text): n shingles, and a key per band."""
+    """(row, n, fp, keys) of (row, text): n shingles, the SimHash fingerprint as a signed long, and a key per band."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_hashes(t.as_py(), shingle) for t in batch.column(1)]
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "n", "keys"])
+            prints = np.array([simhash.fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(prints), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "n", "fp", "keys"])
 
-    return texts.mapInArrow(run, "row long, n int, keys array<long>")
+    return texts.mapInArrow(run, "row long, n int, fp long, keys array<long>")
+
+
+def _print_keys(keys: DataFrame) -> DataFrame:
+    """(row, n, key) of (row, n, fp): one key for all fingerprints that are connected over links of at most simhash.RADIUS
+    bits."""
+    distinct = stage(keys.select("fp").distinct(), "near-fingerprints")
+    groups = stage(components(simhash.near_links(distinct)), "near-fingerprint-groups")
+    return keys.join(some(groups), keys["fp"] == groups["node"], "left") \
+        .select("row", "n", F.xxhash64(F.coalesce("component", "fp"), F.lit("simhash")).alias("key"))
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -91,11 +103,12 @@ def near_groups(texts: DataFrame, shingle: int = SHINGLE, least: float = LEAST)
     """(node, component): connected components over pairs of (row long, text string) with a Jaccard index of `least` or
     more, for rows that have such a pair; rows are unique.
 
-    Members of a bucket are first compared with its least one.  What that joins is a component; then members outside the
+    A bucket holds the rows of one group of connected fingerprints, or of one band key.  Members of a bucket are first compared with its least one.  What that joins is a component; then members outside the
     component of their bucket's least one are compared with all members of other components, block by block inside
     tasks.  Every two members of a bucket are so compared or known to be connected, and no pairs are made into rows."""
     python_stages(texts.sparkSession)
-    keys = stage(_keys(texts.select("row", "text"), shingle), "near-keys").select("row", "n", F.explode("keys").alias("key"))
+    found = stage(_keys(texts.select("row", "text"), shingle), "near-keys")
+    keys = stage(_print_keys(found.select("row", "n", "fp")), "near-print-keys").unionByName(found.select("row", "n", F.explode("keys").alias("key")))
     buckets = keys.groupBy("key").agg(F.min("row").alias("center"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     members = stage(keys.join(buckets, "key").where("row <> center"), "near-members")
     links = _verified(texts, members.select(F.col("center").alias("a"), F.col("row").alias("b")).distinct(), shingle, least)

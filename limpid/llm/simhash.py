@@ -34,14 +34,14 @@ BLOCK = 4096
 
 # --- fingerprints ------------------------------------------------------------------------------
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Unsigned 64-bit SimHash of the text's word shingles, repeats included.  Null and blank texts give zero."""
     words = (text or "").encode().lower().split()  # bytes.lower() and split() know A-Z and ASCII white space only
     if not words:
         return 0
     joined, digest = b" ".join(words), xxhash.xxh64_digest
     ends = np.cumsum([len(w) + 1 for w in words])
-    last = (ends[min(SHINGLE, len(words)) - 1 :] - 1).tolist()
+    last = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
     first = [0, *ends.tolist()]
     hashes = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(first, last)]), np.uint8).reshape(-1, 8)
     ones = np.zeros(64, np.int64)

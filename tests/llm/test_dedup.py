@@ -208,6 +208,16 @@ def test_members_far_from_the_least_of_their_bucket(spark, monkeypatch):
     assert {tuple(r) for r in jaccard.near_groups(df).collect()} == {(1, 1), (2, 1), (3, 3), (4, 3)}
 
 
+def test_near_copies_are_found_by_their_fingerprints(spark, monkeypatch):
+    """No two texts share a band: what is linked comes from SimHash, and the index is still checked."""
+    monkeypatch.setattr(jaccard, "band_keys", lambda hashes: [int(hashes.view(np.int64).sum() & 0x7FFFFFFFFFFF)])
+    a, b = ([f"{x}{i}" for i in range(4000)] for x in "ab")
+    texts = [" ".join(a), " ".join([*a[:-1], "y"]), " ".join([*a[:-2], "x", "y"]), " ".join(b), " ".join([*b[:-1], "y"]), "c d"]
+    df = frame(spark, list(enumerate(texts)), "row long, text string")
+    assert {tuple(r) for r in jaccard.near_groups(df).collect()} == {(0, 0), (1, 0), (2, 0), (3, 3), (4, 3)}
+    assert jaccard.near_groups(df, least=0.9999).collect() == []
+
+
 @pytest.mark.parametrize("block", [1 << 20, 300])
 def test_strays_meet_members_of_all_blocks(spark, block):
     rng = np.random.default_rng(5)
