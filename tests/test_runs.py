@@ -270,6 +270,17 @@ def test_model_learns_what_cleaning_adds(spark):
     assert ml.evaluate(raw, clean, "nope", ["id"]).first()["reason"] == "no column nope"
 
 
+def test_a_forest_is_trained_by_many_tasks(spark, monkeypatch):
+    """A table of few bytes in one file: the tasks follow from its rows, and every row is in one of them."""
+    monkeypatch.setattr(ml, "TASK_ROWS", 100)
+    seen, real = [], ml.split
+    monkeypatch.setattr(ml, "split", lambda table: seen.append(table) or real(table))
+    df = spark.range(2000).selectExpr("id", "id % 7 as x", "cast(id % 3 as string) as t").coalesce(1)
+    ml.score(df, "t", "classification", ["id"], max_depth=2)
+    sizes = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 20 and sum(sizes) == 2000 and max(sizes) < 200
+
+
 # --- everything --------------------------------------------------------------------------------
 
 def test_clean_csv_end_to_end(spark, tmp_path):
