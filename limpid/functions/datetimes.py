@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -65,10 +66,9 @@ def iso_date(text: Column) -> Column:
 
     shapes = [read(YEAR_FIRST, 1, 2, 3), read(MONTH_FIRST, 3, 1, 2), read(DAY_FIRST, 3, 2, 1), read(COMPACT, 1, 2, 3),
               read(DAY_NAME_YEAR, 3, 2, 1, named=True), read(NAME_DAY_YEAR, 3, 1, 2, named=True), read(NAME_YEAR, 2, 1, None, named=True)]
-    out = F.when(*shapes[0])
-    for fits, date in shapes[1:]:
-        out = out.when(fits, date)
-    return out
+    # Only four shapes have no letter and only three have one.
+    digits, names = (functools.reduce(lambda out, shape: out.when(*shape), own[1:], F.when(*own[0])) for own in (shapes[:4], shapes[4:]))
+    return F.when(text.rlike("[A-Za-z]"), names).otherwise(digits)
 
 
 def _let(value: Column, body) -> Column:
@@ -93,7 +93,8 @@ def iso_text(text: Column) -> Column:
     """ISO text of stripped date text, with its clock and zone; NULL for other shapes."""
     def read(bare: Column) -> Column:
         date = _let(F.regexp_replace(bare, CLOCK, ""), iso_date)
-        return F.when(bare.rlike(CLOCK), _clocked(bare, date)).otherwise(date)
+        clocked = bare.contains(":") & bare.rlike(CLOCK)  # the first test is cheap
+        return F.when(clocked, _clocked(bare, date)).otherwise(iso_date(bare))
 
     # Only text that ends like a date, a clock or a zone is looked at closely.
     likely = text.rlike(r"(?i)(?:\d|[ap]\.?m\.?|z|utc|gmt)$")

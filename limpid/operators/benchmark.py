@@ -96,7 +96,16 @@ class Comparison:
 
     def columns(self) -> DataFrame:
         """column, matches, total, both-null state matches, cells with a value on both sides and
-        their matches: one aggregate over the aligned rows in long form."""
+        their matches: one row per column, counted once for all reports."""
+        return self._counted
+
+    @functools.cached_property
+    def _counted(self) -> DataFrame:
+        counts = self._counts()
+        return scale.local_table(self.aligned.sparkSession, [tuple(r) for r in counts.collect()], counts.schema)  # one row per column
+
+    def _counts(self) -> DataFrame:
+        """One aggregate over the aligned rows in long form."""
         flat = []
         for i, name in enumerate(self.names):
             c, t = self.pair(name)
@@ -120,15 +129,29 @@ class Comparison:
 
     def mismatches(self, k: int = 3) -> DataFrame:
         """column, pos, cleaned_value, benchmark_value of the first k mismatches per column (a
-        report: the limit is the feature; it is applied in each task before the shuffle)."""
+        report: the limit is the feature).
+
+        One bounded top-k scan usually holds them all.  The columns that agree in nearly all of its rows share one further
+        scan, in which the limit is applied in each task before the shuffle."""
+        reach = 400 * k
+        early = self._first(self.aligned.orderBy("pos").limit(reach), self.names, k)
+        head = early.collect()  # k rows per column
+        late = [n for n in self.names if sum(r["column"] == n for r in head) < k]
+        if late and not scale.has_more_rows(self.aligned, reach):
+            late = []
+        found = scale.local_table(self.aligned.sparkSession, [tuple(r) for r in head if r["column"] not in late], early.schema)
+        return found.unionByName(self._first(self.aligned, late, k)) if late else found
+
+    def _first(self, aligned: DataFrame, names: list[str], k: int) -> DataFrame:
+        """pos, column, cleaned_value, benchmark_value of the first k mismatches of some columns."""
         def text(v: Column) -> Column:
             return F.coalesce(v.cast("string"), F.lit("nan"))
 
         found = F.filter(F.array(*[F.struct(
             F.lit(n).alias("column"), text(self.pair(n)[0]).alias("cleaned_value"),
-            text(self.pair(n)[1]).alias("benchmark_value"), self.same(n).alias("same")) for n in self.names]),
+            text(self.pair(n)[1]).alias("benchmark_value"), self.same(n).alias("same")) for n in names]),
             lambda x: ~x["same"])
-        long = self.aligned.select("pos", F.inline(found)).drop("same")
+        long = aligned.select("pos", F.inline(found)).drop("same")
         first = Window.partitionBy("column").orderBy("pos")
         return long.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).drop("rank")
 
@@ -165,8 +188,8 @@ def row_accuracy(rows: DataFrame) -> DataFrame:
 
 
 def summary(clean: DataFrame, truth: DataFrame, order: list[str], truth_order: list[str] | None = None,
-            key: list[str] | None = None) -> DataFrame:
-    """One row with all accuracies, row counts and a one-line summary."""
+            key: list[str] | None = None, compare: Comparison | None = None) -> DataFrame:
+    """One row with all accuracies, row counts and a one-line summary; `compare` has the aligned rows if they are known."""
     spark = clean.sparkSession
     match = schema_match(clean, truth).first()
     counts = (clean.count(), truth.count())
@@ -174,7 +197,7 @@ def summary(clean: DataFrame, truth: DataFrame, order: list[str], truth_order: l
         values = (0.0, 0.0, 0.0, 0.0, match["schema_f1"], *counts, 0, counts[0] == counts[1],
                   "The tables share no column.")
         return scale.local_table(spark, [values], _SUMMARY)
-    compare = Comparison(scale.stage(align(clean, truth, order, truth_order, key), "aligned"))
+    compare = compare or Comparison(scale.stage(align(clean, truth, order, truth_order, key), "aligned"))
     per_column = compare.columns().agg(*[F.sum(c).alias(c) for c in (
         "matches", "total", "null_matches", "valued", "value_matches")])
     cells = per_column.select(

@@ -52,8 +52,10 @@ def clean(df: DataFrame, order_by: list[str], steps: DataFrame | None = None, ta
     """Everything for one table.
 
     A model or a comparison that fails is noted in `errors` and loses nothing else.  The row order of
-    the input serves throughout, whatever the plan does to the columns it comes from.
+    the input serves throughout, whatever the plan does to the columns it comes from.  The input and the
+    cleaned table are read many times, so both are staged.
     """
+    df = scale.stage(df, "input")
     analysis = analyze(df, order_by, steps)
     raw = df if order_by == [ROW_ID] else df.withColumn(ROW_ID, F.struct(*scale.columns_of(order_by)))
     kept, log = runner.run(raw, analysis.steps, [ROW_ID], keep_order=True)
@@ -69,10 +71,10 @@ def clean(df: DataFrame, order_by: list[str], steps: DataFrame | None = None, ta
 
     def compare():
         right = truth if (truth_order or order_by) == [ROW_ID] else truth.withColumn(ROW_ID, F.struct(*scale.columns_of(truth_order or order_by)))
-        found = benchmark.summary(kept, right, [ROW_ID])
         if not benchmark.common_columns(kept, right):
-            return found, None, None, benchmark.schema_match(kept, right)
+            return benchmark.summary(kept, right, [ROW_ID]), None, None, benchmark.schema_match(kept, right)
         both = benchmark.Comparison(scale.stage(benchmark.align(kept, right, [ROW_ID]), "compared"))
+        found = benchmark.summary(kept, right, [ROW_ID], compare=both)
         return found, benchmark.column_accuracy(both.columns()), both.mismatches(), benchmark.schema_match(kept, right)
 
     quality = evaluate.quality(df, cleaned)
@@ -119,7 +121,7 @@ def clean_csv(spark, filename: str, data_path: str = "data/raw", out_path: str =
 
 
 def _clean_csv(spark, filename, data_path, out_path, benchmark_folder, target, **options) -> Result:
-    raw = csv.load_csv(spark, filename, data_path, **options)
+    raw = csv.load_csv(spark, filename, data_path, **{"stage": False, **options})  # clean() stages it
     target = target or csv.target_column(raw)
     truth_file = csv.benchmark_path(spark, benchmark_folder, filename) if benchmark_folder else None
     truth = csv.load_csv(spark, truth_file, benchmark_folder) if truth_file else None

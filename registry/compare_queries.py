@@ -56,7 +56,7 @@ cleaned AS (SELECT n16.* FROM n16, fences WHERE o_totalprice BETWEEN a - 1.5 * (
 
 def demo(t):
     """(raw, cleaned, log) of PLAN on dup_orders."""
-    raw = t.dup_orders
+    raw = scale.stage(t.dup_orders, "raw")
     clean, log = runner.run(raw, intake.steps_table(t.spark, PLAN), ["o_orderkey"])
     return raw, clean, log
 
@@ -111,7 +111,7 @@ n2 AS (SELECT * REPLACE (
 SELECT DISTINCT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 4) AS o_totalprice, trim(o_orderpriority) AS o_orderpriority, o_datestr, o_messydate,
   trim(o_pricestr) AS o_pricestr_part1, trim(split_part(o_timestr, ':', 1)) AS o_timestr_part1, trim(split_part(o_timestr, ':', 2)) AS o_timestr_part2 FROM n2""", ("dup_orders",))
 def rule_based_run(t):
-    raw = t.dup_orders
+    raw = scale.stage(t.dup_orders, "raw")
     analysis = cleaning.analyze(raw, ["o_orderkey"])
     return runner.run(raw, analysis.steps, ["o_orderkey"])[0].withColumn("o_totalprice", F.round("o_totalprice", 4))
 

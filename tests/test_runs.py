@@ -401,3 +401,23 @@ def test_replace_with_json_numbers(spark):
         assert columns.replace(df, name, old, "NaN").where(f"{name} is null").count() == 1
     assert columns.replace(df, "b", 9007199254740993, 1.0).orderBy("b").first()["b"] == 1
     assert columns.replace(df, "b", 9007199254740993, "NaN").where("b is null").count() == 1
+
+
+def test_a_cleaned_table_is_computed_once(spark):
+    """Its readers do not replay the lazy steps."""
+    df = spark.range(50).selectExpr("id", "concat(id % 28 + 1, ' May 1990') as d")
+    steps = spark.createDataFrame([(1, "standardize", "d", "format_datetime", "{}", "r")], "step_id int, phase string, column string, operation string, params string, reason string")
+    clean, _ = runner.run(df, steps, ["id"])
+    assert clean.inputFiles() and all("/cleaned-" in f for f in clean.inputFiles())
+    assert clean.where("d = '1990-05-03'").count() == 2
+    result = cleaning.clean(df, ["id"], steps=steps, truth=df)
+    assert all("/cleaned-" in f for f in result.clean.inputFiles()) and result.errors == ()
+
+
+def test_rare_mismatches_behind_the_first_rows(spark):
+    truth = spark.range(5000).selectExpr("id", "id as a", "'x' as b", "id as c")
+    clean = truth.selectExpr("id", "a + 1 as a", "case when id in (1, 4000, 4500, 4900) then 'y' else b end as b", "c")
+    compare = benchmark.Comparison(scale.stage(benchmark.align(clean, truth, ["id"])))
+    got = sorted((r["column"], r["pos"], r["cleaned_value"], r["benchmark_value"]) for r in compare.mismatches().collect())
+    assert got == [("a", p, str(p + 1), str(p)) for p in range(3)] + [("b", p, "y", "x") for p in (1, 4000, 4500)]
+    assert compare.columns() is compare.columns()
