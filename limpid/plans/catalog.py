@@ -47,6 +47,17 @@ def read_rows(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str
     ordinal, column.  Files with the same header line share a schema; the driver sees every distinct header once.
     Missing fields are null and excess fields are left out.  Every file is read in its own encoding and in parallel,
     quoted line breaks or not."""
+    rows, schemas, paths = _numbered_rows(spark, path, encoding, sep, quote)
+    return _named(rows, paths), schemas
+
+
+def _named(df: DataFrame, paths: DataFrame) -> DataFrame:
+    """The path of a file instead of its number."""
+    return df.withColumnRenamed(FILE, "number").join(F.broadcast(paths), "number").select(FILE, *[c for c in df.columns if c != FILE])
+
+
+def _numbered_rows(spark: SparkSession, path: str, encoding: str, sep: str, quote: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """read_rows with a number in place of the path, so that no group or join carries paths, and (number, file)."""
     files = csv.files_of(spark, path, encoding, quote)
     parts = []
     for kind, broken in sorted({(f.encoding, f.broken) for f in files}):
@@ -59,22 +70,24 @@ def read_rows(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str
                 records.decoded(F.col("value"), kind).alias("text"))
             parts.append(plain.where(F.trim("text") != ""))
     if not parts:
-        return (scale.local_table(spark, [], f"{FILE} string, schema int, block bigint, row bigint, fields array<string>"),
-                scale.local_table(spark, [], "schema int, ordinal int, column string"))
+        return (scale.local_table(spark, [], f"{FILE} int, schema int, block bigint, row bigint, fields array<string>"),
+                scale.local_table(spark, [], "schema int, ordinal int, column string"), scale.local_table(spark, [], f"number int, {FILE} string"))
+    paths = scale.local_table(spark, [(i, f.path) for i, f in enumerate(files)], f"number int, {FILE} string")
     lines = scale.stage(scale.union_all([p.withColumn("text", F.regexp_replace("text", "\r$", "")) for p in parts]), "catalog-lines")
     heads = lines.where("block = 0").groupBy(FILE).agg(F.min_by("text", "row").alias("head"), F.min("row").alias("first"))
     heads = scale.stage(heads.withColumn("head", F.regexp_replace("head", "^\ufeff", "")), "catalog-heads")
     known = [r["head"] for r in heads.select("head").distinct().orderBy("head").collect()]
     names = [csv.clean_header(next(plain_csv.reader(io.StringIO(h, newline=""), delimiter=sep, quotechar=quote), [""])) for h in known]
     number = scale.local_table(spark, [(h, i, len(n)) for i, (h, n) in enumerate(zip(known, names))], "head string, schema int, width int")
-    placed = _joined(lines, heads.join(F.broadcast(number), "head").drop("head"), len(files)).where((F.col("block") > 0) | (F.col("row") > F.col("first")))
+    known_files = heads.join(F.broadcast(number), "head").join(F.broadcast(paths), FILE).drop("head")
+    placed = _joined(lines, known_files, len(files)).where((F.col("block") > 0) | (F.col("row") > F.col("first")))
     widest = max(map(len, names), default=1)
     options = {"sep": sep, "quote": quote, "escape": quote, "nullValue": "", "emptyValue": "", "multiLine": "true"}
     parsed = F.from_csv("text", ", ".join(f"c{i} string" for i in range(widest)), options)
     fields = F.array(*[F.when(~F.col(f"f.c{i}").isin(CSV_NULLS), F.col(f"f.c{i}")) for i in range(widest)])
-    rows = placed.withColumn("f", parsed).select(FILE, "schema", "block", "row", F.slice(fields, F.lit(1), F.col("width")).alias("fields"))
+    rows = placed.withColumn("f", parsed).select(F.col("number").alias(FILE), "schema", "block", "row", F.slice(fields, F.lit(1), F.col("width")).alias("fields"))
     columns = scale.local_table(spark, [(i, k, c) for i, n in enumerate(names) for k, c in enumerate(n)], "schema int, ordinal int, column string")
-    return scale.stage(rows, "catalog-rows"), columns
+    return scale.stage(rows, "catalog-rows"), columns, paths
 
 
 def _joined(rows: DataFrame, by_file: DataFrame, files: int) -> DataFrame:
@@ -86,7 +99,7 @@ def column_types(rows: DataFrame, schemas: DataFrame) -> DataFrame:
     """file, ordinal, column, dtype, filled, rows: one row per file and column.  Types are inferred as for one file."""
     cells = rows.select(FILE, F.posexplode("fields").alias("ordinal", "cell")).where("cell is not null").withColumn("v", text.strip("cell"))
     v = F.col("v")
-    whole = F.when(v.rlike(numbers.INTEGER), v.try_cast("bigint").isNotNull()).otherwise(False)
+    whole = F.when(v.rlike(numbers.INTEGER), (F.length(v) <= 18) | v.try_cast("bigint").isNotNull()).otherwise(False)
     facts = cells.groupBy(FILE, "ordinal").agg(
         F.count(F.lit(1)).alias("filled"), F.bool_and(whole).alias("whole"), F.bool_and(v.rlike(numbers.NUMBER)).alias("number"),
         F.bool_and(v.isin("True", "False", "TRUE", "FALSE", "true", "false")).alias("boolean"))
@@ -112,15 +125,19 @@ def is_number() -> Column:
 # --- statistics ----------------------------------------------------------------------------------
 
 KEY = [FILE, "ordinal"]
+# Rows from the start of a file that are looked at first for the first values of its columns.
+HEAD_ROWS = 10 * SPLIT_SAMPLE
 
 
 def value_counts(rows: DataFrame, types: DataFrame, files: int) -> DataFrame:
-    """file, ordinal, dtype, value, v (double, of numbers), cnt.  Text above profiling.LONG_TEXT characters stands under its
-    start and digest."""
+    """file, ordinal, dtype, value, v (double, of numbers), cnt, odd (stands otherwise in the file somewhere).  Text above
+    profiling.LONG_TEXT characters stands under its start and digest."""
     of_file = types.groupBy(FILE).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "dtype"))), lambda x: x["dtype"]).alias("dtypes"))
     cells = _joined(rows, of_file, files).select(FILE, F.posexplode(F.arrays_zip("fields", "dtypes")).alias("ordinal", "z")).where("z.fields is not null")
     value = typed(F.col("z.fields"), F.col("z.dtypes"))
-    counts = cells.select(*KEY, F.col("z.dtypes").alias("dtype"), profiling.short_key(value).alias("value")).groupBy(*KEY, "dtype", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    cells = cells.select(*KEY, F.col("z.dtypes").alias("dtype"), value.alias("value"), F.col("z.fields").alias("raw"))
+    cells = cells.select(*KEY, "dtype", profiling.short_key(F.col("value")).alias("value"), (~F.col("value").eqNullSafe(F.col("raw"))).alias("odd"))
+    counts = cells.groupBy(*KEY, "dtype", "value").agg(F.count(F.lit(1)).alias("cnt"), F.bool_or("odd").alias("odd"))
     return counts.withColumn("v", F.when(is_number(), F.col("value").try_cast("double")))
 
 
@@ -138,10 +155,11 @@ def _moments(freq: DataFrame) -> DataFrame:
     first = scale.stage(freq.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("unique_count"), F.min("v").alias("min"), F.max("v").alias("max"), (F.sum(v * cnt) / F.sum(cnt)).alias("mean"),
         F.sum(F.when(v == 0, cnt).otherwise(0)).alias("zeros_count")), "catalog-first")
-    known = freq.where("v is not null").select(*KEY, "v", "cnt", F.to_json(F.struct(*KEY)).alias("key"))
+    group = F.shiftleft(F.col(FILE).cast("bigint"), 32).bitwiseOR(F.col("ordinal").cast("bigint"))
+    known = freq.where("v is not null").select(*KEY, "v", "cnt", group.alias("key"))
     quartiles = scale.quantiles_of_counts(known.select(F.col("key").alias("__group"), "v", F.col("cnt").alias("c")), [0.25, 0.5, 0.75])
-    place = F.from_json("__group", f"{FILE} string, ordinal int")
-    quartiles = quartiles.select(place[FILE].alias(FILE), place["ordinal"].alias("ordinal"), *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    file, ordinal = F.shiftright("__group", 32).cast("int"), F.col("__group").bitwiseAND(F.lit(2 ** 32 - 1)).cast("int")
+    quartiles = quartiles.select(file.alias(FILE), ordinal.alias("ordinal"), *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
     means = first.select(*KEY, "mean", "min", "max").where("mean is not null")
     off = v - F.col("mean")
     central = known.join(means, KEY).groupBy(*KEY, "min", "max").agg(F.sum("cnt").alias("n"), F.sum(cnt * off * off).alias("m2"), F.sum(cnt * off * off * off).alias("m3"))
@@ -170,19 +188,42 @@ def _lists(freq: DataFrame) -> DataFrame:
     own = Window.partitionBy(*KEY)
     top = freq.where(~is_number()).withColumn("rank", F.row_number().over(own.orderBy(F.desc("cnt"), "value"))).where(F.col("rank") <= TOP_VALUES)
     shown = F.when(F.col("dtype") == NUMBER, F.coalesce(F.col("value").try_cast("decimal(38,6)").cast("string"), F.col("value"))).otherwise(F.col("value"))
-    marked = freq.withColumn("value", shown).withColumn("mark", F.md5(F.concat("value", F.lit("|42"))))
-    sample = marked.withColumn("rank", F.row_number().over(own.orderBy("mark", "value"))).where(F.col("rank") <= SAMPLE_VALUES)
+    marked = freq.withColumn("value", shown).withColumn("mark", profiling.sample_mark(F.col("value")))
+
+    def first(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(own.orderBy("mark", "value"))).where(F.col("rank") <= SAMPLE_VALUES).select(*KEY, "rank", "value")
+
+    # Only marks that can be among the first are sorted; a column that got too few of them is sampled again in full.
+    unique = scale.stage(freq.groupBy(*KEY).agg(F.count(F.lit(1)).alias("unique_count")), "catalog-unique")
+    limits = unique.select(*KEY, profiling.mark_limit(F.col("unique_count")).alias("upto"))
+    sample = scale.stage(first(marked.join(limits, KEY).where(F.left("mark", F.lit(8)) <= F.col("upto"))), "catalog-samples")
+    got = sample.groupBy(*KEY).agg(F.count(F.lit(1)).alias("got"))
+    short = unique.join(got, KEY, "left").where(F.coalesce("got", F.lit(0)) < F.least(F.lit(SAMPLE_VALUES), "unique_count")).select(*KEY)
+    if not short.isEmpty():
+        sample = sample.join(short, KEY, "left_anti").unionByName(first(marked.join(short, KEY)))
     return (listed(sample, F.col("rank"), F.col("value"), "sample_values")
             .join(listed(top, F.col("rank"), counted, "top_values"), KEY, "left").join(listed(tokens, order, counted, "detected_placeholders"), KEY, "left"))
 
 
 def _splits(rows: DataFrame, types: DataFrame, files: int) -> DataFrame:
     """suggested_delimiter and occurrence_ratio, from the first values of every text column."""
-    texts = types.where(F.col("dtype") == OTHER).groupBy(FILE).agg(F.collect_list("ordinal").alias("texts"))
-    cells = _joined(rows, texts, files).select(FILE, "block", "row", "texts", F.posexplode("fields").alias("ordinal", "value"))
-    cells = cells.where(F.col("value").isNotNull() & F.array_contains("texts", F.col("ordinal")))
-    # The rank limit runs in every task before the shuffle.
-    first = cells.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY).orderBy("block", "row"))).where(F.col("rank") <= SPLIT_SAMPLE)
+    def firsts(some: DataFrame, wanted: DataFrame) -> DataFrame:
+        texts = wanted.groupBy(FILE).agg(F.collect_list("ordinal").alias("texts"))
+        cells = _joined(some, texts, files).select(FILE, "block", "row", "fields", F.explode("texts").alias("ordinal"))
+        cells = cells.withColumn("value", F.get("fields", F.col("ordinal"))).where("value is not null").drop("fields")
+        # The rank limit runs in every task before the shuffle.
+        ranked = cells.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY).orderBy("block", "row")))
+        return ranked.where(F.col("rank") <= SPLIT_SAMPLE).select(*KEY, "value")
+
+    # The first rows of a file usually hold them all; all columns too sparse for that share one scan of the rows.
+    texts = types.where(F.col("dtype") == OTHER).select(*KEY, "filled")
+    begins = rows.where("block = 0").groupBy(FILE).agg(F.min("row").alias("begin"))
+    head = _joined(rows.where("block = 0"), begins, files).where(F.col("row") < F.col("begin") + HEAD_ROWS)
+    first = scale.stage(firsts(head, texts), "catalog-firsts")
+    have = first.groupBy(*KEY).agg(F.count(F.lit(1)).alias("have"))
+    sparse = scale.stage(texts.join(have, KEY, "left").where(F.coalesce("have", F.lit(0)) < F.least(F.lit(SPLIT_SAMPLE), "filled")).select(*KEY), "catalog-sparse")
+    if not sparse.isEmpty():
+        first = first.join(sparse, KEY, "left_anti").unionByName(firsts(rows, sparse))
     tries = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(d).alias("delimiter"), text.count_of(F.col("value"), d).alias("n")) for p, d in enumerate(DELIMITERS)])
     measured = first.select(*KEY, F.length("value").alias("len"), F.inline(tries)).groupBy(*KEY, "p", "delimiter").agg(
         F.avg(F.when(F.col("n") > 0, 1.0).otherwise(0.0)).alias("share"), F.avg("len").alias("len"), F.max("n").alias("most"), F.median("n").alias("mid"))
@@ -214,14 +255,23 @@ def _redundant(rows: DataFrame, types: DataFrame, schemas: DataFrame, files: int
     return holds.groupBy(FILE, F.col("code").alias("ordinal")).agg(lists.alias("redundant_with"))
 
 
-def _copies(rows: DataFrame, types: DataFrame, files: int) -> DataFrame:
+def _copies(rows: DataFrame, types: DataFrame, freq: DataFrame, files: int) -> DataFrame:
     """file, duplicate_rows: rows beyond the first of equal ones.
 
-    Rows are counted by a 128-bit digest first; only those whose digest repeats are moved as a whole and compared."""
-    dtypes = types.groupBy(FILE).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "dtype"))), lambda x: x["dtype"]).alias("dtypes"))
-    value = F.transform(F.arrays_zip("fields", "dtypes"), lambda z: typed(z["fields"], z["dtypes"]))
+    Rows are counted by a 128-bit digest first; only those whose digest repeats are moved as a whole and compared.  A
+    column whose values all stand in the file as `typed` writes them is compared as it is."""
+    odd = freq.where("odd").select(*KEY).distinct().withColumn("odd", F.lit(True))
+    kind = F.when(F.col("odd"), F.col("dtype")).otherwise(OTHER)
+    dtypes = types.join(odd, KEY, "left").groupBy(FILE).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("ordinal", kind.alias("dtype")))), lambda x: x["dtype"]).alias("dtypes"), F.coalesce(F.bool_or("odd"), F.lit(False)).alias("any_odd"))
+    dtypes = scale.stage(dtypes, "catalog-odd")
+    value = F.when(F.col("any_odd"), F.transform(F.arrays_zip("fields", "dtypes"), lambda z: typed(z["fields"], z["dtypes"]))).otherwise(F.col("fields"))
     typed_rows = _joined(rows, dtypes, files).select(FILE, value.alias("fields")).withColumns({"d1": F.xxhash64("fields"), "d2": F.xxhash64(F.lit(1), F.reverse("fields"))})
-    repeated = typed_rows.groupBy(FILE, "d1", "d2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    repeated = scale.stage(typed_rows.groupBy(FILE, "d1", "d2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "catalog-repeated")
+    many = repeated.count()
+    if not many:
+        return scale.local_table(rows.sparkSession, [], f"{FILE} int, duplicate_rows bigint")
+    repeated = F.broadcast(repeated) if many <= scale.BROADCAST_ROWS else repeated  # three numbers each
     found = typed_rows.join(repeated, [FILE, "d1", "d2"], "left_semi").groupBy(FILE, "fields").agg(F.count(F.lit(1)).alias("c"))
     return found.groupBy(FILE).agg(F.sum(F.col("c") - 1).alias("duplicate_rows"))
 
@@ -230,18 +280,18 @@ def _copies(rows: DataFrame, types: DataFrame, files: int) -> DataFrame:
 
 def profile_folder(spark: SparkSession, path: str, **options) -> Catalog:
     """Profile, issues and plan of every CSV file below a folder (or of a glob).  A file without rows is not listed."""
-    rows, schemas = read_rows(spark, path, **options)
+    rows, schemas, paths = _numbered_rows(spark, path, **{"encoding": "UTF-8", "sep": ",", "quote": '"', **options})
     files = rows.select(FILE).distinct().count()
     types = scale.stage(column_types(rows, schemas), "catalog-types")
     freq = scale.stage(value_counts(rows, types, files), "catalog-counts")
     stats, lists, splits, redundant, copies = scale.in_parallel(
         spark, lambda: scale.stage(_moments(freq), "catalog-moments"), lambda: scale.stage(_lists(freq), "catalog-lists"), lambda: scale.stage(_splits(rows, types, files), "catalog-splits"),
-        lambda: scale.stage(_redundant(rows, types, schemas, files), "catalog-redundant"), lambda: scale.stage(_copies(rows, types, files), "catalog-copies"))
+        lambda: scale.stage(_redundant(rows, types, schemas, files), "catalog-redundant"), lambda: scale.stage(_copies(rows, types, freq, files), "catalog-copies"))
     known = types.join(stats, KEY, "left")
     for part in (lists, splits, redundant):
         known = known.join(part, KEY, "left")
-    columns = scale.stage(_profile(known), "catalog-columns")
-    tables = scale.stage(_health(columns, copies), "catalog-tables")
+    columns = scale.stage(_named(_profile(known), paths), "catalog-columns")
+    tables = scale.stage(_health(columns, _named(copies, paths)), "catalog-tables")
     return Catalog(columns, tables, issue_rules.all_issues(columns, tables), planner.validate(planner.plan(columns, tables)))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from limpid.functions.constants import CSV_NULLS, DELIMITERS, PHASES, PLACEHOLDERS, ROW_ID
@@ -54,9 +56,13 @@ _PAIRS = [("p_type_num", "p_type")]
 def folder(t) -> str:
     """Write the files; the name of each is view/part=number/..."""
     path = scale.stage_path(t.spark, "csv-folder")
-    for view, key, files in FOLDER:
+
+    def write(view: str, key: str, files: int) -> None:
         df = getattr(t, view).withColumn("part", F.col(key) % files)
-        df.repartition(files, "part").sortWithinPartitions("part", key).write.partitionBy("part").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{path}/{view}")
+        # With as many tasks as files, several files would often meet in one task.
+        df.repartition(8 * files, "part").sortWithinPartitions("part", key).write.partitionBy("part").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{path}/{view}")
+
+    scale.in_parallel(t.spark, *[functools.partial(write, *one) for one in FOLDER])
     return path
 
 

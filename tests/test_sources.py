@@ -208,3 +208,28 @@ def test_a_feature_named_label(spark):
     df = spark.range(40).select("id", (F.col("id") % 2).alias("label"), F.concat(F.lit("t"), F.col("id") % 2).alias("t"))
     table = ml.features(df, "t", "classification", ["id"])
     assert set(table.columns) == {"__id", "id", "label_feature", "label"} and table.where("label_feature = label").count() == 40
+
+
+def test_copies_of_a_folder_are_compared_by_value(spark, tmp_path):
+    """Numbers and booleans that are written in several ways; a file without copies beside it."""
+    (tmp_path / "odd.csv").write_text("a,b,c\n1,1.50,True\n01,1.5,TRUE\n1,1.5,false\n+1,15e-1,true\n2,,x\n".replace(",x", ",false"))
+    (tmp_path / "text.csv").write_text("a,b\nx,1.50\nx,1.5 y\nx,1.50\n")
+    (tmp_path / "none.csv").write_text("a,b\nx,1\ny,1\n")
+    found = catalog.profile_folder(spark, str(tmp_path)).tables
+    assert {r["file"].rsplit("/", 1)[1]: r["duplicate_rows"] for r in found.collect()} == {"odd.csv": 2, "text.csv": 1, "none.csv": 0}
+
+
+def test_a_folder_sorts_only_what_can_be_first(spark, tmp_path, monkeypatch):
+    """Values of a column that starts late, and a pool of marks that is too small, give the same lists."""
+    rows = "".join(f"{i},{'' if i < 700 else f'p{i} - q'},v{i % 300}\n" for i in range(900))
+    (tmp_path / "late.csv").write_text("a,late,b\n" + rows)
+
+    def lists():
+        return sorted((r["column"], r["splittable"], r["suggested_delimiter"], r["sample_values"], r["top_values"]) for r in catalog.profile_folder(spark, str(tmp_path)).columns.collect())
+
+    want = lists()
+    assert [r[:3] for r in want] == [("a", False, None), ("b", False, None), ("late", True, " - ")]
+    for pool, head in ((2, 10), (100_000, 100_000)):
+        monkeypatch.setattr(profiling, "SAMPLE_POOL", pool)
+        monkeypatch.setattr(catalog, "HEAD_ROWS", head)
+        assert lists() == want
