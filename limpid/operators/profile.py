@@ -227,14 +227,40 @@ def sample_text(df: DataFrame) -> Column:
     return F.when(F.col("ordinal").isin(fractional), plain).otherwise(F.col("value")) if fractional else F.col("value")
 
 
-def sample_values(df: DataFrame, freq: DataFrame, k: int = SAMPLE_VALUES, seed: int = 42) -> DataFrame:
+# Values of a column whose marks are sorted for a sample, about.
+SAMPLE_POOL = 1000
+
+
+def sample_mark(value: Column, seed: int = 42) -> Column:
+    return F.md5(F.concat(value, F.lit(f"|{seed}")))
+
+
+def mark_limit(unique: Column) -> Column:
+    """No mark above it is among the first ones of a column with so many values, but with a chance below 10^-400: about
+    SAMPLE_POOL marks are below it, and all marks of a column with few values.  Callers check that they got enough."""
+    share = F.least(F.lit(1.0), F.lit(float(SAMPLE_POOL)) / unique)
+    return F.lpad(F.lower(F.hex((share * (2 ** 32 - 1)).cast("bigint"))), 8, "0")
+
+
+def sample_values(df: DataFrame, freq: DataFrame, k: int = SAMPLE_VALUES, seed: int = 42, unique: dict[int, int] | None = None) -> DataFrame:
     """ordinal, rank, value: k distinct values chosen by a seeded hash, so the sample does not
-    depend on partitioning."""
-    shown = freq.select("ordinal", sample_text(df).alias("value"))
-    mark = F.md5(F.concat("value", F.lit(f"|{seed}")))
+    depend on partitioning.
+
+    With `unique`, the distinct values of every column, only marks that can be among the first k are sorted."""
+    shown = freq.select("ordinal", sample_text(df).alias("value")).withColumn("mark", sample_mark(F.col("value"), seed))
     order = Window.partitionBy("ordinal").orderBy("mark", "value")
-    return (shown.withColumn("mark", mark).withColumn("rank", F.row_number().over(order))
-            .where(F.col("rank") <= k).drop("mark"))
+
+    def first(marked: DataFrame) -> DataFrame:
+        return marked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("mark")
+
+    if not unique:
+        return first(shown)
+    sizes = scale.local_table(df.sparkSession, sorted(unique.items()), "o int, n bigint")
+    limits = F.broadcast(sizes.select("o", mark_limit(F.col("n")).alias("upto")))  # one row per column
+    found = scale.stage(first(shown.join(limits, (F.col("ordinal") == F.col("o")) & (F.left("mark", F.lit(8)) <= F.col("upto"))).drop("o", "upto")), "samples")
+    have = {r["ordinal"]: r["n"] for r in found.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n")).collect()}
+    short = [o for o, n in unique.items() if have.get(o, 0) < min(k, n)]
+    return found.where(~F.col("ordinal").isin(short)).unionByName(first(shown.where(F.col("ordinal").isin(short)))) if short else found
 
 
 def missing_profile(df: DataFrame) -> DataFrame:
@@ -460,7 +486,7 @@ def _listed(df: DataFrame, freq: DataFrame, out: list[dict]) -> None:
     parts = [
         placeholder_freq(df, freq).select(F.lit("detected_placeholders").alias("list"), "ordinal", order.alias("rank"), F.col("token").alias("value"), "cnt"),
         top_values(freq.where(F.col("ordinal").isin(other))).select(F.lit("top_values").alias("list"), "ordinal", "rank", "value", "cnt"),
-        sample_values(df, freq).select(F.lit("sample_values").alias("list"), "ordinal", "rank", "value", F.lit(0).cast("bigint").alias("cnt"))]
+        sample_values(df, freq, unique={r["ordinal"]: r["unique_count"] for r in out if r["unique_count"]}).select(F.lit("sample_values").alias("list"), "ordinal", "rank", "value", F.lit(0).cast("bigint").alias("cnt"))]
     rows = sorted(scale.union_all(parts).collect(), key=lambda r: (r["list"], r["ordinal"], r["rank"]))
     texts = full_texts(df, {(r["ordinal"], r["value"]) for r in rows if is_short_key(r["value"])})
     for r in rows:

@@ -183,3 +183,13 @@ def test_sparse_columns_share_one_scan(spark):
     found = profile.first_values(df, names, ["id"], 20)
     assert sorted(r["value"] for r in found.collect()) == sorted(names)
     assert found._jdf.queryExecution().executedPlan().toString().count("Range (") <= 2
+
+
+def test_samples_sort_only_marks_that_can_be_first(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id", "cast(id % 700 as string) as s", "cast(null as string) as n")
+    freq = profile.value_freq(df)
+    want = sorted(tuple(r) for r in profile.sample_values(df, freq).collect())
+    unique = {r["ordinal"]: r["unique_count"] for r in profile.distinct_counts(freq).collect()}
+    for pool in (1000, 20, 1):  # with too few the columns are sampled again in full
+        monkeypatch.setattr(profile, "SAMPLE_POOL", pool)
+        assert sorted(tuple(r) for r in profile.sample_values(df, freq, unique=unique).collect()) == want
