@@ -4,10 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +12,7 @@ from pyspark.sql import types as T
 from limpid.functions import datetimes, numbers
 from limpid.functions.constants import ROW_ID, TIME_SAMPLE
 from limpid.functions.text import quote
-from limpid.operators import impute, scale
+from limpid.operators import forest, impute, scale
 from limpid.operators.columns import text_columns, timestamp_columns
 from limpid.operators.profile import first_values
 
@@ -23,6 +20,8 @@ TREES = 50
 SEED = 42
 # Rows of a model's table in one task: they are few bytes but much work, so their number decides, not their size.
 TASK_ROWS = 25_000
+# Tasks for each core at most: every task of a forest sends sums of all nodes, whatever rows it has.
+CORE_TASKS = 3
 
 
 def task_type(df: DataFrame, target: str) -> DataFrame:
@@ -47,9 +46,10 @@ def alphabetical_codes(df: DataFrame, column: str) -> DataFrame:
     The codes are dense positions over the distinct values, built in range buckets, and joined
     back by value: no label list passes through the driver.
     """
-    groups = scale.group_sizes(df, quote(column))
-    distinct = df.where(quote(column).isNotNull()).select(quote(column).alias("__group")).distinct()
-    codes = scale.with_position(distinct, ["__group"], "__code")
+    counts = df.where(quote(column).isNotNull()).groupBy(quote(column).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    counts = scale.stage(counts, "label-counts")
+    groups = scale.groups_of(counts)
+    codes = scale.with_position(counts.select(F.col("key").alias("__group")), ["__group"], "__code")
     joined = scale.join_group_values(df, codes, column, groups)
     return joined.withColumn(column, F.col("__code").cast("double")).drop("__code")
 
@@ -143,12 +143,13 @@ def features(df: DataFrame, target: str, task: str, order_by: list[str]) -> Data
     out = df.select(row, *scale.columns_of(names), _label(dtype, target, task).alias("label"))
     texts = [n for n in names if isinstance(out.schema[n].dataType, T.StringType)]
     out = with_codes(out, texts).withColumns({n: quote(n).cast("double") for n in names if n not in texts})
-    fitted = impute.fit(out, {n: "mode" for n in names})
-    empty = [n for n in names if fitted[n] is None]
-    out = impute.fill_values(out.drop(*empty), {n: v for n, v in fitted.items() if v is not None})
+    rows, *present = out.agg(F.count(F.lit(1)), *[F.count(quote(n)) for n in [*names, "label"]]).first()
+    empty = [n for n, k in zip(names, present) if not k]
+    gaps = [n for n, k in zip(names, present) if 0 < k < rows]  # the others need no mode
+    out = impute.fill_values(out.drop(*empty), impute.fit(out, {n: "mode" for n in gaps}))
     if task == "classification":
         return alphabetical_codes(out, "label")
-    return impute.fill_statistic(out, ["label"], "median")
+    return impute.fill_statistic(out, ["label"], "median") if present[-1] < rows else out
 
 
 def _label(dtype: T.DataType, target: str, task: str):
@@ -161,11 +162,10 @@ def _label(dtype: T.DataType, target: str, task: str):
 
 
 def assembled(table: DataFrame) -> DataFrame:
-    """features (vector), label, __id.  Codes count as plain numbers, so no category limit applies."""
+    """__id, features (array), label.  Codes count as plain numbers, so no category limit applies."""
     names = [c for c in table.columns if c not in ("__id", "label")]
-    plain = table.select("__id", "label", *[quote(c).alias(f"f{i}", metadata={}) for i, c in enumerate(names)])
-    return VectorAssembler(inputCols=[f"f{i}" for i in range(len(names))], outputCol="features",
-                           handleInvalid="keep").transform(plain).select("__id", "features", "label")
+    values = F.array(*[F.coalesce(quote(c).cast("double"), F.lit(float("nan"))) for c in names])
+    return table.select("__id", values.cast("array<double>").alias("features"), "label")
 
 
 def split(table: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -175,9 +175,9 @@ def split(table: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """The rows dealt by their key to tasks whose number follows from the rows, in the order of the key."""
-    tasks = max(1, math.ceil(table.count() / TASK_ROWS))
-    return table.repartition(tasks, "__id").sortWithinPartitions("__id")
+    """The rows dealt by their key to tasks whose number follows from the rows and is bounded by the cores, and sorted."""
+    tasks = min(math.ceil(table.count() / TASK_ROWS), CORE_TASKS * table.sparkSession.sparkContext.defaultParallelism)
+    return table.repartition(max(1, tasks), "__id").sortWithinPartitions("__id", *[c for c in table.columns if c != "__id"])
 
 
 def score(df: DataFrame, target: str, task: str, order_by: list[str], max_depth: int = 10) -> dict[str, float]:
@@ -185,13 +185,13 @@ def score(df: DataFrame, target: str, task: str, order_by: list[str], max_depth:
     table = scale.stage(assembled(features(df, target, task, order_by)), "features")
     train, test = split(spread(table))
     if task == "classification":
-        model = RandomForestClassifier(numTrees=TREES, seed=SEED, maxDepth=max_depth, featureSubsetStrategy="sqrt")
         metrics = {"accuracy": MulticlassClassificationEvaluator(metricName="accuracy"),
                    "f1": MulticlassClassificationEvaluator(metricName="f1")}
     else:
-        model = RandomForestRegressor(numTrees=TREES, seed=SEED, maxDepth=max_depth, featureSubsetStrategy="all")
         metrics = {"r2": RegressionEvaluator(metricName="r2"), "rmse": RegressionEvaluator(metricName="rmse")}
-    predicted = scale.stage(model.fit(train).transform(test).select("label", "prediction"), "predictions")
+    classes = task == "classification"
+    model = forest.fit(train, split(table)[0], classes=classes, trees=TREES, depth=max_depth, per_node="sqrt" if classes else "all", seed=SEED)
+    predicted = scale.stage(model.predict(test), "predictions")
     return {name: evaluator.evaluate(predicted) for name, evaluator in metrics.items()}
 
 
@@ -206,8 +206,8 @@ def evaluate(raw: DataFrame, clean: DataFrame, target: str, order_by: list[str],
     if task == "skip":
         reason = f"{facts['unique_count']} different values are too many for classes"
         return scale.local_table(spark, [("skip", None, None, None, None, reason)], schema)
-    before = score(raw, target, task, order_by, max_depth)
-    after = score(clean, target, task, order_by, max_depth)
+    scale.shared_dir(spark)  # one for both sides
+    before, after = scale.in_parallel(spark, *[lambda side=side: score(side, target, task, order_by, max_depth) for side in (raw, clean)])
     rows = []
     for name in before:
         gain = round(before[name] - after[name], 4) if name == "rmse" else round((after[name] - before[name]) * 100, 2)

@@ -3,8 +3,8 @@
 A block of a file (what one task reads of it) cannot know whether its first line stands inside a quoted field.  So every
 block is first reduced to where it ends for either way to start; composing these from the start of a file gives the
 state at every block.  Then each block cuts its own records, and only a record that runs over the end of a block is
-joined from its pieces.  This is the one place of the cleaning engine with Python workers; files without such line
-breaks never come here.
+joined from its pieces.  Besides the forests of a model this is the one place of the cleaning engine with Python workers;
+files without such line breaks never come here.
 """
 
 from __future__ import annotations
